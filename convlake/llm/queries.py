@@ -25,5 +25,17 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_ogg, op3_warc)}
+def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .recompression import deduplicate_words
+
+    return deduplicate_words(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import deduplicate_bytes
+
+    return deduplicate_bytes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_ogg, op3_warc, op4_recompression, op6_suffix_merge)}
 ORACLES: dict[str, str] = {}
