@@ -1,11 +1,10 @@
-"""Shared helpers: table access, scratch space, and vectorised hashing of text inside tasks."""
+"""Shared helpers: vectorised hashing of text inside tasks."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+
+from ..storage import partitions, scratch, store, table  # noqa: F401
 
 U64 = np.uint64
 #: Odd multipliers of the two independent polynomial hashes.
@@ -14,36 +13,6 @@ MULT = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
 NULL_ID = np.iinfo(np.int64).max
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The session's ``spark.checkpoint.dir`` names it; only where it is unset (tests, one machine)
-    is a folder of this machine taken.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """64-bit finaliser; spreads the low-entropy bits of a polynomial hash."""
     h = h ^ (h >> U64(30))
@@ -146,7 +115,6 @@ def texts_of(column) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batches, limit: int):
     """Arrow batches cut so that each holds about ``limit`` bytes of its column ``text`` at most."""
-    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -155,4 +123,3 @@ def pieces(batches, limit: int):
         cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(size)] if len(size) else [0]
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield batch.slice(a, b - a)
-    del pa

@@ -37,5 +37,17 @@ def op6_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_ogg, op3_warc, op4_recompression, op6_suffix_merge)}
+def op7_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_ogg, op3_warc, op4_recompression, op6_suffix_merge, op7_inverted_index, op8_order_minhash)}
 ORACLES: dict[str, str] = {}
