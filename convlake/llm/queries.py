@@ -49,5 +49,18 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_ogg, op3_warc, op4_recompression, op6_suffix_merge, op7_inverted_index, op8_order_minhash)}
+def op9_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_OPERATORS = (op1_sharding, op2_ogg, op3_warc, op4_recompression, op6_suffix_merge, op7_inverted_index, op8_order_minhash, op9_pfair, op10_toxicity)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLES: dict[str, str] = {}

@@ -4,8 +4,8 @@ Rounds of naming shorten every document at once: a run of one symbol gets a name
 then a pair gets a name if its first symbol falls into the left and its second into the right half of the names of
 that round. Names are hashes of what they replace, so all tasks give equal strings equal names without a table of
 names. Away from the ends of two equal windows the names agree; how far the ends reach follows from the window
-alone. The highest named symbol that surely lies inside a window stands for it: only windows whose symbol
-also occurs in another document can repeat, and those are compared in full by 128-bit keys.
+alone. The highest named symbol that surely lies inside a window stands for it: Spark finds the symbols that several
+documents share, and only windows with such a symbol are verified in full.
 """
 
 from __future__ import annotations
@@ -14,15 +14,14 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import MULT, NON_BLANK, U64, Words, mix, store, window_hash
+from .common import MULT, NON_BLANK, U64, Words, mix, window_hash
+from .repeats import ByKey, Windows, remove_repeats
 
 WINDOW = 50
 ROUNDS = 16
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-_SECOND = f"{_RESULT}, {B.BLOCK}"
 
 
 def window_symbols(names: np.ndarray, bounds: np.ndarray, width: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -34,63 +33,66 @@ def window_symbols(names: np.ndarray, bounds: np.ndarray, width: int, rounds: in
     that may begin one.
     """
     n = len(names)
-    lengths = np.diff(bounds)
-    count = np.maximum(lengths - width + 1, 0)
-    lo = np.repeat(bounds[:-1] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-    starts = lo.copy()
-    hi = lo + width
-    symbol = names[lo] if len(lo) else np.empty(0, U64)
-    start = np.arange(n)
-    end_of_doc = np.zeros(n + 1, bool)
-    end_of_doc[bounds] = True
-    live = np.arange(len(lo))
-    at = np.empty(n + 1, np.int64)
+    count = np.maximum(np.diff(bounds) - width + 1, 0)
+    starts = np.repeat(bounds[:-1] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+    symbol = names[starts]
+    lo = starts.astype(np.int32)
+    hi = lo + np.int32(width)
+    live = np.arange(len(lo), dtype=np.int32)  # windows that still hold a symbol
+    first_of_doc = np.zeros(n + 1, bool)
+    first_of_doc[bounds] = True
+    start = np.arange(n, dtype=np.int32)  # first word of each symbol
+
+    def by_word(begin: np.ndarray) -> np.ndarray:
+        """The symbol that each word lies in."""
+        flag = np.zeros(n, np.int32)
+        flag[begin] = 1
+        return np.cumsum(flag, dtype=np.int32) - np.int32(1)
+
     for r in range(rounds):
         if not len(live):
             break
         salt = U64((r + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         # Runs.
-        same = np.zeros(len(names), bool)
-        same[1:] = (names[1:] == names[:-1]) & ~end_of_doc[start[1:]]
-        first = np.flatnonzero(~same)
+        new = np.ones(len(names), bool)
+        new[1:] = (names[1:] != names[:-1]) | first_of_doc[start[1:]]
+        first = np.flatnonzero(new)
         size = np.diff(np.r_[first, len(names)])
-        at[start] = np.cumsum(~same) - 1  # run that a symbol lies in
-        run_start = start[first]
-        run_end = np.r_[run_start[1:], n]
-        names = names[first]
-        names = np.where(size > 1, mix(names * MULT[0] + size.astype(U64) + salt), names)
-        lo[live] = run_end[at[lo[live]]]
-        before = np.r_[start, n]  # a window's end is a symbol's end
-        hi[live] = run_start[at[before[np.searchsorted(before, hi[live]) - 1]]]
-        start = run_start
+        names, start = names[first], start[first]
+        for_run = size > 1
+        if for_run.any():
+            names = names.copy()
+            names[for_run] = mix(names[for_run] * MULT[0] + size[for_run].astype(U64) + salt)
+        end = np.r_[start[1:], np.int32(n)]
+        at = by_word(start)
+        lo = end[at[lo]]
+        hi = start[at[hi - 1]]
+        keep = lo < hi
+        lo, hi, live = lo[keep], hi[keep], live[keep]
         # Pairs.
-        live = live[lo[live] < hi[live]]
-        at[start] = np.arange(len(start))
         left = (mix(names ^ salt) & U64(1)).astype(bool)
-        a = at[lo[live]]
-        end = np.r_[start[1:], n]
-        lo[live] = np.where(left[a], lo[live], end[a])
-        live = live[lo[live] < hi[live]]
-        last = np.searchsorted(start, hi[live]) - 1
-        hi[live] = np.where(left[last], start[last], hi[live])
-        live = live[lo[live] < hi[live]]
+        a = at[lo]
+        lo = np.where(left[a], lo, end[a])
+        b = at[hi - 1]
+        hi = np.where(left[b], start[b], hi)
+        keep = lo < hi
+        lo, hi, live = lo[keep], hi[keep], live[keep]
         joined = np.zeros(len(names), bool)
-        joined[1:] = left[:-1] & ~left[1:] & ~end_of_doc[start[1:]]
-        pair = np.r_[joined[1:], False]
+        joined[1:] = left[:-1] & ~left[1:] & ~first_of_doc[start[1:]]
+        k = np.flatnonzero(joined) - 1
         named = names.copy()
-        k = np.flatnonzero(pair)
         named[k] = mix(mix(names[k] + salt) * MULT[1] + names[k + 1])
+        symbol[live] = named[at[lo]]  # the symbol at ``lo`` begins there, so it is the first of its pair
         names, start = named[~joined], start[~joined]
-        at[start] = np.arange(len(start))
-        symbol[live] = names[at[lo[live]]]
     return starts, symbol
 
 
-def _result(block: B.Block, k: int, removed: np.ndarray | None) -> tuple:
+def _finish(block: B.Block, k: int, removed: np.ndarray | None) -> tuple:
     words = block.text(k).split()  # bytes.split takes the same blanks
     kept = words if removed is None else [w for w, gone in zip(words, removed.tolist()) if not gone]
     doc = None if block.nulls[k] else int(block.ids[k])
-    return doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
+    joined = b" ".join(kept)
+    return doc, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace")
 
 
 def deduplicate_words(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WINDOW, block_bytes: int = B.BLOCK_BYTES, kept: bool = False) -> DataFrame:
@@ -101,70 +103,14 @@ def deduplicate_words(docs: DataFrame, key: str = "doc_id", text: str = "text",
     than ``width`` words stay whole. Rows with equal keys never remove from each other; a null key counts as
     larger than all others. An empty table gives no rows; other columns are ignored.
     """
-    result = f"{_RESULT}, kept string" if kept else _RESULT
-    base = B.build_blocks(docs, key, text, "words", block_bytes)
-    buckets = B.bucket_count(base)
 
-    def finish(block, k, removed):
-        row = _result(block, k, removed)
-        if not kept:
-            return row
-        words = block.text(k).split()
-        return (*row, b" ".join(w for i, w in enumerate(words) if removed is None or not removed[i]).decode("utf-8", "replace"))
-
-    def symbols(block):
-        words = Words(block.data, block.offsets, NON_BLANK)
+    def cut(block, hashes):
+        words = Words(block.data, block.offsets, NON_BLANK, 2 if hashes else 1)
         starts, symbol = window_symbols(words.hash[0], words.bounds, width)
-        return words, starts, symbol, *B.shared_in(symbol, words.owner[starts])
-
-    def name(block):
-        *_, distinct, _, several = symbols(block)
-        yield from B.ask_shared(block.number, distinct, several, buckets)
-
-    shared = B.ask(B.map_blocks(base, name, B._ASK), B.answer_shared)
-    blank, none = (None,) * len(result.split(", ")), (None,) * 7
-
-    def sift(block, answers):
-        words, starts, _, distinct, place, _ = symbols(block)
-        found = B.gather(*B.split(distinct, buckets), answers)[place]
-        marks = np.zeros(len(words.start), bool)
-        marks[starts[found]] = True
-        dirty = np.zeros(len(block.ids), bool)
-        dirty[words.owner[starts[found]]] = True
-        for k in np.flatnonzero(~dirty):
-            yield (*finish(block, k, None), *none)
-        if dirty.any():
-            yield (*blank, *block.subset(dirty, marks[dirty[words.owner]]).row())
-
-    second = store(B.map_blocks(B.with_answers(base, shared), sift, f"{result}, {B.BLOCK}"), "sifted", "snappy")
-    columns = [f.split()[0] for f in result.split(", ")]
-    clean = second.where("block is null").select(*columns)
-    rest = second.where("block is not null").drop(*columns)
-
-    def windows(block):
-        words = Words(block.data, block.offsets, NON_BLANK, 2)
-        at = np.flatnonzero(block.marks[: len(words.start)])
-        one, two = (window_hash(h, width, m)[at] for h, m in zip(words.hash, MULT))
-        ids = block.ids[words.owner[at]]
-        order, first, group = B.group_min([one, two], ids)
-        head = order[first]
-        return words, at, ids, one[head], two[head], ids[head], order, group
-
-    def compare(block):
-        *_, one, two, least, _, _ = windows(block)
-        yield from B.ask_smaller(block.number, one, two, least, buckets)
-
-    smaller = B.ask(B.map_blocks(rest, compare, B._ASK), B.answer_smaller)
-
-    def remove(block, answers):
-        words, at, ids, one, _, least, order, group = windows(block)
-        found = B.gather(*B.split(one, buckets), answers)
-        gone = np.zeros(len(at), bool)
-        gone[order] = found[group] | (ids[order] > least[group])
-        covered = np.zeros(len(words.start), bool)
-        covered[at[gone]] = True
-        removed = B.spans(covered, width, len(covered))
-        for k in range(len(block.ids)):
-            yield finish(block, k, removed[words.bounds[k] : words.bounds[k + 1]])
-
-    return clean.unionByName(B.map_blocks(B.with_answers(rest, smaller), remove, result))
+        return Windows(words.bounds, starts, symbol, tuple(window_hash(h, width, m) for h, m in zip(words.hash, MULT)) if hashes else ())
+
+    def finish(block, k, removed):
+        row = _finish(block, k, removed)
+        return row if kept else row[:4]
+
+    return remove_repeats(docs, key, text, width, cut, lambda _, buckets: ByKey(buckets), finish, f"{_RESULT}, kept string" if kept else _RESULT, "words", block_bytes)

@@ -39,12 +39,12 @@ def gapless(df: DataFrame, group: str, spread: list[str], order: list[str], out:
     """
     from pyspark.sql import Window as W
 
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int")).withColumn("_group", F.coalesce(F.concat(F.lit("g"), F.col(group).cast("string")), F.lit("null")))
-    sizes = df.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("_group").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    shifts = sizes.select("_group", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(W.partitionBy("_group", "_bucket").orderBy(*order))
-    return df.withColumn("_rank", rank).join(shifts, ["_group", "_bucket"]).withColumn(out, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_rank", "_before", "_bucket", "_group")
+    df = df.withColumn("_gap_bucket", F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int")).withColumn("_gap_group", F.coalesce(F.concat(F.lit("g"), F.col(group).cast("string")), F.lit("null")))
+    sizes = df.groupBy("_gap_group", "_gap_bucket").agg(F.count(F.lit(1)).alias("_gap_n"))
+    before = W.partitionBy("_gap_group").orderBy("_gap_bucket").rowsBetween(W.unboundedPreceding, -1)
+    shifts = sizes.select("_gap_group", "_gap_bucket", F.coalesce(F.sum("_gap_n").over(before), F.lit(0)).alias("_gap_before"))
+    rank = F.row_number().over(W.partitionBy("_gap_group", "_gap_bucket").orderBy(*order))
+    return df.withColumn("_gap_rank", rank).join(shifts, ["_gap_group", "_gap_bucket"]).withColumn(out, (F.col("_gap_before") + F.col("_gap_rank") - 1).cast("long")).drop("_gap_rank", "_gap_before", "_gap_bucket", "_gap_group")
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", weights: list[float] | None = None, buckets: int = 256) -> DataFrame:

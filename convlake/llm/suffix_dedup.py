@@ -1,27 +1,24 @@
 """Substring deduplication of bytes by a distributed, common-prefix-aware merge of sorted suffixes.
 
-Suffixes matter only up to the window's width, and only where a window may repeat at all:
-
-1. Every window has a smallest hashed k-gram. Windows whose k-gram occurs in one document only cannot repeat.
-2. Neighbouring windows with the same k-gram form a stretch. Equal stretches (128-bit keys) hold equal windows, so
-   the document with the smallest id stands for all of them: copies are folded before anything is sorted.
-3. Where one k-gram has stretches that differ, the windows of the standing stretches are sorted within each block,
-   front-coded (each suffix stores what it shares with the one before and the rest), dealt into ranges by
-   sampled splitters, and merged with a loser tree that keeps each run's common prefix with the last winner, so
-   known prefixes are never compared again. Runs of equal windows fall out of the prefix lengths.
+Suffixes matter only up to the window's width. A window's symbol is its smallest hashed k-gram; ``repeats`` sifts and
+folds by it. The windows that are left are sorted within each block and front-coded (each suffix stores what it
+shares with the one before, and the rest), dealt into ranges by sampled splitters, and merged with a loser tree that
+keeps each run's common prefix with the last winner, so known prefixes are never compared again. Equal windows
+show in the prefix lengths.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import MULT, U64, segment_hash, store, window_hash
+from .common import MULT, U64, window_hash
+from .repeats import Windows, remove_repeats
 
 WINDOW = 50
 GRAM = 20
@@ -119,7 +116,7 @@ def merge(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int]]:
             node //= 2
 
 
-def answer_runs(bucket: int, payloads: list[bytes], width: int) -> list[np.ndarray]:
+def answer_runs(payloads: list[bytes], width: int) -> list[np.ndarray]:
     """Whether a document with a smaller id holds the same suffix, for each entry of each sorted run."""
     parts = []
     for p in payloads:
@@ -138,6 +135,41 @@ def answer_runs(bucket: int, payloads: list[bytes], width: int) -> list[np.ndarr
     return np.split((least < ids)[order], np.cumsum([len(x[0]) for x in parts])[:-1])
 
 
+class SuffixMerge:
+    """Compares single windows by merging front-coded sorted suffixes, dealt into ranges by sampled splitters."""
+
+    def __init__(self, blocks: DataFrame, width: int, buckets: int):
+        self.width = width
+        self.splitters = _splitters(blocks, width, buckets)
+
+    def distinct(self, block: B.Block, w: Windows, at: np.ndarray, ids: np.ndarray):
+        """Distinct suffixes in order, the smallest id of each, and the place of each window among them."""
+        view = np.lib.stride_tricks.sliding_window_view(block.data, self.width) if len(block.data) >= self.width else np.empty((0, self.width), np.uint8)
+        rows = np.ascontiguousarray(view[at])
+        padded = np.zeros((len(rows), -(-self.width // 8) * 8), np.uint8)
+        padded[:, : self.width] = rows
+        parts = padded.view(">u8").astype(U64)
+        order, first, group = B.group_min([parts[:, k] for k in range(parts.shape[1])], ids)
+        where = np.empty(len(order), np.int64)
+        where[order] = group
+        head = order[first]
+        return rows[head], ids[head], where
+
+    def send(self, number: int, rows: np.ndarray, least: np.ndarray) -> Iterator[tuple]:
+        for b, lo, hi in _ranges_of(rows, self.splitters):
+            common, rest = front_code(rows[lo:hi])
+            yield b, number, np.int64(hi - lo).tobytes() + least[lo:hi].tobytes() + common.tobytes() + rest
+
+    def answer(self, bucket: int, payloads: list[bytes]) -> list[np.ndarray]:
+        return answer_runs(payloads, self.width)
+
+    def read(self, rows: np.ndarray, answers: dict, base: int) -> np.ndarray:
+        out = np.zeros(len(rows), bool)
+        for b, lo, hi in _ranges_of(rows, self.splitters):
+            out[lo:hi] = answers[base + b][: hi - lo]
+        return out
+
+
 def deduplicate_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WINDOW, gram: int = GRAM, block_bytes: int = B.BLOCK_BYTES, kept: bool = False) -> DataFrame:
     """Remove each UTF-8 byte inside a ``width``-byte string that also starts in a document with a smaller key.
 
@@ -148,11 +180,10 @@ def deduplicate_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     if not 2 <= gram < width < 256:
         raise ValueError("2 <= gram < width < 256 is needed")
-    spark = docs.sparkSession
-    result = f"{_RESULT}, kept binary" if kept else _RESULT
-    columns = [f.split()[0] for f in result.split(", ")]
-    base = B.build_blocks(docs, key, text, "bytes", block_bytes)
-    buckets = B.bucket_count(base)
+
+    def cut(block, hashes):
+        starts, least = smallest_grams(block.data, block.offsets, width, gram)
+        return Windows(block.offsets, starts, least, tuple(window_hash(block.data.astype(U64), width, m) for m in MULT) if hashes else ())
 
     def finish(block, k, removed):
         raw = block.text(k)
@@ -162,155 +193,7 @@ def deduplicate_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text",
         left = np.frombuffer(raw, np.uint8)[~removed].tobytes()
         return (doc, len(raw), int(removed.sum()), int((removed & ~np.r_[False, removed[:-1]]).sum()), hashlib.sha256(left).hexdigest(), *((left,) * kept))
 
-    def stretches(block):
-        """Windows' starts, first window of each stretch, the stretch's k-gram and document."""
-        starts, least = smallest_grams(block.data, block.offsets, width, gram)
-        new = np.r_[True, (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)] if len(starts) else np.empty(0, bool)
-        first = np.flatnonzero(new)
-        return starts, first, least[first], np.searchsorted(block.offsets, starts[first], side="right") - 1
-
-    def name(block):
-        _, _, grams, owner = stretches(block)
-        distinct, _, several = B.shared_in(grams, owner)
-        yield from B.ask_shared(block.number, distinct, several, buckets)
-
-    shared = B.ask(B.map_blocks(base, name, B._ASK), B.answer_shared)
-    blank, none = (None,) * len(columns), (None,) * 7
-
-    def sift(block, answers):
-        starts, first, grams, owner = stretches(block)
-        distinct, place = np.unique(grams, return_inverse=True)
-        found = B.gather(*B.split(distinct, buckets), answers)[place]
-        marks = np.zeros(len(block.data), bool)
-        marks[starts[np.repeat(found, np.diff(np.r_[first, len(starts)]))]] = True
-        dirty = np.zeros(len(block.ids), bool)
-        dirty[owner[found]] = True
-        for k in np.flatnonzero(~dirty):
-            yield (*finish(block, k, None), *none)
-        if dirty.any():
-            yield (*blank, *block.subset(dirty, marks[np.repeat(dirty, np.diff(block.offsets))]).row())
-
-    second = store(B.map_blocks(B.with_answers(base, shared), sift, f"{result}, {B.BLOCK}"), "sifted", "snappy")
-    clean = second.where("block is null").select(*columns)
-    rest = second.where("block is not null").drop(*columns)
-
-    def classes(block):
-        """Marked windows' starts, each one's stretch, and the block's distinct stretches by 128-bit key and least id."""
-        starts, first, grams, owner = stretches(block)
-        size = np.diff(np.r_[first, len(starts)])
-        keep = block.marks[starts[first]] if len(first) else np.empty(0, bool)
-        marked = starts[np.repeat(keep, size)]
-        grams, owner, size = grams[keep], owner[keep], size[keep]
-        begin = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)[: len(size)]
-        data = block.data.astype(U64)
-        one, two = (segment_hash(window_hash(data, width, m)[marked], begin, m) for m in MULT)
-        ids = block.ids[owner]
-        order, head, group = B.group_min([one, two], ids)
-        return marked, begin, size, grams, ids, one, two, order, head, group
-
-    def fold(block):
-        _, _, _, grams, ids, one, two, order, head, _ = classes(block)
-        h = order[head]
-        yield from B.ask_smaller(block.number, one[h], two[h], ids[h], buckets)
-        g, c, least = _one_stretch(grams, one, two)
-        yield from B.ask_smaller(block.number, g, c, least, buckets, buckets)
-
-    def answer_fold(bucket, payloads):
-        return B.answer_smaller(bucket, payloads) if bucket < buckets else _answer_several(payloads)
-
-    folded = store(B.ask(B.map_blocks(rest, fold, B._ASK), answer_fold), "folded")
-    splitters = _splitters(rest, width, buckets)
-
-    def standing(block, answers):
-        """Per distinct stretch whether a smaller document holds it; and the windows to sort, as distinct rows with least ids."""
-        marked, begin, size, grams, ids, one, two, order, head, group = classes(block)
-        h = order[head]
-        beaten = B.gather(*B.split(one[h], buckets), answers)
-        g, _, _ = _one_stretch(grams, one, two)
-        several = B.gather(*B.split(g, buckets), answers, buckets)
-        open_ = h[~beaten & several[np.searchsorted(g, grams[h])]] if len(h) else h
-        window = _ranges(begin[open_], size[open_])
-        rows = np.lib.stride_tricks.sliding_window_view(block.data, width)[marked[window]] if len(window) else np.empty((0, width), np.uint8)
-        rows = np.ascontiguousarray(rows)
-        owner = np.repeat(ids[open_], size[open_])
-        text = rows.view(f"V{width}").ravel()
-        words = np.zeros((len(rows), -(-width // 8) * 8), np.uint8)
-        words[:, :width] = rows
-        parts = words.view(">u8").astype(U64)
-        sort, lead, place = B.group_min([parts[:, k] for k in range(parts.shape[1])], owner)
-        where = np.empty(len(sort), np.int64)
-        where[sort] = place
-        del text
-        return (marked, begin, size, ids, order, head, group, beaten, open_, window), rows[sort[lead]], owner[sort[lead]], where
-
-    def send(block, answers):
-        _, rows, least, _ = standing(block, answers)
-        for b, lo, hi in _ranges_of(rows, splitters):
-            common, left = front_code(rows[lo:hi])
-            yield b, block.number, np.int64(hi - lo).tobytes() + least[lo:hi].tobytes() + common.tobytes() + left
-
-    sent = B.map_blocks(B.with_answers(rest, folded), send, B._ASK)
-    merged = B.ask(sent, lambda bucket, payloads: answer_runs(bucket, payloads, width))
-    offset = 2 * buckets
-
-    def remove(block, answers):
-        (marked, begin, size, ids, order, head, group, beaten, open_, window), rows, least, where = standing(block, answers)
-        smaller = np.zeros(len(rows), bool)
-        for b, lo, hi in _ranges_of(rows, splitters):
-            smaller[lo:hi] = answers[offset + b][: hi - lo]
-        covered = np.zeros(len(block.data), bool)
-        h = order[head]
-        whole = np.zeros(len(ids), bool)
-        whole[order] = beaten[group] | (ids[order] > ids[h][group])
-        covered[marked[np.repeat(whole, size)]] = True
-        owner = np.repeat(ids[open_], size[open_])
-        hit = smaller[where] | (owner > least[where])
-        # What holds for the standing stretch holds for the block's other rows with its id.
-        stretch = np.full(len(ids), -1)
-        stretch[open_] = np.r_[0, np.cumsum(size[open_])[:-1]].astype(np.int64)[: len(open_)]
-        head_of = np.empty(len(ids), np.int64)
-        head_of[order] = h[group]
-        like = np.flatnonzero(~whole & (stretch[head_of] >= 0)) if len(ids) else np.empty(0, np.int64)
-        covered[marked[_ranges(begin[like], size[like])]] |= hit[_ranges(stretch[head_of[like]], size[like])]
-        removed = B.spans(covered, width, len(covered))
-        for k in range(len(block.ids)):
-            yield finish(block, k, removed[block.offsets[k] : block.offsets[k + 1]])
-
-    answers = folded.unionByName(merged.withColumn("bucket", F.col("bucket") + offset))
-    del spark
-    return clean.unionByName(B.map_blocks(B.with_answers(rest, answers), remove, result))
-
-
-def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... (size[0] of them), begin[1], ..."""
-    if not len(size):
-        return np.empty(0, np.int64)
-    return np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-
-
-def _one_stretch(grams: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct k-grams, the key of a stretch of each, and 1 if the block holds stretches that differ, else 0."""
-    if not len(grams):
-        return grams, one, np.empty(0, np.int64)
-    order = np.lexsort((two, one, grams))
-    g, a, b = grams[order], one[order], two[order]
-    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-    last = np.r_[first[1:], len(g)] - 1
-    return g[first], a[first], ((a[first] != a[last]) | (b[first] != b[last])).astype(np.int64)
-
-
-def _answer_several(payloads: list[bytes]) -> list[np.ndarray]:
-    """Whether a k-gram has stretches that differ."""
-    parts = [np.frombuffer(p, np.uint64).reshape(3, -1) for p in payloads]
-    gram, stretch, flag = np.concatenate(parts, axis=1)
-    order = np.lexsort((stretch, gram))
-    g, s = gram[order], stretch[order]
-    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-    last = np.r_[first[1:], len(g)] - 1
-    several = (s[first] != s[last]) | (np.maximum.reduceat(flag[order], first) > 0)
-    out = np.empty(len(g), bool)
-    out[order] = np.repeat(several, last - first + 1)
-    return np.split(out, np.cumsum([p.shape[1] for p in parts])[:-1])
+    return remove_repeats(docs, key, text, width, cut, lambda blocks, buckets: SuffixMerge(blocks, width, buckets), finish, f"{_RESULT}, kept binary" if kept else _RESULT, "bytes", block_bytes)
 
 
 def _splitters(blocks: DataFrame, width: int, buckets: int) -> np.ndarray:
@@ -336,8 +219,6 @@ def _ranges_of(rows: np.ndarray, splitters: np.ndarray) -> Iterator[tuple[int, i
         return
     lo = 0
     keys = _BytesView(rows)
-    import bisect
-
     for b, s in enumerate(splitters):
         hi = bisect.bisect_left(keys, s.tobytes(), lo)
         if hi > lo:
