@@ -31,6 +31,12 @@ def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate_words(table(spark, sf_dir, "documents"))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import deduplicate_bytes
 
@@ -61,6 +67,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_OPERATORS = (op1_sharding, op2_ogg, op3_warc, op4_recompression, op6_suffix_merge, op7_inverted_index, op8_order_minhash, op9_pfair, op10_toxicity)
+_OPERATORS = (op1_sharding, op2_ogg, op3_warc, op4_recompression, op5_licences, op6_suffix_merge, op7_inverted_index, op8_order_minhash, op9_pfair, op10_toxicity)
 QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLES: dict[str, str] = {}

@@ -47,16 +47,20 @@ def gapless(df: DataFrame, group: str, spread: list[str], order: list[str], out:
     return df.withColumn("_gap_rank", rank).join(shifts, ["_gap_group", "_gap_bucket"]).withColumn(out, (F.col("_gap_before") + F.col("_gap_rank") - 1).cast("long")).drop("_gap_rank", "_gap_before", "_gap_bucket", "_gap_group")
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", weights: list[float] | None = None, buckets: int = 256) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", weights: list[float] | None = None, buckets: int = 256, keep: bool = False) -> DataFrame:
     """One row per document: its shard, its slot there, and its shard if there were one more of average weight.
 
+    With ``keep`` all columns of ``docs`` go along, those whose names clash giving way to the new ones.
+
     ``size`` is the UTF-8 bytes of the text plus 8; a null text counts as empty, its CRC is 0. Only the key, the
-    size and the CRC are shuffled, never the text. Equal keys share a shard. An empty table gives no rows;
-    columns beyond the two named ones are ignored.
+    size and the CRC are shuffled, never the text (unless it is kept). Equal keys share a shard. An empty table gives no rows;
+    without ``keep`` columns beyond the two named ones are ignored.
     """
     weights = weights or [1.0] * shards
     grown = [*weights, sum(weights) / len(weights)]
+    new = ("doc_id", "size", "text_crc32", "law", "shard", "grown_shard", "slot")
     rows = docs.select(
+        *[c for c in docs.columns if keep and c not in new],
         F.col(key).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),

@@ -21,7 +21,7 @@ ORDERS = (4, 6, 8)
 #: Hashed n-grams are numbered 0 to 2**BITS - 1.
 BITS = 22
 #: Most labelled rows that are trained on, and most features.
-SAMPLE, FEATURES = 12_000, 4_096
+SAMPLE, FEATURES = 20_000, 4_096
 THRESHOLD = 0.7
 #: A-Z lower-cased, all ASCII blanks alike.
 _FOLDED = LOWER.copy()
@@ -169,11 +169,11 @@ def _logistic(parts: list[np.ndarray], label: np.ndarray, ratio: np.ndarray) ->
     return w[:-1], float(w[-1])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` with ``score`` and ``predicted`` (in place of columns of these names); a null text counts as empty."""
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of ``docs`` with a score and a prediction, in place of columns of these ``names``; a null text counts as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("score", "predicted")
-    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    kept = docs.drop(*names)
+    schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     index = kept.columns.index(text)
 
     def run(batches):
