@@ -9,6 +9,7 @@ buckets grows with the corpus.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -18,13 +19,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_of, partitions, pieces, store, texts_of
+from .common import ids_of, partitions, pieces, scratch, texts_of
 
-BLOCK = "block long, raw long, ids binary, nulls binary, lens binary, marks binary, data binary"
+BLOCK = "block long, raw long, ids binary, nulls binary, lens binary, origin binary, data binary"
 _ASK = "bucket int, block long, payload binary"
 _ANSWER = "block long, bucket int, bits binary"
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes of text for each bucket of a question.
 BUCKET_TEXT = 64 << 20
 
@@ -35,17 +36,11 @@ class Block(NamedTuple):
     nulls: np.ndarray
     offsets: np.ndarray
     data: np.ndarray
-    marks: np.ndarray  # whatever a pass notes for the next
+    origin: np.ndarray  # int64, for pieces of documents: what a pass notes about each
 
     def row(self) -> tuple:
         pack = zstandard.ZstdCompressor(level=1).compress
-        return (self.number, len(self.data), self.ids.tobytes(), np.packbits(self.nulls).tobytes(), np.diff(self.offsets).tobytes(), np.packbits(self.marks).tobytes(), pack(self.data.tobytes()))
-
-    def subset(self, keep: np.ndarray, marks: np.ndarray) -> Block:
-        """The documents at ``keep``; ``marks`` are theirs already."""
-        size = np.diff(self.offsets)
-        data = self.data[np.repeat(keep, size)]
-        return Block(self.number, self.ids[keep], self.nulls[keep], np.r_[0, np.cumsum(size[keep])], data, marks)
+        return (self.number, len(self.data), self.ids.tobytes(), np.packbits(self.nulls).tobytes(), np.diff(self.offsets).tobytes(), self.origin.tobytes(), pack(self.data.tobytes()))
 
     def text(self, k: int) -> bytes:
         return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes()
@@ -55,7 +50,7 @@ def unpack(row: dict) -> Block:
     ids = np.frombuffer(row["ids"], np.int64)
     offsets = np.r_[0, np.cumsum(np.frombuffer(row["lens"], np.int64))]
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=max(1, row["raw"])), np.uint8)
-    return Block(row["block"], ids, np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=len(ids)).astype(bool), offsets, data, np.unpackbits(np.frombuffer(row["marks"], np.uint8)).astype(bool))
+    return Block(row["block"], ids, np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=len(ids)).astype(bool), offsets, data, np.frombuffer(row["origin"], np.int64))
 
 
 def rows_to_arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -79,7 +74,7 @@ def build_blocks(docs: DataFrame, key: str, text: str, name: str, size: int = BL
 
         def flush():
             lens_ = np.concatenate(lens)
-            return rows_to_arrow([Block(number, np.concatenate(ids), np.concatenate(nulls), np.r_[0, np.cumsum(lens_)], np.concatenate(data), np.empty(0, bool)).row()], BLOCK)
+            return rows_to_arrow([Block(number, np.concatenate(ids), np.concatenate(nulls), np.r_[0, np.cumsum(lens_)], np.concatenate(data), np.empty(0, np.int64)).row()], BLOCK)
 
         for batch in pieces(batches, size):
             part, offsets = texts_of(batch.column("text"))
@@ -96,7 +91,15 @@ def build_blocks(docs: DataFrame, key: str, text: str, name: str, size: int = BL
             yield flush()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return store(rows.mapInArrow(run, BLOCK), name, "uncompressed")  # the data are compressed already
+    return keep_blocks(rows.mapInArrow(run, BLOCK), name)
+
+
+def keep_blocks(blocks: DataFrame, name: str) -> DataFrame:
+    """Store blocks in the shared folder, bucketed by their number: answers are brought to them, texts are not shuffled again."""
+    spark = blocks.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    blocks.write.bucketBy(partitions(spark), "block").option("path", scratch(spark, name)).option("compression", "uncompressed").saveAsTable(table)  # the data are compressed already
+    return spark.table(table)
 
 
 def bucket_count(blocks: DataFrame, per: int = BUCKET_TEXT) -> int:
@@ -113,20 +116,20 @@ def split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def map_blocks(blocks: DataFrame, run: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
-    """Apply ``run(block[, answers])`` to each row; ``answers`` maps a bucket to its bits."""
-    answered = "answers" in blocks.columns
+    """Apply ``run(block[, more])`` to each row; ``more``: the bits by bucket in column ``answers``, or column ``removed``."""
+    extra = [c for c in ("answers", "removed") if c in blocks.columns]
 
     def apply(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
                 block = unpack(row)
-                more = ({a["bucket"]: np.unpackbits(np.frombuffer(a["bits"], np.uint8)).astype(bool) for a in row["answers"] or []},) if answered else ()
+                more = [{a["bucket"]: np.unpackbits(np.frombuffer(a["bits"], np.uint8)).astype(bool) for a in row[c] or []} if c == "answers" else row[c] for c in extra]
                 out = list(run(block, *more))
                 if out:
                     yield rows_to_arrow(out, schema)
 
-    columns = [f.split()[0] for f in BLOCK.split(", ")] + ["answers"] * answered
+    columns = [f.split()[0] for f in BLOCK.split(", ")] + extra
     return blocks.select(*columns).mapInArrow(apply, schema)
 
 
@@ -178,45 +181,73 @@ def shared_in(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
     return distinct, place, low != high
 
 
+#: Bytes of a symbol that are sent: its bucket stands for the leading ones, and a false match only costs a comparison.
+_SENT = 5
+
+
 def ask_shared(number: int, values: np.ndarray, several: np.ndarray, buckets: int) -> Iterator[tuple]:
     """Questions of a block for ``answer_shared``."""
     order, starts = split(values, buckets)
+    sent = values[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SENT]
+    flags = several[order]
     for b in range(buckets):
-        part = order[starts[b] : starts[b + 1]]
-        if len(part):
-            yield b, number, values[part].tobytes() + np.packbits(several[part]).tobytes()
+        if starts[b] < starts[b + 1]:
+            yield b, number, sent[starts[b] : starts[b + 1]].tobytes() + np.packbits(flags[starts[b] : starts[b + 1]]).tobytes()
 
 
 def answer_shared(bucket: int, payloads: list[bytes]) -> list[np.ndarray]:
     """Whether two documents hold a value: in different blocks, or in the one that says so."""
-    sizes = [len(p) * 8 // 65 for p in payloads]  # 64 bits and a flag each
-    values = [np.frombuffer(p, np.uint64, n) for p, n in zip(payloads, sizes)]
-    flags = [np.unpackbits(np.frombuffer(p, np.uint8, offset=8 * n), count=n).astype(bool) for p, n in zip(payloads, sizes)]
-    every = np.concatenate(values)
-    distinct, place, count = np.unique(every, return_inverse=True, return_counts=True)
+    bits = 8 * _SENT + 1  # the value and a flag each
+    sizes = [len(p) * 8 // bits for p in payloads]
+    every = np.zeros((sum(sizes), 8), np.uint8)
+    every[:, :_SENT] = np.frombuffer(b"".join(p[: _SENT * n] for p, n in zip(payloads, sizes)), np.uint8).reshape(-1, _SENT)
+    flags = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8, offset=_SENT * n), count=n) for p, n in zip(payloads, sizes)]).astype(bool)
+    _, place, count = np.unique(every.view("<u8").ravel(), return_inverse=True, return_counts=True)
     shared = count > 1
-    shared[place[np.concatenate(flags)]] = True
+    shared[place[flags]] = True
     return np.split(shared[place], np.cumsum(sizes)[:-1])
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Ids as places in the list of distinct ones, which are few beside the rows of a block."""
+    known, place = np.unique(ids, return_inverse=True)
+    kind = np.uint16 if len(known) <= 1 << 16 else np.uint32
+    return np.array([len(ids), len(known), np.dtype(kind).itemsize], np.int64).tobytes() + known.tobytes() + place.astype(kind).tobytes()
+
+
+def unpack_ids(raw: bytes) -> tuple[np.ndarray, int]:
+    """Ids, and the bytes that they took."""
+    n, k, size = np.frombuffer(raw, np.int64, 3).tolist()
+    place = np.frombuffer(raw, np.uint16 if size == 2 else np.uint32, n, 24 + 8 * k)
+    return np.frombuffer(raw, np.int64, k, 24)[place], 24 + 8 * k + size * n
+
+
 def ask_smaller(number: int, first: np.ndarray, second: np.ndarray, ids: np.ndarray, buckets: int, base: int = 0) -> Iterator[tuple]:
     """Questions for ``answer_smaller`` about distinct 128-bit keys and their smallest ids in the block."""
     order, starts = split(first, buckets)
     for b in range(buckets):
         part = order[starts[b] : starts[b + 1]]
         if len(part):
-            yield base + b, number, np.concatenate([first[part], second[part], ids[part].view(np.uint64)]).tobytes()
+            yield base + b, number, pack_ids(ids[part]) + first[part].tobytes() + second[part].tobytes()
+
+
+def read_keys(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """First halves, second halves and ids of the keys in all payloads, and where each ends but the last."""
+    parts = []
+    for p in payloads:
+        ids, at = unpack_ids(p)
+        parts.append((*np.frombuffer(p[at:], np.uint64).reshape(2, -1), ids))
+    one, two, ids = (np.concatenate(x) for x in zip(*parts))
+    return one, two, ids, np.cumsum([len(x[2]) for x in parts])[:-1]
 
 
 def answer_smaller(bucket: int, payloads: list[bytes]) -> list[np.ndarray]:
     """Whether a document with a smaller id than the given one holds the key."""
-    parts = [np.frombuffer(p, np.uint64).reshape(3, -1) for p in payloads]
-    every = np.concatenate(parts, axis=1)
-    ids = every[2].view(np.int64)
-    order, first, group = group_min([every[0], every[1]], ids)
+    one, two, ids, ends = read_keys(payloads)
+    order, first, group = group_min([one, two], ids)
     least = np.empty(len(ids), np.int64)
     least[order] = ids[order][first][group]
-    return np.split(least < ids, np.cumsum([p.shape[1] for p in parts])[:-1])
+    return np.split(least < ids, ends)
 
 
 def spans(covered: np.ndarray, width: int, size: int) -> np.ndarray:

@@ -11,6 +11,7 @@ documents share, and only windows with such a symbol are verified in full.
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -87,12 +88,14 @@ def window_symbols(names: np.ndarray, bounds: np.ndarray, width: int, rounds: in
     return starts, symbol
 
 
-def _finish(block: B.Block, k: int, removed: np.ndarray | None) -> tuple:
+def _finish(block: B.Block, k: int, removed: list[tuple[int, int]]) -> tuple:
     words = block.text(k).split()  # bytes.split takes the same blanks
-    kept = words if removed is None else [w for w, gone in zip(words, removed.tolist()) if not gone]
-    doc = None if block.nulls[k] else int(block.ids[k])
+    keep = bytearray(b"\1" * len(words))
+    for lo, hi in removed:
+        keep[lo:hi] = bytes(hi - lo)
+    kept = list(compress(words, keep)) if removed else words
     joined = b" ".join(kept)
-    return doc, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace")
+    return None if block.nulls[k] else int(block.ids[k]), len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace")
 
 
 def deduplicate_words(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WINDOW, block_bytes: int = B.BLOCK_BYTES, kept: bool = False) -> DataFrame:
@@ -107,7 +110,7 @@ def deduplicate_words(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def cut(block, hashes):
         words = Words(block.data, block.offsets, NON_BLANK, 2 if hashes else 1)
         starts, symbol = window_symbols(words.hash[0], words.bounds, width)
-        return Windows(words.bounds, starts, symbol, tuple(window_hash(h, width, m) for h, m in zip(words.hash, MULT)) if hashes else ())
+        return Windows(words.bounds, starts, symbol, tuple(window_hash(h, width, m) for h, m in zip(words.hash, MULT)) if hashes else (), words.start, words.end)
 
     def finish(block, k, removed):
         row = _finish(block, k, removed)

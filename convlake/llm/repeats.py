@@ -23,12 +23,14 @@ from .common import MULT, segment_hash, store
 
 
 class Windows(NamedTuple):
-    """A block cut into units (bytes or words)."""
+    """Texts laid end to end and cut into units (bytes or words)."""
 
-    bounds: np.ndarray  # first unit of each document, and the end
-    starts: np.ndarray  # of all windows inside a document
+    bounds: np.ndarray  # first unit of each text, and the end
+    starts: np.ndarray  # of all windows inside a text
     symbol: np.ndarray  # of each of them
     hashes: tuple  # two arrays by first unit, or () where not asked for
+    at: np.ndarray | None  # bytes that the units begin and end at; None: a unit is a byte
+    end: np.ndarray | None
 
 
 def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -39,7 +41,7 @@ def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def stretches(w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window of each stretch, its symbol, its document."""
+    """First window of each stretch, its symbol, its text."""
     if not len(w.starts):
         return np.empty(0, np.int64), w.symbol, np.empty(0, np.int64)
     new = np.r_[True, (w.symbol[1:] != w.symbol[:-1]) | (w.starts[1:] != w.starts[:-1] + 1)]
@@ -48,8 +50,8 @@ def stretches(w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Classes(NamedTuple):
-    marked: np.ndarray  # starts of the windows in stretches with a shared symbol
-    begin: np.ndarray  # first of them in each stretch
+    starts: np.ndarray  # of all windows
+    begin: np.ndarray  # first window of each stretch
     size: np.ndarray
     symbol: np.ndarray
     ids: np.ndarray
@@ -61,16 +63,23 @@ class Classes(NamedTuple):
 
 
 def classes(block: B.Block, w: Windows) -> Classes:
-    first, symbol, owner = stretches(w)
-    size = np.diff(np.r_[first, len(w.starts)])
-    keep = block.marks[w.starts[first]] if len(first) else np.empty(0, bool)
-    marked = w.starts[np.repeat(keep, size)]
-    symbol, owner, size = symbol[keep], owner[keep], size[keep]
-    begin = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)[: len(size)]
-    one, two = (segment_hash(h[marked], begin, m) for h, m in zip(w.hashes, MULT))
+    begin, symbol, owner = stretches(w)
+    one, two = (segment_hash(h[w.starts], begin, m) for h, m in zip(w.hashes, MULT))
     ids = block.ids[owner]
     order, head, group = B.group_min([one, two], ids)
-    return Classes(marked, begin, size, symbol, ids, one, two, order, order[head], group)
+    return Classes(w.starts, begin, np.diff(np.r_[begin, len(w.starts)]), symbol, ids, one, two, order, order[head], group)
+
+
+def cut_out(block: B.Block, w: Windows, found: np.ndarray, width: int) -> B.Block | None:
+    """The pieces of a block whose windows are ``found``; ``origin`` holds each one's document and first unit there."""
+    at = np.flatnonzero(found)
+    if not len(at):
+        return None
+    new = np.r_[True, (np.diff(at) > 1) | (np.diff(w.starts[at]) > 1)]
+    first, last = w.starts[at[new]], w.starts[at[np.r_[new[1:], True]]] + width - 1
+    doc = np.searchsorted(w.bounds, first, side="right") - 1
+    lo, hi = (first, last + 1) if w.at is None else (w.at[first], w.end[last])
+    return B.Block(block.number, block.ids[doc], block.nulls[doc], np.r_[0, np.cumsum(hi - lo)], block.data[ranges(lo, hi - lo)], np.c_[doc, first - w.bounds[doc]].astype(np.int64).ravel())
 
 
 def one_each(symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,8 +95,7 @@ def one_each(symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.n
 
 def answer_several(payloads: list[bytes]) -> list[np.ndarray]:
     """Whether a symbol has stretches that differ."""
-    parts = [np.frombuffer(p, np.uint64).reshape(3, -1) for p in payloads]
-    symbol, stretch, flag = np.concatenate(parts, axis=1)
+    symbol, stretch, flag, ends = B.read_keys(payloads)
     order = np.lexsort((stretch, symbol))
     s, t = symbol[order], stretch[order]
     first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
@@ -95,7 +103,7 @@ def answer_several(payloads: list[bytes]) -> list[np.ndarray]:
     several = (t[first] != t[last]) | (np.maximum.reduceat(flag[order], first) > 0)
     out = np.empty(len(s), bool)
     out[order] = np.repeat(several, last - first + 1)
-    return np.split(out, np.cumsum([p.shape[1] for p in parts])[:-1])
+    return np.split(out, ends)
 
 
 class ByKey:
@@ -126,9 +134,8 @@ def remove_repeats(docs: DataFrame, key: str, text: str, width: int, cut, compar
     """Rows ``result`` of all documents.
 
     ``cut(block, hashes)`` gives its Windows, ``compare(blocks, buckets)`` the way single windows are compared,
-    ``finish(block, k, removed)`` the row of document k (``removed``: by unit, or None).
+    ``finish(block, k, removed)`` the row of document k; ``removed`` lists ranges of units, which may overlap.
     """
-    columns = [f.split()[0] for f in result.split(", ")]
     base = B.build_blocks(docs, key, text, name, block_bytes)
     buckets = B.bucket_count(base)
 
@@ -138,25 +145,17 @@ def remove_repeats(docs: DataFrame, key: str, text: str, width: int, cut, compar
         yield from B.ask_shared(block.number, distinct, several, buckets)
 
     shared = B.ask(B.map_blocks(base, ask_symbols, B._ASK), B.answer_shared)
-    blank, none = (None,) * len(columns), (None,) * 7
 
     def sift(block, answers):
         w = cut(block, False)
-        first, symbol, owner = stretches(w)
+        first, symbol, _ = stretches(w)
         distinct, place = np.unique(symbol, return_inverse=True)
         found = B.gather(*B.split(distinct, buckets), answers)[place]
-        marks = np.zeros(w.bounds[-1], bool)
-        marks[w.starts[np.repeat(found, np.diff(np.r_[first, len(w.starts)]))]] = True
-        dirty = np.zeros(len(block.ids), bool)
-        dirty[owner[found]] = True
-        for k in np.flatnonzero(~dirty):
-            yield (*finish(block, k, None), *none)
-        if dirty.any():
-            yield (*blank, *block.subset(dirty, marks[np.repeat(dirty, np.diff(w.bounds))]).row())
-
-    second = store(B.map_blocks(B.with_answers(base, shared), sift, f"{result}, {B.BLOCK}"), f"{name}-sifted", "snappy")
-    clean = second.where("block is null").select(*columns)
-    rest = second.where("block is not null").drop(*columns)
+        pieces = cut_out(block, w, np.repeat(found, np.diff(np.r_[first, len(w.starts)])), width)
+        if pieces:
+            yield pieces.row()
+
+    pieces = B.keep_blocks(B.map_blocks(B.with_answers(base, shared), sift, B.BLOCK), f"{name}_pieces")
 
     def fold(block):
         c = classes(block, cut(block, True))
@@ -166,8 +165,8 @@ def remove_repeats(docs: DataFrame, key: str, text: str, width: int, cut, compar
     def answer_fold(bucket, payloads):
         return B.answer_smaller(bucket, payloads) if bucket < buckets else answer_several(payloads)
 
-    folded = store(B.ask(B.map_blocks(rest, fold, B._ASK), answer_fold), f"{name}-folded")
-    compared = compare(rest, buckets)
+    folded = store(B.ask(B.map_blocks(pieces, fold, B._ASK), answer_fold), f"{name}-folded")
+    compared = compare(pieces, buckets)
 
     def standing(block, answers):
         """Whether a smaller document holds each distinct stretch; those whose windows are compared, and these."""
@@ -178,32 +177,50 @@ def remove_repeats(docs: DataFrame, key: str, text: str, width: int, cut, compar
         several = B.gather(*B.split(symbols, buckets), answers, buckets)
         single = c.head[~beaten & several[np.searchsorted(symbols, c.symbol[c.head])]] if len(c.head) else c.head
         owner = np.repeat(c.ids[single], c.size[single])
-        return c, beaten, single, owner, compared.distinct(block, w, c.marked[ranges(c.begin[single], c.size[single])], owner), w
+        return c, beaten, single, owner, compared.distinct(block, w, c.starts[ranges(c.begin[single], c.size[single])], owner), w
 
     def ask_windows(block, answers):
         *_, (entries, least, _), _ = standing(block, answers)
         yield from compared.send(block.number, entries, least)
 
-    single_answers = B.ask(B.map_blocks(B.with_answers(rest, folded), ask_windows, B._ASK), compared.answer)
+    single_answers = B.ask(B.map_blocks(B.with_answers(pieces, folded), ask_windows, B._ASK), compared.answer)
     offset = 2 * buckets
 
-    def remove(block, answers):
+    def resolve(block, answers):
+        """Units to remove, as ranges: document, first unit, end."""
         c, beaten, single, owner, (entries, least, where), w = standing(block, answers)
         hit = compared.read(entries, answers, offset)[where] | (owner > least[where])
         covered = np.zeros(w.bounds[-1], bool)
         whole = np.zeros(len(c.ids), bool)
         whole[c.order] = beaten[c.group] | (c.ids[c.order] > c.ids[c.head][c.group])
-        covered[c.marked[np.repeat(whole, c.size)]] = True
+        covered[c.starts[np.repeat(whole, c.size)]] = True
         # What holds for a compared stretch holds for the block's other rows with its key and id.
         at = np.full(len(c.ids), -1)
         at[single] = np.r_[0, np.cumsum(c.size[single])[:-1]].astype(np.int64)[: len(single)]
         head_of = np.empty(len(c.ids), np.int64)
         head_of[c.order] = c.head[c.group]
         like = np.flatnonzero(~whole & (at[head_of] >= 0)) if len(c.ids) else np.empty(0, np.int64)
-        covered[c.marked[ranges(c.begin[like], c.size[like])]] |= hit[ranges(at[head_of[like]], c.size[like])]
-        removed = B.spans(covered, width, len(covered))
-        for k in range(len(block.ids)):
-            yield finish(block, k, removed[w.bounds[k] : w.bounds[k + 1]])
+        covered[c.starts[ranges(c.begin[like], c.size[like])]] |= hit[ranges(at[head_of[like]], c.size[like])]
+        edge = np.diff(np.r_[False, B.spans(covered, width, len(covered)), False].astype(np.int8))
+        lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        # A removed run may go on over the border of two pieces.
+        piece = np.searchsorted(w.bounds, lo, side="right") - 1
+        over = np.searchsorted(w.bounds, hi - 1, side="right") - 1 - piece
+        n = ranges(piece, over + 1)
+        lo, hi = np.maximum(np.repeat(lo, over + 1), w.bounds[n]), np.minimum(np.repeat(hi, over + 1), w.bounds[n + 1])
+        doc, first = block.origin.reshape(-1, 2)[n].T
+        if len(n):
+            yield block.number, np.r_[doc, lo - w.bounds[n] + first, hi - w.bounds[n] + first].astype(np.int64).tobytes()
 
     answers = folded.unionByName(single_answers.withColumn("bucket", F.col("bucket") + offset))
-    return clean.unionByName(B.map_blocks(B.with_answers(rest, answers), remove, result))
+    removed = B.map_blocks(B.with_answers(pieces, answers), resolve, "block long, removed binary")
+    return B.map_blocks(base.join(removed, "block", "left"), lambda block, ranges_: _finish_all(block, ranges_, finish), result)
+
+
+def _finish_all(block: B.Block, removed: bytes | None, finish) -> Iterator[tuple]:
+    doc, lo, hi = np.frombuffer(removed or b"", np.int64).reshape(3, -1)
+    order = np.argsort(doc, kind="stable")
+    bounds = np.searchsorted(doc[order], np.arange(len(block.ids) + 1))
+    for k in range(len(block.ids)):
+        own = order[bounds[k] : bounds[k + 1]]
+        yield finish(block, k, list(zip(lo[own].tolist(), hi[own].tolist())))

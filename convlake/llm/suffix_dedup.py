@@ -21,7 +21,7 @@ from .common import MULT, U64, window_hash
 from .repeats import Windows, remove_repeats
 
 WINDOW = 50
-GRAM = 20
+GRAM = 32
 SAMPLE = 4096
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -120,8 +120,8 @@ def answer_runs(payloads: list[bytes], width: int) -> list[np.ndarray]:
     """Whether a document with a smaller id holds the same suffix, for each entry of each sorted run."""
     parts = []
     for p in payloads:
-        n = int(np.frombuffer(p, np.int64, 1)[0])
-        parts.append((np.frombuffer(p, np.int64, n, 8), np.frombuffer(p, np.uint8, n, 8 + 8 * n), p[8 + 9 * n :]))
+        ids, at = B.unpack_ids(p)
+        parts.append((ids, np.frombuffer(p, np.uint8, len(ids), at), p[at + len(ids) :]))
     total = sum(len(x[0]) for x in parts)
     run, shared = np.empty(total, np.int64), np.empty(total, np.int64)
     for i, (r, c) in enumerate(merge([read_run(c, rest, width) for _, c, rest in parts])):
@@ -158,7 +158,7 @@ class SuffixMerge:
     def send(self, number: int, rows: np.ndarray, least: np.ndarray) -> Iterator[tuple]:
         for b, lo, hi in _ranges_of(rows, self.splitters):
             common, rest = front_code(rows[lo:hi])
-            yield b, number, np.int64(hi - lo).tobytes() + least[lo:hi].tobytes() + common.tobytes() + rest
+            yield b, number, B.pack_ids(least[lo:hi]) + common.tobytes() + rest
 
     def answer(self, bucket: int, payloads: list[bytes]) -> list[np.ndarray]:
         return answer_runs(payloads, self.width)
@@ -183,26 +183,27 @@ def deduplicate_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def cut(block, hashes):
         starts, least = smallest_grams(block.data, block.offsets, width, gram)
-        return Windows(block.offsets, starts, least, tuple(window_hash(block.data.astype(U64), width, m) for m in MULT) if hashes else ())
+        return Windows(block.offsets, starts, least, tuple(window_hash(block.data.astype(U64), width, m) for m in MULT) if hashes else (), None, None)
 
     def finish(block, k, removed):
         raw = block.text(k)
         doc = None if block.nulls[k] else int(block.ids[k])
-        if removed is None:
-            return (doc, len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), *((raw,) * kept))
-        left = np.frombuffer(raw, np.uint8)[~removed].tobytes()
-        return (doc, len(raw), int(removed.sum()), int((removed & ~np.r_[False, removed[:-1]]).sum()), hashlib.sha256(left).hexdigest(), *((left,) * kept))
+        gone = np.zeros(len(raw), bool)
+        for lo, hi in removed:
+            gone[lo:hi] = True
+        left = np.frombuffer(raw, np.uint8)[~gone].tobytes() if removed else raw
+        return (doc, len(raw), len(raw) - len(left), int((gone & ~np.r_[False, gone[:-1]]).sum()) if removed else 0, hashlib.sha256(left).hexdigest(), *((left,) * kept))
 
     return remove_repeats(docs, key, text, width, cut, lambda blocks, buckets: SuffixMerge(blocks, width, buckets), finish, f"{_RESULT}, kept binary" if kept else _RESULT, "bytes", block_bytes)
 
 
 def _splitters(blocks: DataFrame, width: int, buckets: int) -> np.ndarray:
-    """Range borders from a bounded sample of marked windows: about SAMPLE of them, whatever the input."""
+    """Range borders from a bounded sample of the pieces' windows: about SAMPLE of them, whatever the input."""
     count = blocks.count()
     each = max(1, SAMPLE // max(1, count))
 
     def draw(block):
-        at = np.flatnonzero(block.marks[: len(block.data)])
+        at = smallest_grams(block.data, block.offsets, width, width - 1)[0]
         at = at[np.linspace(0, len(at) - 1, min(each, len(at))).astype(np.int64)] if len(at) else at
         for k in at:
             yield (block.data[k : k + width].tobytes(),)
