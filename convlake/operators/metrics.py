@@ -170,4 +170,4 @@ def shortfall(rows: DataFrame, partition: str, targets: dict[str, int]) -> DataF
 def cluster_summary(members: DataFrame) -> DataFrame:
     """Clusters, singletons, clusters of several rows, their largest, rows that representatives remove."""
     per = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    return per.agg(F.count(F.lit(1)).alias("n_clusters"), F.count_if("size = 1").alias("n_single"), F.count_if("size > 1").alias("n_multi"), F.max("size").alias("largest"), F.sum(F.col("size") - 1).alias("n_removed"))
+    return per.agg(F.count(F.lit(1)).alias("n_clusters"), F.count_if(F.col("size") == 1).alias("n_single"), F.count_if(F.col("size") > 1).alias("n_multi"), F.max("size").alias("largest"), F.sum(F.col("size") - 1).alias("n_removed"))

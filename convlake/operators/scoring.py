@@ -49,7 +49,7 @@ class Policy:
 
 
 def _found(c: Column, pattern: str) -> Column:
-    return c.rlike(f"(?i){pattern}")
+    return c.rlike(f"(?iU){pattern}")  # word borders and case by Unicode
 
 
 def classify(text: Column, policy: Policy) -> Column:

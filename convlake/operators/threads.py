@@ -19,11 +19,6 @@ def as_messages(conversations: DataFrame, brand: str = "brand") -> DataFrame:
     )
 
 
-def numeric_key(c: Column) -> list[Column]:
-    """Order of ids: numbers by value, then text."""
-    return [F.expr("1"), c] if c is None else [F.coalesce(c.try_cast("decimal(38,0)"), F.lit("99999999999999999999999999999999999999").cast("decimal(38,0)")), c]
-
-
 def resolve_roots(messages: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(tweet_id, root, depth, flag) of each message by pointer doubling: rounds grow with the logarithm of the depth.
 
@@ -35,12 +30,12 @@ def resolve_roots(messages: DataFrame, most_rounds: int = 64) -> DataFrame:
         "tweet_id", F.when(F.col("_known").isNotNull(), F.col("parent")).otherwise(F.col("tweet_id")).alias("up"), F.when(F.col("_known").isNotNull(), 1).otherwise(0).cast("long").alias("depth"),
         F.when(F.col("parent").isNotNull() & F.col("_known").isNull(), F.concat(F.lit("MISSING_PARENT:"), F.col("parent"))).alias("flag"), F.col("_known").isNull().alias("done"),
     )
-    state, open_before = store(state, "roots"), None
-    for _ in range(most_rounds):
-        left = state.where("not done").count()
-        if not left or (open_before is not None and left == open_before and left == state.where("not done and depth > 0").join(state.where("done").select(F.col("tweet_id").alias("up")), "up", "left_anti").count()):
+    state = store(state, "roots")
+    longest = state.count()
+    for k in range(most_rounds):
+        # After k rounds an open message has looked 2**k replies up; one that has looked up more than there are is on a cycle.
+        if 2**k > longest or state.where("not done").isEmpty():
             break
-        open_before = left
         above = state.select(F.col("tweet_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("flag").alias("_flag"), F.col("done").alias("_done"))
         hop = state.where("not done").join(above, "up")
         moved = hop.select("tweet_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_flag").alias("flag"), F.col("_done").alias("done"))
@@ -53,7 +48,7 @@ def collect_threads(messages: DataFrame, roots: DataFrame, epoch: Column | None
     at = F.lit(0.0) if epoch is None else epoch
     rows = messages.withColumn("_at", at).join(roots.where("root is not null"), "tweet_id")
     turn = F.struct("tweet_id", "author_id", F.col("inbound").cast("int").alias("inbound"), "created_at", "text", "in_response_to_tweet_id")
-    num = F.coalesce(F.col("tweet_id").try_cast("decimal(38,0)"), F.lit(10**37).cast("decimal(38,0)"))
+    num = F.coalesce(F.col("tweet_id").try_cast("decimal(38,0)"), F.lit("1" + "0" * 37).cast("decimal(38,0)"))
     made = rows.groupBy("root").agg(
         F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), num.alias("num"), turn.alias("turn")))).alias("_turns"), F.count(F.lit(1)).alias("n_turns"),
         F.countDistinct("tweet_id").alias("_ids"), F.array_sort(F.collect_set("flag")).alias("flags"),
