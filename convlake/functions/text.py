@@ -88,7 +88,7 @@ def redact_usernames(c: Column, brands: Sequence[str] = ()) -> Column:
     """A bare name after "my username is" and its like, unless it is a status word, a brand or an error code."""
     excepted = rf"(?!@?(?:{_any([*STATUS_WORDS, *brands])}){_TOKEN_END}|(?:0x[0-9a-f]+|\d{{3,4}}){_TOKEN_END})"
     brand = rf"(?:(?:{_any(brands)})\s+)?" if brands else ""
-    lead = rf"(\b(?:my\s+)?(?:official\s+)?{brand}(?:account\s+)?(?:user\s*name|screen\s*name|user\s*id|login(?:\s+name|\s+id)?|account(?:\s+name|\s+id)?|handle)\s*(?:is\s+called\b|is|:|=|-)\s*+['\"]?+)"
+    lead = rf"(\b(?:my\s+)?(?:official\s+)?{brand}(?:account\s+)?(?:user\s*name|screen\s*name|user\s*id|login(?:\s+name|\s+id)?|account(?:\s+name|\s+id)?|handle)\s*(?:is\s+called\b|is(?!\s+called\b)|:|=|-)\s*+['\"]?+)"
     return F.regexp_replace(c, rf"(?i){lead}{excepted}(@?[A-Za-z0-9_]+(?:[.-][A-Za-z0-9_]+)*)(['\"]?)", "$1[CUSTOMER_USERNAME]$3")
 
 

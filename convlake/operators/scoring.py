@@ -52,6 +52,11 @@ def _found(c: Column, pattern: str) -> Column:
     return c.rlike(f"(?iU){pattern}")  # word borders and case by Unicode
 
 
+def _some(texts: Column, what: str, pattern: bool) -> Column:
+    """Whether one of an array of texts matches a pattern, or holds a phrase."""
+    return F.exists(texts, lambda t: _found(t, what) if pattern else t.contains(what))
+
+
 def classify(text: Column, policy: Policy) -> Column:
     """The label of the first rule that matches, else the default."""
     out = F.lit(policy.default)
@@ -137,9 +142,9 @@ def validate(label: Column, drafted: Column, evidence: Column, policy: Policy) -
         claimed = _found(reply, c.pattern)
         no, yes = F.lit(False), F.lit(False)
         for p in c.contradiction:
-            no = no | F.exists(quoted, lambda q, p=p: _found(q, p))
+            no = no | _some(quoted, p, True)
         for w in c.support:
-            yes = yes | F.exists(quoted, lambda q, w=w: q.contains(w.lower()))
+            yes = yes | _some(quoted, w.lower(), False)
         found = (
             F.when(claimed & (F.size(cited) == 0), f"unsupported_substantive_claim: {c.name} asserted without cited evidence")
             .when(claimed & no, f"contradictory_evidence_claim: {c.name}")
