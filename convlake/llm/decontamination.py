@@ -109,7 +109,7 @@ def _frequencies(index: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
 
 
 def _prepare(rows: list, index: DataFrame, width: int) -> _Slice:
-    size = np.array([len(r.terms) for r in rows])
+    size = np.array([len(r.terms) for r in rows], np.int64)
     terms = np.zeros((len(rows), width), np.int64)
     for k, r in enumerate(rows):
         terms[k, : len(r.terms)] = r.terms
