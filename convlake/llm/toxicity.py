@@ -26,6 +26,8 @@ THRESHOLD = 0.7
 #: A-Z lower-cased, all ASCII blanks alike.
 _FOLDED = LOWER.copy()
 _FOLDED[9:14] = 32
+#: Bytes of text that are looked at together.
+_PIECE = 1 << 19
 _SMOOTH, _RIDGE, _STEPS = 1.0, 1.0, 25
 
 
@@ -53,15 +55,14 @@ def grams(data: np.ndarray, offsets: np.ndarray):
         yield inside, number.astype(np.int64)
 
 
-def present(data: np.ndarray, offsets: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, feature) pairs."""
-    docs, features = [], []
+def present(data: np.ndarray, offsets: np.ndarray, place: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document, feature) pairs; without ``place`` every n-gram is a feature."""
+    keys = []
     for inside, number in grams(data, offsets):
-        feature = place[number]
-        at = np.flatnonzero((feature >= 0) & inside)
-        docs.append(np.searchsorted(offsets, at, side="right") - 1)
-        features.append(feature[at])
-    key = np.unique(np.concatenate(docs) * (1 << BITS) + np.concatenate(features)) if docs else np.empty(0, np.int64)
+        feature = number if place is None else place[number]
+        at = np.flatnonzero(inside if place is None else (feature >= 0) & inside)
+        keys.append(np.unique(((np.searchsorted(offsets, at, side="right") - 1) << BITS) + feature[at]))
+    key = np.unique(np.concatenate(keys))
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
@@ -85,22 +86,20 @@ def train(docs: DataFrame, labels: DataFrame, **options) -> Model:
     """A model from labelled rows; without rows of both labels it scores all texts 0 or 1 alike, as the label that is there."""
     from ..storage import store
 
-    rows = store(training_rows(docs, labels, **options), "training")
-    every = np.arange(1 << BITS)
-
+    rows = store(training_rows(docs, labels, **options), "training").coalesce(4)  # bounded by ``sample``; fewer tasks count an n-gram fewer times
     def count(batches):
-        tally = np.zeros((2, 1 << BITS), np.int64)
+        tally = np.zeros((2, 1 << BITS), np.int32)  # at most SAMPLE
         for batch in batches:
-            for piece in pieces([batch], 4 << 20):
+            for piece in pieces([batch], _PIECE):
                 data, offsets = texts_of(piece.column("text"))
                 label = piece.column("label").to_numpy(zero_copy_only=False)
-                doc, gram = present(data, offsets, every)
+                doc, gram = present(data, offsets, None)
                 for k in (0, 1):
-                    tally[k] += np.bincount(gram[label[doc] == k], minlength=1 << BITS)
+                    np.add.at(tally[k], gram[label[doc] == k], 1)
         at = np.flatnonzero(tally.any(axis=0))
         for k in range(0, len(at), 1 << 16):
             part = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(tally[0][part]), pa.array(tally[1][part])], names=["gram", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(tally[0][part].astype(np.int64)), pa.array(tally[1][part].astype(np.int64))], names=["gram", "clean", "toxic"])
 
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
@@ -120,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, **options) -> Model:
     sent = rows.sparkSession.sparkContext.broadcast(place)
 
     def matrix(batches):
-        for batch in pieces(batches, 4 << 20):
+        for batch in pieces(batches, _PIECE):
             data, offsets = texts_of(batch.column("text"))
             doc, feature = present(data, offsets, sent.value)
             begin = np.searchsorted(doc, np.arange(batch.num_rows + 1))
@@ -181,7 +180,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            for piece in pieces([pa.RecordBatch.from_arrays([*batch.columns, batch.column(index).cast(pa.string())], names=[*(f"_{k}" for k in range(batch.num_columns)), "text"])], 4 << 20):
+            for piece in pieces([pa.RecordBatch.from_arrays([*batch.columns, batch.column(index).cast(pa.string())], names=[*(f"_{k}" for k in range(batch.num_columns)), "text"])], _PIECE):
                 s = sent.value.score(*texts_of(piece.column("text")))
                 columns = [*piece.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], names=arrow.names)
