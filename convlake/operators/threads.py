@@ -57,31 +57,29 @@ def collect_threads(messages: DataFrame, roots: DataFrame, epoch: Column | None
     return made.select("root", F.transform("_turns", lambda t: t["turn"]).alias("turns"), F.col("n_turns").cast("int").alias("n_turns"), flags.alias("flags")).withColumn("is_complete", F.size("flags") == 0).withColumn("exclusion_reason", F.array_min("flags"))
 
 
-def ancestor_paths(messages: DataFrame, targets: DataFrame, brand: str, most_rounds: int = 1000) -> DataFrame:
+def ancestor_paths(messages: DataFrame, targets: DataFrame, brand: str) -> DataFrame:
     """``targets`` (tweet_id) with ``path``, the turns from the root to the target, and ``reason`` for those rejected.
 
     Siblings and later turns never enter. Reasons: MISSING_PARENT, CYCLE_DETECTED, DUPLICATE_ID, NOT_A_CUSTOMER_TURN.
-    A round follows one reply; it joins only the targets that are not at their root yet.
+    Chains of ids double in length each round, so rounds grow with the logarithm of the depth; texts are joined once, at the end.
     """
     turn = F.struct("tweet_id", "author_id", F.col("inbound").cast("int").alias("inbound"), "created_at", "text", "in_response_to_tweet_id")
-    by_id = store(messages.groupBy("tweet_id").agg(F.min(turn).alias("turn"), F.countDistinct(turn).alias("n")), "turns")
-    chosen = targets.select(F.col("tweet_id").alias("target")).distinct()
-    step = store(chosen.join(by_id, F.col("target") == F.col("tweet_id")).select("target", F.array("turn").alias("path"), (F.col("n") > 1).alias("double"), F.lit(None).cast("string").alias("reason")), "paths")
-    done = None
-    for _ in range(most_rounds):
-        parent = F.col("path")[0]["in_response_to_tweet_id"]
-        ended = step.where(parent.isNull() | F.col("reason").isNotNull())
-        done = ended if done is None else done.unionByName(ended)
-        going = step.where(parent.isNotNull() & F.col("reason").isNull()).withColumn("_parent", parent)
-        if going.isEmpty():
-            break
-        up = by_id.select(F.col("tweet_id").alias("_parent"), "turn", "n")
-        joined = going.join(up, "_parent", "left")
-        seen = F.exists("path", lambda t: t["tweet_id"] == F.col("_parent"))
-        step = store(joined.select("target", F.when(F.col("turn").isNotNull() & ~seen, F.concat(F.array("turn"), F.col("path"))).otherwise(F.col("path")).alias("path"), (F.col("double") | F.coalesce(F.col("n") > 1, F.lit(False))).alias("double"), F.when(F.col("turn").isNull(), "MISSING_PARENT").when(seen, "CYCLE_DETECTED").alias("reason")), "paths")
+    by_id = messages.groupBy("tweet_id").agg(F.min(turn).alias("turn"), F.countDistinct(turn).alias("n"))
+    roots = resolve_roots(messages)
+    chosen = targets.select("tweet_id").distinct().join(roots, "tweet_id")
+    deepest = chosen.where("flag is null").agg(F.max("depth")).first()[0] or 0
+    parent = messages.groupBy("tweet_id").agg(F.min(F.struct("in_response_to_tweet_id")).alias("_p")).select("tweet_id", F.col("_p.in_response_to_tweet_id").alias("next"))
+    chain = roots.where("flag is null").select("tweet_id").join(parent, "tweet_id").select("tweet_id", F.array("tweet_id").alias("ids"), "next")
+    for _ in range(deepest.bit_length()):
+        above = chain.select(F.col("tweet_id").alias("next"), F.col("ids").alias("_ids"), F.col("next").alias("_next"))
+        chain = store(chain.join(above, "next", "left").select("tweet_id", F.concat("ids", F.coalesce("_ids", F.array().cast("array<string>"))).alias("ids"), F.col("_next").alias("next")), "chains")
+    steps = chain.join(chosen.where("flag is null").select("tweet_id"), "tweet_id").select(F.col("tweet_id").alias("target"), F.posexplode("ids").alias("hops", "tweet_id"))
+    whole = steps.join(by_id, "tweet_id").groupBy("target").agg(F.array_sort(F.collect_list(F.struct((-F.col("hops")).alias("at"), "turn"))).alias("_p"), F.max("n").alias("n"))
+    path = F.transform("_p", lambda t: t["turn"])
+    done = chosen.join(whole.select(F.col("target").alias("tweet_id"), path.alias("path"), "n"), "tweet_id", "left")
     last = F.element_at("path", -1)
-    reason = F.coalesce(F.col("reason"), F.when(F.col("double"), "DUPLICATE_ID"), F.when((last["inbound"] != 1) | (last["author_id"] == brand), "NOT_A_CUSTOMER_TURN"))
-    return done.select(F.col("target").alias("tweet_id"), F.when(reason.isNull(), F.col("path")).alias("path"), reason.alias("reason"))
+    reason = F.coalesce(F.regexp_extract("flag", "^[A-Z_]+", 0), F.when(F.col("n") > 1, "DUPLICATE_ID"), F.when((last["inbound"] != 1) | (last["author_id"] == brand), "NOT_A_CUSTOMER_TURN"))
+    return done.select("tweet_id", F.when(reason.isNull(), F.col("path")).alias("path"), reason.alias("reason"))
 
 
 def actor_labels(turns: Column, brand: str) -> Column:

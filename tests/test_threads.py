@@ -21,12 +21,15 @@ def test_deep_chain(spark):
     m = rows(spark, [("0", None)] + [(str(i), str(i - 1)) for i in range(1, 600)])
     got = threads.resolve_roots(m)
     assert got.where("root = '0' and flag is null").count() == 600 and got.agg(F.max("depth")).first()[0] == 599
+    path = threads.ancestor_paths(m, m.where("tweet_id = '599'"), "brand").first().path
+    assert [t.tweet_id for t in path] == [str(i) for i in range(600)]
 
 
 def test_paths_exclude_siblings_and_later_turns(spark):
     m = rows(spark, [("1", None), ("2", "1", "brand"), ("3", "2"), ("4", "2"), ("5", "3", "brand"), ("9", "8")])
     got = {r.tweet_id: r for r in threads.ancestor_paths(m, m.select("tweet_id"), "brand").collect()}
     assert [t.tweet_id for t in got["3"].path] == ["1", "2", "3"]
+    assert got["1"].path is not None and len(got) == 6
     assert got["5"].reason == "NOT_A_CUSTOMER_TURN" and got["9"].reason == "MISSING_PARENT" and got["9"].path is None
 
 
