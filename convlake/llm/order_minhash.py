@@ -3,7 +3,8 @@
 A sketch samples the few smallest of a document's occurrence-labelled shingles (five words) under a hash of its own and
 keeps them in text order, so that two documents share a sketch only if the same shingles come in the same order.
 Documents that share a sketch are aligned word by word inside a band that leaves at most a fifth of the words
-unaligned; those with an edit similarity of 0.8 or more are linked, and linked documents form a class.
+unaligned; those with an edit similarity of 0.8 or more are linked, and linked documents form a class. Only pairs that
+bounds rule out (lengths, places, words without a partner) or that are in one class already are not aligned.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .blocks import rows_to_arrow
 from .common import ALNUM, LOWER, MULT, U64, Words, mix, pieces, store, texts_of, window_hash
 
 SHINGLE = 5
@@ -22,15 +22,16 @@ SIMILARITY = 0.8
 #: Sketches, and shingles in each. Two documents whose labelled shingles have a Jaccard similarity J share none with
 #: probability (1 - J**TAKE) ** SKETCHES: 6e-9 at 0.8, 7e-3 at 0.6.
 SKETCHES, TAKE = 36, 4
-#: Sketches that two documents must share to be aligned after their first one was no match: at a Jaccard similarity of 0.8
-#: they share fewer with probability 3e-5. Documents with only a passage in common seldom share so many.
-AGREE = 5
-#: Turns in which the documents of an unsettled sketch are aligned with some of them, and how many these are.
+#: 64-bit numbers in a document's parity bits.
+_PARITIES = 16
+#: Turns in which the documents of an unsettled sketch are aligned with some of them, and how many these are. They save
+#: alignments; what they leave is aligned in full.
 _TURNS, _PIVOTS = 1, 4
 #: Smallest hashes of a document that are looked at first, on average.
 _ENOUGH = 24
 _SKETCH = "key long, node binary, words int, at int, back int"
-_WORDS = "node binary, codes binary"
+_PLACED = ("node", "words", "at", "back", "parity")
+_WORDS = "node binary, codes binary, parity array<long>"
 
 
 def labelled_shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,15 +106,28 @@ def _sketch_rows(texts: DataFrame, width: int, count: int, take: int) -> DataFra
     return texts.mapInArrow(run, _SKETCH)
 
 
+def parities(words: Words) -> np.ndarray:
+    """Per text, how often each of 64 * _PARITIES bits is hit by its words, labelled with their occurrence: even or odd.
+
+    Texts differ in at most as many bits as they have words without a partner.
+    """
+    hashes, _, first = labelled_shingles(words, 1)
+    bit = (hashes >> U64(32)) % U64(64 * _PARITIES)
+    out = np.zeros((len(first) - 1) * _PARITIES, U64)
+    np.bitwise_xor.at(out, np.repeat(np.arange(len(first) - 1), np.diff(first)) * _PARITIES + (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
+    return out.reshape(-1, _PARITIES).view(np.int64)
+
+
 def _codes(texts: DataFrame) -> DataFrame:
-    """The hashed words of each text."""
+    """The hashed words of each text, and its parity bits."""
 
     def run(batches):
         for batch in pieces(batches, 4 << 20):
             data, offsets = texts_of(batch.column("text"))
             words = Words(LOWER[data], offsets, ALNUM)
-            h = words.hash[0]
-            yield rows_to_arrow([(node, h[words.bounds[k] : words.bounds[k + 1]].tobytes()) for k, node in enumerate(batch.column("node").to_pylist())], _WORDS)
+            h, bits = words.hash[0], parities(words).tolist()
+            codes = [h[a:b].tobytes() for a, b in zip(words.bounds[:-1], words.bounds[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(codes, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["node", "codes", "parity"])
 
     return texts.mapInArrow(run, _WORDS)
 
@@ -184,7 +198,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     Words are runs of digits, letters and non-ASCII bytes, A-Z lower-cased. Equal texts are one class and are folded
     before anything else. Per sketch its documents are first aligned with one of them; where that leaves several
-    classes, with a few more; then documents outside of the largest class with all others with which they share AGREE sketches. ``stays`` is true for
+    classes, with a few more; then documents outside of the largest class with all of other classes. ``stays`` is true for
     rows with the class's smallest key. A null text counts as empty; texts without words are
     near only to equal texts; a null key is larger than all others (a class of null keys has a null class_id).
     An empty table gives no rows; other columns are ignored.
@@ -193,12 +207,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text")).withColumn("node", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
     made = _sketch_rows(rows.select("node", "text"), width, count, take)
     table = store(made.groupBy("key", "node").agg(*[F.first(c).alias(c) for c in ("words", "at", "back")]), "sketches")
-    shared = table.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1").select("key", "pivot")
+    shared = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     table = store(table.join(shared, "key"), "shared")
     nodes = table.select("node").distinct()
     folded = rows.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     codes = store(_codes(folded), "codes")
-    pairs = table.where("pivot < node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    table = table.join(codes.select("node", "parity"), "node")
+    table = store(table.join(table.groupBy("key").agg(F.min(F.struct(*_PLACED)).alias("pivot")), "key"), "placed")
+    found = table.select("pivot", F.struct(*_PLACED).alias("x")).where((F.col("pivot.node") < F.col("x.node")) & _may_be_near("x", "pivot", least))
+    pairs = store(found.select(F.col("pivot.node").alias("a"), F.col("x.node").alias("b")).distinct(), "pairs")
+    table = table.withColumn("pivot", F.col("pivot.node"))
     edges = store(_verify(pairs, codes, least), "links")
     known = connected_components(edges)
     for turn in range(_TURNS):
@@ -207,11 +225,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         if pairs.isEmpty():
             break
         found = store(_verify(pairs, codes, least), "links")
-        if found.isEmpty():  # these documents have a passage in common and no more
+        if found.isEmpty():
             break
         edges = store(edges.unionByName(found), "links")
         known = connected_components(edges)
-    left = store(_leftovers(table, _unsettled(table, known), least), "leftover")
+    left = store(_leftovers(_unsettled(table, known), least), "leftover")
     if not left.isEmpty():
         edges = edges.unionByName(_verify(left, codes, least))
         known = connected_components(edges)
@@ -228,36 +246,38 @@ def _unsettled(table: DataFrame, known: DataFrame) -> DataFrame:
     member = table.join(known.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = per.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "component")).alias("top")).where("classes > 1").select("key", F.col("top.component").alias("top"))
-    return store(member.join(largest, "key").select("key", "node", "component", "words", "at", "back", "top", "pivot"), "members")
+    return store(member.join(largest, "key").select("key", "component", *_PLACED, "top", "pivot"), "members")
+
 
+def _may_be_near(x: str, y: str, least: float):
+    """Lengths, places of the last shared shingle and parity bits that a band allows.
 
-def _near_in_place(x: str, y: str, least: float):
-    """Lengths and places of the last shared shingle that a band allows."""
+    Texts of n and m words with e edits or fewer have at most 2 e - |n - m| words without a partner.
+    """
     room = (F.lit(1 - least) * F.greatest(f"{x}.words", f"{y}.words")) + F.lit(1e-9)
-    return (F.abs(F.col(f"{x}.at") - F.col(f"{y}.at")) <= room) & (F.abs(F.col(f"{x}.back") - F.col(f"{y}.back")) <= room)
+    placed = (F.abs(F.col(f"{x}.at") - F.col(f"{y}.at")) <= room) & (F.abs(F.col(f"{x}.back") - F.col(f"{y}.back")) <= room)
+    apart = F.abs(F.col(f"{x}.words") - F.col(f"{y}.words"))
+    odd = sum((F.bit_count(F.col(f"{x}.parity")[k].bitwiseXOR(F.col(f"{y}.parity")[k])) for k in range(_PARITIES)), F.lit(0))
+    return placed & (apart <= room) & (odd <= 2 * F.floor(room) - apart)
 
 
 def _stars(member: DataFrame, turn: int, least: float) -> DataFrame:
     """Pairs of the documents of each unsettled sketch with a few of them drawn by hash, other ones in each turn."""
-    whole = F.struct("node", "component", "words", "at", "back")
+    whole = F.struct("component", *_PLACED)
     drawn = member.groupBy("key").agg(F.array(*[F.min_by(whole, F.xxhash64("node", F.lit(turn * _PIVOTS + k))) for k in range(_PIVOTS)]).alias("drawn"))
-    x = member.join(drawn, "key").select("component", F.struct("node", "words", "at", "back").alias("x"), F.explode(F.array_distinct("drawn")).alias("y"))
-    pairs = x.where((F.col("component") != F.col("y.component")) & _near_in_place("x", "y", least))
+    x = member.join(drawn, "key").select("component", F.struct(*_PLACED).alias("x"), F.explode(F.array_distinct("drawn")).alias("y"))
+    pairs = x.where((F.col("component") != F.col("y.component")) & _may_be_near("x", "y", least))
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def _leftovers(table: DataFrame, member: DataFrame, least: float) -> DataFrame:
-    """Pairs of a sketch's documents in different classes, one of them outside of the sketch's largest class.
+def _leftovers(member: DataFrame, least: float) -> DataFrame:
+    """All pairs of a sketch's documents in different classes, one of them outside of the sketch's largest class.
 
-    Pairs inside a class need no alignment, so a sketch whose documents are all linked gives none. The pairs share
-    AGREE sketches at least.
+    Pairs inside a class need no alignment, so a sketch whose documents are all linked gives none.
     """
-    own = table.join(member.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("key").alias("keys"))
-    member = store(member.join(own, "node"), "members")
     x, y = member.where("component <> top").alias("x"), member.alias("y")
-    near = _near_in_place("x", "y", least) & (F.size(F.array_intersect("x.keys", "y.keys")) >= AGREE)
     # Both outside: once, from the smaller; those with the pivot were aligned before.
     once = (F.col("y.component") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
     fresh = (F.col("x.node") != F.col("x.pivot")) & (F.col("y.node") != F.col("y.pivot"))
-    joined = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.component") != F.col("y.component")) & near & once & fresh)
+    joined = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.component") != F.col("y.component")) & _may_be_near("x", "y", least) & once & fresh)
     return joined.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()

@@ -197,6 +197,32 @@ def test_near_needs_eight_tenths(spark):
     assert {r.class_id for r in got} == {1, 2, 3}
 
 
+def test_all_near_pairs_of_a_sketch_are_linked(spark):
+    """Twins with few sketches in common, all of them shared with many other documents."""
+    import numpy as np
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage, rows = [word() for _ in range(70)], []
+    for i in range(40):
+        base = passage + [word() for _ in range(50)]
+        for k in range(2):
+            w = list(base)
+            for at in rng.sample(range(len(w)), 7):
+                w[at] = word()
+            rows.append((2 * i + k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sketched = order_minhash._sketch_rows(df.selectExpr("cast(doc_id as string) node", "text").selectExpr("cast(node as binary) node", "text"), order_minhash.SHINGLE, order_minhash.SKETCHES, order_minhash.TAKE)
+    groups = {}
+    for r in sketched.collect():
+        groups.setdefault(r.key, set()).add(int(bytes(r.node)))
+    codes = [np.array([hash(w) for w in t.split()]) for _, t in rows]
+    pairs = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    near = {p for p in pairs if order_minhash.similar(codes[p[0]], codes[p[1]], 0.8)}
+    cls = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(df).collect()}
+    assert len(near) > 10 and [p for p in near if cls[p[0]] != cls[p[1]]] == []
+
+
 def test_mixing(docs, rows, empty, spark):
     got = mixing.mix_sources(docs, block_rows=2).collect()
     assert sorted(r.position for r in got) == list(range(len(rows))) and mixing.mix_sources(empty).count() == 0
