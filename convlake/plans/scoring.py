@@ -38,18 +38,23 @@ def prototype_labels(spark, sf_dir):
     return p.select("vec_id", F.coalesce("prototype", F.lit("none")).alias("prototype"), F.round("cosine", 4).alias("cosine"))
 
 
-def _predictions(spark, sf_dir) -> DataFrame:
-    """Each customer message with past pairs as evidence: those of a sample of conversations are the knowledge."""
+def _evidence(spark, sf_dir) -> DataFrame:
+    """Each customer message with past pairs, all but its own, as evidence."""
     m = messages(spark, sf_dir)
-    pairs = joins.reply_pairs(m, BRAND)
-    known = pairs.where("cast(customer_id as long) % 3000 < 1000")
+    known = joins.reply_pairs(m, BRAND)
     weights, vocabulary = retrieval.fit_tfidf(known, "customer_id", "customer_text")
     asked = m.where("inbound").select("tweet_id", "text")
-    hits = retrieval.retrieve(asked, weights, vocabulary, "tweet_id", "text", K)
+    first = known.groupBy("customer_text").agg(F.min("customer_id").alias("key"))
+    second = known.join(first, "customer_text").where("customer_id > key").groupBy("key").agg(F.min("customer_id").alias("other"))
+    hits = retrieval.retrieve(asked, weights, vocabulary, "tweet_id", "text", K, second)
     said = hits.join(known.select(F.col("customer_id").alias("key"), "reply_id", "reply_text", "customer_text"), "key")
     item = F.struct("rank", F.struct(F.col("reply_id").alias("id"), F.col("reply_text").alias("reply"), F.col("customer_text").alias("customer"), F.round("score", 4).alias("score")).alias("e"))
     evidence = said.groupBy(F.col("query").alias("tweet_id")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["e"]).alias("evidence"))
-    return scoring.predict(asked.join(evidence, "tweet_id", "left"), "tweet_id", "text", None, "evidence", POLICY, REASONS)
+    return asked.join(evidence, "tweet_id", "left")
+
+
+def _predictions(spark, sf_dir) -> DataFrame:
+    return scoring.predict(_evidence(spark, sf_dir), "tweet_id", "text", None, "evidence", POLICY, REASONS)
 
 
 def predictions(spark, sf_dir):

@@ -69,3 +69,15 @@ def test_streamed_cache(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text('{"cache_key": "a", "cached_at": "1", "model_id": "x"}\n{"cache_key": "a", "cached_at": "2", "model_id": "y"}\nbroken\n')
     append_judgements(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert [(r.cache_key, r.model_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", "y")]
+
+
+def test_every_pair_but_the_asked_one_is_evidence(spark, tmp_path):
+    from convlake.plans import scoring
+
+    said = {1: "zebra quartz lamp", 2: "zebra quartz lamp", 3: "purple violin string", 4: "purple violin bow", 5: "alone here"}
+    rows = [(c, t, "user" if t == 0 else "assistant", said[c] if t == 0 else f"answer {c}") for c in said for t in (0, 1)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.tweet_id: [e.customer for e in r.evidence or []] for r in scoring._evidence(spark, str(tmp_path)).collect()}
+    ids = {r.tweet_id: [e.id for e in r.evidence or []] for r in scoring._evidence(spark, str(tmp_path)).collect()}
+    assert {k: v for k, v in got.items() if v} == {"1000": [said[2]], "2000": [said[1]], "3000": [said[4]], "4000": [said[3]]}
+    assert ids["1000"] == ["2001"] and ids["2000"] == ["1001"] and not got["5000"]
