@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A 53-bit hash as a number in (0, 1).
@@ -37,9 +38,12 @@ def gapless(df: DataFrame, group: str, spread: list[str], order: list[str], out:
     and shifted by the rows in the buckets before it. The shifts are groups x buckets rows. Rows equal in
     ``order`` are numbered arbitrarily among themselves.
     """
-    from pyspark.sql import Window as W
+    return numbered(df.withColumn("_gap_hash", F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int")), group, "_gap_hash", order, out).drop("_gap_hash")
 
-    df = df.withColumn("_gap_bucket", F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int")).withColumn("_gap_group", F.coalesce(F.concat(F.lit("g"), F.col(group).cast("string")), F.lit("null")))
+
+def numbered(df: DataFrame, group: str, bucket: str, order: list[str], out: str) -> DataFrame:
+    """Number the rows of each group from 0 by ``bucket``, then ``order``; only a bucket of a group has to fit one task."""
+    df = df.withColumn("_gap_bucket", F.col(bucket)).withColumn("_gap_group", F.coalesce(F.concat(F.lit("g"), F.col(group).cast("string")), F.lit("null")))
     sizes = df.groupBy("_gap_group", "_gap_bucket").agg(F.count(F.lit(1)).alias("_gap_n"))
     before = W.partitionBy("_gap_group").orderBy("_gap_bucket").rowsBetween(W.unboundedPreceding, -1)
     shifts = sizes.select("_gap_group", "_gap_bucket", F.coalesce(F.sum("_gap_n").over(before), F.lit(0)).alias("_gap_before"))
@@ -47,10 +51,11 @@ def gapless(df: DataFrame, group: str, spread: list[str], order: list[str], out:
     return df.withColumn("_gap_rank", rank).join(shifts, ["_gap_group", "_gap_bucket"]).withColumn(out, (F.col("_gap_before") + F.col("_gap_rank") - 1).cast("long")).drop("_gap_rank", "_gap_before", "_gap_bucket", "_gap_group")
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", weights: list[float] | None = None, buckets: int = 256, keep: bool = False) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", weights: list[float] | None = None, buckets: int = 256, keep: bool = False, order: DataFrame | None = None) -> DataFrame:
     """One row per document: its shard, its slot there, and its shard if there were one more of average weight.
 
-    With ``keep`` all columns of ``docs`` go along, those whose names clash giving way to the new ones.
+    With ``keep`` all columns of ``docs`` go along, those whose names clash giving way to the new ones. With ``order``,
+    (doc_id, text_crc32, position), slots follow the positions, and those of one key and CRC are shared out among its rows.
 
     ``size`` is the UTF-8 bytes of the text plus 8; a null text counts as empty, its CRC is 0. Only the key, the
     size and the CRC are shuffled, never the text (unless it is kept). Equal keys share a shard. An empty table gives no rows;
@@ -68,4 +73,14 @@ def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text
         rendezvous(F.col(key), shards, weights).cast("int").alias("shard"),
         rendezvous(F.col(key), shards + 1, grown).cast("int").alias("grown_shard"),
     )
-    return gapless(rows, "shard", ["doc_id", "text_crc32", "size"], ["doc_id", "text_crc32", "size"], "slot", buckets)
+    if order is None:
+        return gapless(rows, "shard", ["doc_id", "text_crc32", "size"], ["doc_id", "text_crc32", "size"], "slot", buckets)
+    number = lambda df, *by: df.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "text_crc32").orderBy(*by)))
+    places = number(order.select("doc_id", "text_crc32", "position"), "position").select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("_nth").alias("_n"), "position")
+    rows = number(rows, "size")
+    same = rows["doc_id"].eqNullSafe(places["_id"]) & (rows["text_crc32"] == places["_crc"]) & (rows["_nth"] == places["_n"])
+    rows = rows.join(places, same, "left").drop("_id", "_crc", "_n", "_nth")
+    # Rows without a position come last. Runs of positions are the buckets, so that no task has to order a whole shard.
+    last = order.agg(F.max("position").alias("_last"))
+    run = F.coalesce(F.floor(F.col("position") * buckets / (F.col("_last") + 1)), F.lit(buckets)).cast("int")
+    return numbered(rows.crossJoin(F.broadcast(last)).withColumn("_run", run), "shard", "_run", ["position", "doc_id", "text_crc32", "size"], "slot").drop("_run", "_last", "position")

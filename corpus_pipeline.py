@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlake.llm import decontamination, mixing, order_minhash, sharding, toxicity
-from convlake.storage import partitions, store, table
+from convlake.storage import partitions, scratch, store, table
 
 
 def _crc(text: str = "text"):
@@ -49,15 +49,25 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _without(docs, found.where("contaminated"))
 
 
+def _mixture(sf_dir: str) -> str:
+    """The setting of the session that names the latest mixture of ``sf_dir``."""
+    return f"convlake.mixture.{sf_dir}"
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the files in the order of the mixture."""
+    """All documents, in the files in the order of the mixture; a table in the shared folder has their positions."""
+    places = mixing.place(docs.withColumn("text_crc32", _crc())).select("doc_id", "text_crc32", F.col("mix_position").alias("position"))
+    path = scratch(spark, "mixture")
+    places.write.parquet(path)
+    spark.conf.set(_mixture(sf_dir), path)
     placed = mixing.place(docs)
     return placed.repartitionByRange(max(1, partitions(spark)), "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot."""
-    return sharding.shard_documents(docs, keep=True)
+    """All documents with their shard and slot; slots follow the mixture."""
+    path = spark.conf.get(_mixture(sf_dir), None)
+    return sharding.shard_documents(docs, keep=True, order=spark.read.parquet(path) if path else None)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontamination", drop_contaminated), ("mixing", mix), ("sharding", shard)]

@@ -31,3 +31,28 @@ def test_run(spark, tmp_path):
     empty = before.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_slots_follow_the_mixture(spark, tmp_path):
+    from convlake.llm import mixing
+    from convlake.storage import store
+
+    rows = [(i, f"text {i}", "en", "a" if i < 1500 else "b" if i < 2100 else None, 9) for i in range(2400)] + [(7, "text 7", "en", "a", 9), (None, None, "en", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.shard(spark, store(corpus_pipeline.mix(spark, docs, str(tmp_path)), "mixing"), str(tmp_path)).collect()
+    where = {}
+    for r in mixing.place(docs).collect():
+        where.setdefault((r.doc_id, r.text), []).append(r.mix_position)
+    shards = {}
+    for r in sorted(got, key=lambda r: (r.shard, r.slot)):
+        shards.setdefault(r.shard, []).append(r)
+    assert len(got) == len(rows) and len(shards) == 24
+    target = {s: n**0.5 for s, n in (("a", 1501), ("b", 601), (None, 300))}
+    for own in shards.values():
+        assert [r.slot for r in own] == list(range(len(own)))
+        single = [where[r.doc_id, r.text][0] for r in own if len(where[r.doc_id, r.text]) == 1]
+        assert single == sorted(single)
+    # All shards' first 40 rows together: about 1,000 of the rows, before a source has run out.
+    head = [r.source for own in shards.values() for r in own[:40]]
+    for s, w in target.items():
+        assert abs(head.count(s) / len(head) - w / sum(target.values())) < 0.06
