@@ -27,6 +27,8 @@ WINDOW = 10
 SLICE = 200_000
 #: Words to either side in which the other rare terms of a window must lie for a proximity match.
 NEAR = 15
+#: Terms of a proximity match, and occurrences of rarest terms that are looked at together.
+_RAREST, _AT_ONCE = 3, 1 << 20
 _INDEX = "block long, ids binary, nulls binary, crcs binary, bounds binary, terms binary, starts binary, positions binary"
 _FOUND = "doc_id long, text_crc32 long, block long, ordinal long, n_words long, hits binary, items array<string>, near array<string>"
 
@@ -132,25 +134,35 @@ def _search(row: dict, part: _Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray
     place = np.searchsorted(terms, part.terms)
     known = (place < len(terms)) & (terms[np.minimum(place, max(0, len(terms) - 1))] == part.terms) if len(terms) else np.zeros(part.terms.shape, bool)
     used = np.arange(part.terms.shape[1]) < part.size[:, None]
-    alive = np.flatnonzero((known | ~used).all(axis=1))
-    first = place[alive, 0]
-    n = size[first] if len(alive) else np.empty(0, np.int64)
-    window = np.repeat(alive, n)
-    at = position[np.repeat(starts[first] - np.r_[0, np.cumsum(n)[:-1]].astype(np.int64), n) + np.arange(n.sum())] if len(alive) else np.empty(0, np.int64)
-    near_window, near_at = window, at
+
+    def occurrences(alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """These windows, once for each occurrence of their rarest term, and its position."""
+        if not len(alive):
+            return alive, np.empty(0, np.int64)
+        first = place[alive, 0]
+        n = size[first]
+        return np.repeat(alive, n), position[np.repeat(starts[first] - np.r_[0, np.cumsum(n)[:-1]].astype(np.int64), n) + np.arange(n.sum())]
+
+    window, at = occurrences(np.flatnonzero((known | ~used).all(axis=1)))
     at = at - part.shift[window, 0]
     for k in range(1, part.terms.shape[1]):
         want = (place[window, k] << 32) + at + part.shift[window, k]
         found = np.searchsorted(keys, want)
         keep = (part.size[window] <= k) | ((found < len(keys)) & (keys[np.minimum(found, len(keys) - 1)] == want))
         window, at = window[keep], at[keep]
-    for k in (1, 2):
-        low = (place[near_window, k] << 32) + near_at - NEAR if part.terms.shape[1] > k else None
-        if low is None:
-            break
-        found = np.searchsorted(keys, low)
-        keep = (part.size[near_window] <= k) | ((found < len(keys)) & (keys[np.minimum(found, len(keys) - 1)] <= low + 2 * NEAR))
-        near_window, near_at = near_window[keep], near_at[keep]
+    # Proximity needs the rarest terms only; a window may have others that this row lacks.
+    alive = np.flatnonzero((known | ~used)[:, :_RAREST].all(axis=1))
+    cut = np.cumsum(size[place[alive, 0]]) // _AT_ONCE if len(alive) else alive
+    near = [(alive[:0], np.empty(0, np.int64))]
+    for group in np.split(alive, np.flatnonzero(np.diff(cut)) + 1):
+        near_window, near_at = occurrences(group)
+        for k in range(1, min(_RAREST, part.terms.shape[1])):
+            low = (place[near_window, k] << 32) + near_at - NEAR
+            found = np.searchsorted(keys, low)
+            keep = (part.size[near_window] <= k) | ((found < len(keys)) & (keys[np.minimum(found, len(keys) - 1)] <= low + 2 * NEAR))
+            near_window, near_at = near_window[keep], near_at[keep]
+        near.append((near_window, near_at))
+    near_window, near_at = (np.concatenate([x[c] for x in near]) for c in (0, 1))
     return window, at, near_window, near_at
 
 
@@ -189,7 +201,7 @@ def _find(index: DataFrame, part: _Slice, width: int) -> DataFrame:
 _RESULT = "doc_id long, text_crc32 long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW, slice_windows: int = SLICE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW, slice_windows: int = SLICE, block_bytes: int = 4 << 20) -> DataFrame:
     """Per row of ``docs``: words, words inside an occurrence of a benchmark window, and the items found.
 
     ``n_near`` counts items with a proximity match: the three rarest terms of a window within NEAR words. Texts are
@@ -199,7 +211,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """
     if not 1 <= width <= WINDOW_GAP:
         raise ValueError(f"width has to be 1 to {WINDOW_GAP}")
-    index = build_index(docs, key, text)
+    index = build_index(docs, key, text, block_bytes)
     windows = store(windows_of(benchmark, item, item_text, width), "windows")
     slices = max(1, -(-windows.count() // slice_windows))
     found = None

@@ -157,6 +157,36 @@ def test_decontamination(spark, docs, rows, empty):
     assert not any(r[5] for r in take(decontamination.decontaminate(docs, bench.limit(0))))
 
 
+@pytest.mark.parametrize("block", [200, 4 << 20])
+def test_proximity(spark, block):
+    """Windows with a word that the block lacks still match by their three rarest terms."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(3))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([10, 12, 14, 25, 2, 1] * 3)]
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(0, 60)))) for i in range(60)]
+    for i, t in items:  # passages with every fourth word changed or in another order
+        w = [word() if k % 4 == 1 else x for k, x in enumerate(t.split())]
+        rows += [(100 + i, " ".join(w)), (200 + i, " ".join(rng.sample(w, len(w)) + [word() for _ in range(30)]))]
+    texts = [t.split() for _, t in rows]
+    count = {}
+    for t in texts:
+        for w in t:
+            count[w] = count.get(w, 0) + 1
+    want = []
+    for (d, _), t in zip(rows, texts):
+        found = set()
+        for i, item in items:
+            w = item.split()
+            for j in range(max(1, len(w) - 9)):
+                rare = sorted(w[j : j + 10], key=lambda x: count.get(x, 0))[:3]
+                if any(x == rare[0] and all(r in t[max(0, p - 15) : p + 16] for r in rare[1:]) for p, x in enumerate(t)):
+                    found.add(i)
+        want.append((d, len(found)))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.n_near) for r in decontamination.decontaminate(df, bench, block_bytes=block).collect())
+    assert got == sorted(want) and sum(n for _, n in want) > 20
+
+
 def near_corpus():
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
