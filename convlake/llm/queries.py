@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import store, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ogg import encode_documents, read_media
 
-    return read_media(encode_documents(table(spark, sf_dir, "documents")))
+    return read_media(store(encode_documents(table(spark, sf_dir, "documents")), "media"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

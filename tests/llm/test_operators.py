@@ -298,3 +298,11 @@ def test_licences(spark, docs, empty, rows):
     assert [got[i].families for i in range(1, 8)] == ["MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0", "", "", ""]
     assert not any(r.families for i, r in got.items() if i >= 1000) and len(got) == len(notices) + len(prose)
     assert licences.scan_licences(empty).count() == 0
+
+
+def test_ogg_query_reads_stored_media(spark, docs, rows, tmp_path):
+    from convlake.llm.queries import op2_ogg
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = op2_ogg(spark, str(tmp_path))
+    assert out.count() == len(rows) and any("/media-" in f for f in out.inputFiles())
