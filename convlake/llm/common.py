@@ -7,7 +7,7 @@ import numpy as np
 from ..storage import partitions, scratch, store, table  # noqa: F401
 
 U64 = np.uint64
-#: Odd multipliers of the two independent polynomial hashes.
+#: Odd multipliers of the two halves of a 128-bit key.
 MULT = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
 #: Stands for a null id: larger than every id.
 NULL_ID = np.iinfo(np.int64).max
@@ -23,14 +23,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(mult: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), mult, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def window_hash(values: np.ndarray, width: int, mult: np.uint64) -> np.ndarray:
-    """Polynomial hash of every ``width`` consecutive values, by doubling."""
+    """Polynomial hash of every ``width`` consecutive values, by doubling; for choosing candidates, not for deciding."""
     if len(values) < width:
         return np.empty(0, U64)
     part, size, done, at = values, 1, None, 0
@@ -44,14 +38,62 @@ def window_hash(values: np.ndarray, width: int, mult: np.uint64) -> np.ndarray:
         size *= 2
 
 
-def segment_hash(values: np.ndarray, starts: np.ndarray, mult: np.uint64) -> np.ndarray:
-    """Polynomial hash of the segments of ``values`` that begin at ``starts``; the last ends with it."""
+def _pair(a: np.ndarray, b: np.ndarray, mult: np.uint64) -> np.ndarray:
+    """A hash of two hashes. It is not linear in them, so no sum over several levels cancels out."""
+    h = a * mult
+    h ^= h >> U64(32)
+    h += b * U64(0xA24BAED4963EE407)
+    h ^= h >> U64(29)
+    h *= U64(0x94D049BB133111EB)
+    h ^= h >> U64(32)
+    return h
+
+
+def window_key(values: np.ndarray, width: int, mult: np.uint64) -> np.ndarray:
+    """One half of a 128-bit key of every ``width`` consecutive values: a tree of hashed pairs, by doubling."""
+    if len(values) < width:
+        return np.empty(0, U64)
+    part, size, done, at = values, 1, None, 0
+    n = len(values) - width + 1
+    while True:
+        if width & size:
+            done = part[:n] if done is None else _pair(done, part[at : at + n], mult)
+            at += size
+        if size * 2 > width:
+            return mix(done ^ mult)
+        part = _pair(part[:-size], part[size:], mult)
+        size *= 2
+
+
+#: Places in a segment whose terms are looked up.
+_LISTED = 64
+
+
+def _terms(values: np.ndarray, at: np.ndarray, mult: np.uint64) -> np.ndarray:
+    """A random number for each (value, place)."""
+    return mix(mix(values + mult) + at.astype(U64) * U64(0xD1B54A32D192ED03))
+
+
+_BYTE_TERMS = [_terms(np.tile(np.arange(256, dtype=U64), _LISTED), np.repeat(np.arange(_LISTED), 256), m) for m in MULT]
+
+
+def segment_hash(values: np.ndarray, starts: np.ndarray, half: int) -> np.ndarray:
+    """One half of a 128-bit key of the segments of ``values`` that begin at ``starts``; the last ends with it.
+
+    It sums a random number for each value and place. Values of type uint8 are looked up.
+    """
     if not len(starts):
         return np.empty(0, U64)
     size = np.diff(np.r_[starts, len(values)])
     at = np.arange(len(values)) - np.repeat(starts, size)
-    with np.errstate(over="ignore"):
-        return mix(np.add.reduceat(values * powers(mult, int(size.max()))[at], starts) + size.astype(U64))
+    if values.dtype == np.uint8:
+        if size.max() <= _LISTED:
+            terms = _BYTE_TERMS[half][(at << 8) + values]
+        else:
+            terms = _terms(values.astype(U64), at, MULT[half])
+    else:
+        terms = _terms(values, at, MULT[half])
+    return mix(np.add.reduceat(terms, starts) + size.astype(U64))
 
 
 class Words:
@@ -70,9 +112,9 @@ class Words:
         size = self.end - self.start
         self.hash = []
         if len(size):
-            kept = data[word].astype(U64) + U64(1)
+            kept = data[word]
             first = np.r_[0, np.cumsum(size)[:-1]]
-            self.hash = [segment_hash(kept, first, m) for m in MULT[:seeds]]
+            self.hash = [segment_hash(kept, first, half) for half in range(seeds)]
         else:
             self.hash = [np.empty(0, U64) for _ in range(seeds)]
 

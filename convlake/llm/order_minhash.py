@@ -1,17 +1,26 @@
 """Near-duplicate documents by Order MinHash.
 
-A sketch samples the few smallest of a document's occurrence-labelled shingles (five words) under a hash of its own and
+A sketch samples the two smallest of a document's occurrence-labelled shingles (five words) under a hash of its own and
 keeps them in text order, so that two documents share a sketch only if the same shingles come in the same order.
 Documents that share a sketch are aligned word by word inside a band that leaves at most a fifth of the words
-unaligned; those with an edit similarity of 0.8 or more are linked, and linked documents form a class. Only pairs that
-bounds rule out (lengths, places, words without a partner) or that are in one class already are not aligned.
+unaligned; those with an edit similarity of 0.8 or more are linked, and linked documents form a class.
+
+Groups of documents that share a sketch may be large. Each is aligned with one of its documents first, the one that
+shares most, then with a few drawn ones; what those links settle needs no more alignments. The rest is searched through
+the rarest words: of two documents that differ in at most a fifth of their words each holds one of the other's rarest
+fifth, so only documents that share such a word (and neither length nor parities rule out) are aligned. No pair
+with the similarity asked for is lost by this.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -20,22 +29,21 @@ from .common import ALNUM, LOWER, MULT, U64, Words, mix, pieces, store, texts_of
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Sketches, and shingles in each. Two documents whose labelled shingles have a Jaccard similarity J share none with
-#: probability (1 - J**TAKE) ** SKETCHES: 6e-9 at 0.8, 7e-3 at 0.6.
-SKETCHES, TAKE = 36, 4
+#: probability (1 - J**TAKE) ** SKETCHES. A fifth of the words changed at random leaves J = 0.2: 0.08; a seventh: 0.003.
+SKETCHES, TAKE = 64, 2
 #: 64-bit numbers in a document's parity bits.
 _PARITIES = 16
-#: Turns in which the documents of an unsettled sketch are aligned with some of them, and how many these are. They save
-#: alignments; what they leave is aligned in full.
-_TURNS, _PIVOTS = 1, 4
-#: Smallest hashes of a document that are looked at first, on average.
-_ENOUGH = 24
-_SKETCH = "key long, node binary, words int, at int, back int"
-_PLACED = ("node", "words", "at", "back", "parity")
-_WORDS = "node binary, codes binary, parity array<long>"
+#: Documents of an unsettled sketch that are drawn for all others to be aligned with.
+_DRAWN = 4
+_SKETCHED = "node binary, words int, keys array<long>"
+_TEXTS = "node binary, words int, parity array<long>, text binary"
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = bytes(LOWER.tolist())
+_LAST = np.iinfo(U64).max
 
 
-def labelled_shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the shingles labelled with their occurrence in the document, their places, and each document's first.
+def labelled_shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles labelled with their occurrence in the document, and each document's first.
 
     A document of fewer words has one shingle, all of them; one without words has none.
     """
@@ -51,59 +59,59 @@ def labelled_shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray,
     long = count[owner] >= width
     hashes[long] = full[place[long]]
     for k in np.flatnonzero((count > 0) & (count < width)):
-        hashes[first[k]] = mix(np.array([hash(tuple(h[words.bounds[k] : words.bounds[k + 1]].tolist())) & (1 << 63) - 1], U64))[0]
+        hashes[first[k]] = window_hash(h[words.bounds[k] : words.bounds[k + 1]], int(count[k]), MULT[1])[0]
     key = mix(hashes + owner.astype(U64) * U64(0x9E3779B97F4A7C15))
     order = np.argsort(key, kind="stable")
     s = key[order]
     new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.empty(0, bool)
     label = np.empty(len(s), U64)
     label[order] = (np.arange(len(s)) - np.flatnonzero(new)[np.cumsum(new) - 1]).astype(U64) if len(s) else 0
-    return mix(hashes + label * U64(0xD6E8FEB86659FD93)), at, first
+    return mix(hashes + label * U64(0xD6E8FEB86659FD93)), first
 
 
-def sketches(hashes: np.ndarray, first: np.ndarray, number: int, take: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and their smallest ``take`` shingles in text order (-1: has fewer), under hash ``number``."""
+def sketch_keys(hashes: np.ndarray, first: np.ndarray, count: int, take: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents with a shingle, and a row of ``count`` sketches for each."""
     n = np.diff(first)
-    v = hashes * U64((number * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) & (1 << 64) - 1 | 1)
-    v ^= v >> U64(32)
-    v *= U64(0xBF58476D1CE4E5B9)
-    share = np.minimum(_ENOUGH / np.maximum(n, 1), 1.0)
-    limit = np.where(share >= 1, float(1 << 64) * (1 - 2**-53), share * float(1 << 64)).astype(U64)
-    low = np.flatnonzero(v <= np.repeat(limit, n))
-    owner = np.searchsorted(first, low, side="right") - 1
-    got = np.bincount(owner, minlength=len(n))
-    for k in np.flatnonzero(got < np.minimum(n, take)):  # too few below the limit: look at all
-        low = np.r_[low[owner != k], np.arange(first[k], first[k + 1])]
-        owner = np.searchsorted(first, low, side="right") - 1
-    order = np.lexsort((low, v[low], owner))
-    low, owner = low[order], owner[order]
-    begin = np.searchsorted(owner, np.arange(len(n)))
-    rank = np.arange(len(low)) - begin[owner]
-    keep = rank < take
-    low, owner, rank = low[keep], owner[keep], rank[keep]
-    out = np.full((len(n), take), -1)
-    out[owner, rank] = low
     docs = np.flatnonzero(n > 0)
-    return docs, np.sort(out[docs], axis=1)
-
-
-def _sketch_rows(texts: DataFrame, width: int, count: int, take: int) -> DataFrame:
+    if not len(docs):
+        return docs, np.empty((0, count), np.int64)
+    begin, n = first[docs], n[docs]
+    out = np.empty((len(docs), count), U64)
+    picked = np.empty((len(docs), take), np.int64)
+    for j in range(count):
+        v = hashes * U64((j * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) & (1 << 64) - 1 | 1)
+        v ^= v >> U64(32)
+        v *= U64(0xBF58476D1CE4E5B9)
+        for k in range(take):
+            least = np.minimum.reduceat(v, begin)
+            at = np.flatnonzero(v == np.repeat(least, n))
+            if len(at) > len(docs):  # equal hashes: the first in the text
+                own = np.searchsorted(begin, at, side="right")
+                at = at[np.r_[True, own[1:] != own[:-1]]]
+            picked[:, k] = np.where(least == _LAST, -1, at)  # -1: has fewer
+            v[at] = _LAST
+        picked.sort(axis=1)
+        key = np.full(len(docs), (j * 0x9E3779B97F4A7C15) & (1 << 64) - 1, U64)
+        for k in range(take):
+            key = mix(key * MULT[0] + np.where(picked[:, k] >= 0, hashes[picked[:, k]], U64(1)))
+        out[:, j] = key
+    return docs, out.view(np.int64)
+
+
+def _sketched(texts: DataFrame, width: int, count: int, take: int) -> DataFrame:
     def run(batches):
-        for batch in pieces(batches, 4 << 20):
+        for batch in pieces(batches, 1 << 20):
             data, offsets = texts_of(batch.column("text"))
-            nodes = np.array(batch.column("node").to_pylist(), object)
             words = Words(LOWER[data], offsets, ALNUM)
-            hashes, at, first = labelled_shingles(words, width)
-            size = np.diff(words.bounds)
-            for j in range(count):
-                docs, picked = sketches(hashes, first, j, take)
-                key = np.full(len(docs), (j * 0x9E3779B97F4A7C15) & (1 << 64) - 1, U64)
-                for c in range(take):
-                    key = mix(key * MULT[0] + np.where(picked[:, c] >= 0, hashes[picked[:, c]], U64(1)))
-                place = at[picked[:, -1]]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes[docs].tolist(), pa.binary()), pa.array(size[docs].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array((size[docs] - place).astype(np.int32))], names=[f.split()[0] for f in _SKETCH.split(", ")])
+            docs, keys = sketch_keys(*labelled_shingles(words, width), count, take)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(docs) + 1) * count, pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(docs)), pa.array(np.diff(words.bounds)[docs], pa.int32()), lists], names=["node", "words", "keys"])
+
+    return texts.mapInArrow(run, _SKETCHED)
+
 
-    return texts.mapInArrow(run, _SKETCH)
+def labelled_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    return labelled_shingles(words, 1)
 
 
 def parities(words: Words) -> np.ndarray:
@@ -111,173 +119,209 @@ def parities(words: Words) -> np.ndarray:
 
     Texts differ in at most as many bits as they have words without a partner.
     """
-    hashes, _, first = labelled_shingles(words, 1)
+    hashes, first = labelled_words(words)
     bit = (hashes >> U64(32)) % U64(64 * _PARITIES)
     out = np.zeros((len(first) - 1) * _PARITIES, U64)
     np.bitwise_xor.at(out, np.repeat(np.arange(len(first) - 1), np.diff(first)) * _PARITIES + (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
     return out.reshape(-1, _PARITIES).view(np.int64)
 
 
-def _codes(texts: DataFrame) -> DataFrame:
-    """The hashed words of each text, and its parity bits."""
+def _prepared(texts: DataFrame) -> DataFrame:
+    """Each text as words joined by blanks, their number, and its parity bits."""
 
     def run(batches):
         for batch in pieces(batches, 4 << 20):
             data, offsets = texts_of(batch.column("text"))
             words = Words(LOWER[data], offsets, ALNUM)
-            h, bits = words.hash[0], parities(words).tolist()
-            codes = [h[a:b].tobytes() for a, b in zip(words.bounds[:-1], words.bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(codes, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["node", "codes", "parity"])
+            plain = [b" ".join(_WORD.findall((x or "").encode().translate(_LOWER))) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(words.bounds), pa.int32()), pa.array(parities(words).tolist(), pa.list_(pa.int64())), pa.array(plain, pa.binary())], names=["node", "words", "parity", "text"])
 
-    return texts.mapInArrow(run, _WORDS)
+    return texts.mapInArrow(run, _TEXTS)
 
 
 def edit_distance(a: list, b: list, most: int) -> int | None:
-    """Edits of words between ``a`` and ``b`` inside a band of ``most`` diagonals to either side; None if more than ``most``.
+    """Edits between ``a`` and ``b`` inside a band of ``most`` diagonals to either side; None if more than ``most``.
 
-    ``far[d]`` is how much of ``a`` the best alignment with so many edits that ends on diagonal d covers.
+    A column of the band is a pair of bit vectors: where the distance grows and where it falls from one row to the
+    next. Bit r of column j stands for row j - most + r.
     """
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
-    end = m - n
-
-    def slide(i: int, d: int) -> int:
-        j = i + d
-        while i < n and j < m and a[i] == b[j]:
-            i += 1
-            j += 1
-        return i
-
-    far = {0: slide(0, 0)}
-    for e in range(most + 1):
-        if far.get(end, -1) >= n:
-            return e
-        nxt = {}
-        for d in range(max(-e - 1, -most, -n), min(e + 1, most, m) + 1):
-            i = max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1)
-            if i >= 0:
-                i = min(i, n, m - d)
-                nxt[d] = slide(i, d) if i >= max(0, -d) else i
-        far = nxt
-    return None
-
-
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    band = (1 << (2 * most + 1)) - 1
+    up, down = band & ~((1 << most) - 1), 0
+    distance = min(n, most)  # at row min(n, most) of column 0
+    lowest = 1 << (2 * most)
+    for j in range(1, m + 1):
+        here, back = places.get(b[j - 1], 0), j - most - 1
+        here = (here >> back if back >= 0 else here << -back) & band
+        same = (((here & up) + up) ^ up) | here | down
+        right = down | (band & ~(same | up))
+        left = same & up
+        if j + most <= n:  # along the lowest diagonal
+            if not same & lowest:
+                distance += 1
+                if distance > 2 * most + m - n:  # the steps along the last row cannot make up for it
+                    return None
+        else:  # along the last row
+            bit = 1 << (n - j + most)
+            if right & bit:
+                distance += 1
+            elif left & bit:
+                distance -= 1
+        same >>= 1
+        up = left | (band & ~(same | right))
+        down = same & right
+    return distance if distance <= most else None
+
+
+def similar(a: list, b: list, least: float) -> bool:
     """Whether two word sequences have an edit similarity, 1 - edits / words of the longer, of ``least`` or more."""
-    longer = max(len(a), len(b))
-    most = int(longer * (1 - least) + 1e-9)
-    if abs(len(a) - len(b)) > most:
+    most, longer = int(max(len(a), len(b)) * (1 - least) + 1e-9), max(len(a), len(b))
+    if longer - (Counter(a) & Counter(b)).total() > most:  # edits are at least the words without a partner
         return False
-    values, counts = np.unique(np.r_[a, b], return_inverse=True)
-    ca, cb = (np.bincount(counts[s], minlength=len(values)) for s in (slice(None, len(a)), slice(len(a), None)))
-    if longer - int(np.minimum(ca, cb).sum()) > most:  # edits are at least the words without a partner
-        return False
-    return edit_distance(a.tolist(), b.tolist(), most) is not None
+    return edit_distance(a, b, most) is not None
 
 
-def _verify(pairs: DataFrame, codes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar."""
+def _aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar. If a node is in very many pairs, as ``a``: rows are dealt out by ``b`` last."""
 
     def run(batches):
         for batch in batches:
-            kept = []
-            for k in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[k].as_py(), np.uint64) for c in ("x", "y"))
-                if similar(x, y, least):
+            a, last, kept = None, None, []
+            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
+                x = x.as_py()
+                if x != last:
+                    a, last = x.split(), x
+                if similar(a, y.as_py().split(), least):
                     kept.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
-    sides = [codes.select(F.col("node").alias(n), F.col("codes").alias(c)) for n, c in (("a", "x"), ("b", "y"))]
+    sides = [texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "x"), ("b", "y"))]
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _may_be_near(x, y, least: float):
+    """Lengths and parity bits that a band allows.
+
+    Texts of n and m words with e edits or fewer have at most 2 e - |n - m| words without a partner.
+    """
+    room = (F.lit(1 - least) * F.greatest(x["words"], y["words"])) + F.lit(1e-9)
+    apart = F.abs(x["words"] - y["words"])
+    odd = sum((F.bit_count(x["parity"][k].bitwiseXOR(y["parity"][k])) for k in range(_PARITIES)), F.lit(0))
+    return (apart <= room) & (odd <= 2 * F.floor(room) - apart)
+
+
+def _pair(x, y) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, least: float = SIMILARITY, count: int = SKETCHES, take: int = TAKE) -> DataFrame:
     """One row per row of ``docs``: key, ``class_id`` (the smallest key of its class), ``class_size``, CRC of the text, ``stays``,
-    and ``class_key``, which tells classes apart also where their keys are null.
+    ``class_key``, which tells classes apart also where their keys are null, and ``text_key``, which tells texts apart.
 
     Words are runs of digits, letters and non-ASCII bytes, A-Z lower-cased. Equal texts are one class and are folded
-    before anything else. Per sketch its documents are first aligned with one of them; where that leaves several
-    classes, with a few more; then documents outside of the largest class with all of other classes. ``stays`` is true for
-    rows with the class's smallest key. A null text counts as empty; texts without words are
-    near only to equal texts; a null key is larger than all others (a class of null keys has a null class_id).
-    An empty table gives no rows; other columns are ignored.
+    before anything else. ``stays`` is true for rows with the class's smallest key. A null text counts as empty; texts
+    without words are near only to equal texts; a null key is larger than all others (a class of null keys has a null
+    class_id). Rows that repeat key and text are one text of the class. An empty table gives no rows; other columns are ignored.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text")).withColumn("node", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
-    made = _sketch_rows(rows.select("node", "text"), width, count, take)
-    table = store(made.groupBy("key", "node").agg(*[F.first(c).alias(c) for c in ("words", "at", "back")]), "sketches")
-    shared = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    table = store(table.join(shared, "key"), "shared")
-    nodes = table.select("node").distinct()
-    folded = rows.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    codes = store(_codes(folded), "codes")
-    table = table.join(codes.select("node", "parity"), "node")
-    table = store(table.join(table.groupBy("key").agg(F.min(F.struct(*_PLACED)).alias("pivot")), "key"), "placed")
-    found = table.select("pivot", F.struct(*_PLACED).alias("x")).where((F.col("pivot.node") < F.col("x.node")) & _may_be_near("x", "pivot", least))
-    pairs = store(found.select(F.col("pivot.node").alias("a"), F.col("x.node").alias("b")).distinct(), "pairs")
-    table = table.withColumn("pivot", F.col("pivot.node"))
-    edges = store(_verify(pairs, codes, least), "links")
-    known = connected_components(edges)
-    for turn in range(_TURNS):
-        member = _unsettled(table, known)
-        pairs = store(_stars(member, turn, least), "stars")
-        if pairs.isEmpty():
-            break
-        found = store(_verify(pairs, codes, least), "links")
-        if found.isEmpty():
-            break
-        edges = store(edges.unionByName(found), "links")
-        known = connected_components(edges)
-    left = store(_leftovers(_unsettled(table, known), least), "leftover")
-    if not left.isEmpty():
-        edges = edges.unionByName(_verify(left, codes, least))
-        known = connected_components(edges)
+    made = _sketched(rows.select("node", "text"), width, count, take)
+    sketched = store(made.groupBy("node").agg(F.first("keys").alias("keys")), "sketches")
+    each = sketched.select(F.explode("keys").alias("key"), "node")
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = store(each.join(shared, "key"), "members")
+    degree = members.groupBy("node").agg((F.sum("n") - F.count(F.lit(1))).alias("degree"))
+    folded = rows.select("node", "text").join(degree, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = store(_prepared(folded), "texts")
+    narrow = store(texts.drop("text"), "parities")
+    known = _components(_aligned(_pivot_pairs(members, degree, narrow, least), texts, least))
+    drawn = store(_drawn_pairs(_unsettled(members, known, narrow), least), "drawn")
+    known = _joined(known, _aligned(drawn, texts, least))
+    left = store(_unsettled(members, known, narrow).select("node").distinct(), "left")
+    rare = _rarest(texts.join(left, "node", "left_semi"), least)
+    pairs = store(_crossing_pairs(_unsettled(rare, known, narrow), least), "crossing")
+    known = _joined(known, _aligned(pairs, texts, least))
     ids = rows.groupBy("node").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
     named = ids.join(known, "node", "left").withColumn("class", F.coalesce("component", "node"))
     classes = named.groupBy("class").agg(F.min("_id").alias("class_id"), F.sum("_n").alias("class_size"))
     named = named.join(classes, "class").select("node", "class", "class_id", "class_size")
-    narrow = rows.select("doc_id", "node", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
-    return narrow.join(named, "node").select("doc_id", "class_id", "class_size", "text_crc32", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("stays"), F.hex("class").alias("class_key"))
+    crc = rows.select("doc_id", "node", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    return crc.join(named, "node").select("doc_id", "class_id", "class_size", "text_crc32", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("stays"), F.hex("class").alias("class_key"), F.hex("node").alias("text_key"))
+
+
+def _pivot_pairs(members: DataFrame, degree: DataFrame, narrow: DataFrame, least: float) -> DataFrame:
+    """Each document of a sketch with the one that shares most sketches with others; one order, so that a class has few of them."""
+    first = members.join(degree, "node").groupBy("key").agg(F.min(F.struct(-F.col("degree"), "node")).alias("first")).select("key", F.col("first.node").alias("pivot"))
+    pairs = members.join(first, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    x, y = (narrow.select(F.col("node").alias(n), F.struct("words", "parity").alias(s)) for n, s in (("a", "x"), ("b", "y")))
+    return store(pairs.join(x, "a").join(y, "b").where(_may_be_near(F.col("x"), F.col("y"), least)).select("a", "b"), "pairs")
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    return store(connected_components(edges), "classes")
+
 
+def _joined(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """``known`` classes after more links: only the links between classes are followed."""
+    edges = store(edges, "links")
+    label = lambda n, c: known.select(F.col("node").alias(n), F.col("component").alias(c))
+    between = edges.join(label("a", "x"), "a", "left").join(label("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    merged = connected_components(between).withColumnRenamed("component", "merged")
+    own = known.join(merged.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
+    new = merged.join(known, "node", "left_anti").select("node", F.col("merged").alias("component"))
+    return store(own.unionByName(new), "classes")
 
-def _unsettled(table: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of the sketches whose documents are in several classes, with ``component`` and the sketch's largest class, ``top``."""
-    member = table.join(known.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+def _unsettled(table: DataFrame, known: DataFrame, narrow: DataFrame) -> DataFrame:
+    """Rows (key, node) of the keys whose documents are in several classes, with ``component`` and the key's largest class, ``top``."""
+    member = table.select("key", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = per.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "component")).alias("top")).where("classes > 1").select("key", F.col("top.component").alias("top"))
-    return store(member.join(largest, "key").select("key", "component", *_PLACED, "top", "pivot"), "members")
+    several = per.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "component")).alias("top")).where("classes > 1").select("key", F.col("top.component").alias("top"))
+    return store(member.join(several, "key").join(narrow, "node"), "unsettled")
 
 
-def _may_be_near(x: str, y: str, least: float):
-    """Lengths, places of the last shared shingle and parity bits that a band allows.
+def _drawn_pairs(member: DataFrame, least: float) -> DataFrame:
+    """Pairs of the documents of each unsettled sketch with a few of them, drawn by hash."""
+    whole = F.struct("node", "component", "words", "parity")
+    drawn = member.groupBy("key").agg(F.array(*[F.min_by(whole, F.xxhash64("node", "key", F.lit(k))) for k in range(_DRAWN)]).alias("drawn"))
+    near = F.filter("drawn", lambda y: (y["component"] != F.col("component")) & _may_be_near({"words": F.col("words"), "parity": F.col("parity")}, y, least))
+    pairs = member.join(drawn, "key").select("node", F.explode(F.transform(F.array_distinct(near), lambda y: y["node"])).alias("drawn"))
+    return pairs.select(F.col("drawn").alias("a"), F.col("node").alias("b")).distinct()
 
-    Texts of n and m words with e edits or fewer have at most 2 e - |n - m| words without a partner.
+
+def _rarest(texts: DataFrame, least: float) -> DataFrame:
+    """(key, node): a key for each of the rarest words of ``texts`` that two alike texts cannot both lack.
+
+    Words are labelled with their occurrence and ordered by the number of these texts that hold them. Texts of n
+    and m >= n words with m (1 - least) edits or fewer share m least words, so all but n (1 - least) of the shorter's.
     """
-    room = (F.lit(1 - least) * F.greatest(f"{x}.words", f"{y}.words")) + F.lit(1e-9)
-    placed = (F.abs(F.col(f"{x}.at") - F.col(f"{y}.at")) <= room) & (F.abs(F.col(f"{x}.back") - F.col(f"{y}.back")) <= room)
-    apart = F.abs(F.col(f"{x}.words") - F.col(f"{y}.words"))
-    odd = sum((F.bit_count(F.col(f"{x}.parity")[k].bitwiseXOR(F.col(f"{y}.parity")[k])) for k in range(_PARITIES)), F.lit(0))
-    return placed & (apart <= room) & (odd <= 2 * F.floor(room) - apart)
 
+    def run(batches):
+        for batch in pieces(batches, 4 << 20):
+            hashes, first = labelled_words(Words(*texts_of(batch.column("text")), ALNUM))
+            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("words"), lists], names=["node", "words", "labelled"])
 
-def _stars(member: DataFrame, turn: int, least: float) -> DataFrame:
-    """Pairs of the documents of each unsettled sketch with a few of them drawn by hash, other ones in each turn."""
-    whole = F.struct("component", *_PLACED)
-    drawn = member.groupBy("key").agg(F.array(*[F.min_by(whole, F.xxhash64("node", F.lit(turn * _PIVOTS + k))) for k in range(_PIVOTS)]).alias("drawn"))
-    x = member.join(drawn, "key").select("component", F.struct(*_PLACED).alias("x"), F.explode(F.array_distinct("drawn")).alias("y"))
-    pairs = x.where((F.col("component") != F.col("y.component")) & _may_be_near("x", "y", least))
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    listed = store(texts.select("node", "words", "text").mapInArrow(run, "node binary, words int, labelled array<long>"), "labelled")
+    each = listed.select("node", "words", F.explode("labelled").alias("key"))
+    held = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(W.partitionBy("node").orderBy("n", "key"))
+    ranked = each.join(held, "key").withColumn("rank", rank)
+    return ranked.where((F.col("rank") <= F.floor(F.col("words") * (1 - least) + 1e-9) + 1) & (F.col("n") > 1)).select("key", "node")
 
 
-def _leftovers(member: DataFrame, least: float) -> DataFrame:
-    """All pairs of a sketch's documents in different classes, one of them outside of the sketch's largest class.
+def _crossing_pairs(member: DataFrame, least: float) -> DataFrame:
+    """Pairs of a key's documents in different classes, one of them outside of the key's largest class.
 
-    Pairs inside a class need no alignment, so a sketch whose documents are all linked gives none.
+    Pairs inside a class need no alignment, so a key whose documents are all linked gives none.
     """
     x, y = member.where("component <> top").alias("x"), member.alias("y")
-    # Both outside: once, from the smaller; those with the pivot were aligned before.
+    side = lambda s: {c: F.col(f"{s}.{c}") for c in ("words", "parity")}
     once = (F.col("y.component") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
-    fresh = (F.col("x.node") != F.col("x.pivot")) & (F.col("y.node") != F.col("y.pivot"))
-    joined = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.component") != F.col("y.component")) & _may_be_near("x", "y", least) & once & fresh)
-    return joined.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    joined = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.component") != F.col("y.component")) & once & _may_be_near(side("x"), side("y"), least))
+    return joined.select(*_pair("x.node", "y.node")).distinct()

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .common import MULT, NON_BLANK, U64, Words, mix, window_hash
+from .common import MULT, NON_BLANK, U64, Words, mix, window_key
 from .repeats import ByKey, Windows, remove_repeats
 
 WINDOW = 50
@@ -110,7 +110,7 @@ def deduplicate_words(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def cut(block, hashes):
         words = Words(block.data, block.offsets, NON_BLANK, 2 if hashes else 1)
         starts, symbol = window_symbols(words.hash[0], words.bounds, width)
-        return Windows(words.bounds, starts, symbol, tuple(window_hash(h, width, m) for h, m in zip(words.hash, MULT)) if hashes else (), words.start, words.end)
+        return Windows(words.bounds, starts, symbol, tuple(window_key(h, width, m) for h, m in zip(words.hash, MULT)) if hashes else (), words.start, words.end)
 
     def finish(block, k, removed):
         row = _finish(block, k, removed)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import MULT, segment_hash, store
+from .common import segment_hash, store
 
 
 class Windows(NamedTuple):
@@ -64,7 +64,7 @@ class Classes(NamedTuple):
 
 def classes(block: B.Block, w: Windows) -> Classes:
     begin, symbol, owner = stretches(w)
-    one, two = (segment_hash(h[w.starts], begin, m) for h, m in zip(w.hashes, MULT))
+    one, two = (segment_hash(h[w.starts], begin, half) for half, h in enumerate(w.hashes))
     ids = block.ids[owner]
     order, head, group = B.group_min([one, two], ids)
     return Classes(w.starts, begin, np.diff(np.r_[begin, len(w.starts)]), symbol, ids, one, two, order, order[head], group)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .common import MULT, U64, window_hash
+from .common import MULT, U64, window_hash, window_key
 from .repeats import Windows, remove_repeats
 
 WINDOW = 50
@@ -183,7 +183,7 @@ def deduplicate_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def cut(block, hashes):
         starts, least = smallest_grams(block.data, block.offsets, width, gram)
-        return Windows(block.offsets, starts, least, tuple(window_hash(block.data.astype(U64), width, m) for m in MULT) if hashes else (), None, None)
+        return Windows(block.offsets, starts, least, tuple(window_key(block.data.astype(U64), width, m) for m in MULT) if hashes else (), None, None)
 
     def finish(block, k, removed):
         raw = block.text(k)

@@ -227,14 +227,22 @@ def test_near_needs_eight_tenths(spark):
     assert {r.class_id for r in got} == {1, 2, 3}
 
 
-def test_all_near_pairs_of_a_sketch_are_linked(spark):
-    """Twins with few sketches in common, all of them shared with many other documents."""
-    import numpy as np
+def full_distance(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        q = [i]
+        for j, y in enumerate(b, 1):
+            q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+        p = q
+    return p[-1]
+
 
+def test_all_near_pairs_of_a_sketch_are_linked(spark):
+    """Twins with few sketches in common, all of them shared with many other documents; all pairs are aligned by brute force."""
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     passage, rows = [word() for _ in range(70)], []
-    for i in range(40):
+    for i in range(30):
         base = passage + [word() for _ in range(50)]
         for k in range(2):
             w = list(base)
@@ -242,15 +250,37 @@ def test_all_near_pairs_of_a_sketch_are_linked(spark):
                 w[at] = word()
             rows.append((2 * i + k, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    sketched = order_minhash._sketch_rows(df.selectExpr("cast(doc_id as string) node", "text").selectExpr("cast(node as binary) node", "text"), order_minhash.SHINGLE, order_minhash.SKETCHES, order_minhash.TAKE)
-    groups = {}
-    for r in sketched.collect():
-        groups.setdefault(r.key, set()).add(int(bytes(r.node)))
-    codes = [np.array([hash(w) for w in t.split()]) for _, t in rows]
-    pairs = {(a, b) for g in groups.values() for a in g for b in g if a < b}
-    near = {p for p in pairs if order_minhash.similar(codes[p[0]], codes[p[1]], 0.8)}
+    sketched = order_minhash._sketched(df.selectExpr("cast(cast(doc_id as string) as binary) node", "text"), order_minhash.SHINGLE, order_minhash.SKETCHES, order_minhash.TAKE)
+    keys = {int(bytes(r.node)): set(r["keys"]) for r in sketched.collect()}
+    texts = [t.split() for _, t in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if keys[a] & keys[b] and full_distance(texts[a], texts[b]) <= 24]
     cls = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(df).collect()}
     assert len(near) > 10 and [p for p in near if cls[p[0]] != cls[p[1]]] == []
+    parent = list(range(len(rows)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for a, b in near:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert cls == {i: find(i) for i, _ in rows}
+
+
+def test_recall_from_eight_tenths_on(spark):
+    """Pairs of 300 words with changes at random places; every pair of the two texts is near by its edits."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    rows, of = [], {}
+    for level in (0.80, 0.82, 0.85, 0.9, 0.95):
+        for _ in range(60):
+            base = [word() for _ in range(300)]
+            other = list(base)
+            for at in rng.sample(range(300), round(300 * (1 - level))):
+                other[at] = word()
+            of[len(rows)] = level
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    cls = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for level in set(of.values()):
+        found = [cls[i] == cls[i + 1] for i, x in of.items() if x == level]
+        assert sum(found) / len(found) >= 0.9
+    assert all(cls[i] in (i, i - 1) for i, _ in rows)
 
 
 def test_mixing(docs, rows, empty, spark):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from convlake.llm import mixing, ogg, order_minhash, suffix_dedup, warc
-from convlake.llm.common import MULT, NON_BLANK, U64, Words, mix, window_hash
+from convlake.llm.common import MULT, NON_BLANK, U64, Words, mix, window_hash, window_key
 from convlake.llm.recompression import window_symbols
 
 
@@ -44,6 +44,19 @@ def test_window_hash_depends_on_the_window_alone():
         assert len(h) == 601 - width and (h[: 300 - width] == h[300 : 600 - width]).all() and len(set(h[:250].tolist())) == min(250, len(set(h[:250].tolist())))
 
 
+def test_keys_tell_regular_texts_apart():
+    """A word of 1,024 letters and its complement, on which sums of powers collide; and windows of such words."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    texts = [a.encode(), a.translate(str.maketrans("ab", "ba")).encode()]
+    w = Words(np.frombuffer(b" ".join(texts), np.uint8), np.r_[0, 2 * len(a) + 1], NON_BLANK, 2)
+    assert all(h[0] != h[1] for h in w.hash)
+    v = np.frombuffer(b"".join(texts), np.uint8).astype(U64)
+    for m in MULT:
+        for width in (32, 50, 64):
+            first = {bytes(v[k : k + width].astype(np.uint8)): x for k, x in enumerate(window_key(v, width, m).tolist())}
+            assert len(set(first.values())) == len(first)
+
+
 def test_equal_windows_get_equal_symbols():
     random.seed(5)
     for alphabet in (1, 2, 3, 40):
@@ -127,6 +140,16 @@ def test_edit_distance_equals_full_table():
         b = [random.randrange(3) for _ in range(random.randrange(10))]
         e, most = full(a, b), random.randrange(8)
         assert order_minhash.edit_distance(a, b, most) == (e if e <= most else None)
+    for n in (40, 90, 150):
+        for _ in range(12):
+            a = [random.randrange(9) for _ in range(n)]
+            b = list(a)
+            for _ in range(random.randrange(40)):
+                b[random.randrange(len(b)) :][:1] = []
+                k = random.randrange(len(b))
+                b[k : k + random.randrange(3)] = [random.randrange(9) for _ in range(random.randrange(3))]
+            e = full(a, b)
+            assert [order_minhash.edit_distance(a, b, most) for most in (e - 1, e, e + 1, e + 200) if most >= 0] == [x for x in (None, e, e, e)[e == 0 :]]
 
 
 def test_words_never_cross_texts():
