@@ -135,6 +135,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def text_key(text):
+    """The first 128 bits of the SHA-256 of a Column's text, in hexadecimal; a null text counts as empty."""
+    from pyspark.sql import functions as F
+
+    return F.substring(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256), 1, 32)
+
+
 def ids_of(column) -> np.ndarray:
     """int64 ids of an Arrow column, null as NULL_ID."""
     return column.fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -29,12 +29,13 @@ SLICE = 200_000
 NEAR = 15
 #: Terms of a proximity match, and occurrences of rarest terms that are looked at together.
 _RAREST, _AT_ONCE = 3, 1 << 20
-_INDEX = "block long, ids binary, nulls binary, crcs binary, bounds binary, terms binary, starts binary, positions binary"
-_FOUND = "doc_id long, text_crc32 long, block long, ordinal long, n_words long, hits binary, items array<string>, near array<string>"
+_INDEX = "block long, ids binary, nulls binary, crcs binary, keys binary, bounds binary, terms binary, checks binary, starts binary, positions binary"
+_DOCS = "block long, ordinal long, doc_id long, text_crc32 long, text_key string, n_words long"
+_FOUND = "block long, ordinal long, hits binary, items array<string>, near array<string>"
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
-    """Postings of every word of every row of ``docs``; a null text has none."""
+    """Postings of every word of every row of ``docs``; a null text has none. A term is a word's 128-bit key: ``terms`` and ``checks`` hold its halves."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -43,15 +44,22 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
         pack = lambda a: zstandard.ZstdCompressor(level=1).compress(a.tobytes())
         for batch in pieces(batches, block_bytes):
             data, offsets = texts_of(batch.column("text"))
-            words = Words(LOWER[data], offsets, ALNUM)
-            crcs = np.array([zlib.crc32(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])], np.uint32)
+            words = Words(LOWER[data], offsets, ALNUM, 2)
+            texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+            crcs = np.array([zlib.crc32(t) for t in texts], np.uint32)
             position = np.arange(len(words.start)) + words.owner * WINDOW_GAP
             order = np.argsort(words.hash[0], kind="stable")
-            terms = words.hash[0][order]
-            starts = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if len(terms) else np.empty(0, np.int64)
+            terms, checks = words.hash[0][order], words.hash[1][order]
+            if ((terms[1:] == terms[:-1]) & (checks[1:] != checks[:-1])).any():
+                order = np.lexsort((position, words.hash[1], words.hash[0]))
+                terms, checks = words.hash[0][order], words.hash[1][order]
+            starts = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (checks[1:] != checks[:-1])]) if len(terms) else np.empty(0, np.int64)
             nulls = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             steps = np.diff(position[order].astype(np.int32), prepend=np.int32(0))
-            yield rows_to_arrow([(number, ids_of(batch.column("doc_id")).tobytes(), np.packbits(nulls).tobytes(), crcs.tobytes(), words.bounds.astype(np.int64).tobytes(), terms[starts].tobytes(), np.r_[starts, len(terms)].astype(np.int32).tobytes(), pack(steps))], _INDEX)
+            yield rows_to_arrow([(
+                number, ids_of(batch.column("doc_id")).tobytes(), np.packbits(nulls).tobytes(), crcs.tobytes(), b"".join(hashlib.sha256(t).digest()[:16] for t in texts), words.bounds.astype(np.int64).tobytes(),
+                terms[starts].tobytes(), checks[starts].tobytes(), np.r_[starts, len(terms)].astype(np.int32).tobytes(), pack(steps),
+            )], _INDEX)
             number += 1
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -63,7 +71,7 @@ WINDOW_GAP = 2 * NEAR + WINDOW
 
 
 def windows_of(benchmark: DataFrame, key: str = "item_id", text: str = "text", width: int = WINDOW) -> DataFrame:
-    """Distinct windows of item words: ``hash``, ``terms`` (hashed, in order) and the ``items`` that hold them.
+    """Distinct windows of item words: ``hash``, ``terms`` and ``checks`` (128-bit keys, in order) and the ``items`` that hold them.
 
     An item of fewer words is one window, one without words none.
     """
@@ -71,25 +79,26 @@ def windows_of(benchmark: DataFrame, key: str = "item_id", text: str = "text", w
     def run(batches):
         for batch in pieces(batches, 4 << 20):
             data, offsets = texts_of(batch.column("text"))
-            words = Words(LOWER[data], offsets, ALNUM)
+            words = Words(LOWER[data], offsets, ALNUM, 2)
             items = batch.column("item").to_pylist()
-            hashes = words.hash[0].view(np.int64)
+            one, two = (h.view(np.int64) for h in words.hash)
             rows = []
             for k, item in enumerate(items):
-                own = hashes[words.bounds[k] : words.bounds[k + 1]]
-                for at in range(max(1, len(own) - width + 1) if len(own) else 0):
-                    w = own[at : at + width]
-                    digest = hashlib.blake2b(w.tobytes(), digest_size=16).digest()
-                    rows.append((digest, w.tolist(), item))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.string())], names=["hash", "terms", "item"])
+                low, high = words.bounds[k], words.bounds[k + 1]
+                for at in range(low, max(low + 1, high - width + 1) if high > low else low):
+                    w, c = one[at : min(at + width, high)], two[at : min(at + width, high)]
+                    rows.append((hashlib.blake2b(w.tobytes() + c.tobytes(), digest_size=16).digest(), w.tolist(), c.tolist(), item))
+            kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["hash", "terms", "checks", "item"])
 
     rows = benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("item"), F.col(text).cast("string").alias("text"))
-    made = rows.mapInArrow(run, "hash binary, terms array<long>, item string")
-    return made.groupBy("hash").agg(F.first("terms").alias("terms"), F.sort_array(F.collect_set("item")).alias("items"))
+    made = rows.mapInArrow(run, "hash binary, terms array<long>, checks array<long>, item string")
+    return made.groupBy("hash").agg(F.first("terms").alias("terms"), F.first("checks").alias("checks"), F.sort_array(F.collect_set("item")).alias("items"))
 
 
 class _Slice(NamedTuple):
     terms: np.ndarray  # windows x width, rarest first, 0-padded
+    checks: np.ndarray  # the other halves of their keys
     shift: np.ndarray  # their offsets in the window
     size: np.ndarray
     items: list[list[str]]
@@ -112,27 +121,35 @@ def _frequencies(index: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
 
 def _prepare(rows: list, index: DataFrame, width: int) -> _Slice:
     size = np.array([len(r.terms) for r in rows], np.int64)
-    terms = np.zeros((len(rows), width), np.int64)
+    terms, checks = np.zeros((2, len(rows), width), np.int64)
     for k, r in enumerate(rows):
         terms[k, : len(r.terms)] = r.terms
+        checks[k, : len(r.terms)] = r.checks
     used = np.arange(width) < size[:, None]
     vocabulary = np.unique(terms[used]).view(np.uint64)
     count = _frequencies(index, np.sort(vocabulary))
     rarity = np.full(terms.shape, np.iinfo(np.int64).max)
     rarity[used] = [count.get(t, 0) for t in terms[used].tolist()]
     shift = np.argsort(rarity, axis=1, kind="stable")
-    return _Slice(np.take_along_axis(terms, shift, 1).view(np.uint64), shift, size, [list(r.items) for r in rows])
+    return _Slice(np.take_along_axis(terms, shift, 1).view(np.uint64), np.take_along_axis(checks, shift, 1).view(np.uint64), shift, size, [list(r.items) for r in rows])
 
 
 def _search(row: dict, part: _Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(window, first position) of each phrase and (window, position) of each proximity match in an index row."""
-    terms, starts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["starts"], np.int32).astype(np.int64)
+    terms, checks, starts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["checks"], np.uint64), np.frombuffer(row["starts"], np.int32).astype(np.int64)
     raw = zstandard.ZstdDecompressor().decompress(row["positions"], max_output_size=max(1, 4 * int(starts[-1])))
     position = np.cumsum(np.frombuffer(raw, np.int32), dtype=np.int64)
     size = np.diff(starts)
     keys = (np.repeat(np.arange(len(terms)), size) << 32) + position  # ascending: term, then position
     place = np.searchsorted(terms, part.terms)
-    known = (place < len(terms)) & (terms[np.minimum(place, max(0, len(terms) - 1))] == part.terms) if len(terms) else np.zeros(part.terms.shape, bool)
+    known = np.zeros(part.terms.shape, bool)
+    while len(terms):  # once, unless the first halves of two words' keys are equal
+        last = np.minimum(place, len(terms) - 1)
+        like = (place < len(terms)) & (terms[last] == part.terms)
+        known = like & (checks[last] == part.checks)
+        if not (like & ~known).any():
+            break
+        place = place + (like & ~known)
     used = np.arange(part.terms.shape[1]) < part.size[:, None]
 
     def occurrences(alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +183,8 @@ def _search(row: dict, part: _Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return window, at, near_window, near_at
 
 
-def _find(index: DataFrame, part: _Slice, width: int) -> DataFrame:
+def _find(index: DataFrame, part: _Slice) -> DataFrame:
+    """A stored row for each document with a phrase or a proximity match."""
     sent = index.sparkSession.sparkContext.broadcast(part)
 
     def run(batches):
@@ -174,10 +192,8 @@ def _find(index: DataFrame, part: _Slice, width: int) -> DataFrame:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
                 part = sent.value
-                ids, crcs = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["crcs"], np.uint32)
-                nulls = np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=len(ids)).astype(bool)
                 bounds = np.frombuffer(row["bounds"], np.int64)
-                begin = bounds[:-1] + np.arange(len(ids)) * WINDOW_GAP
+                begin = bounds[:-1] + np.arange(len(bounds) - 1) * WINDOW_GAP
                 window, at, near_window, near_at = _search(row, part)
                 doc = np.searchsorted(begin, at, side="right") - 1
                 near_doc = np.searchsorted(begin, near_at, side="right") - 1
@@ -192,46 +208,67 @@ def _find(index: DataFrame, part: _Slice, width: int) -> DataFrame:
                     pairs = np.unique(d * np.int64(len(part.size) + 1) + w)
                     for p in pairs.tolist():
                         found.setdefault(p // (len(part.size) + 1), set()).update(part.items[p % (len(part.size) + 1)])
-                out = [(None if nulls[d] else int(ids[d]), int(crcs[d]), row["block"], d, int(bounds[d + 1] - bounds[d]), np.packbits(hit[bounds[d] : bounds[d + 1]]).tobytes() if d in items else b"", sorted(items.get(d, ())), sorted(near.get(d, ()))) for d in range(len(ids))]
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string())))], names=[f.split()[0] for f in _FOUND.split(", ")])
+                out = [(row["block"], d, np.packbits(hit[bounds[d] : bounds[d + 1]]).tobytes() if d in items else b"", sorted(items.get(d, ())), sorted(near.get(d, ()))) for d in sorted(items.keys() | near.keys())]
+                if out:
+                    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], names=[f.split()[0] for f in _FOUND.split(", ")])
 
-    return index.mapInArrow(run, _FOUND)
+    found = store(index.select("block", "bounds", "terms", "checks", "starts", "positions").mapInArrow(run, _FOUND), "found")
+    sent.destroy()
+    return found
 
 
-_RESULT = "doc_id long, text_crc32 long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long"
+def _documents(index: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
+                ids, crcs = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["crcs"], np.uint32)
+                nulls = np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=len(ids)).astype(bool)
+                keys = [row["keys"][16 * d : 16 * d + 16].hex() for d in range(len(ids))]
+                columns = [np.full(len(ids), row["block"]), np.arange(len(ids)), pa.array(ids, mask=nulls), crcs.astype(np.int64), keys, np.diff(np.frombuffer(row["bounds"], np.int64))]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[f.split()[0] for f in _DOCS.split(", ")])
+
+    return index.select("block", "ids", "nulls", "crcs", "keys", "bounds").mapInArrow(run, _DOCS)
+
+
+_HITS = "block long, ordinal long, n_hit long, n_items long, items_sha256 string, n_near long"
+_NO_ITEMS = hashlib.sha256(b"").hexdigest()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW, slice_windows: int = SLICE, block_bytes: int = 4 << 20) -> DataFrame:
     """Per row of ``docs``: words, words inside an occurrence of a benchmark window, and the items found.
 
-    ``n_near`` counts items with a proximity match: the three rarest terms of a window within NEAR words. Texts are
-    lower-cased (A-Z) and split into runs of digits, letters and non-ASCII bytes. A null text has no words,
-    a null item_id is the item "null", repeated rows and keys are judged one by one. An empty benchmark
-    contaminates nothing; an empty ``docs`` gives no rows; other columns are ignored.
+    ``n_near`` counts items with a proximity match: the three rarest terms of a window within NEAR words; ``text_key`` tells
+    texts apart. Texts are lower-cased (A-Z) and split into runs of digits, letters and non-ASCII bytes. A null text has
+    no words, a null item_id is the item "null", repeated rows and keys are judged one by one. An empty benchmark
+    contaminates nothing; an empty ``docs`` gives no rows; other columns are ignored. Slices of the benchmark are
+    searched one after the other, so that one at a time is held and sent.
     """
     if not 1 <= width <= WINDOW_GAP:
         raise ValueError(f"width has to be 1 to {WINDOW_GAP}")
     index = build_index(docs, key, text, block_bytes)
     windows = store(windows_of(benchmark, item, item_text, width), "windows")
-    slices = max(1, -(-windows.count() // slice_windows))
-    found = None
+    slices = -(-windows.count() // slice_windows)
+    found = index.sparkSession.createDataFrame([], _FOUND)
     for k in range(slices):
         rows = windows.where(F.pmod(F.xxhash64("hash"), F.lit(slices)) == k).collect()  # about slice_windows rows
-        part = _find(index, _prepare(rows, index, width), width)
-        found = part if found is None else found.unionByName(part)
+        part = _find(index, _prepare(rows, index, width))
+        found = part if slices == 1 else found.unionByName(part)
     if slices > 1:
-        found = found.groupBy("block", "ordinal").applyInArrow(_join_slices, _FOUND)
+        found = found.groupBy("block", "ordinal").applyInArrow(_join_slices, _FOUND)  # at most a row a slice
 
     def finish(batches):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 n_hit = int(np.unpackbits(np.frombuffer(r["hits"], np.uint8)).sum())
-                digest = hashlib.sha256(",".join(r["items"]).encode()).hexdigest()
-                out.append((r["doc_id"], r["text_crc32"], r["n_words"], n_hit, len(r["items"]), digest, n_hit > 0, len(r["near"])))
-            yield rows_to_arrow(out, _RESULT)
+                out.append((r["block"], r["ordinal"], n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), len(r["near"])))
+            yield rows_to_arrow(out, _HITS)
 
-    return found.mapInArrow(finish, _RESULT)
+    every = _documents(index).join(found.mapInArrow(finish, _HITS), ["block", "ordinal"], "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return every.select("doc_id", "text_crc32", "text_key", "n_words", count("n_hit"), count("n_items"), F.coalesce("items_sha256", F.lit(_NO_ITEMS)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), count("n_near"))
 
 
 def _join_slices(rows: pa.Table) -> pa.Table:
@@ -243,5 +280,3 @@ def _join_slices(rows: pa.Table) -> pa.Table:
     for c in ("items", "near"):
         one[c] = sorted({x for p in parts for x in p[c]})
     return pa.Table.from_pylist([one], schema=rows.schema)
-
-

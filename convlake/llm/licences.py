@@ -1,14 +1,18 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates; DataFrame functions and Spark ML only.
 
-The features are the word 1- and 2-grams of known notices that ordinary prose lacks, as sparse vectors; a multinomial
-logistic regression tells licence families from prose by them. A paragraph without any feature gets the same score,
-unknown, whatever it says, so only the others are brought to the model. It is trained on notices of each family inside scraps of prose and on a bounded sample of the
-corpus's own paragraphs. A part of that sample is kept back to set the probability from which a family is
-believed; below it a paragraph is unknown. A believed family must also share enough words with one of its templates.
+A paragraph ends at a blank line. A notice in it may fill one line, or be wrapped over several among lines of prose, so
+what is classified are the lines that hold a word of a notice that ordinary lines lack, each by itself and neighbouring
+ones joined. The features are the word 1- and 2-grams of known notices with such a word, as sparse vectors; a
+multinomial logistic regression tells licence families from prose by them. It is trained on notices of each family inside
+scraps of prose, on sentences that only speak of licences, and on bounded samples of the corpus's own lines, those that
+share some words with a notice among them. The probability from which a family is believed comes from all lines of
+the corpus that no template confirms; below it a paragraph is unknown. A believed family must also share enough words
+with one of its templates.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,8 +20,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import store, text_key
+
 # Notices of public licences by family (SPDX names).
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
@@ -31,15 +38,30 @@ TEMPLATES = {
 }
 FAMILIES = sorted(TEMPLATES)
 UNKNOWN = len(FAMILIES)
-#: Words that may belong to a notice; paragraphs with them are no examples of ordinary prose.
+#: Words that a notice may hold; paragraphs with one say nothing about which words are ordinary.
 _CUES = r"(?i)licen[cs]e|copyright|creative commons|cc by|redistribut|hereby granted"
-#: Documents that ordinary paragraphs are drawn from, most paragraphs drawn, and scraps around each notice.
-SAMPLE_DOCS, SAMPLE_PARAGRAPHS, VARIANTS = 400, 3_000, 30
-#: Share of ordinary paragraphs kept back that may be believed to be notices.
+#: Sentences that speak of licences and are no notices.
+NOT_NOTICES = (
+    "She renewed her driving licence last week and paid the fee in cash.",
+    "The licence for the software was too expensive, so they bought another one.",
+    "Questions of copyright are answered by the publisher.",
+    "Permission was granted to enter the building free of charge.",
+    "A copy of the letter was obtained by any person who asked for it.",
+    "The source of the river has many forms and names.",
+    "Free software is discussed in the third chapter of this book.",
+    "He is subject to the terms of the contract with the foundation.",
+    "The creative work of the commons committee found international attribution.",
+    "This work is described in the following pages, with or without pictures.",
+    "The conditions of use are met in both binary and source models.",
+    "An Apache helicopter of version 2.0 was shown to the general public.",
+)
+#: Ordinary lines and lines with some words of a notice that are drawn, and scraps around each notice.
+SAMPLE_LINES, VARIANTS = 3_000, 30
+#: Share of the lines with words of a notice, but too few for any template, that may be believed to be notices.
 FALSE_ALARMS = 0.001
-#: Share of a template's words that a paragraph must hold.
-OVERLAP = 0.7
-#: A word is ordinary from this share of ordinary paragraphs on.
+#: Share of a template's words that a paragraph must hold; lines that hold less than SOME are examples of no notice.
+OVERLAP, SOME = 0.7, 0.35
+#: A word is ordinary from this share of all lines on.
 COMMON = 0.005
 
 
@@ -48,29 +70,60 @@ def words(text: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Lines that are not blank."""
-    return F.filter(F.split(text, r"[\r\n]+"), lambda p: F.trim(p) != "")
+    """What blank lines separate; blank ones are left out."""
+    return F.filter(F.split(text, r"\R[^\S\r\n]*(?:\R[^\S\r\n]*)+"), lambda p: F.trim(p) != "")
+
+
+def lines(docs: DataFrame, text: str) -> DataFrame:
+    """A row per line that is not blank, with all columns but the text, ``paragraph`` and ``line`` (numbers), ``cue`` (the paragraph has one), ``words``."""
+    rest = [c for c in docs.columns if c != text]
+    parts = docs.select(*rest, F.posexplode(paragraphs(F.col(text))).alias("paragraph", "p"))
+    each = parts.select(*rest, "paragraph", F.col("p").rlike(_CUES).alias("cue"), F.posexplode(F.split("p", r"\R")).alias("line", "p"))
+    return each.select(*rest, "paragraph", "cue", "line", words(F.col("p")).alias("words")).where(F.size("words") > 0)
+
+
+def _template_words() -> list[list[str]]:
+    """The distinct words of each template, by family and template."""
+    return [sorted(set(_plain(t))) for f in FAMILIES for t in TEMPLATES[f]]
+
+
+def _plain(text: str) -> list[str]:
+    """``words`` of a fixed text."""
+    low = re.sub(r"[^\w.]+|_|\.(?=\D|$)", " ", text.lower())
+    return low.split()
 
 
-def _ordinary(docs: DataFrame, key: str, text: str) -> list[str]:
-    """A bounded sample of paragraphs without a cue."""
-    chosen = docs.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(SAMPLE_DOCS)
-    lines = docs.select(key, text).join(F.broadcast(chosen), key).select(F.explode(paragraphs(F.col(text))).alias("p"))
-    rows = lines.where(~F.col("p").rlike(_CUES)).distinct().orderBy(F.xxhash64("p"), "p").limit(SAMPLE_PARAGRAPHS).collect()
-    return [r.p[:2000] for r in rows]
+def ordinary_words(every: DataFrame) -> set[str]:
+    """The words of notices that more than a share of COMMON of the lines hold, in paragraphs without a cue."""
+    own = sorted({w for t in _template_words() for w in t})
+    held = F.array_intersect("words", F.array(*[F.lit(w) for w in own]))
+    plain = every.where("not cue")
+    n = plain.agg(F.count(F.lit(1))).first()[0]
+    seen = plain.select(F.explode(held).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1, COMMON * n))
+    return {r.w for r in seen.collect()}  # at most the words of all templates
 
 
-def training_rows(ordinary: list[str]) -> list[tuple[str, int, bool]]:
-    """(paragraph, label, kept back): notices alone and between scraps of prose, and ordinary paragraphs."""
-    scraps = [" ".join(p.split()[:6]) for p in ordinary] or [""]
+def overlap() -> Column:
+    """The largest share of a template's words that the column ``words`` holds, over all templates."""
+    shares = [F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in own]))) / F.lit(len(own)) for own in _template_words()]
+    return F.greatest(*shares)
+
+
+def training_rows(ordinary: list[list[str]], likely: list[list[str]]) -> list[tuple[list[str], int]]:
+    """(words, label): notices alone and between scraps of prose; ordinary lines, lines like notices, and sentences about licences."""
+    scraps = [w[:6] for w in ordinary] or [[]]
+    pick = lambda *key: scraps[zlib.crc32(repr(key).encode()) % len(scraps)]
     rows = []
     for label, family in enumerate(FAMILIES):
         for t in TEMPLATES[family]:
-            rows.append((t, label, False))
             for v in range(VARIANTS):
-                pick = lambda side: scraps[zlib.crc32(f"{family}{v}{side}".encode()) % len(scraps)]  # noqa: B023, E731
-                rows.append((f"{pick('a') if v % 3 else ''} {t} {pick('b') if v % 2 else ''}", label, False))
-    return rows + [(p, UNKNOWN, zlib.crc32(p.encode()) % 3 == 0) for p in ordinary]
+                w = _plain(t)
+                if v % 3 == 2:  # a word in eight is lost
+                    w = [x for k, x in enumerate(w) if zlib.crc32(f"{t}{v}{k}".encode()) % 8]
+                rows.append(((pick(family, v, "a") if v % 4 > 1 else []) + w + (pick(family, v, "b") if v % 2 else []), label))
+    for t in NOT_NOTICES:
+        rows += [(pick(t, v, "a") * (v > 0) + _plain(t) + pick(t, v, "b") * (v > 1), UNKNOWN) for v in range(VARIANTS // 5)]
+    return rows + [(w, UNKNOWN) for w in [*ordinary, *likely]] + [([], UNKNOWN)]
 
 
 def grams(words: Column) -> Column:
@@ -78,30 +131,27 @@ def grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
-def vocabulary(spark: SparkSession, ordinary: DataFrame) -> tuple[list[str], list[str]]:
-    """The features, and the words that are features or part of one."""
-    templates = spark.createDataFrame([(t,) for f in FAMILIES for t in TEMPLATES[f]], "p string")
-    own = templates.select(F.explode(F.array_distinct(words(F.col("p")))).alias("w")).distinct()
-    n = F.lit(ordinary.count())
-    seen = ordinary.select(F.explode(F.array_distinct(words(F.col("p")))).alias("w")).join(F.broadcast(own), "w").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    common = {r.w for r in seen.where(F.col("n") > COMMON * n).collect()}
-    rare = {r.w for r in own.collect()} - common
-    every = {r.g for r in templates.select(F.explode(grams(words(F.col("p")))).alias("g")).distinct().collect()}
-    return sorted(g for g in every if rare & set(g.split(" "))), sorted(rare)
+def features(rare: set[str]) -> list[str]:
+    """1- and 2-grams of the templates that hold one of the words ``rare``."""
+    every = set()
+    for f in FAMILIES:
+        for t in TEMPLATES[f]:
+            w = _plain(t)
+            every |= {x for x in w if x in rare} | {f"{x} {y}" for x, y in zip(w, w[1:]) if {x, y} & rare}
+    return sorted(every)
 
 
 class LicenceModel:
-    def __init__(self, model: PipelineModel, rare: list[str], threshold: float):
-        self.model, self.rare, self.threshold = model, rare, threshold
+    def __init__(self, model: PipelineModel, threshold: float = 0.0):
+        self.model, self.threshold = model, threshold
 
-    def predict(self, paragraphs: DataFrame) -> DataFrame:
-        """Those of ``paragraphs`` with a feature, by their column ``words``, with ``family`` (null: unknown), ``probability``, ``confirmed``."""
-        held = paragraphs.where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in self.rare])))
-        scored = self.model.transform(held.withColumn("grams", grams(F.col("words")))).withColumn("_p", F.slice(vector_to_array("probability"), 1, len(FAMILIES)))
-        scored = scored.withColumn("_best", F.array_max("_p"))
-        family = F.get(F.array(*[F.lit(f) for f in FAMILIES]), F.array_position("_p", F.col("_best")).cast("int") - 1)
-        scored = scored.withColumn("family", F.when(F.col("_best") >= self.threshold, family)).withColumn("probability", F.col("_best"))
-        return scored.withColumn("confirmed", _confirmed()).drop("_p", "_best", "grams", "features", "rawPrediction", "prediction")
+    def predict(self, units: DataFrame) -> DataFrame:
+        """``units`` with ``family`` (null: unknown), ``probability`` and ``confirmed``, by their column ``words``."""
+        scored = self.model.transform(units.withColumn("grams", grams(F.col("words")))).withColumn("_p", F.slice(vector_to_array("probability"), 1, len(FAMILIES)))
+        best = F.array_max("_p")
+        family = F.get(F.array(*[F.lit(f) for f in FAMILIES]), F.array_position("_p", best).cast("int") - 1)
+        scored = scored.select(*units.columns, F.when(best >= self.threshold, family).alias("family"), best.alias("probability"))
+        return scored.withColumn("confirmed", _confirmed())
 
 
 def _confirmed() -> Column:
@@ -109,45 +159,60 @@ def _confirmed() -> Column:
     for f in FAMILIES:
         match = F.lit(False)
         for t in TEMPLATES[f]:
-            own = F.array_distinct(words(F.lit(t)))
-            match = match | (F.size(F.array_intersect("words", own)) >= F.lit(OVERLAP) * F.size(own))
+            own = sorted(set(_plain(t)))
+            match = match | (F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in own]))) >= F.lit(OVERLAP * len(own)))
         out = F.when(F.col("family") == f, match).otherwise(out)
     return out
 
 
-def train(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> LicenceModel:
-    ordinary = _ordinary(docs, key, text)
-    rows = spark.createDataFrame(training_rows(ordinary), "p string, label int, back boolean").withColumn("words", words(F.col("p")))
-    if not ordinary:  # an empty corpus: prose without any word
-        rows = rows.unionByName(spark.createDataFrame([("", UNKNOWN, False)], "p string, label int, back boolean").withColumn("words", words(F.col("p"))))
-    features, rare = vocabulary(spark, rows.where(F.col("label") == UNKNOWN).select("p"))
-    counts = CountVectorizerModel.from_vocabulary(features, "grams", "features").setBinary(True)
+def train(spark: SparkSession, every: DataFrame, held: DataFrame, rare: set[str]) -> LicenceModel:
+    """``every`` has the corpus's lines, ``held`` the units with a word of ``rare``."""
+    draw = lambda rows: [r.words for r in rows.select("words").distinct().orderBy(F.xxhash64("words"), "words").limit(SAMPLE_LINES).collect()]
+    likely = held.where(overlap() < SOME)
+    some = F.pmod(F.xxhash64("words"), F.lit(max(1, every.count() // (20 * SAMPLE_LINES))))  # so that few rows are ordered
+    ordinary = draw(every.where((some == 0) & ~F.col("cue") & ~F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(rare) or [""]]))))
+    rows = spark.createDataFrame(training_rows(ordinary, draw(likely)), "words array<string>, label int")
+    counts = CountVectorizerModel.from_vocabulary(features(rare) or ["licence"], "grams", "features").setBinary(True)
     regression = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40, labelCol="label", featuresCol="features")
-    model = Pipeline(stages=[counts, regression]).fit(rows.where("not back").withColumn("grams", grams(F.col("words"))))
-    back = rows.where("back")
-    alarms = LicenceModel(model, rare, 0.0).predict(back).orderBy(F.col("probability").desc()).select("probability").limit(int(back.count() * FALSE_ALARMS) + 1).collect()
-    return LicenceModel(model, rare, max(0.5, min((r.probability for r in alarms), default=0.0)))
+    model = Pipeline(stages=[counts, regression]).fit(rows.withColumn("grams", grams(F.col("words"))))
+    alarms = LicenceModel(model).predict(held.where(overlap() < OVERLAP)).agg(F.percentile_approx("probability", F.lit(1 - FALSE_ALARMS), F.lit(100_000))).first()[0]
+    return LicenceModel(model, min(0.99, max(0.5, (alarms or 0.0) + 1e-9)))
+
+
+def joined_lines(held: DataFrame) -> DataFrame:
+    """``held`` and, of each paragraph, its neighbouring lines (at most one other between two) joined."""
+    by = ["doc_id", "text_key", "paragraph"]
+    order = W.partitionBy(*by).orderBy("line")
+    new = F.coalesce(F.col("line") - F.lag("line").over(order) > 2, F.lit(True))
+    runs = held.withColumn("run", F.sum(new.cast("int")).over(order))
+    whole = runs.groupBy(*by, "run").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("line", "words"))).alias("l")).where("n > 1")
+    return held.select(*by, "words").unionByName(whole.select(*by, F.flatten(F.transform("l", lambda x: x["words"])).alias("words")))
 
 
 def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per distinct (key, text): paragraphs, those believed to be notices and confirmed by a template, families.
+    """One row per row of ``docs``: paragraphs, lines and joined lines believed to be notices and confirmed by a template, families.
 
-    ``families`` lists the confirmed ones, sorted and comma-joined ("" if none); ``probability`` is the highest of a
-    confirmed paragraph. A null text has no paragraphs; a null key is kept. An empty table gives no rows; other
-    columns are ignored.
+    ``families`` lists the confirmed ones, sorted and comma-joined ("" if none); ``probability`` is the highest that
+    was confirmed. A null text has no paragraphs; a null key is kept; rows that agree in key and text get the same. An
+    empty table gives no rows; other columns are ignored.
     """
-    model = train(docs.sparkSession, docs, key, text)
+    spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("doc_id"), F.crc32(body.cast("binary")).alias("text_crc32"), paragraphs(body).alias("_lines"))
-    lines = rows.select("doc_id", "text_crc32", F.explode(F.array_distinct("_lines")).alias("p"))
-    found = model.predict(lines.withColumn("words", words(F.col("p")))).where("family is not null")
-    # Every row that is left is a believed notice; their number is small beside the corpus.
-    per = found.groupBy("doc_id", "text_crc32").agg(
-        F.count(F.lit(1)).alias("_believed"), F.count_if("confirmed").alias("_confirmed"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("_families"), F.max(F.when(F.col("confirmed"), F.col("probability"))).alias("probability"),
+    rows = docs.select(F.col(key).alias("doc_id"), text_key(body).alias("text_key"), body.alias("text"))
+    every = lines(rows, "text")
+    own = {w for t in _template_words() for w in t}
+    rare = own - ordinary_words(every)
+    if not rare:
+        raise ValueError("every word of the templates is an ordinary one")
+    marked = every.where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(rare)])))
+    units = store(joined_lines(marked.dropDuplicates(["doc_id", "text_key", "paragraph", "line"])), "units")  # repeated rows once
+    model = train(spark, every, units, rare)
+    found = model.predict(units).where("family is not null")
+    per = found.groupBy("doc_id", "text_key").agg(
+        F.count(F.lit(1)).alias("believed"), F.count_if("confirmed").alias("confirmed"),
+        F.array_join(F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"), F.max(F.when(F.col("confirmed"), F.col("probability"))).alias("probability"),
     )
-    all_rows = rows.groupBy("doc_id", "text_crc32").agg(F.first(F.size("_lines")).alias("n_paragraphs"))
-    same = all_rows["doc_id"].eqNullSafe(per["doc_id"]) & (all_rows["text_crc32"] == per["text_crc32"])
-    out = all_rows.join(per, same, "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return out.select(all_rows["doc_id"], all_rows["text_crc32"], F.col("n_paragraphs").cast("long").alias("n_paragraphs"), zero("_believed").alias("n_believed"), zero("_confirmed").alias("n_confirmed"), F.coalesce("_families", F.lit("")).alias("families"), F.round("probability", 6).alias("probability"))
+    whole = rows.select("doc_id", "text_key", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.size(paragraphs(F.col("text"))).cast("long").alias("n_paragraphs"))
+    same = whole["doc_id"].eqNullSafe(per["doc_id"]) & (whole["text_key"] == per["text_key"])
+    zero = lambda c: F.coalesce(per[c], F.lit(0)).cast("long")
+    return whole.join(per, same, "left").select(whole["doc_id"], "text_crc32", "n_paragraphs", zero("believed").alias("n_believed"), zero("confirmed").alias("n_confirmed"), F.coalesce(per["families"], F.lit("")).alias("families"), F.round(per["probability"], 6).alias("probability"))

@@ -1,84 +1,71 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Every source deals its documents, in a hashed order, into blocks. Block i of a source of weight w may not start
-before slot floor(i / w) and must be done by slot ceil((i + 1) / w); in each slot the released block with the earliest
-deadline goes. So at every slot each source has had its share to within less than a block. Weights are whole
-numbers, hence the schedule repeats after their sum: the driver lays out one period of bounded length, and
-Spark places all blocks by arithmetic. When a source runs out, a new period over the others begins.
+Every source deals its documents, in a hashed order, into blocks. Block i of a source of weight w (the weights of all
+sources add up to 1) may not start before slot floor(i / w) and must be done by slot ceil((i + 1) / w); in each slot the
+released block with the earliest deadline goes. So at every slot each source has had its share to within less than a
+block. Weights are exact fractions, so nothing drifts however long the schedule is. When a source runs out, a new
+schedule over the others begins. The driver lays out the blocks alone, of which there are a bounded number: blocks
+grow with the corpus. Spark numbers the documents and joins them to their blocks.
 """
 
 from __future__ import annotations
 
 import heapq
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_key
 from .sharding import gapless
 
-BLOCK_ROWS = 16
-#: Slots of a period; at least ten for each source.
-PERIOD = 1000
+#: Rows of a block, as long as that makes no more than MOST_BLOCKS; beyond it blocks get longer.
+BLOCK_ROWS, MOST_BLOCKS = 16, 1 << 20
 #: Most sources: one row each is held by the driver.
 MOST_SOURCES = 10_000
+_OWN = ("source", "block", "release", "deadline", "slot", "position")
 
 
-def whole_weights(weights: dict, period: int) -> dict:
-    """Positive whole weights with sum ``period``, by largest remainders; each source gets at least 1."""
-    total = sum(weights.values())
-    exact = {s: max(1.0, w / total * period) for s, w in weights.items()}
-    out = {s: int(x) for s, x in exact.items()}
-    order = sorted(weights, key=lambda s: (int(exact[s]) - exact[s], str(s)))
-    k = 0
-    while sum(out.values()) < period:
-        out[order[k % len(order)]] += 1
-        k += 1
-    while sum(out.values()) > period and max(out.values()) > 1:
-        out[max(out, key=lambda s: (out[s], str(s)))] -= 1
-    return out
-
-
-def period_slots(weights: dict) -> dict:
-    """The slots of each source in one period, earliest deadline first among released blocks."""
-    length = sum(weights.values())
-    release: dict[int, list] = {}
-    for s, w in weights.items():
-        for i in range(w):
-            release.setdefault(i * length // w, []).append((-(-(i + 1) * length // w), str(s), i, s))
-    ready: list = []
-    slots: dict = {s: [] for s in weights}
-    for t in range(length):
-        for block in release.get(t, ()):
-            heapq.heappush(ready, block)
-        deadline, _, _, s = heapq.heappop(ready)
-        if t >= deadline:
-            raise AssertionError("a deadline was missed")
-        slots[s].append(t)
-    return slots
-
-
-def plan(blocks: dict, weights: dict) -> list[dict]:
-    """Phases of the schedule: which blocks of each source they take, from which slot on, and their period.
-
-    ``blocks`` has each source's number of blocks. A phase ends when a source runs out; weights of the
-    others keep their proportions.
+def whole_weights(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of ``weights``."""
+    exact = [Fraction(w) for w in weights]
+    scale = max((x.denominator for x in exact), default=1)  # of floats: powers of two
+    return [int(x * scale) for x in exact]
+
+
+def schedule(blocks: list[int], weights: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """For each slot the source whose next block goes, its release and its deadline.
+
+    ``blocks`` has each source's number of blocks. A phase ends when a source runs out; the weights of the others
+    keep their proportions, and releases and deadlines count from the phase's first slot.
     """
-    left, done, base, phases = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    left = {s: n for s, n in left.items() if n}
-    while left:
-        own = {s: weights[s] for s in left}
-        length, slots = sum(own.values()), period_slots(own)
-        # Slot at which the first source has put out its last block.
-        end = min((n - 1) // own[s] * length + slots[s][(n - 1) % own[s]] + 1 for s, n in left.items())
-        cycles, rest = divmod(end, length)
-        taken = {s: cycles * own[s] + sum(t < rest for t in slots[s]) for s in own}
-        phases.append({"base": base, "length": length, "slots": slots, "weights": own, "first": {s: done[s] for s in own}, "taken": taken})
-        for s, n in taken.items():
-            done[s] += n
-            left[s] -= n
-        base += end
-        left = {s: n for s, n in left.items() if n}
-    return phases
+    left = list(blocks)
+    alive = [s for s, n in enumerate(left) if n]
+    out: list[int] = []
+    releases: list[int] = []
+    deadlines: list[int] = []
+    while alive:
+        base, total = len(out), sum(weights[s] for s in alive)
+        waiting: list = []
+        ready = [(-(-total // weights[s]), s, 0) for s in alive]  # deadline, source, block within the phase; all start at once
+        heapq.heapify(ready)
+        while True:
+            t = len(out) - base
+            while waiting and waiting[0][0] <= t:
+                _, s, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(i + 1) * total // weights[s]), s, i))
+            deadline, s, i = heapq.heappop(ready)
+            out.append(s)
+            releases.append(base + i * total // weights[s])
+            deadlines.append(base + deadline)
+            left[s] -= 1
+            if not left[s]:
+                alive.remove(s)
+                break
+            heapq.heappush(waiting, ((i + 1) * total // weights[s], s, i + 1))
+    return out, releases, deadlines
 
 
 def source_name(column: Column) -> Column:
@@ -86,48 +73,43 @@ def source_name(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("null"))
 
 
-def place(docs: DataFrame, key: str = "doc_id", source: str = "source", tie: str = "text", targets: dict | None = None, temperature: float = 0.5, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """``docs`` with ``mix_source``, ``mix_block``, ``mix_release``, ``mix_deadline``, ``mix_slot`` and ``mix_position``.
+def place(docs: DataFrame, key: str = "doc_id", source: str = "source", tie: str = "text", targets: dict | None = None, temperature: float = 0.5, block_rows: int = BLOCK_ROWS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """``docs`` with ``mix_source``, ``mix_block``, ``mix_release``, ``mix_deadline``, ``mix_slot`` and ``mix_position``, in place of columns of these names.
 
     ``targets`` maps sources to weights; those it lacks, and all by default, weigh rows ** ``temperature``. Every row
-    is placed once: positions run from 0 without gaps. Rows of a source with equal keys are ordered by the CRC of ``tie``.
+    is placed once: positions run from 0 without gaps. Rows of a source with equal keys are ordered by a digest of ``tie``.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])  # names of its own
-    named = docs.withColumn("mix_source", source_name(F.col(source)))
-    sizes = {r.mix_source: r.n for r in named.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(sizes) > MOST_SOURCES:
+    row = docs.select(F.struct(*[c for c in docs.columns if c not in {f"mix_{x}" for x in _OWN}]).alias("row"), F.col(key).alias("key"), source_name(F.col(source)).alias("source"), text_key(F.col(tie)).alias("tie"))
+    counted = row.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(counted) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
+    sizes = {r.source: r.n for r in sorted(counted, key=lambda r: r.source)}
+    names = list(sizes)
     targets = {"=" + s if s is not None else "null": w for s, w in (targets or {}).items()}
-    weights = {s: float(targets.get(s, n**temperature)) for s, n in sizes.items()}
-    if any(w <= 0 for w in weights.values()):
+    weights = [float(targets.get(s, sizes[s] ** temperature)) for s in names]
+    if any(w <= 0 for w in weights):
         raise ValueError("target weights have to be above 0")
-    blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
-    phases = plan(blocks, whole_weights(weights, max(period, 10 * len(weights)))) if sizes else []
-    rows, short = [], []
-    for p, phase in enumerate(phases):
-        for s, n in phase["taken"].items():
-            if n:
-                w, slots = phase["weights"][s], phase["slots"][s]
-                rows.append((s, phase["first"][s], phase["first"][s] + n, phase["base"], phase["length"], w, slots))
-                if phase["first"][s] + n == blocks[s] and sizes[s] % block_rows:
-                    short.append((phase["base"] + (n - 1) // w * phase["length"] + slots[(n - 1) % w], block_rows - sizes[s] % block_rows))
-    table = spark.createDataFrame(rows, "mix_source string, _first long, _end long, _base long, _length long, _weight long, _slots array<int>")
-    named = named.withColumn("mix_tie", F.crc32(F.coalesce(F.col(tie).cast("string"), F.lit("")).cast("binary")))
-    ranked = gapless(named, "mix_source", [key, "mix_tie"], [F.xxhash64(key), F.col(key), F.col("mix_tie")], "mix_rank")
-    ranked = ranked.withColumn("mix_block", F.floor(F.col("mix_rank") / block_rows).cast("long"))
-    joined = ranked.join(F.broadcast(table), "mix_source").where("mix_block >= _first and mix_block < _end")  # a row per source and phase
-    own, cycle = F.col("mix_block") - F.col("_first"), F.floor((F.col("mix_block") - F.col("_first")) / F.col("_weight"))
-    slot = F.col("_base") + cycle * F.col("_length") + F.get("_slots", (own - cycle * F.col("_weight")).cast("int"))
-    joined = joined.withColumn("mix_slot", slot.cast("long"))
-    joined = joined.withColumn("mix_release", (F.col("_base") + F.floor(own * F.col("_length") / F.col("_weight"))).cast("long"))
-    joined = joined.withColumn("mix_deadline", (F.col("_base") + F.ceil((own + 1) * F.col("_length") / F.col("_weight"))).cast("long"))
-    gaps = F.lit(0).cast("long")
-    if short:  # the last block of a source may not be full: at most one entry a source
-        listed = F.array(*[F.struct(F.lit(s).cast("long").alias("slot"), F.lit(n).cast("long").alias("rows")) for s, n in sorted(short)])
-        gaps = F.aggregate(listed, F.lit(0).cast("long"), lambda t, x: t + F.when(x.slot < F.col("mix_slot"), x.rows).otherwise(F.lit(0).cast("long")))
-    position = F.col("mix_slot") * block_rows + F.pmod(F.col("mix_rank"), F.lit(block_rows)) - gaps
-    return joined.withColumn("mix_position", position.cast("long")).drop("_first", "_end", "_base", "_length", "_weight", "_slots", "mix_rank", "mix_tie")
+    block_rows = max(block_rows, -(-sum(sizes.values()) // most_blocks))
+    blocks = [-(-n // block_rows) for n in sizes.values()]
+    table = _block_table(names, list(sizes.values()), block_rows, *schedule(blocks, whole_weights(weights)))
+    ranked = gapless(row, "source", ["key", "tie"], [F.xxhash64("key"), F.col("key"), F.col("tie")], "rank")
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_rows).cast("long"))
+    joined = ranked.join(spark.createDataFrame(table), ["source", "block"])
+    position = F.col("start") + F.pmod("rank", F.lit(block_rows))
+    return joined.withColumn("position", position).select("row.*", *[F.col(c).alias(f"mix_{c}") for c in _OWN])
+
+
+def _block_table(names: list[str], sizes: list[int], block_rows: int, sources: list[int], releases: list[int], deadlines: list[int]) -> pa.Table:
+    """(source, block, slot, release, deadline, start): ``start`` counts the rows of the slots before."""
+    s = np.array(sources, np.int64)
+    order = np.argsort(s, kind="stable")
+    count = np.bincount(s, minlength=len(names)) if len(s) else np.zeros(len(names), np.int64)
+    block = np.empty(len(s), np.int64)
+    block[order] = np.arange(len(s)) - np.repeat(np.cumsum(count) - count, count)
+    rows = np.minimum(block_rows, np.array(sizes, np.int64)[s] - block * block_rows) if len(s) else block
+    name = pa.array(names, pa.string()).take(pa.array(s))
+    return pa.table({"source": name, "block": block, "slot": np.arange(len(s)), "release": pa.array(releases, pa.int64()), "deadline": pa.array(deadlines, pa.int64()), "start": np.cumsum(rows) - rows})
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
@@ -137,6 +119,6 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     their places arbitrarily among themselves. A null source is a source. An empty table gives no rows.
     """
     key, source, tie = (options.pop(k, d) for k, d in (("key", "doc_id"), ("source", "source"), ("tie", "text")))
-    rows = docs.select(key, source, F.crc32(F.coalesce(F.col(tie).cast("string"), F.lit("")).cast("binary")).alias("mix"))  # texts stay where they are
-    out = place(rows, key, source, "mix", **options)
-    return out.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), *[F.col(f"mix_{c}").alias(c) for c in ("block", "release", "deadline", "slot", "position")])
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), text_key(F.col(tie)).alias("tie"))  # texts stay where they are
+    out = place(rows, "doc_id", "source", "tie", **options)
+    return out.select("doc_id", "source", *[F.col(f"mix_{c}").alias(c) for c in ("block", "release", "deadline", "slot", "position")])

@@ -6,8 +6,8 @@ Documents that share a sketch are aligned word by word inside a band that leaves
 unaligned; those with an edit similarity of 0.8 or more are linked, and linked documents form a class.
 
 Groups of documents that share a sketch may be large. Each is aligned with one of its documents first, the one that
-shares most, then with a few drawn ones; what those links settle needs no more alignments. The rest is searched through
-the rarest words: of two documents that differ in at most a fifth of their words each holds one of the other's rarest
+shares most, then with a few drawn ones; what those links settle needs no more alignments. In small groups all pairs
+that are left are looked at, large ones are searched through the rarest words: of two documents that differ in at most a fifth of their words each holds one of the other's rarest
 fifth, so only documents that share such a word (and neither length nor parities rule out) are aligned. No pair
 with the similarity asked for is lost by this.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import ALNUM, LOWER, MULT, U64, Words, mix, pieces, store, texts_of, window_hash
+from .common import ALNUM, LOWER, MULT, U64, Words, mix, pieces, store, text_key, texts_of, window_hash
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -35,8 +35,10 @@ SKETCHES, TAKE = 64, 2
 _PARITIES = 16
 #: Documents of an unsettled sketch that are drawn for all others to be aligned with.
 _DRAWN = 4
-_SKETCHED = "node binary, words int, keys array<long>"
-_TEXTS = "node binary, words int, parity array<long>, text binary"
+#: Documents of an unsettled sketch up to which all pairs are looked at.
+_FEW = 16
+_SKETCHED = "node binary, keys array<long>"
+_TEXTS = "id long, words int, parity array<long>, text binary"
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = bytes(LOWER.tolist())
 _LAST = np.iinfo(U64).max
@@ -105,7 +107,7 @@ def _sketched(texts: DataFrame, width: int, count: int, take: int) -> DataFrame:
             words = Words(LOWER[data], offsets, ALNUM)
             docs, keys = sketch_keys(*labelled_shingles(words, width), count, take)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(docs) + 1) * count, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(docs)), pa.array(np.diff(words.bounds)[docs], pa.int32()), lists], names=["node", "words", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(docs)), lists], names=["node", "keys"])
 
     return texts.mapInArrow(run, _SKETCHED)
 
@@ -134,7 +136,7 @@ def _prepared(texts: DataFrame) -> DataFrame:
             data, offsets = texts_of(batch.column("text"))
             words = Words(LOWER[data], offsets, ALNUM)
             plain = [b" ".join(_WORD.findall((x or "").encode().translate(_LOWER))) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(words.bounds), pa.int32()), pa.array(parities(words).tolist(), pa.list_(pa.int64())), pa.array(plain, pa.binary())], names=["node", "words", "parity", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(words.bounds), pa.int32()), pa.array(parities(words).tolist(), pa.list_(pa.int64())), pa.array(plain, pa.binary())], names=["id", "words", "parity", "text"])
 
     return texts.mapInArrow(run, _TEXTS)
 
@@ -187,7 +189,7 @@ def similar(a: list, b: list, least: float) -> bool:
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar. If a node is in very many pairs, as ``a``: rows are dealt out by ``b`` last."""
+    """The pairs (a, b) of documents that are similar. One that is in very many pairs is ``a`` in them: rows are dealt out by ``b`` last."""
 
     def run(batches):
         for batch in batches:
@@ -200,8 +202,8 @@ def _aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                     kept.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
-    sides = [texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "x"), ("b", "y"))]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    sides = [texts.select(F.col("id").alias(n), F.col("text").alias(t)) for n, t in (("a", "x"), ("b", "y"))]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _may_be_near(x, y, least: float):
@@ -215,10 +217,6 @@ def _may_be_near(x, y, least: float):
     return (apart <= room) & (odd <= 2 * F.floor(room) - apart)
 
 
-def _pair(x, y) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, least: float = SIMILARITY, count: int = SKETCHES, take: int = TAKE) -> DataFrame:
     """One row per row of ``docs``: key, ``class_id`` (the smallest key of its class), ``class_size``, CRC of the text, ``stays``,
     ``class_key``, which tells classes apart also where their keys are null, and ``text_key``, which tells texts apart.
@@ -229,90 +227,94 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     class_id). Rows that repeat key and text are one text of the class. An empty table gives no rows; other columns are ignored.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text")).withColumn("node", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text")).withColumn("node", F.unhex(text_key(F.col("text"))))
     made = _sketched(rows.select("node", "text"), width, count, take)
-    sketched = store(made.groupBy("node").agg(F.first("keys").alias("keys")), "sketches")
-    each = sketched.select(F.explode("keys").alias("key"), "node")
+    sketched = store(made.groupBy("node").agg(F.first("keys").alias("keys")).withColumn("id", F.monotonically_increasing_id()), "sketches")  # short ids for what follows
+    each = sketched.select(F.explode("keys").alias("key"), "id")
     shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = store(each.join(shared, "key"), "members")
-    degree = members.groupBy("node").agg((F.sum("n") - F.count(F.lit(1))).alias("degree"))
-    folded = rows.select("node", "text").join(degree, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    degree = members.groupBy("id").agg((F.sum("n") - F.count(F.lit(1))).alias("degree"))
+    nodes = sketched.select("id", "node")
+    folded = rows.select("node", "text").join(nodes.join(degree, "id", "left_semi"), "node").groupBy("id").agg(F.first("text").alias("text"))
     texts = store(_prepared(folded), "texts")
     narrow = store(texts.drop("text"), "parities")
     known = _components(_aligned(_pivot_pairs(members, degree, narrow, least), texts, least))
     drawn = store(_drawn_pairs(_unsettled(members, known, narrow), least), "drawn")
     known = _joined(known, _aligned(drawn, texts, least))
-    left = store(_unsettled(members, known, narrow).select("node").distinct(), "left")
-    rare = _rarest(texts.join(left, "node", "left_semi"), least)
-    pairs = store(_crossing_pairs(_unsettled(rare, known, narrow), least), "crossing")
-    known = _joined(known, _aligned(pairs, texts, least))
+    left = _unsettled(members, known, narrow)
+    many = store(left.where(F.col("size") > _FEW).select("id").distinct(), "many")
+    rare = _unsettled(_rarest(texts.join(many, "id", "left_semi"), least), known, narrow)
+    crossing = _crossing_pairs(left.where(F.col("size") <= _FEW), least).unionByName(_crossing_pairs(rare, least)).distinct()
+    known = _joined(known, _aligned(store(crossing, "crossing"), texts, least))
     ids = rows.groupBy("node").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
-    named = ids.join(known, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    classes = named.groupBy("class").agg(F.min("_id").alias("class_id"), F.sum("_n").alias("class_size"))
-    named = named.join(classes, "class").select("node", "class", "class_id", "class_size")
+    named = ids.join(nodes.join(known, "id"), "node", "left").select("node", "_id", "_n", F.coalesce(F.col("component").cast("string"), F.hex("node")).alias("class"))
+    classes = named.groupBy("class").agg(F.min("_id").alias("class_id"), F.sum("_n").alias("class_size"), F.hex(F.min("node")).alias("class_key"))
+    named = named.join(classes, "class").select("node", "class_id", "class_size", "class_key")
     crc = rows.select("doc_id", "node", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
-    return crc.join(named, "node").select("doc_id", "class_id", "class_size", "text_crc32", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("stays"), F.hex("class").alias("class_key"), F.hex("node").alias("text_key"))
+    return crc.join(named, "node").select("doc_id", "class_id", "class_size", "text_crc32", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("stays"), "class_key", F.lower(F.hex("node")).alias("text_key"))
 
 
 def _pivot_pairs(members: DataFrame, degree: DataFrame, narrow: DataFrame, least: float) -> DataFrame:
     """Each document of a sketch with the one that shares most sketches with others; one order, so that a class has few of them."""
-    first = members.join(degree, "node").groupBy("key").agg(F.min(F.struct(-F.col("degree"), "node")).alias("first")).select("key", F.col("first.node").alias("pivot"))
-    pairs = members.join(first, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    x, y = (narrow.select(F.col("node").alias(n), F.struct("words", "parity").alias(s)) for n, s in (("a", "x"), ("b", "y")))
+    first = members.join(degree, "id").groupBy("key").agg(F.min(F.struct(-F.col("degree"), "id")).alias("first")).select("key", F.col("first.id").alias("pivot"))
+    pairs = members.join(first, "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    x, y = (narrow.select(F.col("id").alias(n), F.struct("words", "parity").alias(s)) for n, s in (("a", "x"), ("b", "y")))
     return store(pairs.join(x, "a").join(y, "b").where(_may_be_near(F.col("x"), F.col("y"), least)).select("a", "b"), "pairs")
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    return store(connected_components(edges), "classes")
+    return store(connected_components(edges).withColumnRenamed("node", "id"), "classes")
 
 
 def _joined(known: DataFrame, edges: DataFrame) -> DataFrame:
     """``known`` classes after more links: only the links between classes are followed."""
     edges = store(edges, "links")
-    label = lambda n, c: known.select(F.col("node").alias(n), F.col("component").alias(c))
+    label = lambda n, c: known.select(F.col("id").alias(n), F.col("component").alias(c))
     between = edges.join(label("a", "x"), "a", "left").join(label("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-    merged = connected_components(between).withColumnRenamed("component", "merged")
-    own = known.join(merged.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
-    new = merged.join(known, "node", "left_anti").select("node", F.col("merged").alias("component"))
+    merged = connected_components(between).select(F.col("node").alias("id"), F.col("component").alias("merged"))
+    own = known.join(merged.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
+    new = merged.join(known, "id", "left_anti").select("id", F.col("merged").alias("component"))
     return store(own.unionByName(new), "classes")
 
 
 def _unsettled(table: DataFrame, known: DataFrame, narrow: DataFrame) -> DataFrame:
-    """Rows (key, node) of the keys whose documents are in several classes, with ``component`` and the key's largest class, ``top``."""
-    member = table.select("key", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    """Rows (key, id) of the keys whose documents are in several classes, with ``component``, the key's largest class, ``top``, and its ``size``."""
+    member = table.select("key", "id").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     per = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    several = per.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "component")).alias("top")).where("classes > 1").select("key", F.col("top.component").alias("top"))
-    return store(member.join(several, "key").join(narrow, "node"), "unsettled")
+    several = per.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top")).where("classes > 1").select("key", "size", F.col("top.component").alias("top"))
+    return store(member.join(several, "key").join(narrow, "id"), "unsettled")
 
 
 def _drawn_pairs(member: DataFrame, least: float) -> DataFrame:
     """Pairs of the documents of each unsettled sketch with a few of them, drawn by hash."""
-    whole = F.struct("node", "component", "words", "parity")
-    drawn = member.groupBy("key").agg(F.array(*[F.min_by(whole, F.xxhash64("node", "key", F.lit(k))) for k in range(_DRAWN)]).alias("drawn"))
+    whole = F.struct("id", "component", "words", "parity")
+    drawn = member.groupBy("key").agg(F.array(*[F.min_by(whole, F.xxhash64("id", "key", F.lit(k))) for k in range(_DRAWN)]).alias("drawn"))
     near = F.filter("drawn", lambda y: (y["component"] != F.col("component")) & _may_be_near({"words": F.col("words"), "parity": F.col("parity")}, y, least))
-    pairs = member.join(drawn, "key").select("node", F.explode(F.transform(F.array_distinct(near), lambda y: y["node"])).alias("drawn"))
-    return pairs.select(F.col("drawn").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = member.join(drawn, "key").select("id", F.explode(F.transform(F.array_distinct(near), lambda y: y["id"])).alias("drawn"))
+    return pairs.select(F.col("drawn").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _rarest(texts: DataFrame, least: float) -> DataFrame:
-    """(key, node): a key for each of the rarest words of ``texts`` that two alike texts cannot both lack.
+    """(key, id): a key for each of the rarest words of ``texts`` that two alike texts cannot both lack.
 
     Words are labelled with their occurrence and ordered by the number of these texts that hold them. Texts of n
     and m >= n words with m (1 - least) edits or fewer share m least words, so all but n (1 - least) of the shorter's.
+    Words that one text alone holds come first; they are counted, but not listed.
     """
 
     def run(batches):
         for batch in pieces(batches, 4 << 20):
             hashes, first = labelled_words(Words(*texts_of(batch.column("text")), ALNUM))
             lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("words"), lists], names=["node", "words", "labelled"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("words"), lists], names=["id", "words", "labelled"])
 
-    listed = store(texts.select("node", "words", "text").mapInArrow(run, "node binary, words int, labelled array<long>"), "labelled")
-    each = listed.select("node", "words", F.explode("labelled").alias("key"))
-    held = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(W.partitionBy("node").orderBy("n", "key"))
-    ranked = each.join(held, "key").withColumn("rank", rank)
-    return ranked.where((F.col("rank") <= F.floor(F.col("words") * (1 - least) + 1e-9) + 1) & (F.col("n") > 1)).select("key", "node")
+    listed = store(texts.select("id", "words", "text").mapInArrow(run, "id long, words int, labelled array<long>"), "labelled")
+    each = listed.select("id", "words", F.explode("labelled").alias("key"))
+    held = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = W.partitionBy("id")
+    alone = F.col("words") - F.count(F.lit(1)).over(own)
+    ranked = each.join(held, "key").withColumn("rank", alone + F.row_number().over(own.orderBy("n", "key")))
+    return ranked.where(F.col("rank") <= F.floor(F.col("words") * (1 - least) + 1e-9) + 1).select("key", "id")
 
 
 def _crossing_pairs(member: DataFrame, least: float) -> DataFrame:
@@ -322,6 +324,6 @@ def _crossing_pairs(member: DataFrame, least: float) -> DataFrame:
     """
     x, y = member.where("component <> top").alias("x"), member.alias("y")
     side = lambda s: {c: F.col(f"{s}.{c}") for c in ("words", "parity")}
-    once = (F.col("y.component") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
+    once = (F.col("y.component") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))
     joined = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.component") != F.col("y.component")) & once & _may_be_near(side("x"), side("y"), least))
-    return joined.select(*_pair("x.node", "y.node")).distinct()
+    return joined.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()

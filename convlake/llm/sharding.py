@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import partitions, text_key
+
 #: A 53-bit hash as a number in (0, 1).
 _UNIT = float(1 << 53)
 
@@ -31,13 +33,14 @@ def rendezvous(key: Column, shards: int, weights: list[float] | None = None) ->
     return F.array_max(F.array(*[score(s) for s in range(shards) if weights[s] > 0])).getField("shard")
 
 
-def gapless(df: DataFrame, group: str, spread: list[str], order: list[str], out: str, buckets: int = 256) -> DataFrame:
+def gapless(df: DataFrame, group: str, spread: list[str], order: list[str], out: str, buckets: int | None = None) -> DataFrame:
     """Number the rows of each group from 0 without gaps, without bringing a group into one task.
 
-    Rows go into ``buckets`` hash buckets of their ``spread`` columns; each (group, bucket) is numbered by itself
-    and shifted by the rows in the buckets before it. The shifts are groups x buckets rows. Rows equal in
-    ``order`` are numbered arbitrarily among themselves.
+    Rows go into ``buckets`` hash buckets of their ``spread`` columns, by default four for each shuffle partition and
+    256 at least; each (group, bucket) is numbered by itself and shifted by the rows in the buckets before it. The shifts
+    are groups x buckets rows. Rows equal in ``order`` are numbered arbitrarily among themselves.
     """
+    buckets = buckets or max(256, 4 * partitions(df.sparkSession))
     return numbered(df.withColumn("_gap_hash", F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int")), group, "_gap_hash", order, out).drop("_gap_hash")
 
 
@@ -51,36 +54,41 @@ def numbered(df: DataFrame, group: str, bucket: str, order: list[str], out: str)
     return df.withColumn("_gap_rank", rank).join(shifts, ["_gap_group", "_gap_bucket"]).withColumn(out, (F.col("_gap_before") + F.col("_gap_rank") - 1).cast("long")).drop("_gap_rank", "_gap_before", "_gap_bucket", "_gap_group")
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", weights: list[float] | None = None, buckets: int = 256, keep: bool = False, order: DataFrame | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", weights: list[float] | None = None, buckets: int | None = None, keep: bool = False, order: DataFrame | None = None) -> DataFrame:
     """One row per document: its shard, its slot there, and its shard if there were one more of average weight.
 
     With ``keep`` all columns of ``docs`` go along, those whose names clash giving way to the new ones. With ``order``,
-    (doc_id, text_crc32, position), slots follow the positions, and those of one key and CRC are shared out among its rows.
+    (key, text_key, position), slots follow the positions, and those of one key and text are shared out among its rows.
 
     ``size`` is the UTF-8 bytes of the text plus 8; a null text counts as empty, its CRC is 0. Only the key, the
-    size and the CRC are shuffled, never the text (unless it is kept). Equal keys share a shard. An empty table gives no rows;
-    without ``keep`` columns beyond the two named ones are ignored.
+    size and digests of the text are shuffled, never the text (unless it is kept). Equal keys share a shard. An empty table gives no
+    rows; without ``keep`` columns beyond the two named ones are ignored.
     """
     weights = weights or [1.0] * shards
     grown = [*weights, sum(weights) / len(weights)]
-    new = ("doc_id", "size", "text_crc32", "law", "shard", "grown_shard", "slot")
+    new = ("doc_id", "size", "text_crc32", "law", "shard", "grown_shard")
+    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    kept = [c for c in docs.columns if keep and c not in (*new, "slot")]
     rows = docs.select(
-        *[c for c in docs.columns if keep and c not in new],
+        F.struct(*([F.col(c) for c in kept] or [F.lit(0).alias("none")])).alias("row"),
         F.col(key).alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
+        (F.octet_length(body) + 8).cast("long").alias("size"),
+        F.crc32(body).cast("long").alias("text_crc32"),
         F.lit("key").alias("law"),
         rendezvous(F.col(key), shards, weights).cast("int").alias("shard"),
         rendezvous(F.col(key), shards + 1, grown).cast("int").alias("grown_shard"),
+        *([text_key(F.col(text)).alias("text_key")] if order is not None else []),
     )
+    out = [*[f"row.{c}" for c in kept], *new, "slot"]
     if order is None:
-        return gapless(rows, "shard", ["doc_id", "text_crc32", "size"], ["doc_id", "text_crc32", "size"], "slot", buckets)
-    number = lambda df, *by: df.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "text_crc32").orderBy(*by)))
-    places = number(order.select("doc_id", "text_crc32", "position"), "position").select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("_nth").alias("_n"), "position")
-    rows = number(rows, "size")
-    same = rows["doc_id"].eqNullSafe(places["_id"]) & (rows["text_crc32"] == places["_crc"]) & (rows["_nth"] == places["_n"])
-    rows = rows.join(places, same, "left").drop("_id", "_crc", "_n", "_nth")
+        return gapless(rows, "shard", ["doc_id", "text_crc32", "size"], ["doc_id", "text_crc32", "size"], "slot", buckets).select(*out)
+    buckets = buckets or max(256, 4 * partitions(docs.sparkSession))
+    nth = lambda df, *by: df.withColumn("nth", F.row_number().over(W.partitionBy(*by[:2]).orderBy(by[2])))
+    places = nth(order.select(F.col("key").alias("_id"), F.col("text_key").alias("_text"), "position"), "_id", "_text", "position").withColumnRenamed("nth", "_n")
+    rows = nth(rows, "doc_id", "text_key", "size")
+    same = rows["doc_id"].eqNullSafe(places["_id"]) & (rows["text_key"] == places["_text"]) & (rows["nth"] == places["_n"])
+    rows = rows.join(places, same, "left")
     # Rows without a position come last. Runs of positions are the buckets, so that no task has to order a whole shard.
-    last = order.agg(F.max("position").alias("_last"))
-    run = F.coalesce(F.floor(F.col("position") * buckets / (F.col("_last") + 1)), F.lit(buckets)).cast("int")
-    return numbered(rows.crossJoin(F.broadcast(last)).withColumn("_run", run), "shard", "_run", ["position", "doc_id", "text_crc32", "size"], "slot").drop("_run", "_last", "position")
+    last = order.agg(F.max("position").alias("last"))
+    run = F.coalesce(F.floor(F.col("position") * buckets / (F.col("last") + 1)), F.lit(buckets)).cast("int")
+    return numbered(rows.crossJoin(F.broadcast(last)).withColumn("run", run), "shard", "run", ["position", "doc_id", "text_key"], "slot").select(*out)

@@ -1,14 +1,16 @@
 """WARC archives as a PySpark Python data source, and a writer of response and revisit records.
 
 Reading plans partitions over byte ranges of the files (records are gzip members of their own), takes filters on
-the record type, target and refers-to headers, parses a record's headers first, and inflates a payload only if
-the record passes and its payload is asked for.
+the record type, target and refers-to headers and parses a record's headers first. The writer notes each member's
+length in its gzip header (an extra field), so that the reader goes on behind a member whose payload is not wanted
+without inflating it; only members of other writers, which lack the note, have to be inflated to find their end.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,6 +29,8 @@ _HEADERS = {
     "payload_digest": "WARC-Payload-Digest", "payload_bytes": "X-Payload-Length", "page_id": "X-Page-ID",
 }
 _CHUNK = 1 << 20
+#: Bytes that are inflated at once until a record's headers are complete.
+_HEAD = 2 << 10
 _MEMBER = b"\x1f\x8b\x08"
 _DATE = "2020-01-01T00:00:00Z"
 
@@ -41,12 +45,34 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+#: A gzip header with an extra field "SL": the lengths of the member and of what it holds.
+_GZIP = struct.Struct("<4sIBBH2sHII")
+_LENGTHS = b"SL"
+
+
+def member(raw: bytes) -> bytes:
+    """A gzip member that tells its length, if that fits 32 bits."""
+    z = zlib.compressobj(1, zlib.DEFLATED, -15)
+    packed = z.compress(raw) + z.flush()
+    size = _GZIP.size + len(packed) + 8
+    if max(size, len(raw)) >= 1 << 32:
+        z = zlib.compressobj(1, zlib.DEFLATED, 31)
+        return z.compress(raw) + z.flush()
+    return _GZIP.pack(b"\x1f\x8b\x08\x04", 0, 0, 255, 12, _LENGTHS, 8, size, len(raw)) + packed + struct.pack("<II", zlib.crc32(raw), len(raw))
+
+
+def member_length(head: bytes) -> int | None:
+    """The length that a member's header tells."""
+    if len(head) < _GZIP.size:
+        return None
+    magic, _, _, _, extra, name, n, size, _ = _GZIP.unpack_from(head)
+    return size if magic == b"\x1f\x8b\x08\x04" and (extra, name, n) == (12, _LENGTHS, 8) else None
+
+
 def record(headers: dict[str, object], content: bytes) -> bytes:
     """One record as a gzip member."""
     lines = "".join(f"{k}: {v}\r\n" for k, v in headers.items() if v is not None)
-    raw = f"WARC/1.1\r\n{lines}Content-Length: {len(content)}\r\n\r\n".encode() + content + b"\r\n\r\n"
-    z = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return z.compress(raw) + z.flush()
+    return member(f"WARC/1.1\r\n{lines}Content-Length: {len(content)}\r\n\r\n".encode() + content + b"\r\n\r\n")
 
 
 def clean(value: str | None) -> str | None:
@@ -117,10 +143,11 @@ class _Reader(DataSourceReader):
 _ARROW = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in SCHEMA.split(", "))])
 
 
-def members(file, start: int, end: int, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
+def members(file, start: int, end: int, wanted, inflated: list[int] | None = None) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """Headers and payload of the records whose gzip member begins in [start, end).
 
-    A range may begin inside a member; the next place that inflates to a record's version line is taken.
+    A range may begin inside a member; the next place that inflates to a record's version line is taken. ``inflated``
+    gets the number of inflated bytes of each record.
     """
     buffer, base = b"", start
 
@@ -157,14 +184,20 @@ def members(file, start: int, end: int, wanted) -> Iterator[tuple[dict[str, str]
                 pass
             at += 1
     while at < end and fill(at, 1):
-        z, raw, fed, keep, headers, skip = zlib.decompressobj(31), bytearray(), 0, True, None, 0
+        fill(at, _GZIP.size)
+        size = member_length(buffer[: _GZIP.size])
+        z, raw, fed, total, headers, passes, payload, skip = zlib.decompressobj(31), bytearray(), 0, 0, None, True, True, 0
         while not z.eof:
-            if fed >= len(buffer) and not fill(at, len(buffer) + 1):
+            if fed >= len(buffer) and not z.unconsumed_tail and not fill(at, len(buffer) + 1):
                 raise ValueError("truncated WARC record")
-            step = min(len(buffer), fed + (16 << 10 if headers is None else _CHUNK))
-            out = z.decompress(buffer[fed:step])
-            fed = step
-            if keep:
+            if z.unconsumed_tail:
+                source = z.unconsumed_tail
+            else:
+                source = buffer[fed : fed + (_HEAD if headers is None else _CHUNK)]
+                fed += len(source)
+            out = z.decompress(source, _HEAD if headers is None else _CHUNK)
+            total += len(out)
+            if payload:
                 raw += out
             if headers is None and (k := raw.find(b"\r\n\r\n")) >= 0:
                 lines = raw[:k].decode().split("\r\n")
@@ -172,15 +205,19 @@ def members(file, start: int, end: int, wanted) -> Iterator[tuple[dict[str, str]
                     raise ValueError("not a WARC record")
                 headers = {a.strip().lower(): b.strip() for a, _, b in (x.partition(":") for x in lines[1:])}
                 passes, payload = wanted(headers)
-                keep, skip = passes and payload, k + 4
+                payload, skip = passes and payload, k + 4
+                if not payload and size is not None:
+                    break
         if headers is None:
             raise ValueError("record without headers")
+        if inflated is not None:
+            inflated.append(total)
         if passes:
             n = int(headers["content-length"])
-            if keep and len(raw) < skip + n:
+            if payload and len(raw) < skip + n:
                 raise ValueError("truncated WARC content")
-            yield headers, bytes(raw[skip : skip + n]) if keep else None
-        at += fed - len(z.unused_data)
+            yield headers, bytes(raw[skip : skip + n]) if payload else None
+        at += size if size is not None else fed - len(z.unused_data)
 
 
 class _Commit(WriterCommitMessage):
@@ -189,10 +226,13 @@ class _Commit(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """Each task writes files of its own under unique names; those of failed attempts are deleted."""
+    """Each task writes files of its own under unique names, which get their final names when the job commits.
+
+    What failed attempts and lost executors have left of this job is deleted then, or when it aborts.
+    """
 
     def __init__(self, options: dict):
-        self.path, self.most = options["path"], int(options.get("fileBytes", 256 << 20))
+        self.path, self.most, self.job = options["path"], int(options.get("fileBytes", 256 << 20)), uuid.uuid4().hex
 
     def write(self, batches) -> WriterCommitMessage:
         store, root = filesystem(self.path)
@@ -204,7 +244,7 @@ class _Writer(DataSourceArrowWriter):
                 if out is None or size >= self.most:
                     if out is not None:
                         out.close()
-                    files.append(f"{root}/{uuid.uuid4().hex}.warc.gz.part")
+                    files.append(f"{root}/{self.job}-{uuid.uuid4().hex}.warc.gz.part")
                     out, size = store.open_output_stream(files[-1], compression=None), 0
                 revisit = row["record_type"] == "revisit"
                 data = record({
@@ -224,12 +264,18 @@ class _Writer(DataSourceArrowWriter):
         for m in messages:
             for f in m.files if m else []:
                 store.move(f, f.removesuffix(".part"))
+        self._clear()
 
     def abort(self, messages) -> None:
-        store, _ = filesystem(self.path)
-        for m in messages:
-            for f in m.files if m else []:
-                store.delete_file(f)
+        self._clear()
+
+    def _clear(self) -> None:
+        from pyarrow import fs
+
+        store, root = filesystem(self.path)
+        for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+            if x.base_name.startswith(self.job) and x.base_name.endswith(".part"):
+                store.delete_file(x.path)
 
 
 class WarcDataSource(DataSource):

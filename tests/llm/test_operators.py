@@ -157,6 +157,19 @@ def test_decontamination(spark, docs, rows, empty):
     assert not any(r[5] for r in take(decontamination.decontaminate(docs, bench.limit(0))))
 
 
+def test_words_are_told_apart(spark):
+    """Words of 1,024 letters on which sums of powers collide: one is not taken for the other."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{k}" for k in range(49))
+    df = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in recompression.deduplicate_words(df).collect()} == {1: 0, 2: 0, 3: 50}
+    bench = spark.createDataFrame([("A", a)], "item_id string, text string")
+    assert {r.doc_id: r.contaminated for r in decontamination.decontaminate(df, bench).collect()} == {1: True, 2: False, 3: True}
+    near = spark.createDataFrame([(1, " ".join([a] * 6)), (2, " ".join([b] * 6))], "doc_id long, text string")
+    assert {r.class_id for r in order_minhash.near_duplicates(near).collect()} == {1, 2}
+
+
 @pytest.mark.parametrize("block", [200, 4 << 20])
 def test_proximity(spark, block):
     """Windows with a word that the block lacks still match by their three rarest terms."""
@@ -289,12 +302,14 @@ def test_mixing(docs, rows, empty, spark):
     big = spark.range(6000).selectExpr("id doc_id", "'t' text", "case when id % 3 = 0 then 'a' when id % 3 = 1 then 'b' end source")
     out = mixing.mix_sources(big, targets={"a": 5.0, "b": 3.0, None: 2.0}, block_rows=4)
     blocks = sorted({(r.slot, r.source) for r in out.collect()}, key=lambda x: x[0])
-    end = 900  # the first source, of 500 blocks, runs out at slot 1000
+    end = 990  # the first source, of 500 blocks, runs out at slot 1000
     for s, w in (("a", 0.5), ("b", 0.3), (None, 0.2)):
         for t in range(0, end, 37):
             assert abs(sum(x == s for _, x in blocks[:t]) - w * t) < 1
     assert all(r.release <= r.slot < r.deadline for r in out.collect())
     assert sorted(r.position for r in out.collect()) == list(range(6000))
+    few = mixing.mix_sources(big, most_blocks=10).collect()
+    assert sorted(r.position for r in few) == list(range(6000)) and max(r.slot for r in few) < 10 + 3
 
 
 def test_toxicity(spark, docs, empty):
@@ -330,6 +345,54 @@ def test_licences(spark, docs, empty, rows):
     assert licences.scan_licences(empty).count() == 0
 
 
+WRAPPED = {
+    "MIT": "Copyright (c) 2020 Somebody\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.",
+    "GPL-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Keep the notice.",
+    "Apache-2.0": " * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at",
+}
+
+
+def test_licences_held_out(spark):
+    """Wrapped notices among prose, notices that lost words, and sentences about licences: precision and recall by family."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(rng.randrange(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for i in range(600):
+        family = licences.FAMILIES[i % 8]
+        kind = i // 8 % 4
+        t = rng.choice(licences.TEMPLATES[family])
+        if kind == 0:
+            t = WRAPPED.get(family, t)
+        elif kind == 1:
+            w = t.split()
+            gone = rng.sample(range(len(w)), len(w) // 10)
+            t = " ".join(x for k, x in enumerate(w) if k not in gone)
+        elif kind == 2:
+            w = t.split()
+            t = "\n".join(" ".join(w[k : k + 9]) for k in range(0, len(w), 9))
+        else:
+            t, family = rng.choice(["The licence of the driver was copied by the foundation.", "Any person may use the source of the river.", "The terms of the work are met.", prose(20)]), ""
+        rows.append((i, rng.choice(["{0}\n{1}\n{2}", "{0}\n\n{1}\n\n{2}", "{1}"]).format(prose(30), t, prose(30))))
+        want[i] = family
+    rows += [(1000 + i, "\n".join(prose(12) for _ in range(10))) for i in range(300)]
+    got = {r.doc_id: r.families for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for f in licences.FAMILIES:
+        hit = sum(got[i] == f == x for i, x in want.items())
+        assert hit / sum(x == f for x in want.values()) >= 0.9, f
+        assert hit / sum(x == f for x in got.values()) >= 0.95, f
+    assert not any(got[i] for i in got if want.get(i, "") == "")
+
+
+def test_licences_edges(spark):
+    """Null keys with different texts, repeated rows, ties, a very long line."""
+    long = " ".join(f"x{k}" for k in range(40_000)) + " Released under the MIT License."
+    rows = [(None, "Released under the MIT License."), (None, "nothing"), (1, "Licensed under CC BY 4.0."), (1, "Licensed under CC BY 4.0."), (2, long), (3, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."), (4, "\n\n \n")]
+    got = licences.scan_licences(spark.createDataFrame([(*r, 7, "p") for r in rows], "doc_id long, text string, line int, p string")).collect()
+    assert sorted((repr(r.doc_id), r.families, r.n_paragraphs) for r in got) == sorted([("None", "MIT", 1), ("None", "", 1), ("1", "CC-BY-4.0", 1), ("1", "CC-BY-4.0", 1), ("2", "MIT", 1), ("3", "Apache-2.0,MIT", 1), ("4", "", 0)])
+
+
 def test_ogg_query_reads_stored_media(spark, docs, rows, tmp_path):
     from convlake.llm.queries import op2_ogg
 

@@ -29,10 +29,36 @@ def test_run(spark, tmp_path):
         assert after.columns == before.columns
         before = spark.createDataFrame(after.collect(), before.schema)
     empty = before.limit(0)
+    assert before.count() == 301
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_clashing_names_nulls_and_ties(spark, tmp_path):
+    """Columns named like a stage's own keep their values; repeated rows and null ids are told apart by whole texts."""
+    text = " ".join(f"w{k}" for k in range(60))
+    long = " ".join(f"v{k % 977}x{k // 977}" for k in range(30_000))
+    rows = [(1, text), (1, text), (2, text + " more"), (None, "a b c"), (None, "d e f"), (None, None), (None, ""), (5, long), (6, long + " z"), (7, "leaked " + " ".join(f"i{k}" for k in range(20)))]
+    names = ["_crc", "_score", "_toxic", "mix_note", "mix_slot", "row", "key", "text_key", "_gap_hash", "slot", "size", "rank", "node"]
+    full = [(i, t, "en", "s", 1, *[10 * k + n for n in range(len(names))]) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` long" for n in names))
+    spark.createDataFrame([(1, " ".join(f"i{k}" for k in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    known = {tuple(map(repr, r)) for r in docs.collect()}
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, str(tmp_path))
+        assert after.columns == docs.columns
+        got = after.collect()
+        assert {tuple(map(repr, r)) for r in got} <= known
+        before = spark.createDataFrame(got, docs.schema)
+        if name == "near_dedup":
+            assert sorted((repr(r.doc_id), (r.text or "")[:5]) for r in got) == sorted([("1", "w0 w1"), ("None", "a b c"), ("None", "d e f"), ("None", ""), ("5", long[:5]), ("7", "leake")])
+    assert sorted(repr(r.doc_id) for r in got) == ["1", "5", "None", "None", "None"]
+    last = corpus_pipeline.shard(spark, before, str(tmp_path))
+    assert last.count() == 5 and len(set(last.columns)) == len(last.columns) and set(docs.columns) <= set(last.columns)
+
+
 def test_slots_follow_the_mixture(spark, tmp_path):
     from convlake.llm import mixing
     from convlake.storage import store

@@ -113,15 +113,27 @@ def test_warc_ranges_find_each_record_once(tmp_path):
 
 
 def test_pfair_windows_and_lag():
-    weights = mixing.whole_weights({"a": 0.5, "b": 0.3, "c": 0.19, "d": 0.01}, 100)
-    assert sum(weights.values()) == 100
-    slots = mixing.period_slots(weights)
-    assert sorted(t for s in slots.values() for t in s) == list(range(100))
-    for s, own in slots.items():
-        for i, t in enumerate(own):
-            assert i * 100 // weights[s] <= t < -(-(i + 1) * 100 // weights[s])
-        for t in range(101):
-            assert abs(sum(x < t for x in own) - t * weights[s] / 100) < 1
+    """Irrational weights: no source is a block off its exact share at any slot of a phase, however long."""
+    from fractions import Fraction
+
+    sizes = [30_000, 10_000, 7_000, 3_001, 503, 1, 0]
+    weights = [n**0.5 for n in sizes[:-1]] + [1.0]
+    whole = mixing.whole_weights(weights)
+    assert all(Fraction(a, whole[0]) == Fraction(b) / Fraction(weights[0]) for a, b in zip(whole, weights))
+    slots, releases, deadlines = mixing.schedule(sizes, whole)
+    assert [slots.count(s) for s in range(len(sizes))] == sizes
+    assert all(r <= t < d for t, (r, d) in enumerate(zip(releases, deadlines)))
+    left, base = list(sizes), 0
+    done = [0] * len(sizes)
+    alive = [s for s, n in enumerate(left) if n]
+    for t, s in enumerate(slots, 1):
+        done[s] += 1
+        left[s] -= 1
+        total = sum(whole[x] for x in alive)
+        if t % 97 == 0 or not left[s]:
+            assert all(abs(done[x] - Fraction(whole[x] * (t - base), total)) < 1 for x in alive)
+        if not left[s]:
+            alive, base, done = [x for x in alive if left[x]], t, [0] * len(sizes)
 
 
 def test_edit_distance_equals_full_table():
@@ -160,3 +172,24 @@ def test_words_never_cross_texts():
     assert w.owner.tolist() == [0, 0, 1, 3, 3] and w.bounds.tolist() == [0, 2, 3, 3, 5]
 
 
+
+
+def test_warc_skips_payloads_without_inflating_them():
+    import io
+    import zlib
+
+    big = bytes(2_000_000)
+    records = [warc.record({"WARC-Type": t, "X-Page-ID": i}, big if i % 2 else b"small") for i, t in enumerate(["response", "revisit"] * 4)]
+    foreign = zlib.compressobj(1, zlib.DEFLATED, 31)
+    records.append(foreign.compress(b"WARC/1.1\r\nWARC-Type: revisit\r\nX-Page-ID: 8\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n") + foreign.flush())
+    data = b"".join(records)
+    for wanted, payload in ((lambda h: (h["warc-type"] == "response", True), b"small"), (lambda h: (True, False), None)):
+        inflated = []
+        got = list(warc.members(io.BytesIO(data), 0, len(data), wanted, inflated))
+        assert max(inflated) <= warc._HEAD and len(inflated) == 9
+        assert [int(h["x-page-id"]) for h, _ in got] == ([0, 2, 4, 6] if payload else list(range(9)))
+        assert {x for _, x in got} == {payload}
+    inflated = []
+    got = list(warc.members(io.BytesIO(data), 0, len(data), lambda h: (True, True), inflated))
+    assert [len(x) for _, x in got] == [5, 2_000_000] * 4 + [3] and sum(inflated) > 8_000_000
+    assert all(zlib.decompress(r, 31).startswith(b"WARC/1.1") for r in records)
