@@ -1,52 +1,68 @@
-"""The training-data pipeline: every stage works on all that the stage before kept, written as Parquet and read again."""
+"""The training-data pipeline: every stage works on all that the stage before kept, written as Parquet and read again.
+
+All stages keep every column of their rows: these travel in one struct, so that no name of a column clashes with a
+stage's own. Rows are told apart by their doc_id and a digest of their whole text; a null doc_id is an id of its own, a
+null text counts as empty. An empty table passes through every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from convlake.llm import decontamination, mixing, order_minhash, sharding, toxicity
+from convlake.llm.common import text_key
 from convlake.storage import partitions, scratch, store, table
 
 
-def _crc(text: str = "text"):
-    return F.crc32(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, key, text_key): a whole row in a struct, and what tells it apart."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("key"), text_key(F.col("text")).alias("text_key"))
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, CRC of the text) is not in ``gone``."""
-    marked = docs.withColumn("_crc", _crc())
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_gone")).distinct()
-    same = marked["_crc"].eqNullSafe(gone["_gone"]) & marked["doc_id"].eqNullSafe(gone["_id"])
-    return marked.join(gone, same, "left_anti").select(*docs.columns)
+def _same(a: DataFrame, b: DataFrame):
+    return a["key"].eqNullSafe(b["_key"]) & (a["text_key"] == b["_text"])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones, does not call toxic."""
+    """Documents that the classifier, trained on the labelled ones, does not call toxic.
+
+    Repeated rows are judged alike, one by one. Empty and null texts get the score of a text without features.
+    """
+    free = [c + "_" * (1 + max(map(len, docs.columns))) for c in ("score", "toxic")]  # longer than any name that is there
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, names=("_score", "_toxic")).where("_toxic = 0").select(*docs.columns)
+    return toxicity.score(docs, model, names=tuple(free)).where(F.col(free[1]) == 0).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the smallest doc_id."""
-    found = store(order_minhash.near_duplicates(docs), "near")
-    first = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_crc32"))).alias("f")).select("class_key", F.col("f.doc_id").alias("_id"), F.col("f.text_crc32").alias("_crc"))
-    other = found.where("class_size > 1").join(first, "class_key").where(~(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_crc32") == F.col("_crc"))))
-    kept = _without(docs, other.select("doc_id", "text_crc32"))
-    # Rows that agree in doc_id and text: one of them stays.
-    several = found.groupBy("doc_id", "text_crc32").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_gone"))
-    if several.isEmpty():
-        return kept
-    marked = kept.withColumn("_crc", _crc())
-    same = marked["_crc"].eqNullSafe(several["_gone"]) & marked["doc_id"].eqNullSafe(several["_id"])
-    once = marked.join(several, same, "left_anti").unionByName(marked.join(several, same, "left_semi").dropDuplicates(["doc_id", "_crc"]))
-    return once.select(*docs.columns)
+    """One document of each near-duplicate class: the one with the smallest doc_id, of these that with the smallest digest.
+
+    A null doc_id is larger than all others. Of rows that agree in doc_id and text, which may differ in other columns,
+    that with the smallest hash stays.
+    """
+    found = store(order_minhash.near_duplicates(docs.select("doc_id", "text")), "near")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("key"), F.col("text_key").alias("text"))
+    first = found.groupBy("class_key").agg(F.min(own).alias("f"), F.count(F.lit(1)).alias("n")).select("class_key", F.col("f.key").alias("_key"), F.col("f.text").alias("_text"), "n")
+    several = found.where("class_size > 1").join(first, "class_key")
+    here = F.col("doc_id").eqNullSafe(F.col("_key")) & (F.col("text_key") == F.col("_text"))
+    gone = several.where(~here).select(F.col("doc_id").alias("_key"), F.col("text_key").alias("_text")).distinct()
+    keyed = _keyed(docs)
+    kept = keyed.join(gone, _same(keyed, gone), "left_anti")
+    again = store(several.where(here).groupBy(F.col("doc_id").alias("_key"), F.col("text_key").alias("_text")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    if again.isEmpty():
+        return kept.select("row.*")
+    rank = F.row_number().over(W.partitionBy("key", "text_key").orderBy(F.xxhash64("row")))
+    once = kept.join(again, _same(kept, again), "left_semi").withColumn("rank", rank).where("rank = 1").drop("rank")
+    return kept.join(again, _same(kept, again), "left_anti").unionByName(once).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"))
+    """Documents without any window of a benchmark item; rows that agree in doc_id and text are judged alike."""
+    found = decontamination.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    gone = found.where("contaminated").select(F.col("doc_id").alias("_key"), F.col("text_key").alias("_text")).distinct()
+    keyed = _keyed(docs)
+    return keyed.join(gone, _same(keyed, gone), "left_anti").select("row.*")
 
 
 def _mixture(sf_dir: str) -> str:
@@ -55,17 +71,21 @@ def _mixture(sf_dir: str) -> str:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the files in the order of the mixture; a table in the shared folder has their positions."""
-    places = mixing.place(docs.withColumn("text_crc32", _crc())).select("doc_id", "text_crc32", F.col("mix_position").alias("position"))
+    """All documents, in the files in the order of the mixture; a table in the shared folder has their positions.
+
+    A null source is a source. Rows equal in doc_id and text take their places arbitrarily among themselves.
+    """
+    keyed = _keyed(docs).select("row", "key", "text_key", F.col("row.source").alias("source"))
+    narrow = mixing.place(keyed.drop("row"), "key", "source", "text_key")
     path = scratch(spark, "mixture")
-    places.write.parquet(path)
+    narrow.select("key", "text_key", F.col("mix_position").alias("position")).write.parquet(path)
     spark.conf.set(_mixture(sf_dir), path)
-    placed = mixing.place(docs)
-    return placed.repartitionByRange(max(1, partitions(spark)), "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    placed = mixing.place(keyed, "key", "source", "text_key")
+    return placed.repartitionByRange(max(1, partitions(spark)), "mix_position").sortWithinPartitions("mix_position").select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot; slots follow the mixture."""
+    """All documents with their shard and slot; slots follow the mixture. Columns named as the new ones give way to them."""
     path = spark.conf.get(_mixture(sf_dir), None)
     return sharding.shard_documents(docs, keep=True, order=spark.read.parquet(path) if path else None)
 
