@@ -6,7 +6,7 @@ ones joined. The features are the word 1- and 2-grams of known notices with such
 multinomial logistic regression tells licence families from prose by them. It is trained on notices of each family inside
 scraps of prose, on sentences that only speak of licences, and on bounded samples of the corpus's own lines, those that
 share some words with a notice among them. The probability from which a family is believed comes from all lines of
-the corpus that no template confirms; below it a paragraph is unknown. A believed family must also share enough words
+the corpus in paragraphs that are far from every template; below it a paragraph is unknown. A believed family must also share enough words
 with one of its templates.
 """
 
@@ -57,9 +57,9 @@ NOT_NOTICES = (
 )
 #: Ordinary lines and lines with some words of a notice that are drawn, and scraps around each notice.
 SAMPLE_LINES, VARIANTS = 3_000, 30
-#: Share of the lines with words of a notice, but too few for any template, that may be believed to be notices.
+#: Share of the lines with words of a notice, in paragraphs far from any template, that may be believed to be notices.
 FALSE_ALARMS = 0.001
-#: Share of a template's words that a paragraph must hold; lines that hold less than SOME are examples of no notice.
+#: Share of a template's words that a notice must hold; lines of paragraphs that hold less than SOME are examples of no notice.
 OVERLAP, SOME = 0.7, 0.35
 #: A word is ordinary from this share of all lines on.
 COMMON = 0.005
@@ -168,25 +168,26 @@ def _confirmed() -> Column:
 def train(spark: SparkSession, every: DataFrame, held: DataFrame, rare: set[str]) -> LicenceModel:
     """``every`` has the corpus's lines, ``held`` the units with a word of ``rare``."""
     draw = lambda rows: [r.words for r in rows.select("words").distinct().orderBy(F.xxhash64("words"), "words").limit(SAMPLE_LINES).collect()]
-    likely = held.where(overlap() < SOME)
+    likely = held.where(F.col("most") < SOME)
     some = F.pmod(F.xxhash64("words"), F.lit(max(1, every.count() // (20 * SAMPLE_LINES))))  # so that few rows are ordered
     ordinary = draw(every.where((some == 0) & ~F.col("cue") & ~F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(rare) or [""]]))))
     rows = spark.createDataFrame(training_rows(ordinary, draw(likely)), "words array<string>, label int")
     counts = CountVectorizerModel.from_vocabulary(features(rare) or ["licence"], "grams", "features").setBinary(True)
     regression = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40, labelCol="label", featuresCol="features")
     model = Pipeline(stages=[counts, regression]).fit(rows.withColumn("grams", grams(F.col("words"))))
-    alarms = LicenceModel(model).predict(held.where(overlap() < OVERLAP)).agg(F.percentile_approx("probability", F.lit(1 - FALSE_ALARMS), F.lit(100_000))).first()[0]
+    alarms = LicenceModel(model).predict(likely).agg(F.percentile_approx("probability", F.lit(1 - FALSE_ALARMS), F.lit(100_000))).first()[0]
     return LicenceModel(model, min(0.99, max(0.5, (alarms or 0.0) + 1e-9)))
 
 
 def joined_lines(held: DataFrame) -> DataFrame:
-    """``held`` and, of each paragraph, its neighbouring lines (at most one other between two) joined."""
+    """``held`` and, of each paragraph, its neighbouring lines (at most one other between two) joined; ``most`` is the paragraph's largest ``overlap``."""
     by = ["doc_id", "text_key", "paragraph"]
     order = W.partitionBy(*by).orderBy("line")
     new = F.coalesce(F.col("line") - F.lag("line").over(order) > 2, F.lit(True))
     runs = held.withColumn("run", F.sum(new.cast("int")).over(order))
     whole = runs.groupBy(*by, "run").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("line", "words"))).alias("l")).where("n > 1")
-    return held.select(*by, "words").unionByName(whole.select(*by, F.flatten(F.transform("l", lambda x: x["words"])).alias("words")))
+    units = held.select(*by, "words").unionByName(whole.select(*by, F.flatten(F.transform("l", lambda x: x["words"])).alias("words")))
+    return units.withColumn("most", F.max(overlap()).over(W.partitionBy(*by)))
 
 
 def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
