@@ -41,7 +41,8 @@ STATUS_WORDS = (
     "not none unknown lost forgotten n/a null blank working broken fine ok okay good bad active locked disabled blocked banned hacked suspended changed new "
     "old same different invalid correct wrong missing private public already still apple google android iphone ios windows mac".split()
 )
-GREETED = ("customer_name", "customer_username", "there", "team", "everyone", "guys", "apple", "amazon", "google", "playstation")
+#: Names after a greeting that stay: fixed values, brands aside.
+GREETED = ("apple", "amazon", "google", "playstation", "customer_name", "customer_username", "there", "team", "everyone", "guys")
 TRUE_SPELLINGS, FALSE_SPELLINGS = ("true", "1", "1.0", "yes", "t", "y"), ("false", "0", "0.0", "no", "f", "n")
 _TOKEN_END = r"(?![A-Za-z0-9_]|[.-][A-Za-z0-9_])"
 _WORD = "[a-zA-ZÀ-ɏ]+"
@@ -49,7 +50,7 @@ _OTHER_SCRIPT = "[Ѐ-ӿ؀-ۿ一-鿿぀-ヿ가-힯฀-๿]"
 
 
 def _any(words: Iterable[str]) -> str:
-    return "|".join(w.replace("/", "/") for w in words)
+    return "|".join(words)
 
 
 def _in(words: Column, known: Sequence[str]) -> Column:
@@ -57,6 +58,11 @@ def _in(words: Column, known: Sequence[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*known)))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for each row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strict_boolean(c: Column) -> Column:
     """True or false from the known spellings; null is false; any other spelling fails."""
     low = F.lower(F.trim(c.cast("string")))
@@ -77,6 +83,9 @@ def composite_key(*parts: Column) -> Column:
     return F.concat_ws(":", *parts)
 
 
+# The patterns of the redactions below, the phrases of the flags and the reasons of the language rules are fixed values.
+
+
 def redact_placeholders(c: Column) -> Column:
     c = F.regexp_replace(c, r"id::\d+__credit_card__:", "[CREDIT_CARD_REDACTED]:")
     for name in ("credit_card", "email", "phone"):
@@ -203,11 +212,15 @@ def language_state(text: Column, prior: Column | None = None, english: Sequence[
     ``prior`` is their text, null or missing if there are none. Words count with repetition.
     """
     prior = F.lit(None).cast("string") if prior is None else prior
-    clean = F.coalesce(clean_inquiry(text), F.lit(""))
-    words = F.regexp_extract_all(F.lower(clean), F.lit(_WORD), 0)
-    before = F.regexp_extract_all(F.lower(clean_inquiry(prior)), F.lit(_WORD), 0)
-    n, eng, non, com = F.size(words), _in(words, english), _in(words, other), _in(words, common)
-    known = _in(words, tuple({*english, *common, *followups})) == n
+    taken = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_WORD), 0)
+    tally = lambda w: F.struct(F.size(w).alias("n"), *[_in(w, ws).alias(k) for k, ws in (("eng", english), ("non", other), ("com", common), ("known", (*english, *common, *followups)))])
+    return _let(F.coalesce(clean_inquiry(text), F.lit("")), lambda clean: _let(_let(taken(clean), tally), lambda c: _language_rules(clean, c, prior, english, other, taken)))
+
+
+def _language_rules(clean: Column, counts: Column, prior: Column, english: Sequence[str], other: Sequence[str], taken) -> Column:
+    n, eng, non, com = (counts[k] for k in ("n", "eng", "non", "com"))
+    known = counts["known"] == n
+    before = taken(clean_inquiry(prior))
     context = (n <= 3) & prior.isNotNull() & known & (_in(before, english) >= 2) & (_in(before, other) == 0)
 
     def out(state: str, score, reason: str) -> Column:

@@ -27,6 +27,15 @@ def join_violations(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.select(key, problem.alias("problem")).where("problem is not null")
 
 
+def unblind(rows: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``mapping``; rows that it lacks stay, with nulls. A key that it has twice fails the job."""
+    twice = F.raise_error(F.concat(F.lit("mapped twice: "), F.col(key).cast("string")))
+    one = mapping.groupBy(key).agg(*[F.first(c).alias(c) for c in mapping.columns if c != key], F.count(F.lit(1)).alias("_n"))
+    first = next(c for c in mapping.columns if c != key)
+    checked = one.withColumn(first, F.when(F.col("_n") > 1, twice.cast(mapping.schema[first].dataType)).otherwise(F.col(first))).drop("_n")
+    return rows.join(checked, key, "left")
+
+
 def checked_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner join that fails with the number of violations if the sides are not one to one."""
     bad = join_violations(left, right, key).count()

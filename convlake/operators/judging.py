@@ -14,7 +14,7 @@ MEASURES = ("relevance", "grounding", "usefulness", "tone")
 
 @dataclass(frozen=True)
 class Rubric:
-    """Patterns and phrases of the heuristic judge; ``version`` 2 also calls bare acknowledgements unhelpful."""
+    """Patterns and phrases of the heuristic judge, whose three patterns and the ladder of scores are fixed values; ``version`` 2 also calls bare acknowledgements unhelpful."""
 
     refund: str = r"\b(refund issued|guarantee.*refund|money back guaranteed|issued a refund)\b"
     outage: str = r"\b(server outage confirmed|confirmed.*outage|system is down globally)\b"
@@ -114,6 +114,30 @@ def coverage(replayed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return replayed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("status") == s).alias(s) for s in ("hit", "stale", "missing", "failed")])
 
 
+def score_systems(systems: dict[str, DataFrame], gold: DataFrame, key: str, rubric: Rubric = Rubric()) -> DataFrame:
+    """One long table of all systems: a row per system and example of ``gold``, with the rubric's scores of its prediction.
+
+    ``systems`` maps names to predictions (``key``, label, escalated, reply), ``gold`` has ``key``, message, gold_escalate. An
+    example that a system lacks has no row.
+    """
+    every = None
+    for name, p in systems.items():
+        part = p.select(F.lit(name).alias("system_id"), key, "label", "escalated", "reply")
+        every = part if every is None else every.unionByName(part)
+    joined = every.join(gold.select(key, "message", "gold_escalate"), key)
+    return joined.select("system_id", key, rubric_scores(F.col("message"), F.col("label"), F.col("escalated"), F.col("reply"), F.col("gold_escalate"), rubric).alias("s")).select("system_id", key, "s.*")
+
+
+def critical_confusion(ratings: DataFrame, judged: DataFrame, key: tuple[str, ...], flag: str = "critical_error") -> DataFrame:
+    """One row: how often a human's critical flag (text) and the judge's agree, and how they differ; unrated rows are left out."""
+    from ..functions.text import strict_boolean
+    from .metrics import binary_metrics
+
+    rated = ratings.where(F.trim(F.coalesce(F.col(f"{flag}_human"), F.lit(""))) != "").select(*key, strict_boolean(F.col(f"{flag}_human")).alias("_gold"))
+    joined = rated.join(judged.select(*key, F.col(flag).alias("_judge")).where("_judge is not null"), list(key))
+    return joined.agg(F.count(F.lit(1)).alias("n"), *binary_metrics(F.col("_gold"), F.col("_judge"))[:4])
+
+
 def human_agreement(ratings: DataFrame, judged: DataFrame, key: tuple[str, ...], expected: int) -> DataFrame:
     """(measure, status, n, agreement, kappa) of human ratings (text, blank: unrated) and the judge; not measured before all are rated."""
     from .metrics import weighted_kappa

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -38,7 +39,8 @@ def reason_counts(rows: DataFrame, reason: str, prefixes: Sequence[str] = ()) ->
 def distribution(rows: DataFrame, label: str) -> DataFrame:
     """Rows and share of each label."""
     n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
+    total = n.agg(F.sum("n").alias("_all"))
+    return n.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_all")).drop("_all")  # one row
 
 
 def flag_counts(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
@@ -101,18 +103,19 @@ def weighted_kappa(rows: DataFrame, a: str, b: str, least: int = 0, most: int =
 def cluster_bootstrap(rows: DataFrame, cluster: str, values: Sequence[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
     """(measure, low, high): the middle 95 % of a mean when whole clusters are drawn with replacement.
 
-    Clusters are summed first. A draw is a hash of (replicate, position), so runs agree; draws are spread over tasks.
+    Clusters are summed first. How often a replicate draws a cluster is a Poisson number, from a hash of (replicate,
+    cluster), so runs agree, nothing is joined and each task adds up its clusters before the shuffle.
     """
-    sums = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(v) for v in values])
-    n = sums.count()
-    if not n:
-        return rows.sparkSession.createDataFrame([], "measure string, low double, high double")
-    from .selection import global_rank
-
-    numbered = global_rank(sums, F.md5(F.col(cluster).cast("string")), cluster).withColumn("_pick", F.col("_rank") - 1).drop("_rank", cluster)
-    spark = rows.sparkSession
-    draws = spark.range(replicates * n).select((F.col("id") / n).cast("long").alias("replicate"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("_pick"))
-    per = draws.join(numbered, "_pick").groupBy("replicate").agg(*[(F.sum(v) / F.sum("_n")).alias(v) for v in values])
+    sums = rows.groupBy(F.col(cluster).alias("_cluster")).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(v) for v in values])
+    each = sums.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    unit = (F.shiftrightunsigned(F.xxhash64("replicate", "_cluster", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    below, term, times = 0.0, math.exp(-1.0), F.lit(0)
+    for k in range(1, 20):  # beyond, the chance is under 1e-18
+        below += term
+        term /= k
+        times = times + (unit > below).cast("int")
+    drawn = each.withColumn("_times", times).where("_times > 0")
+    per = drawn.groupBy("replicate").agg(*[(F.sum(F.col(v) * F.col("_times")) / F.sum(F.col("_n") * F.col("_times"))).alias(v) for v in values])
     long = per.select(F.explode(F.array(*[F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("mean")) for v in values])).alias("m")).select("m.*")
     ranked = long.withColumn("_k", F.row_number().over(W.partitionBy("measure").orderBy("mean")) - 1)  # ``replicates`` rows a measure
     pick = lambda share: F.max(F.when(F.col("_k") == int(share * replicates), F.col("mean")))
@@ -140,8 +143,8 @@ def scorecard(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
     """Balanced weight n / (classes * n_class) of each label."""
     n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    every = W.partitionBy()  # one row a label
-    return n.withColumn("weight", F.sum("n").over(every) / (F.count(F.lit(1)).over(every) * F.col("n")))
+    total = n.agg(F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_labels"))
+    return n.crossJoin(F.broadcast(total)).withColumn("weight", F.col("_all") / (F.col("_labels") * F.col("n"))).drop("_all", "_labels")  # one row
 
 
 def majority(rows: DataFrame, label: str) -> DataFrame:

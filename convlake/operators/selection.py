@@ -79,16 +79,33 @@ def global_rank(rows: DataFrame, order: Column, tie: str, group: str | None = No
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_lead").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     shift = sizes.select(*keys, "_lead", before.alias("_before"))
     own = F.row_number().over(W.partitionBy(*keys, "_lead").orderBy("_order", tie))
-    return cut.withColumn("_own", own).join(F.broadcast(shift), [*keys, "_lead"]).withColumn("_rank", F.col("_before") + F.col("_own")).drop("_order", "_lead", "_own", "_before")
+    return cut.withColumn("_own", own).join(shift, [*keys, "_lead"]).withColumn("_rank", F.col("_before") + F.col("_own")).drop("_order", "_lead", "_own", "_before")
 
 
-def until_quota(rows: DataFrame, group: str, flag: Column, order: Sequence[Column], least_flagged: int, least: int) -> DataFrame:
-    """Rows of each group in order until both quotas were met before them."""
-    w = W.partitionBy(group).orderBy(*order)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    seen = F.coalesce(F.sum(flag.cast("int")).over(before), F.lit(0))
-    number = F.row_number().over(w) - 1
-    return rows.withColumn("sequence", F.row_number().over(w)).withColumn("_open", (seen < least_flagged) | (number < least)).where("_open").drop("_open")
+def until_quota(rows: DataFrame, group: str, flag: Column, order: Column, tie: str, least_flagged: int, least: int, digits: int = 2) -> DataFrame:
+    """Rows of each group in order until both quotas were met before them, with their ``sequence``.
+
+    ``order`` is a hexadecimal key as for ``global_rank``: counts per leading digits shift sums that are taken within them,
+    so a group needs not fit one task; leading digits that begin after both quotas are left out before.
+    """
+    cut = rows.withColumn("_order", order).withColumn("_lead", F.substring("_order", 1, digits)).withColumn("_flag", F.coalesce(flag.cast("int"), F.lit(0)))
+    sizes = cut.groupBy(group, "_lead").agg(F.count(F.lit(1)).alias("_n"), F.sum("_flag").alias("_f"))
+    before = W.partitionBy(group).orderBy("_lead").rowsBetween(W.unboundedPreceding, -1)
+    shift = sizes.select(group, "_lead", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_f")])
+    open_ = (F.col("_f_before") < least_flagged) | (F.col("_n_before") < least)
+    own = W.partitionBy(group, "_lead").orderBy("_order", tie)
+    seen = F.col("_f_before") + F.coalesce(F.sum("_flag").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    part = cut.join(shift.where(open_), [group, "_lead"]).withColumn("sequence", (F.col("_n_before") + F.row_number().over(own)).cast("int")).withColumn("_seen", seen)
+    return part.where((F.col("_seen") < least_flagged) | (F.col("sequence") <= least)).select(*rows.columns, "sequence")
+
+
+def feature_quota(rows: DataFrame, strata: Sequence[tuple[str, Column]], order: Sequence[Column], n: int = 10, name: str = "stratum") -> DataFrame:
+    """``n`` rows of each stratum in order; a row belongs to the first stratum whose test it passes, without any to none."""
+    label = F.lit(None).cast("string")
+    for s, test in reversed(strata):
+        label = F.when(test, s).otherwise(label)
+    marked = rows.withColumn(name, label).where(F.col(name).isNotNull())
+    return first_per_group(marked, [name], order, n)
 
 
 def replay(rows: DataFrame, manifest: DataFrame, key: str, reply: str) -> DataFrame:
@@ -102,11 +119,11 @@ def sequence_label(prefix: Column, number: Column, kind: str = "CONV") -> Column
 
 
 def stratified(rows: DataFrame, label: str, key: str, share: float, seed: int = 42, names: tuple[str, str] = ("train", "validation")) -> DataFrame:
-    """An exact share of each label in ``names[0]``, by a seeded order."""
-    w = W.partitionBy(label)
-    cut = F.round(F.lit(share) * F.count(F.lit(1)).over(w))
-    own = F.row_number().over(w.orderBy(shuffle_key(key, seed), key))
-    return rows.withColumn("split", F.when(own <= cut, names[0]).otherwise(names[1]))
+    """An exact share of each label in ``names[0]``, by a seeded order; rows without a label are left out. A label needs not fit one task."""
+    cut = rows.groupBy(label).agg(F.round(F.lit(share) * F.count(F.lit(1))).alias("_cut")).withColumnRenamed(label, "_label")
+    ranked = global_rank(rows, shuffle_key(key, seed), key, label)
+    joined = ranked.join(cut, ranked[label] == cut["_label"])
+    return joined.withColumn("split", F.when(F.col("_rank") <= F.col("_cut"), names[0]).otherwise(names[1])).select(*rows.columns, "split")
 
 
 def drop_repeats(rows: DataFrame, text: str, order: Sequence[Column], fold_case: bool = True) -> DataFrame:

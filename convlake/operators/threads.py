@@ -61,19 +61,24 @@ def ancestor_paths(messages: DataFrame, targets: DataFrame, brand: str) -> DataF
     """``targets`` (tweet_id) with ``path``, the turns from the root to the target, and ``reason`` for those rejected.
 
     Siblings and later turns never enter. Reasons: MISSING_PARENT, CYCLE_DETECTED, DUPLICATE_ID, NOT_A_CUSTOMER_TURN.
-    Chains of ids double in length each round, so rounds grow with the logarithm of the depth; texts are joined once, at the end.
+    What is listed starts from the targets alone and doubles in each round: the turns so far and, by pointers over as many
+    replies, as many above them. So rounds grow with the logarithm of the depth and rows with what comes out; texts are
+    joined once, at the end.
     """
     turn = F.struct("tweet_id", "author_id", F.col("inbound").cast("int").alias("inbound"), "created_at", "text", "in_response_to_tweet_id")
     by_id = messages.groupBy("tweet_id").agg(F.min(turn).alias("turn"), F.countDistinct(turn).alias("n"))
     roots = resolve_roots(messages)
     chosen = targets.select("tweet_id").distinct().join(roots, "tweet_id")
     deepest = chosen.where("flag is null").agg(F.max("depth")).first()[0] or 0
-    parent = messages.groupBy("tweet_id").agg(F.min(F.struct("in_response_to_tweet_id")).alias("_p")).select("tweet_id", F.col("_p.in_response_to_tweet_id").alias("next"))
-    chain = roots.where("flag is null").select("tweet_id").join(parent, "tweet_id").select("tweet_id", F.array("tweet_id").alias("ids"), "next")
-    for _ in range(deepest.bit_length()):
-        above = chain.select(F.col("tweet_id").alias("next"), F.col("ids").alias("_ids"), F.col("next").alias("_next"))
-        chain = store(chain.join(above, "next", "left").select("tweet_id", F.concat("ids", F.coalesce("_ids", F.array().cast("array<string>"))).alias("ids"), F.col("_next").alias("next")), "chains")
-    steps = chain.join(chosen.where("flag is null").select("tweet_id"), "tweet_id").select(F.col("tweet_id").alias("target"), F.posexplode("ids").alias("hops", "tweet_id"))
+    parent = messages.groupBy("tweet_id").agg(F.min(F.struct("in_response_to_tweet_id")).alias("_p")).select("tweet_id", F.col("_p.in_response_to_tweet_id").alias("up")).where("up is not null")
+    steps = chosen.where("flag is null").select(F.col("tweet_id").alias("target"), "tweet_id", F.lit(0).cast("long").alias("hops"))
+    for k in range(deepest.bit_length()):
+        if k:
+            twice = parent.select(F.col("tweet_id").alias("up"), F.col("up").alias("_up"))
+            parent = parent.join(twice, "up").select("tweet_id", F.col("_up").alias("up"))
+        parent = store(parent, "pointers")
+        above = steps.join(parent, "tweet_id").select("target", F.col("up").alias("tweet_id"), (F.col("hops") + 2**k).alias("hops"))
+        steps = store(steps.unionByName(above), "steps")
     whole = steps.join(by_id, "tweet_id").groupBy("target").agg(F.array_sort(F.collect_list(F.struct((-F.col("hops")).alias("at"), "turn"))).alias("_p"), F.max("n").alias("n"))
     path = F.transform("_p", lambda t: t["turn"])
     done = chosen.join(whole.select(F.col("target").alias("tweet_id"), path.alias("path"), "n"), "tweet_id", "left")

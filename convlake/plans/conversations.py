@@ -55,6 +55,40 @@ def thread_turns(spark, sf_dir):
     return t.select("root", F.col("n_turns").cast("long").alias("n_turns"), "is_complete", F.array_join(F.transform("turns", lambda x: x["tweet_id"]), ",").alias("turn_ids"))
 
 
+def thread_turns_by_time(spark, sf_dir):
+    """Threads in order of their turns' times, which differs from that of their ids; one time in eleven can't be read."""
+    minute = F.pmod(F.col("tweet_id").cast("long") * 7, F.lit(60)).cast("string")
+    at = F.when(F.col("tweet_id").cast("long") % 11 == 0, "some day").otherwise(F.concat(F.lit("Tue Nov 07 10:"), F.lpad(minute, 2, "0"), F.lit(":00 +0000 2017")))
+    m = messages(spark, sf_dir).withColumn("created_at", at)
+    t = threads.collect_threads(m, threads.resolve_roots(m), X.message_epoch(F.col("created_at")))
+    return t.select("root", F.col("n_turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", lambda x: x["tweet_id"]), ",").alias("turn_ids"))
+
+
+def found_replies(spark, sf_dir):
+    """Replies of each message, looked up by their parent."""
+    m = messages(spark, sf_dir)
+    return joins.lookup(m.select(F.col("tweet_id").alias("id")), m.select(F.col("tweet_id").alias("reply_id"), "in_response_to_tweet_id"), "id", "in_response_to_tweet_id").select("id", "reply_id")
+
+
+def cited_sources(spark, sf_dir):
+    """Each message with the sources that its prediction cites; replies have none."""
+    m = messages(spark, sf_dir)
+    p = scoring.rule_baseline(m.where("inbound"), "tweet_id", "text", None, POLICY, ESCALATE, ("access",), ("KB-8", "Thanks for writing.")).withColumnRenamed("example_id", "tweet_id")
+    return joins.evidence_text(m.select("tweet_id"), p, "tweet_id", "retrieved_source_ids")
+
+
+def pair_overlap(spark, sf_dir):
+    """Token Jaccard of each customer's message and its reply."""
+    p = joins.reply_pairs(messages(spark, sf_dir), BRAND)
+    return p.select("customer_id", "reply_id", F.round(X.token_jaccard(X.normalise(F.col("customer_text")), X.normalise(F.col("reply_text"))), 6).alias("jaccard"))
+
+
+def review_sample(spark, sf_dir):
+    """Ten documents of each language state for review."""
+    s = language_states(spark, sf_dir).select("doc_id", "state")
+    return selection.first_per_group(s, ["state"], [selection.shuffle_key("doc_id"), F.col("doc_id")], 10).select("doc_id", "state", F.col("rank").cast("long").alias("rank"))
+
+
 def transcripts(spark, sf_dir):
     m = messages(spark, sf_dir)
     t = threads.collect_threads(m, threads.resolve_roots(m))
@@ -96,8 +130,8 @@ def redact_emails(spark, sf_dir):
 
 def redact_all(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    once = X.redact(F.col("text"), ["brandcares"])
-    return d.select("doc_id", F.md5(once).alias("redacted_md5"), X.snippet(F.col("text"), 40).alias("snippet"))
+    once = d.select("doc_id", X.redact(F.col("text"), ["brandcares"]).alias("t"))
+    return once.select("doc_id", F.md5("t").alias("redacted_md5"), F.substring("t", 1, 40).alias("snippet"))
 
 
 def normalised(spark, sf_dir):
@@ -117,7 +151,7 @@ def language_distribution(spark, sf_dir):
 
 def usable_training_texts(spark, sf_dir):
     m = messages(spark, sf_dir)
-    return m.where(X.mentions(F.col("text"), F.col("inbound"), ["the", "der"]) | F.col("inbound")).select("tweet_id", X.usable_for_training(F.col("text")).alias("usable"))
+    return m.where(X.mentions(F.col("text"), F.col("inbound"), ["the", "der"])).select("tweet_id", X.usable_for_training(F.col("text")).alias("usable"))
 
 
 def rule_predictions(spark, sf_dir):
@@ -169,6 +203,7 @@ SELECT doc_id, lang, CASE WHEN reason IN ('non_latin_script','non_english_stopwo
  NOT (text='' OR length(c)<4 OR nw<2) AS interpretable, CASE WHEN text='' THEN 'empty_message' WHEN length(c)=0 THEN 'inquiry_too_short_or_empty' WHEN length(c)>=4 AND nw>=2 THEN 'valid' WHEN length(c)<4 THEN 'inquiry_too_short_or_empty' ELSE 'insufficient_content_words' END AS why FROM r"""
 
 
+_NORMAL_TOKENS = r"list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text),'https?://\S+','','g'),'@[a-z0-9_]+','','g'),'[^\p{L}\p{M}\p{N}_\s]',' ','g'),'\s+',' ','g')),' '), lambda x: x<>''))"
 _FIRST = """f AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn, CAST(reply_id AS BIGINT)) AS rn FROM p) WHERE rn=1)"""
 SQL = {
     "reply_pairs": f"WITH {MESSAGES_SQL}, {PAIRS_SQL} SELECT customer_id, reply_id, customer_text, reply_text FROM p",
@@ -182,6 +217,13 @@ SELECT CAST(conv_id*1000 AS VARCHAR) AS group_id, customer_id, reply_id, 'brand:
  bool_or(contains(trim(text),'...') OR ends_with(trim(text),' w')) AS partial_text FROM x GROUP BY conv_id, customer_id, reply_id""",
     "thread_roots": f"WITH {MESSAGES_SQL} SELECT tweet_id, CAST(conv_id*1000 AS VARCHAR) AS root, turn AS depth, CAST(NULL AS VARCHAR) AS flag FROM m",
     "thread_turns": f"WITH {MESSAGES_SQL} SELECT CAST(conv_id*1000 AS VARCHAR) AS root, count(*) AS n_turns, true AS is_complete, string_agg(tweet_id, ',' ORDER BY turn) AS turn_ids FROM m GROUP BY conv_id",
+    "thread_turns_by_time": f"WITH {MESSAGES_SQL}, t AS (SELECT *, CASE WHEN CAST(tweet_id AS BIGINT)%11=0 THEN -1 ELSE (CAST(tweet_id AS BIGINT)*7)%60 END AS minute_ FROM m) SELECT CAST(conv_id*1000 AS VARCHAR) AS root, count(*) AS n_turns, string_agg(tweet_id, ',' ORDER BY minute_, turn) AS turn_ids FROM t GROUP BY conv_id",
+    "found_replies": f"WITH {MESSAGES_SQL} SELECT parent AS id, tweet_id AS reply_id FROM m WHERE parent IS NOT NULL",
+    "cited_sources": f"""WITH {MESSAGES_SQL}, c AS (SELECT tweet_id, inbound, {_CASE} AS label FROM (SELECT tweet_id, inbound, ' '||text AS text FROM m))
+SELECT tweet_id, CASE WHEN NOT inbound THEN '(none)' ELSE CASE label {' '.join(f"WHEN '{r.label}' THEN '{r.source}'" for r in POLICY.rules)} ELSE 'KB-8' END END AS evidence FROM c""",
+    "pair_overlap": f"""WITH {MESSAGES_SQL}, {PAIRS_SQL}, n AS (SELECT customer_id, reply_id, {_NORMAL_TOKENS.replace('text', 'customer_text')} AS a, {_NORMAL_TOKENS.replace('text', 'reply_text')} AS b FROM p)
+SELECT customer_id, reply_id, round(CASE WHEN len(a)=0 OR len(b)=0 THEN 0.0 ELSE len(list_intersect(a,b))/len(list_distinct(list_concat(a,b))) END, 6) AS jaccard FROM n""",
+    "review_sample": f"SELECT * FROM (SELECT doc_id, state, row_number() OVER (PARTITION BY state ORDER BY md5('42:'||CAST(doc_id AS VARCHAR)), doc_id) AS rank FROM ({_language_sql()})) WHERE rank<=10",
     "transcripts": f"WITH {MESSAGES_SQL} SELECT CAST(conv_id*1000 AS VARCHAR) AS root, md5('## '||CAST(conv_id*1000 AS VARCHAR)||chr(10)||string_agg('- **'||author_id||'**: '||text, chr(10) ORDER BY turn)||chr(10)) AS transcript_md5 FROM m GROUP BY conv_id",
     "message_profile": f"""WITH {MESSAGES_SQL} SELECT count(*) AS n_rows, count(*)-count(tweet_id) AS nulls_tweet_id, count(*)-count(author_id) AS nulls_author_id, count(*)-count(inbound) AS nulls_inbound, count(*)-count(text) AS nulls_text,
  count(*)-count(parent) AS nulls_in_response_to_tweet_id, count(*) FILTER (inbound) AS n_inbound, count(*) FILTER (NOT inbound) AS n_outbound FROM m""",
@@ -201,7 +243,7 @@ SELECT doc_id, md5(n) AS normal_md5, array_to_string(list_sort(list_distinct(lis
  array_to_string(list_sort(list_filter(list_distinct(string_split(lower(n),' ')), lambda x: x IN ('not','no','never','cant','cannot','wont','dont','isnt','didnt','neither','nor','without','unable'))),',') AS negations FROM t""",
     "language_states": _language_sql(),
     "language_distribution": f"SELECT lang, state, count(*) AS n FROM ({_language_sql()}) GROUP BY ALL",
-    "usable_training_texts": f"WITH {MESSAGES_SQL} SELECT tweet_id, {_USABLE} AS usable FROM m WHERE inbound",
+    "usable_training_texts": f"WITH {MESSAGES_SQL} SELECT tweet_id, {_USABLE} AS usable FROM m WHERE inbound AND (contains(lower(text),'the') OR contains(lower(text),'der'))",
     "rule_predictions": f"""WITH {MESSAGES_SQL}, c AS (SELECT tweet_id, ' '||text AS text, {_CASE} AS label FROM m WHERE inbound),
 e AS (SELECT *, regexp_matches(text, '{unicode_words(ESCALATE)}') AS s FROM c)
 SELECT tweet_id AS example_id, label AS predicted_intent, s OR label='access' AS predicted_must_escalate, CASE label {' '.join(f"WHEN '{r.label}' THEN '{r.reply}'" for r in POLICY.rules)} ELSE 'Thanks for writing.' END AS predicted_reply,
@@ -213,4 +255,4 @@ SELECT tweet_id AS example_id, t.label AS predicted_intent, true AS predicted_mu
 d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY rk, num) AS r FROM u) WHERE r=1), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY rk, num) AS rank FROM d)
 SELECT tweet_id, label, CAST(CASE label {' '.join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(POLICY.labels))} END AS BIGINT) AS label_id, rank FROM k WHERE rank<=25""",
 }
-QUERIES = {f.__name__: f for f in (reply_pairs, candidates, thread_roots, thread_turns, transcripts, message_profile, top_authors, thread_exclusions, quality_flags, page_links, redact_emails, redact_all, normalised, language_states, language_distribution, usable_training_texts, rule_predictions, majority_predictions, weak_labels)}
+QUERIES = {f.__name__: f for f in (reply_pairs, candidates, thread_roots, thread_turns, thread_turns_by_time, found_replies, cited_sources, pair_overlap, review_sample, transcripts, message_profile, top_authors, thread_exclusions, quality_flags, page_links, redact_emails, redact_all, normalised, language_states, language_distribution, usable_training_texts, rule_predictions, majority_predictions, weak_labels)}

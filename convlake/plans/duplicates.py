@@ -94,6 +94,24 @@ def split_audit(spark, sf_dir):
     )
 
 
+def separated_copies(spark, sf_dir):
+    """Expected pairs that are not in one cluster: each document with the first of its text, and with the next document."""
+    d = table(spark, sf_dir, "documents")
+    first = d.groupBy("text").agg(F.min("doc_id").alias("a"))
+    same = d.join(first, "text").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    following = d.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
+    return similarity.missing_pairs(same.unionByName(following).distinct(), _members(spark, sf_dir))
+
+
+def manifest_audit(spark, sf_dir):
+    """Violations of a manifest in which clusters, checksums and keys were damaged."""
+    members = store(_members(spark, sf_dir), "members")
+    k = F.col("key")
+    m = members.select(F.when(k % 79 == 0, F.lit(None)).otherwise(k).alias("key"), F.when(k % 89 == 0, "cluster_x").otherwise(F.col("cluster_id")).alias("cluster"), F.when(k % 83 == 0, "other").otherwise("good").alias("source_sha256"))
+    rest = m.where("key is not null")
+    return audits.union(audits.unique_key(m, "key"), audits.uniform(rest, "source_sha256", "good", "key"), audits.recorded_clusters(rest.withColumnRenamed("key", "doc_id"), members.withColumnRenamed("key", "doc_id"), "doc_id", "cluster"))
+
+
 _PROFILE = r"""t AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text),'https?://\S+','','g'),'@[a-z0-9_]+','','g'),'[^\p{L}\p{M}\p{N}_\s]',' ','g'),'\s+',' ','g')) AS normal FROM documents),
 pr AS (SELECT doc_id AS key, normal, list_sort(list_distinct(list_filter(string_split(normal,' '), lambda x: x<>''))) AS tokens,
  array_to_string(list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(lower(text),'\b(?:error|code|err)\s*#?([0-9a-zA-Z_-]+)\b',1), lambda x: regexp_matches(x,'[0-9]')), regexp_extract_all(lower(text),'\b0x[0-9a-f]+\b')))),',') AS codes,
@@ -123,6 +141,11 @@ SQL = {
     "kept_representatives": f"WITH RECURSIVE {_CLUSTERS} SELECT key AS doc_id FROM mem WHERE key=canonical",
     "restricted_clusters": f"WITH RECURSIVE {_CLUSTERS}, b AS (SELECT DISTINCT doc_id FROM labels WHERE toxic=1) SELECT key AS doc_id, cluster_id, count(b.doc_id) OVER w > 0 AS ineligible, count(b.doc_id) OVER w AS n_restricted FROM mem LEFT JOIN b ON b.doc_id=key WINDOW w AS (PARTITION BY cluster_id)",
     "spanning_clusters": f"WITH RECURSIVE {_CLUSTERS} SELECT cluster_id, count(DISTINCT source) AS n_partitions, count(*) AS n_rows FROM mem JOIN documents ON doc_id=key GROUP BY 1 HAVING count(DISTINCT source)>1",
+    "separated_copies": f"""WITH RECURSIVE {_CLUSTERS}, f AS (SELECT text, min(doc_id) AS a FROM documents GROUP BY text), x AS (SELECT a, doc_id AS b FROM documents JOIN f USING (text) WHERE doc_id<>a UNION SELECT doc_id, doc_id+1 FROM documents)
+SELECT a, b FROM x LEFT JOIN mem p ON p.key=a LEFT JOIN mem q ON q.key=b WHERE p.cluster_id IS DISTINCT FROM q.cluster_id""",
+    "manifest_audit": f"""WITH RECURSIVE {_CLUSTERS}, r AS (SELECT * FROM mem WHERE key%79<>0)
+SELECT 'key_present' AS "check", CAST(NULL AS VARCHAR) AS key, '' AS detail FROM mem WHERE key%79=0 UNION ALL SELECT 'uniform_source_sha256', CAST(key AS VARCHAR), 'other' FROM r WHERE key%83=0
+UNION ALL SELECT 'cluster_recorded', CAST(key AS VARCHAR), cluster_id FROM r WHERE key%89=0""",
     "split_documents": f'WITH {_SPLIT} SELECT doc_id, restricted, "partition" FROM sp',
     "split_overlap": f'WITH {_SPLIT} SELECT source, count(DISTINCT "partition") AS n_partitions, string_agg(DISTINCT "partition", \',\' ORDER BY "partition") AS partitions FROM sp GROUP BY 1 HAVING count(DISTINCT "partition")>1',
     "split_shortfall": f"""WITH {_SPLIT}, w(p, target) AS (VALUES ('dev', 60), ('eval_pool', 200), ('historical', 500)), n AS (SELECT "partition" AS p, count(*) AS n FROM sp GROUP BY 1)
@@ -132,4 +155,4 @@ SELECT 'unique_key' AS "check", CAST(doc_id AS VARCHAR) AS key, CAST(count(*) AS
 UNION ALL SELECT 'same_rows', CAST(doc_id AS VARCHAR), 'other partition' FROM bad WHERE q<>"partition"
 UNION ALL SELECT 'restricted_absent', CAST(doc_id AS VARCHAR), '' FROM bad WHERE restricted AND q='eval_pool'""",
 }
-QUERIES = {f.__name__: f for f in (duplicate_pairs, duplicate_clusters, cluster_summary, kept_representatives, cluster_edges, restricted_clusters, spanning_clusters, split_documents, split_overlap, split_shortfall, split_audit)}
+QUERIES = {f.__name__: f for f in (duplicate_pairs, duplicate_clusters, cluster_summary, kept_representatives, cluster_edges, restricted_clusters, spanning_clusters, separated_copies, manifest_audit, split_documents, split_overlap, split_shortfall, split_audit)}

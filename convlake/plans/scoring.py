@@ -149,6 +149,26 @@ def candidate_audit(spark, sf_dir):
     return audits.union(audits.context_ends_in_target(rows, "group_id", "path", "customer_id", "reply_id", "reply_text", "model_input"), audits.flags_reproduce(rows, "group_id", "path", "flags"))
 
 
+def system_scores(spark, sf_dir):
+    """Two systems' predictions against one gold standard, in one long table."""
+    m = messages(spark, sf_dir)
+    pairs = joins.reply_pairs(m, BRAND)
+    asked = m.where("inbound")
+    side = lambda p: p.select("example_id", F.col("predicted_intent").alias("label"), F.col("predicted_must_escalate").alias("escalated"), F.col("predicted_reply").alias("reply"))
+    systems = {"constant": side(scoring.constant_baseline(asked, "tweet_id", "support", "Thanks.")), "rules": side(scoring.rule_baseline(asked, "tweet_id", "text", None, POLICY, ESCALATE))}
+    gold = pairs.select(F.col("customer_id").alias("example_id"), F.col("customer_text").alias("message"), (F.length("customer_text") > 600).alias("gold_escalate"))
+    s = judging.score_systems(systems, gold, "example_id", judging.Rubric(grounded=("tion", "keit"), useful=("ment", "ung"), polite=("the", "les")))
+    return s.select("system_id", "example_id", *[F.col(k).cast("long").alias(k) for k in judging.MEASURES], "critical_error")
+
+
+def critical_confusion(spark, sf_dir):
+    """Critical flags of the heuristic judge against ratings made of them: every ninth is turned round, every seventh blank."""
+    j = _judged(spark, sf_dir).select("customer_id", F.col("s.critical_error").alias("critical_error"))
+    k = F.col("customer_id").cast("long")
+    sheet = j.select("customer_id", F.when(k % 7 == 0, " ").otherwise(F.when(k % 9 == 0, ~F.col("critical_error")).otherwise(F.col("critical_error")).cast("string")).alias("critical_error_human"))
+    return judging.critical_confusion(store(sheet, "sheet"), j, ("customer_id",))
+
+
 def anonymised_turns(spark, sf_dir):
     """Candidates' turns for export: actors by label, texts redacted."""
     c = _candidates(spark, sf_dir)
@@ -166,12 +186,11 @@ def corpus_fingerprint(spark, sf_dir):
 
 
 def effective_inquiries(spark, sf_dir):
-    """Short messages with the customer's earlier turns before them."""
-    m = messages(spark, sf_dir)
+    """Messages for comparison: short ones with the customer's earlier turns before them. A third of the messages is made short."""
+    m = messages(spark, sf_dir).withColumn("text", F.when(F.col("inbound") & (F.length("text") % 3 == 0), "Still broken, HELP!").otherwise(F.col("text")))
     paths = threads.ancestor_paths(m, m.where("inbound").select("tweet_id"), BRAND).where("reason is null")
     last = F.element_at("path", -1)["text"]
-    normal = F.array_join(F.slice(F.split(X.normalise(last), " "), 1, 3), " ")
-    return paths.select("tweet_id", F.md5(X.effective_inquiry(normal, F.col("path"), BRAND)).alias("inquiry_md5"))
+    return paths.select("tweet_id", F.md5(X.effective_inquiry(X.normalise(last), F.col("path"), BRAND)).alias("inquiry_md5"))
 
 
 _G = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]{2,}')"
@@ -190,7 +209,15 @@ s AS (SELECT customer_id, label, esc, gold, CASE WHEN length(r)<10 OR (label='ot
  CASE WHEN contains(r,'example.com') OR contains(r,'tion') OR contains(r,'keit') THEN 2 ELSE 1 END AS grounding,
  CASE WHEN length(r)<15 OR (contains(r,'thanks for reaching out') AND NOT contains(r,'example.com') AND NOT contains(r,'reinstall')) THEN CASE WHEN contains(r,'thanks') THEN 1 ELSE 0 END WHEN contains(r,'example.com/') OR contains(r,'ment') OR contains(r,'ung') THEN 2 ELSE 1 END AS usefulness,
  CASE WHEN contains(r,'the') OR contains(r,'les') THEN 2 ELSE 1 END AS tone, gold AND NOT esc AS critical_error FROM j)"""
+_SYSTEMS = f"""WITH {MESSAGES_SQL}, {PAIRS_SQL}, l AS (SELECT customer_id, customer_text, {_CASE.replace('(customer_text,', "(' '||customer_text,")} AS lb, regexp_matches(' '||customer_text, '{unicode_words(ESCALATE)}') AS es FROM p),
+q AS (SELECT 'constant' AS system_id, customer_id, customer_text, 'support' AS label, true AS esc, 'Thanks.' AS reply FROM l
+ UNION ALL SELECT 'rules', customer_id, customer_text, lb, es, CASE lb {' '.join(f"WHEN '{r.label}' THEN '{r.reply}'" for r in POLICY.rules)} ELSE '' END FROM l),
+j AS (SELECT system_id, customer_id, trim(lower(reply)) AS r, trim(lower(customer_text)) AS c, label, esc, length(customer_text)>600 AS gold FROM q)"""
 SQL = {
+    "system_scores": f"""{_SYSTEMS} SELECT system_id, customer_id AS example_id, CAST(CASE WHEN length(r)<10 OR (label='other' AND NOT contains(r,'example') AND length(c)>20) THEN 1 ELSE 2 END AS BIGINT) AS relevance,
+ CAST(CASE WHEN contains(r,'example.com') OR contains(r,'tion') OR contains(r,'keit') THEN 2 ELSE 1 END AS BIGINT) AS grounding,
+ CAST(CASE WHEN length(r)<15 OR (contains(r,'thanks for reaching out') AND NOT contains(r,'example.com') AND NOT contains(r,'reinstall')) THEN CASE WHEN contains(r,'thanks') THEN 1 ELSE 0 END WHEN contains(r,'example.com/') OR contains(r,'ment') OR contains(r,'ung') THEN 2 ELSE 1 END AS BIGINT) AS usefulness,
+ CAST(CASE WHEN contains(r,'the') OR contains(r,'les') THEN 2 ELSE 1 END AS BIGINT) AS tone, gold AND NOT esc AS critical_error FROM j""",
     "retrieved_documents": f"WITH {_TFIDF} SELECT item_id, doc_id, round(s, 4) AS score, rank FROM hi",
     "retrieval_quality": f"WITH {_TFIDF} SELECT count(*) AS n_queries, round(avg(s), 4) AS mean_top, round(count(*) FILTER (s>=0.25)/count(*), 4) AS useful_share FROM hi WHERE rank=1",
     "prototype_labels": """WITH x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), pm AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM x GROUP BY 1, 2), pn AS (SELECT label, sqrt(sum(m*m)) AS n FROM pm GROUP BY 1),
@@ -208,11 +235,13 @@ SELECT count(*) AS n, count(*) FILTER (st='hit') AS hit, count(*) FILTER (st='st
     "human_agreement": f"""{_JUDGED}, u AS (UNPIVOT (SELECT customer_id, relevance, grounding, usefulness, tone FROM s) ON relevance, grounding, usefulness, tone INTO NAME measure VALUE b), k AS (SELECT measure, b, CASE WHEN CAST(customer_id AS BIGINT)%9=0 THEN 1 ELSE b END AS a FROM u),
 n AS (SELECT measure, count(*) AS n, count(*) FILTER (a=b) AS same, sum(1-abs(a-b)/2.0) AS po FROM k GROUP BY 1), ra AS (SELECT measure, a, count(*) AS c FROM k GROUP BY 1, 2), rb AS (SELECT measure, b, count(*) AS c FROM k GROUP BY 1, 2), pe AS (SELECT ra.measure, sum(ra.c*rb.c*(1-abs(a-b)/2.0)) AS e FROM ra JOIN rb USING (measure) GROUP BY 1)
 SELECT measure, 'Measured' AS status, n, round(same/n, 6) AS agreement, round(CASE WHEN abs(e/(n*n)-1)<1e-12 THEN 1.0 ELSE (po/n-e/(n*n))/(1-e/(n*n)) END, 6) AS kappa FROM n JOIN pe USING (measure)""",
+    "critical_confusion": f"""{_JUDGED}, k AS (SELECT critical_error AS p, CASE WHEN CAST(customer_id AS BIGINT)%9=0 THEN NOT critical_error ELSE critical_error END AS g FROM s WHERE CAST(customer_id AS BIGINT)%7<>0)
+SELECT count(*) AS n, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g AND p) AS fp, count(*) FILTER (g AND NOT p) AS fn, count(*) FILTER (NOT g AND NOT p) AS tn FROM k""",
     "prediction_pairs": f"WITH {MESSAGES_SQL}, q AS (SELECT {_CASE.replace('customer_text', 'text')} AS a FROM m WHERE inbound) SELECT a, 'support' AS b, count(*) AS n FROM q GROUP BY 1",
     "candidate_audit": f"WITH {MESSAGES_SQL}, {PAIRS_SQL} SELECT DISTINCT 'flags_reproduce' AS \"check\", CAST(conv_id*1000 AS VARCHAR) AS key, 'has_url' AS detail FROM p WHERE conv_id%7=0",
     "review_rows": "SELECT doc_id, lang, '' AS reviewer, '' AS verdict, CAST(42 AS BIGINT) AS seed, 'v1' AS preprocessing_version FROM documents WHERE lang<>'en'",
-    "effective_inquiries": f"""WITH {MESSAGES_SQL}, t AS (SELECT tweet_id, conv_id, turn, text, inbound, author_id, array_to_string(string_split({_NORMAL},' ')[1:3],' ') AS normal FROM m),
-e AS (SELECT a.tweet_id, a.normal, string_agg(b.text, ' ' ORDER BY b.turn) AS text FROM t a LEFT JOIN t b ON a.conv_id=b.conv_id AND b.turn<a.turn AND (b.inbound OR b.author_id<>'brand') WHERE a.inbound GROUP BY 1, 2)
-SELECT tweet_id, md5(CASE WHEN coalesce({_NORMAL},'')<>'' THEN {_NORMAL}||' '||normal ELSE normal END) AS inquiry_md5 FROM e""",
+    "effective_inquiries": f"""WITH {MESSAGES_SQL}, s AS (SELECT tweet_id, conv_id, turn, inbound, author_id, CASE WHEN inbound AND length(text)%3=0 THEN 'Still broken, HELP!' ELSE text END AS text FROM m), t AS (SELECT *, {_NORMAL} AS normal FROM s),
+e AS (SELECT a.tweet_id, a.normal, len(string_split(a.normal,' '))<=3 AS short, string_agg(b.text, ' ' ORDER BY b.turn) AS text FROM t a LEFT JOIN t b ON a.conv_id=b.conv_id AND b.turn<a.turn AND (b.inbound OR b.author_id<>'brand') WHERE a.inbound GROUP BY 1, 2, 3)
+SELECT tweet_id, md5(CASE WHEN short AND coalesce({_NORMAL},'')<>'' THEN {_NORMAL}||' '||normal ELSE normal END) AS inquiry_md5 FROM e""",
 }
-QUERIES = {f.__name__: f for f in (retrieved_documents, retrieval_quality, prototype_labels, predictions, risk_signals, pluggable_scorer, heuristic_scores, judged_scorecard, parsed_judgements, cached_judgements, judge_prompts, human_agreement, prediction_pairs, candidate_audit, anonymised_turns, review_rows, corpus_fingerprint, effective_inquiries)}
+QUERIES = {f.__name__: f for f in (retrieved_documents, retrieval_quality, prototype_labels, predictions, risk_signals, pluggable_scorer, heuristic_scores, judged_scorecard, parsed_judgements, cached_judgements, judge_prompts, human_agreement, prediction_pairs, system_scores, critical_confusion, candidate_audit, anonymised_turns, review_rows, corpus_fingerprint, effective_inquiries)}

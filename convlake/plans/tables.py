@@ -47,7 +47,7 @@ def quarantined(spark, sf_dir):
 def sampled_until_quota(spark, sf_dir):
     """Orders of each priority in a seeded order until 30 are finished and 40 taken."""
     o = table(spark, sf_dir, "orders")
-    s = selection.until_quota(o, "o_orderpriority", F.col("o_orderstatus") == "F", [selection.shuffle_key("o_orderkey"), F.col("o_orderkey")], 30, 40)
+    s = selection.until_quota(o, "o_orderpriority", F.col("o_orderstatus") == "F", selection.shuffle_key("o_orderkey"), "o_orderkey", 30, 40)
     return s.select("o_orderkey", "o_orderpriority", selection.sequence_label(F.substring("o_orderpriority", 1, 1), F.col("sequence")).alias("label"))
 
 
@@ -94,12 +94,14 @@ def review_queue(spark, sf_dir):
     """The first 50 unlabelled documents, those whose source has toxic ones first."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     todo = joins.pending(d, table(spark, sf_dir, "labels"), "doc_id")
-    first = d.join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id").where("doc_id % 5 = 0").select("source")
+    first = d.join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id").select("source")
     return joins.by_priority(todo, first, ["source"], [F.col("doc_id")]).limit(50).select("doc_id", "source", "prioritised")
 
 
 def label_join_problems(spark, sf_dir):
-    return joins.join_violations(table(spark, sf_dir, "documents").where("doc_id < 300"), table(spark, sf_dir, "labels").where("doc_id < 350"), "doc_id").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    """What keeps documents and labels from being one to one; the ids of poor and toxic ones are damaged."""
+    damaged = table(spark, sf_dir, "labels").withColumn("doc_id", F.when((F.col("quality") == 0) & (F.col("toxic") == 1), -1 - F.col("doc_id")).otherwise(F.col("doc_id")))
+    return joins.join_violations(table(spark, sf_dir, "documents"), damaged, "doc_id").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 def restricted_flags(spark, sf_dir):
@@ -165,7 +167,7 @@ def price_sweep(spark, sf_dir):
 
 
 def domain_violations(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumn("key", F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))).where("o_orderkey % 20 = 0")
+    o = table(spark, sf_dir, "orders").withColumn("key", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")))
     return audits.domains(o, "key", {"o_orderstatus": ["F", "O"], "o_orderpriority": ["1-URGENT", "2-HIGH", "3-MEDIUM"]}, ["o_orderdate"], "o")
 
 
@@ -174,7 +176,7 @@ def count_violations(spark, sf_dir):
 
 
 def contaminated_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id")
     lab = table(spark, sf_dir, "labels")
     return audits.union(audits.contamination(d, lab.where("toxic = 1"), "doc_id"), audits.contamination(d, lab, "doc_id", allowed=True))
 
@@ -184,6 +186,21 @@ def sheet_violations(spark, sf_dir):
     return audits.template_state(s, "s_suppkey", {"useful": ["yes", "no"]})
 
 
+def unblinded_events(spark, sf_dir):
+    """Events per blind code with the type that the code stands for; one code is not in the map."""
+    e = table(spark, sf_dir, "events").select(F.md5(F.col("event_type")).alias("code"))
+    names = table(spark, sf_dir, "events").select("event_type").distinct().select(F.md5(F.col("event_type")).alias("code"), "event_type").where("event_type <> 'click'")
+    return joins.unblind(e, names, "code").groupBy("code", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def challenge_documents(spark, sf_dir):
+    """Ten documents of each stratum of a challenge sample, by rules on their text."""
+    d = table(spark, sf_dir, "documents")
+    low = F.lower("text")
+    strata = (("rare", low.rlike("[0-9]{3}")), ("ambiguous", F.length("text") < 200), ("mixed", low.contains("licensed") & low.contains("tion")), ("repeated", low.contains("again") | low.contains("still")), ("sensitive", low.contains("password") | low.contains("@")))
+    return selection.feature_quota(d, strata, [selection.shuffle_key("doc_id"), F.col("doc_id")], 10).select("doc_id", "stratum", F.col("rank").cast("long").alias("rank"))
+
+
 def parsed_booleans(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", strict_boolean(F.when(F.col("event_id") % 3 == 0, " TRUE ").when(F.col("event_id") % 3 == 1, "0.0")).alias("flag"))
     return e.groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
@@ -221,8 +238,8 @@ SELECT coalesce(a.o_orderpriority,b.o_orderpriority) AS o_orderpriority, CASE WH
     "exclusion_sources": """WITH u AS (SELECT DISTINCT doc_id, 'toxic' AS source FROM labels WHERE toxic=1 UNION SELECT doc_id, 'poor' FROM labels WHERE quality=0 UNION SELECT doc_id, 'short' FROM documents WHERE n_chars<300),
 c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS k FROM u) SELECT source, count(*) AS n_ids, count(*) FILTER (k=1) AS n_alone FROM c GROUP BY 1""",
     "pending_documents": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "review_queue": "WITH f AS (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE toxic=1 AND doc_id%5=0) SELECT doc_id, source, source IN (SELECT source FROM f) AS prioritised FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY prioritised DESC, doc_id LIMIT 50",
-    "label_join_problems": "WITH j AS (SELECT d.doc_id AS a, l.doc_id AS b FROM (SELECT * FROM documents WHERE doc_id<300) d FULL JOIN (SELECT * FROM labels WHERE doc_id<350) l ON d.doc_id=l.doc_id) SELECT CASE WHEN a IS NULL THEN 'missing_left' ELSE 'missing_right' END AS problem, count(*) AS n FROM j WHERE a IS NULL OR b IS NULL GROUP BY 1",
+    "review_queue": "WITH f AS (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE toxic=1) SELECT doc_id, source, source IN (SELECT source FROM f) AS prioritised FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY prioritised DESC, doc_id LIMIT 50",
+    "label_join_problems": "WITH l AS (SELECT DISTINCT CASE WHEN quality=0 AND toxic=1 THEN -1-doc_id ELSE doc_id END AS doc_id FROM labels), j AS (SELECT d.doc_id AS a, l.doc_id AS b FROM documents d FULL JOIN l ON d.doc_id=l.doc_id) SELECT CASE WHEN a IS NULL THEN 'missing_left' ELSE 'missing_right' END AS problem, count(*) AS n FROM j WHERE a IS NULL OR b IS NULL GROUP BY 1",
     "restricted_flags": "SELECT lang, doc_id IN (SELECT doc_id FROM labels WHERE toxic=1) AS restricted, count(*) AS n FROM documents GROUP BY 1, 2",
     "merged_notes": """SELECT CAST(s_suppkey AS VARCHAR) AS id, 'old-'||CAST(s_suppkey AS VARCHAR) AS old_id, CASE WHEN s_suppkey%3<2 AND (s_suppkey%2=0) THEN 'note '||CAST(s_suppkey AS VARCHAR) ELSE '' END AS note,
  CASE WHEN s_suppkey%3<2 AND s_suppkey%4=0 THEN 'yes' ELSE '' END AS useful FROM supplier""",
@@ -243,13 +260,17 @@ SELECT system_id, n, automated, unsafe, scored, n-scored AS unscored, critical,
 ra AS (SELECT system_id, a, count(*) AS c FROM k GROUP BY 1, 2), rb AS (SELECT system_id, b, count(*) AS c FROM k GROUP BY 1, 2), pe AS (SELECT ra.system_id, sum(ra.c*rb.c*(1-abs(a-b)/2.0)) AS e FROM ra JOIN rb USING (system_id) GROUP BY 1)
 SELECT system_id, n, round(same/n, 6) AS agreement, round(CASE WHEN abs(e/(n*n)-1)<1e-12 THEN 1.0 ELSE (po/n-e/(n*n))/(1-e/(n*n)) END, 6) AS kappa FROM n JOIN pe USING (system_id)""",
     "price_sweep": "SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (o_totalprice>=t) AS n, count(*) FILTER (o_totalprice>=t AND o_orderstatus='F') AS n_good FROM orders, (VALUES (50000), (100000), (200000), (400000)) v(t) GROUP BY 1",
-    "domain_violations": """WITH o AS (SELECT 'o'||CAST(o_orderkey AS VARCHAR) AS key, * FROM orders WHERE o_orderkey%20=0)
+    "domain_violations": """WITH o AS (SELECT 'o'||CAST(o_orderkey AS VARCHAR) AS key, * FROM orders)
 SELECT 'domain' AS "check", key, 'o_orderstatus='||o_orderstatus AS detail FROM o WHERE o_orderstatus NOT IN ('F','O') UNION ALL SELECT 'domain', key, 'o_orderpriority='||o_orderpriority FROM o WHERE o_orderpriority NOT IN ('1-URGENT','2-HIGH','3-MEDIUM')""",
     "count_violations": """WITH w(s, t) AS (VALUES ('BUILDING', 300), ('MACHINERY', 300), ('NONE', 1)), n AS (SELECT c_mktsegment AS s, count(*) AS n FROM customer GROUP BY 1)
 SELECT 'count' AS "check", s AS key, CAST(coalesce(n,0) AS VARCHAR)||'/'||CAST(coalesce(t,0) AS VARCHAR) AS detail FROM w FULL JOIN n USING (s) WHERE coalesce(n,0)<>coalesce(t,0)""",
-    "contaminated_documents": """SELECT 'contaminated' AS "check", CAST(doc_id AS VARCHAR) AS key, '' AS detail FROM documents WHERE doc_id<200 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic=1)
-UNION ALL SELECT 'not_listed', CAST(doc_id AS VARCHAR), '' FROM documents WHERE doc_id<200 AND doc_id NOT IN (SELECT doc_id FROM labels)""",
+    "contaminated_documents": """SELECT 'contaminated' AS "check", CAST(doc_id AS VARCHAR) AS key, '' AS detail FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic=1)
+UNION ALL SELECT 'not_listed', CAST(doc_id AS VARCHAR), '' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "sheet_violations": "SELECT 'template_state' AS \"check\", CAST(s_suppkey AS VARCHAR) AS key, 'useful' AS detail FROM supplier WHERE s_suppkey%3<>0",
+    "unblinded_events": "SELECT md5(event_type) AS code, CASE WHEN event_type<>'click' THEN event_type END AS event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "challenge_documents": """WITH s AS (SELECT doc_id, CASE WHEN regexp_matches(lower(text),'[0-9]{3}') THEN 'rare' WHEN length(text)<200 THEN 'ambiguous' WHEN contains(lower(text),'licensed') AND contains(lower(text),'tion') THEN 'mixed'
+ WHEN contains(lower(text),'again') OR contains(lower(text),'still') THEN 'repeated' WHEN contains(lower(text),'password') OR contains(lower(text),'@') THEN 'sensitive' END AS stratum FROM documents)
+SELECT * FROM (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:'||CAST(doc_id AS VARCHAR)), doc_id) AS rank FROM s WHERE stratum IS NOT NULL) WHERE rank<=10""",
     "parsed_booleans": "SELECT event_id%3=0 AS flag, count(*) AS n FROM events GROUP BY 1",
 }
-QUERIES = {f.__name__: f for f in (top_users, event_distribution, event_weights, stratified_events, capped_events, first_writes, quarantined, sampled_until_quota, replayed_orders, distinct_names, numeric_text_order, customer_diff, exclusion_sources, pending_documents, review_queue, label_join_problems, restricted_flags, merged_notes, differing_lines, toxicity_rule_metrics, language_report, scorecard, rater_agreement, bootstrap_means, price_sweep, domain_violations, count_violations, contaminated_documents, sheet_violations, parsed_booleans)}
+QUERIES = {f.__name__: f for f in (top_users, event_distribution, event_weights, stratified_events, capped_events, first_writes, quarantined, sampled_until_quota, replayed_orders, distinct_names, numeric_text_order, customer_diff, exclusion_sources, pending_documents, review_queue, label_join_problems, restricted_flags, merged_notes, differing_lines, toxicity_rule_metrics, language_report, scorecard, rater_agreement, bootstrap_means, price_sweep, domain_violations, count_violations, contaminated_documents, sheet_violations, unblinded_events, challenge_documents, parsed_booleans)}

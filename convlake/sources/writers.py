@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import merge_annotations  # noqa: F401
 from ..operators.selection import first_write_wins
 
 #: Columns that development and evaluation inputs never carry.
@@ -33,6 +32,12 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
+def write_reports(reports: dict[str, DataFrame], path: str) -> None:
+    """Report sinks: each frame (memberships, exclusions, leaks, reviews) as JSON lines in a folder of its name."""
+    for name, rows in reports.items():
+        rows.write.json(f"{path}/{name}")
+
+
 def transcript(turns: Column, title: Column) -> Column:
     """One text block per conversation."""
     lines = F.transform(turns, lambda t: F.concat(F.lit("- **"), t["author_id"], F.lit("**: "), F.coalesce(t["text"], F.lit(""))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder.
 
-    The session's ``spark.checkpoint.dir`` names it; only where it is unset (tests, one machine)
-    is a folder of this machine taken.
+    The session's ``spark.checkpoint.dir`` names it, or the folder set as checkpoint folder; only where there is none and
+    all tasks run on this machine is one of its folders taken. On a cluster without a shared folder this fails.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = known.get() if known.isDefined() else None
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
