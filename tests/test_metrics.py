@@ -38,3 +38,14 @@ def test_failures_are_not_hits(spark):
     wanted = spark.createDataFrame([(k,) for k in "abcd"], "cache_key string")
     got = {r.cache_key: r.status for r in judging.replay(wanted, cache, "r", "p").collect()}
     assert got == {"a": "failed", "b": "stale", "c": "hit", "d": "missing"}
+
+
+def test_bootstrap_covers_the_mean(spark):
+    from convlake.operators import metrics
+
+    df = spark.range(2000).selectExpr("id % 200 as c", "cast((id % 200) % 10 as double) as x")
+    r = metrics.cluster_bootstrap(df, "c", ["x"], 400).first()
+    assert r.measure == "x" and 3.9 < r.low < 4.5 < r.high < 5.1
+    again = metrics.cluster_bootstrap(df.repartition(5), "c", ["x"], 400).first()
+    assert abs(again.low - r.low) < 1e-9 and abs(again.high - r.high) < 1e-9
+    assert metrics.cluster_bootstrap(df.limit(0), "c", ["x"], 10).count() == 0
