@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from ..storage import store
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step on edges (u, v), u > v: large stars link larger neighbours, small stars smaller ones and the node, to the least."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+#: Edges that one task handles faster than the shuffles of a round take.
+_FEW = 100_000
+
+
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
+    """One step on edges (u, v), u > v: large stars link larger neighbours, small stars smaller ones and the node, to the least.
+
+    A ``few`` edges stay in one partition.
+    """
+    whole = lambda d: d.coalesce(1) if few else d
+    both = whole(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges)
     least = both.groupBy("u").agg(F.min("v").alias("_least")).select("u", F.least("u", "_least").alias("m"))
     joined = both.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        out = whole(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
     return out.where("u <> v").distinct()
 
 
@@ -25,13 +33,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
 
     Rows with a null end and edges from a node to itself are ignored. Every round writes the edges to the shared
     folder; the number of rounds grows with the logarithm of the longest path. Edges of a very common node are
-    summed before they are shuffled, and the join back is one that Spark can split.
+    summed before they are shuffled, and the join back is one that Spark can split. Up to 100,000 edges, which are counted
+    in every round, are one partition and not shuffled at all.
     """
     edges = store(edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    mark = None
+    mark, n = None, edges.count()
     for _ in range(most_rounds):
-        edges = store(_star(_star(edges, True), False), "edges")
+        if not n:
+            break
+        few = n <= _FEW
+        edges = store(_star(_star(edges, True, few), False, few), "edges")
         row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        n = row[0]
         if mark == tuple(row):
             break
         mark = tuple(row)
