@@ -95,11 +95,16 @@ def build_blocks(docs: DataFrame, key: str, text: str, name: str, size: int = BL
 
 
 def keep_blocks(blocks: DataFrame, name: str) -> DataFrame:
-    """Store blocks in the shared folder, bucketed by their number: answers are brought to them, texts are not shuffled again."""
+    """Store blocks in the shared folder, bucketed by their number: answers are brought to them, texts are not shuffled again.
+
+    Only tables can be bucketed; this one leaves the catalog once it is resolved, its files stay where the scratch tables are.
+    """
     spark = blocks.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     blocks.write.bucketBy(partitions(spark), "block").option("path", scratch(spark, name)).option("compression", "uncompressed").saveAsTable(table)  # the data are compressed already
-    return spark.table(table)
+    kept = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return kept
 
 
 def bucket_count(blocks: DataFrame, per: int = BUCKET_TEXT) -> int:

@@ -238,13 +238,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     folded = rows.select("node", "text").join(nodes.join(degree, "id", "left_semi"), "node").groupBy("id").agg(F.first("text").alias("text"))
     texts = store(_prepared(folded), "texts")
     narrow = store(texts.drop("text"), "parities")
-    known = _components(_aligned(_pivot_pairs(members, degree, narrow, least), texts, least))
+    first = _pivot_pairs(members, degree, narrow, least)
+    known = _components(_aligned(first, texts, least))
     drawn = store(_drawn_pairs(_unsettled(members, known, narrow), least), "drawn")
     known = _joined(known, _aligned(drawn, texts, least))
     left = _unsettled(members, known, narrow)
     many = store(left.where(F.col("size") > _FEW).select("id").distinct(), "many")
     rare = _unsettled(_rarest(texts.join(many, "id", "left_semi"), least), known, narrow)
     crossing = _crossing_pairs(left.where(F.col("size") <= _FEW), least).unionByName(_crossing_pairs(rare, least)).distinct()
+    tried = first.unionByName(drawn).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crossing = crossing.join(tried, ["a", "b"], "left_anti")
     known = _joined(known, _aligned(store(crossing, "crossing"), texts, least))
     ids = rows.groupBy("node").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
     named = ids.join(nodes.join(known, "id"), "node", "left").select("node", "_id", "_n", F.coalesce(F.col("component").cast("string"), F.hex("node")).alias("class"))
@@ -259,7 +262,7 @@ def _pivot_pairs(members: DataFrame, degree: DataFrame, narrow: DataFrame, least
     first = members.join(degree, "id").groupBy("key").agg(F.min(F.struct(-F.col("degree"), "id")).alias("first")).select("key", F.col("first.id").alias("pivot"))
     pairs = members.join(first, "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     x, y = (narrow.select(F.col("id").alias(n), F.struct("words", "parity").alias(s)) for n, s in (("a", "x"), ("b", "y")))
-    return store(pairs.join(x, "a").join(y, "b").where(_may_be_near(F.col("x"), F.col("y"), least)).select("a", "b"), "pairs")
+    return store(pairs.join(y, "b").join(x, "a").where(_may_be_near(F.col("x"), F.col("y"), least)).select("a", "b"), "pairs")
 
 
 def _components(edges: DataFrame) -> DataFrame:

@@ -86,7 +86,8 @@ def train(docs: DataFrame, labels: DataFrame, **options) -> Model:
     """A model from labelled rows; without rows of both labels it scores all texts 0 or 1 alike, as the label that is there."""
     from ..storage import store
 
-    rows = store(training_rows(docs, labels, **options), "training").coalesce(4)  # bounded by ``sample``; fewer tasks count an n-gram fewer times
+    rows = store(training_rows(docs, labels, **options), "training").coalesce(12)  # bounded by ``sample``; fewer tasks count an n-gram fewer times
+
     def count(batches):
         tally = np.zeros((2, 1 << BITS), np.int32)  # at most SAMPLE
         for batch in batches:
