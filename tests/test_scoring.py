@@ -81,3 +81,16 @@ def test_every_pair_but_the_asked_one_is_evidence(spark, tmp_path):
     ids = {r.tweet_id: [e.id for e in r.evidence or []] for r in scoring._evidence(spark, str(tmp_path)).collect()}
     assert {k: v for k, v in got.items() if v} == {"1000": [said[2]], "2000": [said[1]], "3000": [said[4]], "4000": [said[3]]}
     assert ids["1000"] == ["2001"] and ids["2000"] == ["1001"] and not got["5000"]
+
+
+def test_support_policy(spark):
+    from convlake.plans.support import support_policy
+
+    policy = support_policy("nimbus.net", own=("daily mix",))
+    assert len(policy.rules) == 7 and len(policy.claims) == 11
+    said = {"Somebody hacked me and I was charged": "account_access", "why was I charged twice": "billing_and_payments", "the app will not play": "technical_support", "cancel the family plan": "subscription_and_plans", "an album is missing": "content_availability", "when do you launch in Dubai": "platform_and_regional", "my daily mix is dull": "product_feedback", "good morning": "other_or_ambiguous"}
+    df = spark.createDataFrame([(k, v) for k, v in said.items()], "t string, want string")
+    assert df.select((S.classify(F.col("t"), policy) == F.col("want")).alias("ok")).where("ok").count() == len(said)
+    s = df.select("t", S.risk_signals(F.col("t"), F.col("t"), F.lit("x"), policy).alias("s")).collect()
+    assert [r.s.sensitive_security for r in s][:2] == [True, False] and [r.s.financial_dispute for r in s][:3] == [True, True, False]
+    assert [c.pattern for c in policy.claims if c.name == "reset_url"] == [r"\bnimbus\.net/reset\b"]
