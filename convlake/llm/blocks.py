@@ -4,7 +4,7 @@ A block is one row that packs a few MB of whole documents, stored once in the sh
 never change. In ``ask`` every block sends its distinct keys, dealt over buckets; each bucket answers one bit per key
 (for example: does another document hold it?); the answers come back to their block. A key is sent once per block,
 however often it occurs, so a bucket gets at most as many copies of a key as there are blocks, and the number of
-buckets grows with the corpus.
+buckets grows with the corpus. A block sends messages only to buckets of its keys: they are never more than its keys.
 """
 
 from __future__ import annotations
@@ -113,11 +113,13 @@ def bucket_count(blocks: DataFrame, per: int = BUCKET_TEXT) -> int:
     return max(4 * partitions(blocks.sparkSession), -(-total // per))
 
 
-def split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of hashed keys by (bucket, key), and where each bucket begins in it."""
+def split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of hashed keys by (bucket, key), and (bucket, begin, end) of each bucket with keys."""
     bucket = (keys >> np.uint64(40)) % np.uint64(buckets)
     order = np.lexsort((keys, bucket))
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+    bucket = bucket[order]
+    begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.empty(0, np.int64)
+    return order, list(zip(bucket[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)]))
 
 
 def map_blocks(blocks: DataFrame, run: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
@@ -155,12 +157,11 @@ def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     return blocks.join(got, "block", "left")
 
 
-def gather(order: np.ndarray, starts: np.ndarray, answers: dict[int, np.ndarray], first: int = 0) -> np.ndarray:
+def gather(order: np.ndarray, parts: list[tuple[int, int, int]], answers: dict[int, np.ndarray], first: int = 0) -> np.ndarray:
     """Bits in the keys' own order, from the answers to the buckets that ``split`` made of them."""
     out = np.zeros(len(order), bool)
-    for b in range(len(starts) - 1):
-        if starts[b] < starts[b + 1]:
-            out[order[starts[b] : starts[b + 1]]] = answers[first + b][: starts[b + 1] - starts[b]]
+    for b, lo, hi in parts:
+        out[order[lo:hi]] = answers[first + b][: hi - lo]
     return out
 
 
@@ -192,12 +193,11 @@ _SENT = 5
 
 def ask_shared(number: int, values: np.ndarray, several: np.ndarray, buckets: int) -> Iterator[tuple]:
     """Questions of a block for ``answer_shared``."""
-    order, starts = split(values, buckets)
+    order, parts = split(values, buckets)
     sent = values[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SENT]
     flags = several[order]
-    for b in range(buckets):
-        if starts[b] < starts[b + 1]:
-            yield b, number, sent[starts[b] : starts[b + 1]].tobytes() + np.packbits(flags[starts[b] : starts[b + 1]]).tobytes()
+    for b, lo, hi in parts:
+        yield b, number, sent[lo:hi].tobytes() + np.packbits(flags[lo:hi]).tobytes()
 
 
 def answer_shared(bucket: int, payloads: list[bytes]) -> list[np.ndarray]:
@@ -229,11 +229,10 @@ def unpack_ids(raw: bytes) -> tuple[np.ndarray, int]:
 
 def ask_smaller(number: int, first: np.ndarray, second: np.ndarray, ids: np.ndarray, buckets: int, base: int = 0) -> Iterator[tuple]:
     """Questions for ``answer_smaller`` about distinct 128-bit keys and their smallest ids in the block."""
-    order, starts = split(first, buckets)
-    for b in range(buckets):
-        part = order[starts[b] : starts[b + 1]]
-        if len(part):
-            yield base + b, number, pack_ids(ids[part]) + first[part].tobytes() + second[part].tobytes()
+    order, parts = split(first, buckets)
+    for b, lo, hi in parts:
+        part = order[lo:hi]
+        yield base + b, number, pack_ids(ids[part]) + first[part].tobytes() + second[part].tobytes()
 
 
 def read_keys(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:

@@ -50,10 +50,14 @@ def _pair(a: np.ndarray, b: np.ndarray, mult: np.uint64) -> np.ndarray:
 
 
 def window_key(values: np.ndarray, width: int, mult: np.uint64) -> np.ndarray:
-    """One half of a 128-bit key of every ``width`` consecutive values: a tree of hashed pairs, by doubling."""
+    """One half of a 128-bit key of every ``width`` consecutive values: a tree of hashed pairs, by doubling.
+
+    Up to eight values of type uint8 are not hashed, but packed into one number.
+    """
     if len(values) < width:
         return np.empty(0, U64)
-    part, size, done, at = values, 1, None, 0
+    pack = 8 if values.dtype == np.uint8 else 1
+    part, size, done, at = values.astype(U64, copy=False), 1, None, 0
     n = len(values) - width + 1
     while True:
         if width & size:
@@ -61,7 +65,7 @@ def window_key(values: np.ndarray, width: int, mult: np.uint64) -> np.ndarray:
             at += size
         if size * 2 > width:
             return mix(done ^ mult)
-        part = _pair(part[:-size], part[size:], mult)
+        part = part[:-size] << U64(8 * size) | part[size:] if 2 * size <= pack else _pair(part[:-size], part[size:], mult)
         size *= 2
 
 

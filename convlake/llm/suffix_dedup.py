@@ -22,7 +22,8 @@ from .repeats import Windows, remove_repeats
 
 WINDOW = 50
 GRAM = 32
-SAMPLE = 4096
+#: Windows that are drawn for each range of the merge, and for all of them.
+SAMPLE, MOST_SAMPLED = 32, 1 << 18
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -183,7 +184,7 @@ def deduplicate_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def cut(block, hashes):
         starts, least = smallest_grams(block.data, block.offsets, width, gram)
-        return Windows(block.offsets, starts, least, tuple(window_key(block.data.astype(U64), width, m) for m in MULT) if hashes else (), None, None)
+        return Windows(block.offsets, starts, least, tuple(window_key(block.data, width, m) for m in MULT) if hashes else (), None, None)
 
     def finish(block, k, removed):
         raw = block.text(k)
@@ -197,10 +198,10 @@ def deduplicate_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return remove_repeats(docs, key, text, width, cut, lambda blocks, buckets: SuffixMerge(blocks, width, buckets), finish, f"{_RESULT}, kept binary" if kept else _RESULT, "bytes", block_bytes)
 
 
-def _splitters(blocks: DataFrame, width: int, buckets: int) -> np.ndarray:
-    """Range borders from a bounded sample of the pieces' windows: about SAMPLE of them, whatever the input."""
-    count = blocks.count()
-    each = max(1, SAMPLE // max(1, count))
+def _splitters(blocks: DataFrame, width: int, buckets: int) -> list[bytes]:
+    """Range borders from a sample of the pieces' windows: SAMPLE for each range, MOST_SAMPLED at most."""
+    count, wanted = blocks.count(), min(SAMPLE * buckets, MOST_SAMPLED)
+    each = max(1, wanted // max(1, count))
 
     def draw(block):
         at = smallest_grams(block.data, block.offsets, width, width - 1)[0]
@@ -208,25 +209,19 @@ def _splitters(blocks: DataFrame, width: int, buckets: int) -> np.ndarray:
         for k in at:
             yield (block.data[k : k + width].tobytes(),)
 
-    some = blocks if count <= SAMPLE else blocks.sample(SAMPLE / count, seed=1)
+    some = blocks if count <= wanted else blocks.sample(wanted / count, seed=1)
     drawn = sorted(r[0] for r in B.map_blocks(some, draw, "window binary").collect())
-    cuts = [drawn[i] for i in np.linspace(0, len(drawn) - 1, buckets + 1).astype(np.int64)[1:-1]] if drawn else []
-    return np.frombuffer(b"".join(sorted(set(cuts))), np.uint8).reshape(-1, width)
+    return sorted({bytes(drawn[i]) for i in np.linspace(0, len(drawn) - 1, buckets + 1).astype(np.int64)[1:-1]}) if drawn else []
 
 
-def _ranges_of(rows: np.ndarray, splitters: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def _ranges_of(rows: np.ndarray, splitters: list[bytes]) -> Iterator[tuple[int, int, int]]:
     """(range, first row, end) of sorted rows that fall into each range."""
-    if not len(rows):
-        return
-    lo = 0
-    keys = _BytesView(rows)
-    for b, s in enumerate(splitters):
-        hi = bisect.bisect_left(keys, s.tobytes(), lo)
-        if hi > lo:
-            yield b, lo, hi
+    lo, keys = 0, _BytesView(rows)
+    while lo < len(rows):
+        b = bisect.bisect_right(splitters, keys[lo])
+        hi = bisect.bisect_left(keys, splitters[b], lo) if b < len(splitters) else len(rows)
+        yield b, lo, hi
         lo = hi
-    if lo < len(rows):
-        yield len(splitters), lo, len(rows)
 
 
 class _BytesView:

@@ -53,8 +53,11 @@ def test_keys_tell_regular_texts_apart():
     v = np.frombuffer(b"".join(texts), np.uint8).astype(U64)
     for m in MULT:
         for width in (32, 50, 64):
-            first = {bytes(v[k : k + width].astype(np.uint8)): x for k, x in enumerate(window_key(v, width, m).tolist())}
-            assert len(set(first.values())) == len(first)
+            for values in (v, v.astype(np.uint8)):
+                first = {}
+                for k, x in enumerate(window_key(values, width, m).tolist()):
+                    assert first.setdefault(bytes(v[k : k + width].astype(np.uint8)), x) == x
+                assert len(set(first.values())) == len(first)
 
 
 def test_equal_windows_get_equal_symbols():
