@@ -35,8 +35,9 @@ SKETCHES, TAKE = 64, 2
 _PARITIES = 16
 #: Documents of an unsettled sketch that are drawn for all others to be aligned with.
 _DRAWN = 4
-#: Documents of an unsettled sketch up to which all pairs are looked at.
-_FEW = 16
+#: Documents of an unsettled sketch up to which all pairs are looked at, and rare words of a document that tell
+#: whether a pair was found by an earlier one.
+_FEW, _HEAD = 16, 64
 _SKETCHED = "node binary, keys array<long>"
 _TEXTS = "id long, words int, parity array<long>, text binary"
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -244,7 +245,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     known = _joined(known, _aligned(drawn, texts, least))
     left = _unsettled(members, known, narrow)
     many = store(left.where(F.col("size") > _FEW).select("id").distinct(), "many")
-    rare = _unsettled(_rarest(texts.join(many, "id", "left_semi"), least), known, narrow)
+    listed = store(_rarest(texts.join(many, "id", "left_semi"), least), "rarest")
+    rare = _unsettled(listed.select("id", F.explode("keys").alias("key")), known, narrow.join(listed.select("id", F.slice("keys", 1, _HEAD).alias("head")), "id"))
     crossing = _crossing_pairs(left.where(F.col("size") <= _FEW), least).unionByName(_crossing_pairs(rare, least)).distinct()
     tried = first.unionByName(drawn).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossing = crossing.join(tried, ["a", "b"], "left_anti")
@@ -298,11 +300,12 @@ def _drawn_pairs(member: DataFrame, least: float) -> DataFrame:
 
 
 def _rarest(texts: DataFrame, least: float) -> DataFrame:
-    """(key, id): a key for each of the rarest words of ``texts`` that two alike texts cannot both lack.
+    """(id, keys): keys of the rarest words of each of ``texts`` that two alike texts cannot both lack, rarest first.
 
     Words are labelled with their occurrence and ordered by the number of these texts that hold them. Texts of n
     and m >= n words with m (1 - least) edits or fewer share m least words, so all but n (1 - least) of the shorter's.
-    Words that one text alone holds come first; they are counted, but not listed.
+    Words that one text alone holds come first; they are counted, but not listed. Of words that the same texts hold,
+    told by two exclusive-ors of hashed ids, the first stands for all.
     """
 
     def run(batches):
@@ -313,20 +316,24 @@ def _rarest(texts: DataFrame, least: float) -> DataFrame:
 
     listed = store(texts.select("id", "words", "text").mapInArrow(run, "id long, words int, labelled array<long>"), "labelled")
     each = listed.select("id", "words", F.explode("labelled").alias("key"))
-    held = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"by{k}") for k in (0, 1)]).where("n > 1")
+    held = held.withColumn("first", F.row_number().over(W.partitionBy("n", "by0", "by1").orderBy("key")) == 1)  # at most the words of a text
     own = W.partitionBy("id")
     alone = F.col("words") - F.count(F.lit(1)).over(own)
     ranked = each.join(held, "key").withColumn("rank", alone + F.row_number().over(own.orderBy("n", "key")))
-    return ranked.where(F.col("rank") <= F.floor(F.col("words") * (1 - least) + 1e-9) + 1).select("key", "id")
+    kept = ranked.where((F.col("rank") <= F.floor(F.col("words") * (1 - least) + 1e-9) + 1) & F.col("first"))
+    return kept.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]).alias("keys"))
 
 
 def _crossing_pairs(member: DataFrame, least: float) -> DataFrame:
     """Pairs of a key's documents in different classes, one of them outside of the key's largest class.
 
-    Pairs inside a class need no alignment, so a key whose documents are all linked gives none.
+    Pairs inside a class need no alignment, so a key whose documents are all linked gives none. With a column ``head``, a
+    pair with a common key in both heads is found by the first of these alone.
     """
     x, y = member.where("component <> top").alias("x"), member.alias("y")
     side = lambda s: {c: F.col(f"{s}.{c}") for c in ("words", "parity")}
     once = (F.col("y.component") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))
-    joined = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.component") != F.col("y.component")) & once & _may_be_near(side("x"), side("y"), least))
+    fresh = F.coalesce(F.get(F.array_intersect("x.head", "y.head"), F.lit(0)) == F.col("x.key"), F.lit(True)) if "head" in member.columns else F.lit(True)
+    joined = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.component") != F.col("y.component")) & once & _may_be_near(side("x"), side("y"), least) & fresh)
     return joined.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()

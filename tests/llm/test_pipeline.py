@@ -60,14 +60,17 @@ def test_clashing_names_nulls_and_ties(spark, tmp_path):
 
 
 def test_slots_follow_the_mixture(spark, tmp_path):
+    from pyspark.sql import functions as F
+
     from convlake.llm import mixing
+    from convlake.llm.common import text_key
     from convlake.storage import store
 
     rows = [(i, f"text {i}", "en", "a" if i < 1500 else "b" if i < 2100 else None, 9) for i in range(2400)] + [(7, "text 7", "en", "a", 9), (None, None, "en", "b", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.shard(spark, store(corpus_pipeline.mix(spark, docs, str(tmp_path)), "mixing"), str(tmp_path)).collect()
     where = {}
-    for r in mixing.place(docs).collect():
+    for r in mixing.place(docs.withColumn("text_key", text_key(F.col("text"))), tie="text_key").collect():  # as the stage numbers them
         where.setdefault((r.doc_id, r.text), []).append(r.mix_position)
     shards = {}
     for r in sorted(got, key=lambda r: (r.shard, r.slot)):
