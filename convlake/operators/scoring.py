@@ -73,23 +73,32 @@ def by_label(label: Column, values: dict[str, str], default: str) -> Column:
 
 
 def nearest_prototype(rows: DataFrame, vector: str, prototypes: DataFrame, label: str, least: float = 0.30, most_prototypes: int = 1000) -> DataFrame:
-    """``rows`` with ``prototype`` and ``cosine``: the most similar prototype, null below ``least``.
+    """``rows`` with ``prototype`` and ``cosine``: the most similar prototype, null below ``least``; ties go to the larger label.
 
-    Prototypes (label, vector) are one row a label; more than ``most_prototypes`` are refused, so they can be literals.
+    Prototypes (label, vector) are one row a label. Up to ``most_prototypes`` are literals of one projection; more are put
+    into blocks of so many, every row meets every block, and the best of a row is kept.
     """
-    known = prototypes.select(F.col(label).cast("string").alias("label"), F.col(vector).alias("v")).orderBy("label").limit(most_prototypes + 1).collect()
-    if len(known) > most_prototypes:
-        raise ValueError(f"more than {most_prototypes} prototypes")
+    named = prototypes.select(F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    known = named.orderBy("label").limit(most_prototypes + 1).collect()
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
-    own = F.col(vector)
 
-    def cosine(p) -> Column:
-        other = F.array(*[F.lit(float(x)) for x in p.v])
+    def cosine(own: Column, size: Column, name: Column, other: Column) -> Column:
         dot = F.aggregate(F.zip_with(own, other, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda t, x: t + F.coalesce(x, F.lit(0.0)))
-        return F.struct(F.coalesce(F.try_divide(dot, F.col("_norm") * norm(other)), F.lit(-1.0)).alias("cosine"), F.lit(p.label).alias("label"))
+        return F.struct(F.coalesce(F.try_divide(dot, size * norm(other)), F.lit(-1.0)).alias("cosine"), name.alias("label"))
 
-    best = F.array_max(F.array(*[cosine(p) for p in known])) if known else F.lit(None).cast("struct<cosine:double,label:string>")
-    out = rows.withColumn("_norm", norm(own)).withColumn("_best", best)
+    sized = rows.withColumn("_norm", norm(F.col(vector)))
+    if len(known) > most_prototypes:
+        from ..storage import store
+
+        blocks = -(-prototypes.count() // most_prototypes)
+        several = named.groupBy(F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("label", "v")).alias("_known"))
+        kept = store(sized.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        each = kept.select("_row", vector, "_norm").crossJoin(several)
+        best = each.select("_row", F.array_max(F.transform("_known", lambda p: cosine(F.col(vector), F.col("_norm"), p["label"], p["v"]))).alias("_best")).groupBy("_row").agg(F.max("_best").alias("_best"))
+        out = kept.join(best, "_row").drop("_row")
+    else:
+        every = F.array(*[cosine(F.col(vector), F.col("_norm"), F.lit(p.label), F.array(*[F.lit(float(x)) for x in p.v])) for p in known])
+        out = sized.withColumn("_best", F.array_max(every) if known else F.lit(None).cast("struct<cosine:double,label:string>"))
     return out.withColumn("cosine", F.col("_best.cosine")).withColumn("prototype", F.when(F.col("cosine") >= least, F.col("_best.label"))).drop("_norm", "_best")
 
 

@@ -30,7 +30,8 @@ def test_stages(spark):
 def test_prototypes(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.1, 1.0]), (3, [-1.0, -1.0]), (4, [0.0, 0.0])], "id int, v array<float>")
     p = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "label string, v array<double>")
-    assert [r.prototype for r in S.nearest_prototype(rows, "v", p, "label").orderBy("id").collect()] == ["x", "y", None, None]
+    for most in (1000, 1):
+        assert [r.prototype for r in S.nearest_prototype(rows, "v", p, "label", most_prototypes=most).orderBy("id").collect()] == ["x", "y", None, None]
 
 
 def test_snapshot_is_reused_and_survives_a_failed_rebuild(spark, tmp_path):
