@@ -101,3 +101,14 @@ def test_paths_of_deep_and_broken_threads(spark):
     got = {r.tweet_id: r for r in threads.ancestor_paths(m, spark.createDataFrame([("40",), ("0",), ("7",), ("x",), ("z",)], "tweet_id string"), "brand").collect()}
     assert [t.tweet_id for t in got["40"].path] == [str(i) for i in range(41)] and [t.tweet_id for t in got["0"].path] == ["0"]
     assert [got[k].reason for k in ("7", "x", "z")] == ["NOT_A_CUSTOMER_TURN", "CYCLE_DETECTED", "MISSING_PARENT"]
+
+
+def test_release_deletes_scratch_tables(spark):
+    import os
+
+    from convlake import storage
+
+    path = storage.store(spark.range(3), "kept").inputFiles()[0].removeprefix("file://")
+    before, storage._made[spark.sparkContext.applicationId] = storage._made[spark.sparkContext.applicationId], [os.path.dirname(path)]
+    assert os.path.exists(path) and storage.release(spark) == 1 and not os.path.exists(path)
+    storage._made[spark.sparkContext.applicationId] = before
