@@ -92,6 +92,18 @@ def test_sharding(docs, rows, empty, spark):
     assert {(r.doc_id, r["size"], r.text_crc32) for r in got} == {(r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows}
     kept = sharding.shard_documents(docs, 5, keep=True)
     assert set(docs.columns) <= set(kept.columns) and len(kept.columns) == len(set(kept.columns))
+    import math
+    import struct
+
+    import xxhash
+
+    def best(key, n):
+        """The shard with the largest score, by plain arithmetic."""
+        seed = xxhash.xxh64_intdigest(b"null" if key is None else f"k{key}".encode(), 42)
+        unit = [((xxhash.xxh64_intdigest(struct.pack("<i", s), seed) >> 11) + 0.5) / 2**53 for s in range(n)]
+        return max(range(n), key=lambda s: (-1 / math.log(unit[s]), s))
+
+    assert all(r.shard == best(r.doc_id, 5) and r.grown_shard == best(r.doc_id, 6) for r in got)
     many = spark.range(20_000).selectExpr("id doc_id", "cast(id as string) text")
     share = {r.shard: r["count"] for r in sharding.shard_documents(many, 3, weights=[1.0, 2.0, 0.0]).groupBy("shard").count().collect()}
     assert set(share) == {0, 1} and abs(share[1] / 20_000 - 2 / 3) < 0.02
