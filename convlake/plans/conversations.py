@@ -204,10 +204,10 @@ SELECT doc_id, lang, CASE WHEN reason IN ('non_latin_script','non_english_stopwo
 
 
 _NORMAL_TOKENS = r"list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text),'https?://\S+','','g'),'@[a-z0-9_]+','','g'),'[^\p{L}\p{M}\p{N}_\s]',' ','g'),'\s+',' ','g')),' '), lambda x: x<>''))"
-_FIRST = """f AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn, CAST(reply_id AS BIGINT)) AS rn FROM p) WHERE rn=1)"""
+FIRST_SQL = """f AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn, CAST(reply_id AS BIGINT)) AS rn FROM p) WHERE rn=1)"""
 SQL = {
     "reply_pairs": f"WITH {MESSAGES_SQL}, {PAIRS_SQL} SELECT customer_id, reply_id, customer_text, reply_text FROM p",
-    "candidates": f"""WITH {MESSAGES_SQL}, {PAIRS_SQL}, {_FIRST},
+    "candidates": f"""WITH {MESSAGES_SQL}, {PAIRS_SQL}, {FIRST_SQL},
 a AS (SELECT conv_id, author_id, min(turn) AS t FROM m WHERE author_id<>'brand' GROUP BY ALL),
 l AS (SELECT conv_id, author_id, 'Customer_'||CAST(row_number() OVER (PARTITION BY conv_id ORDER BY t) AS VARCHAR) AS label FROM a),
 x AS (SELECT f.conv_id, f.turn AS last, f.customer_id, f.reply_id, m.turn, m.inbound, m.parent, m.text, '['||coalesce(l.label,'Brand')||']'||CASE WHEN m.turn=f.turn THEN ' (TARGET CUSTOMER INQUIRY)' ELSE '' END||': '||m.text AS line

@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import audits, joins, judging, metrics, retrieval, scoring, threads
 from ..sources.writers import review_sheet, split_manifest, table_fingerprint
 from ..storage import store, table
-from .conversations import BRAND, MESSAGES_SQL, PAIRS_SQL, _candidates, messages, unicode_words
+from .conversations import BRAND, FIRST_SQL, MESSAGES_SQL, PAIRS_SQL, _candidates, messages, unicode_words
 from .domain import ESCALATE, POLICY, REASONS
 
 K = 5
@@ -62,6 +62,15 @@ def predictions(spark, sf_dir):
     return p.select("example_id", "predicted_intent", "predicted_must_escalate", F.md5("predicted_reply").alias("reply_md5"), "predicted_reason", F.array_join("retrieved_source_ids", ",").alias("sources"), F.array_join("stages.errors", "; ").alias("errors"))
 
 
+def paired_predictions(spark, sf_dir):
+    """The whole chain of draft, validation and routing, with each message's own reply as its evidence, more or less similar."""
+    p = joins.reply_pairs(messages(spark, sf_dir), BRAND)
+    score = (F.length("reply_text") % 10).cast("double") / 10
+    one = F.array(F.struct(F.col("reply_id").alias("id"), F.col("reply_text").alias("reply"), F.col("customer_text").alias("customer"), score.alias("score")))
+    out = scoring.predict(p.select("customer_id", "customer_text", one.alias("evidence")), "customer_id", "customer_text", None, "evidence", POLICY, REASONS)
+    return out.select("example_id", "predicted_intent", "predicted_must_escalate", F.md5("predicted_reply").alias("reply_md5"), "predicted_reason", F.array_join("retrieved_source_ids", ",").alias("sources"), F.array_join("stages.errors", "; ").alias("errors"), F.col("stages.decision").alias("decision"))
+
+
 def risk_signals(spark, sf_dir):
     m = messages(spark, sf_dir).where("inbound")
     s = scoring.risk_signals(F.col("text"), F.col("text"), scoring.classify(F.col("text"), POLICY), POLICY)
@@ -142,10 +151,12 @@ def prediction_pairs(spark, sf_dir):
 
 
 def candidate_audit(spark, sf_dir):
-    """Context rules and flags of exported candidates, one flag of which was tampered with."""
+    """Context rules and flags of exported candidates, of which a flag, a target and a model input were tampered with."""
     c = _candidates(spark, sf_dir)
     flags = F.struct(*[F.when((F.col("group_id").cast("long") % 7000 == 0) & F.lit(f == "has_url"), ~F.col(f"flags.{f}")).otherwise(F.col(f"flags.{f}")).alias(f) for f in ("suspected_multipart", "partial_text", "has_url", "private_handoff", "external_context_required")])
-    rows = store(c.withColumn("flags", flags), "candidates")
+    g = F.col("group_id").cast("long")
+    leaked = F.when(g % 11000 == 0, F.concat_ws("\n", "model_input", "reply_text")).otherwise(F.col("model_input"))
+    rows = store(c.withColumn("flags", flags).withColumn("model_input", leaked).withColumn("customer_id", F.when(g % 13000 == 0, "x").otherwise(F.col("customer_id"))), "candidates")
     return audits.union(audits.context_ends_in_target(rows, "group_id", "path", "customer_id", "reply_id", "reply_text", "model_input"), audits.flags_reproduce(rows, "group_id", "path", "flags"))
 
 
@@ -209,11 +220,28 @@ s AS (SELECT customer_id, label, esc, gold, CASE WHEN length(r)<10 OR (label='ot
  CASE WHEN contains(r,'example.com') OR contains(r,'tion') OR contains(r,'keit') THEN 2 ELSE 1 END AS grounding,
  CASE WHEN length(r)<15 OR (contains(r,'thanks for reaching out') AND NOT contains(r,'example.com') AND NOT contains(r,'reinstall')) THEN CASE WHEN contains(r,'thanks') THEN 1 ELSE 0 END WHEN contains(r,'example.com/') OR contains(r,'ment') OR contains(r,'ung') THEN 2 ELSE 1 END AS usefulness,
  CASE WHEN contains(r,'the') OR contains(r,'les') THEN 2 ELSE 1 END AS tone, gold AND NOT esc AS critical_error FROM j)"""
+_LABELLED = lambda values: "CASE lb " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + f" ELSE '{values.get(POLICY.default, '')}' END"
+_CLEAN_REPLY = r"""regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(reply_text,'@?\[CUSTOMER_[A-Za-z0-9_]+\]','','g'),'@[A-Za-z0-9_]+','','g'),'\s+/[A-Z0-9]{2,4}\b','','g'),'\s+\^[A-Z0-9]{2,4}\b','','g'),'https?://t\.co/[A-Za-z0-9]+','','g'),'\s+',' ','g')),'^[,.\-\s]+','')"""
+_CHAIN = f"""WITH {MESSAGES_SQL}, {PAIRS_SQL}, e AS (SELECT customer_id, reply_id, reply_text, customer_text, (length(reply_text)%10)/10.0 AS score, {_CASE.replace('(customer_text,', "(' '||customer_text,")} AS lb, {_CLEAN_REPLY} AS core FROM p),
+a AS (SELECT *, CASE WHEN score>={POLICY.threshold} AND length(core)>=15 THEN core END AS advice FROM e),
+d AS (SELECT *, {_LABELLED(POLICY.openers)}||' '||CASE WHEN length(trim(advice))>=20 THEN CASE WHEN regexp_matches(trim(advice),'[.!?]$') THEN trim(advice) ELSE trim(advice)||'.' END ELSE {_LABELLED(POLICY.actions)} END||' '||{_LABELLED(POLICY.closers)} AS reply,
+ advice IS NOT NULL AS cited, CASE WHEN advice IS NOT NULL THEN lower(reply_text||' '||customer_text) ELSE '' END AS quoted FROM a),
+e0 AS (SELECT *, CASE WHEN regexp_matches(reply, '{unicode_words(POLICY.prohibited)}') THEN 'prohibited_claim_in_draft' ELSE '' END AS err0 FROM d)""" + "".join(
+    f""",
+e{n} AS (SELECT *, concat_ws('; ', nullif(err{n - 1},''), CASE WHEN NOT regexp_matches(reply, '{unicode_words(c.pattern)}') THEN NULL WHEN NOT cited THEN 'unsupported_substantive_claim: {c.name} asserted without cited evidence'
+ WHEN {' OR '.join(f"regexp_matches(quoted, '{unicode_words(p)}')" for p in c.contradiction) or 'false'} THEN 'contradictory_evidence_claim: {c.name}'
+ WHEN NOT ({' OR '.join(f"contains(quoted, '{w}')" for w in c.support)}) AND err{n - 1}='' THEN 'unsupported_substantive_claim: {c.name} not supported by cited evidence' END) AS err{n} FROM e{n - 1})"""
+    for n, c in enumerate(POLICY.claims, 1)
+)
+_WHY = ", ".join([*(f"CASE WHEN regexp_matches(' '||customer_text, '{unicode_words(POLICY.signals[s])}') THEN '{r}' END" if s in POLICY.signals else f"CASE WHEN lb='{POLICY.default}' OR length(trim(customer_text))<15 THEN '{r}' END" for s, r in REASONS.items()), f"CASE WHEN err{len(POLICY.claims)}<>'' THEN 'validation_schema_failure' END", f"CASE WHEN lb IN ({', '.join(repr(x) for x in POLICY.cautious)}) AND score<{POLICY.threshold} THEN 'low_retrieval_evidence_confidence' END"])
 _SYSTEMS = f"""WITH {MESSAGES_SQL}, {PAIRS_SQL}, l AS (SELECT customer_id, customer_text, {_CASE.replace('(customer_text,', "(' '||customer_text,")} AS lb, regexp_matches(' '||customer_text, '{unicode_words(ESCALATE)}') AS es FROM p),
 q AS (SELECT 'constant' AS system_id, customer_id, customer_text, 'support' AS label, true AS esc, 'Thanks.' AS reply FROM l
  UNION ALL SELECT 'rules', customer_id, customer_text, lb, es, CASE lb {' '.join(f"WHEN '{r.label}' THEN '{r.reply}'" for r in POLICY.rules)} ELSE '' END FROM l),
 j AS (SELECT system_id, customer_id, trim(lower(reply)) AS r, trim(lower(customer_text)) AS c, label, esc, length(customer_text)>600 AS gold FROM q)"""
 SQL = {
+    "paired_predictions": f"""{_CHAIN}, r AS (SELECT *, concat_ws('; ', {_WHY}) AS why FROM e{len(POLICY.claims)})
+SELECT customer_id AS example_id, lb AS predicted_intent, why<>'' AS predicted_must_escalate, md5(reply) AS reply_md5, CASE WHEN why='' THEN 'safe_auto_handle_standard_troubleshooting' ELSE why END AS predicted_reason, reply_id AS sources, err{len(POLICY.claims)} AS errors,
+ CASE WHEN why='' THEN 'auto_handle' ELSE 'escalate' END AS decision FROM r""",
     "system_scores": f"""{_SYSTEMS} SELECT system_id, customer_id AS example_id, CAST(CASE WHEN length(r)<10 OR (label='other' AND NOT contains(r,'example') AND length(c)>20) THEN 1 ELSE 2 END AS BIGINT) AS relevance,
  CAST(CASE WHEN contains(r,'example.com') OR contains(r,'tion') OR contains(r,'keit') THEN 2 ELSE 1 END AS BIGINT) AS grounding,
  CAST(CASE WHEN length(r)<15 OR (contains(r,'thanks for reaching out') AND NOT contains(r,'example.com') AND NOT contains(r,'reinstall')) THEN CASE WHEN contains(r,'thanks') THEN 1 ELSE 0 END WHEN contains(r,'example.com/') OR contains(r,'ment') OR contains(r,'ung') THEN 2 ELSE 1 END AS BIGINT) AS usefulness,
@@ -238,10 +266,11 @@ SELECT measure, 'Measured' AS status, n, round(same/n, 6) AS agreement, round(CA
     "critical_confusion": f"""{_JUDGED}, k AS (SELECT critical_error AS p, CASE WHEN CAST(customer_id AS BIGINT)%9=0 THEN NOT critical_error ELSE critical_error END AS g FROM s WHERE CAST(customer_id AS BIGINT)%7<>0)
 SELECT count(*) AS n, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g AND p) AS fp, count(*) FILTER (g AND NOT p) AS fn, count(*) FILTER (NOT g AND NOT p) AS tn FROM k""",
     "prediction_pairs": f"WITH {MESSAGES_SQL}, q AS (SELECT {_CASE.replace('customer_text', 'text')} AS a FROM m WHERE inbound) SELECT a, 'support' AS b, count(*) AS n FROM q GROUP BY 1",
-    "candidate_audit": f"WITH {MESSAGES_SQL}, {PAIRS_SQL} SELECT DISTINCT 'flags_reproduce' AS \"check\", CAST(conv_id*1000 AS VARCHAR) AS key, 'has_url' AS detail FROM p WHERE conv_id%7=0",
+    "candidate_audit": f"""WITH {MESSAGES_SQL}, {PAIRS_SQL}, {FIRST_SQL} SELECT 'flags_reproduce' AS "check", CAST(conv_id*1000 AS VARCHAR) AS key, 'has_url' AS detail FROM f WHERE conv_id%7=0
+UNION ALL SELECT 'reply_leaks', CAST(conv_id*1000 AS VARCHAR), '' FROM f WHERE conv_id%11=0 AND length(trim(reply_text))>10 UNION ALL SELECT 'context_end', CAST(conv_id*1000 AS VARCHAR), '' FROM f WHERE conv_id%13=0""",
     "review_rows": "SELECT doc_id, lang, '' AS reviewer, '' AS verdict, CAST(42 AS BIGINT) AS seed, 'v1' AS preprocessing_version FROM documents WHERE lang<>'en'",
     "effective_inquiries": f"""WITH {MESSAGES_SQL}, s AS (SELECT tweet_id, conv_id, turn, inbound, author_id, CASE WHEN inbound AND length(text)%3=0 THEN 'Still broken, HELP!' ELSE text END AS text FROM m), t AS (SELECT *, {_NORMAL} AS normal FROM s),
 e AS (SELECT a.tweet_id, a.normal, len(string_split(a.normal,' '))<=3 AS short, string_agg(b.text, ' ' ORDER BY b.turn) AS text FROM t a LEFT JOIN t b ON a.conv_id=b.conv_id AND b.turn<a.turn AND (b.inbound OR b.author_id<>'brand') WHERE a.inbound GROUP BY 1, 2, 3)
 SELECT tweet_id, md5(CASE WHEN short AND coalesce({_NORMAL},'')<>'' THEN {_NORMAL}||' '||normal ELSE normal END) AS inquiry_md5 FROM e""",
 }
-QUERIES = {f.__name__: f for f in (retrieved_documents, retrieval_quality, prototype_labels, predictions, risk_signals, pluggable_scorer, heuristic_scores, judged_scorecard, parsed_judgements, cached_judgements, judge_prompts, human_agreement, prediction_pairs, system_scores, critical_confusion, candidate_audit, anonymised_turns, review_rows, corpus_fingerprint, effective_inquiries)}
+QUERIES = {f.__name__: f for f in (retrieved_documents, retrieval_quality, prototype_labels, predictions, paired_predictions, risk_signals, pluggable_scorer, heuristic_scores, judged_scorecard, parsed_judgements, cached_judgements, judge_prompts, human_agreement, prediction_pairs, system_scores, critical_confusion, candidate_audit, anonymised_turns, review_rows, corpus_fingerprint, effective_inquiries)}
