@@ -35,9 +35,9 @@ SKETCHES, TAKE = 64, 2
 _PARITIES = 16
 #: Documents of an unsettled sketch that are drawn for all others to be aligned with.
 _DRAWN = 4
-#: Documents of an unsettled sketch up to which all pairs are looked at, and rare words of a document that tell
-#: whether a pair was found by an earlier one.
-_FEW, _HEAD = 16, 64
+#: Documents of an unsettled sketch up to which all pairs are looked at, and listed words of a document, the most common
+#: ones, that tell whether another one finds a pair too.
+_FEW, _LAST_LISTED = 16, 64
 _SKETCHED = "node binary, keys array<long>"
 _TEXTS = "id long, words int, parity array<long>, text binary"
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     left = _unsettled(members, known, narrow)
     many = store(left.where(F.col("size") > _FEW).select("id").distinct(), "many")
     listed = store(_rarest(texts.join(many, "id", "left_semi"), least), "rarest")
-    rare = _unsettled(listed.select("id", F.explode("keys").alias("key")), known, narrow.join(listed.select("id", F.slice("keys", 1, _HEAD).alias("head")), "id"))
+    rare = _unsettled(listed.select("id", F.explode("keys").alias("key")), known, narrow.join(listed.select("id", F.slice("keys", F.greatest(F.size("keys") - _LAST_LISTED + 1, F.lit(1)), _LAST_LISTED).alias("last")), "id"))
     crossing = _crossing_pairs(left.where(F.col("size") <= _FEW), least).unionByName(_crossing_pairs(rare, least)).distinct()
     tried = first.unionByName(drawn).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossing = crossing.join(tried, ["a", "b"], "left_anti")
@@ -328,12 +328,12 @@ def _rarest(texts: DataFrame, least: float) -> DataFrame:
 def _crossing_pairs(member: DataFrame, least: float) -> DataFrame:
     """Pairs of a key's documents in different classes, one of them outside of the key's largest class.
 
-    Pairs inside a class need no alignment, so a key whose documents are all linked gives none. With a column ``head``, a
-    pair with a common key in both heads is found by the first of these alone.
+    Pairs inside a class need no alignment, so a key whose documents are all linked gives none. With a column ``last``, a
+    pair with common keys in both lists is found by the last of these alone.
     """
     x, y = member.where("component <> top").alias("x"), member.alias("y")
     side = lambda s: {c: F.col(f"{s}.{c}") for c in ("words", "parity")}
     once = (F.col("y.component") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))
-    fresh = F.coalesce(F.get(F.array_intersect("x.head", "y.head"), F.lit(0)) == F.col("x.key"), F.lit(True)) if "head" in member.columns else F.lit(True)
+    fresh = F.coalesce(F.try_element_at(F.array_intersect("x.last", "y.last"), F.lit(-1)) == F.col("x.key"), F.lit(True)) if "last" in member.columns else F.lit(True)
     joined = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.component") != F.col("y.component")) & once & _may_be_near(side("x"), side("y"), least) & fresh)
     return joined.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()

@@ -83,12 +83,28 @@ def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text
     if order is None:
         return gapless(rows, "shard", ["doc_id", "text_crc32", "size"], ["doc_id", "text_crc32", "size"], "slot", buckets).select(*out)
     buckets = buckets or max(256, 4 * partitions(docs.sparkSession))
-    nth = lambda df, *by: df.withColumn("nth", F.row_number().over(W.partitionBy(*by[:2]).orderBy(by[2])))
-    places = nth(order.select(F.col("key").alias("_id"), F.col("text_key").alias("_text"), "position"), "_id", "_text", "position").withColumnRenamed("nth", "_n")
-    rows = nth(rows, "doc_id", "text_key", "size")
-    same = rows["doc_id"].eqNullSafe(places["_id"]) & (rows["text_key"] == places["_text"]) & (rows["nth"] == places["_n"])
-    rows = rows.join(places, same, "left")
+    # Slots are found without the texts; these are shuffled once, to their slots.
+    rows = nth(rows.withColumn("key", plain_key(F.col("doc_id"))), "shard")
+    places = nth(order.select(plain_key(F.col("key")).alias("key"), "text_key", "position"), "position")
+    narrow = nth_join(rows.select("key", "text_key", "nth", "shard"), places)
     # Rows without a position come last. Runs of positions are the buckets, so that no task has to order a whole shard.
     last = order.agg(F.max("position").alias("last"))
     run = F.coalesce(F.floor(F.col("position") * buckets / (F.col("last") + 1)), F.lit(buckets)).cast("int")
-    return numbered(rows.crossJoin(F.broadcast(last)).withColumn("run", run), "shard", "run", ["position", "doc_id", "text_key"], "slot").select(*out)
+    slots = numbered(narrow.crossJoin(F.broadcast(last)).withColumn("run", run), "shard", "run", ["position", "key", "text_key", "nth"], "slot")
+    return nth_join(rows, slots.select("key", "text_key", "nth", "slot")).select(*out)
+
+
+def plain_key(key: Column) -> Column:
+    """A key without nulls."""
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("null"))
+
+
+def nth(df: DataFrame, order: str) -> DataFrame:
+    """Number the rows that agree in ``key`` and ``text_key``."""
+    return df.withColumn("nth", F.row_number().over(W.partitionBy("key", "text_key").orderBy(order)))
+
+
+def nth_join(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """Left join of rows numbered by ``nth``, dealt as they were to be numbered: a difference is no equation to deal them anew by."""
+    o = other.withColumnRenamed("nth", "_nth").withColumnRenamed("key", "_key").withColumnRenamed("text_key", "_text")
+    return rows.join(o, (rows["key"] == o["_key"]) & (rows["text_key"] == o["_text"]) & (rows["nth"] - o["_nth"] == 0), "left").drop("_nth", "_key", "_text")
