@@ -75,13 +75,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is a source. Rows equal in doc_id and text take their places arbitrarily among themselves.
     """
-    keyed = _keyed(docs).select("row", "key", "text_key", F.col("row.source").alias("source"))
-    narrow = mixing.place(keyed.drop("row"), "key", "source", "text_key")
+    keyed = _keyed(docs)
+    narrow = mixing.place(keyed.select("key", "text_key", F.col("row.source").alias("source")), "key", "source", "text_key")
     path = scratch(spark, "mixture")
-    narrow.select("key", "text_key", F.col("mix_position").alias("position")).write.parquet(path)
+    narrow.select("key", "text_key", F.col("mix_position").alias("position"), "source").write.parquet(path)
     spark.conf.set(_mixture(sf_dir), path)
-    placed = mixing.place(keyed, "key", "source", "text_key")
-    return placed.repartitionByRange(max(1, partitions(spark)), "mix_position").sortWithinPartitions("mix_position").select("row.*")
+    # Positions are found without the texts; rows that agree in all but their source keep their source's positions.
+    own = lambda d, by: sharding.nth(d.select(sharding.plain_key(F.col("key")).alias("key"), F.concat_ws("|", "text_key", mixing.source_name(F.col("source"))).alias("text_key"), *by), by[0])
+    rows = own(keyed.withColumn("source", F.col("row.source")), ["source", "row"])
+    places = own(spark.read.parquet(path), ["position"])
+    placed = sharding.nth_join(rows, places)
+    return placed.repartitionByRange(max(1, partitions(spark)), "position").sortWithinPartitions("position").select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
