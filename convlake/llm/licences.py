@@ -93,14 +93,15 @@ def _plain(text: str) -> list[str]:
     return low.split()
 
 
-def ordinary_words(every: DataFrame) -> set[str]:
-    """The words of notices that more than a share of COMMON of the lines hold, in paragraphs without a cue."""
+def ordinary_words(every: DataFrame) -> tuple[set[str], int]:
+    """The words of notices that more than a share of COMMON of the lines hold, in paragraphs without a cue, and these lines' number."""
     own = sorted({w for t in _template_words() for w in t})
     held = F.array_intersect("words", F.array(*[F.lit(w) for w in own]))
-    plain = every.where("not cue")
-    n = plain.agg(F.count(F.lit(1))).first()[0]
-    seen = plain.select(F.explode(held).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1, COMMON * n))
-    return {r.w for r in seen.collect()}  # at most the words of all templates
+    marked = F.concat(held, F.array(F.lit("")))  # the empty word stands for the line, so that one pass counts both
+    seen = every.where("not cue").select(F.explode(marked).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    count = {r.w: r.n for r in seen.collect()}  # at most the words of all templates
+    n = count.pop("", 0)
+    return {w for w, k in count.items() if k > max(1, COMMON * n)}, n
 
 
 def overlap() -> Column:
@@ -165,11 +166,11 @@ def _confirmed() -> Column:
     return out
 
 
-def train(spark: SparkSession, every: DataFrame, held: DataFrame, rare: set[str]) -> LicenceModel:
-    """``every`` has the corpus's lines, ``held`` the units with a word of ``rare``."""
+def train(spark: SparkSession, every: DataFrame, held: DataFrame, rare: set[str], n: int) -> LicenceModel:
+    """``every`` has the corpus's lines, ``n`` of them without a cue, ``held`` the units with a word of ``rare``."""
     draw = lambda rows: [r.words for r in rows.select("words").distinct().orderBy(F.xxhash64("words"), "words").limit(SAMPLE_LINES).collect()]
     likely = held.where(F.col("most") < SOME)
-    some = F.pmod(F.xxhash64("words"), F.lit(max(1, every.count() // (20 * SAMPLE_LINES))))  # so that few rows are ordered
+    some = F.pmod(F.xxhash64("words"), F.lit(max(1, n // (20 * SAMPLE_LINES))))  # so that few rows are ordered
     ordinary = draw(every.where((some == 0) & ~F.col("cue") & ~F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(rare) or [""]]))))
     rows = spark.createDataFrame(training_rows(ordinary, draw(likely)), "words array<string>, label int")
     counts = CountVectorizerModel.from_vocabulary(features(rare) or ["licence"], "grams", "features").setBinary(True)
@@ -202,12 +203,13 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = docs.select(F.col(key).alias("doc_id"), text_key(body).alias("text_key"), body.alias("text"))
     every = lines(rows, "text")
     own = {w for t in _template_words() for w in t}
-    rare = own - ordinary_words(every)
+    ordinary, n = ordinary_words(every)
+    rare = own - ordinary
     if not rare:
         raise ValueError("every word of the templates is an ordinary one")
     marked = every.where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(rare)])))
     units = store(joined_lines(marked.dropDuplicates(["doc_id", "text_key", "paragraph", "line"])), "units")  # repeated rows once
-    model = train(spark, every, units, rare)
+    model = train(spark, every, units, rare, n)
     found = model.predict(units).where("family is not null")
     per = found.groupBy("doc_id", "text_key").agg(
         F.count(F.lit(1)).alias("believed"), F.count_if("confirmed").alias("confirmed"),
