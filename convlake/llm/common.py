@@ -155,7 +155,7 @@ def texts_of(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column, null as empty."""
     import pyarrow as pa
 
-    array = column.fill_null("").cast(pa.large_binary())
+    array = column.cast(pa.large_binary()).fill_null(b"")
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
     if not len(array):

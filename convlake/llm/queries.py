@@ -67,6 +67,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_OPERATORS = (op1_sharding, op2_ogg, op3_warc, op4_recompression, op5_licences, op6_suffix_merge, op7_inverted_index, op8_order_minhash, op9_pfair, op10_toxicity)
+def op11_era_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+_OPERATORS = (op1_sharding, op2_ogg, op3_warc, op4_recompression, op5_licences, op6_suffix_merge, op7_inverted_index, op8_order_minhash, op9_pfair, op10_toxicity, op11_era_collocations)
 QUERIES = {f.__name__: f for f in _OPERATORS}
-ORACLES: dict[str, str] = {}
+_COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+spans AS (SELECT lang, w, i, unnest(range(1, 6)) AS k FROM placed),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM spans WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING k = 1 OR count(*) >= 100),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT lang, phrase, a, w, unnest(range(1, k)) AS cut FROM cand),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.a AS l, y.a AS r, t.n, ((1000::HUGEINT * c.a * t.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:], ' ') JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (
+  SELECT * FROM lowest p WHERE NOT EXISTS (
+    SELECT 1 FROM cand q WHERE q.lang = p.lang AND 100 * q.a >= 100 * p.a AND len(q.w) > len(string_split(p.phrase, ' ')) AND contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, cut FROM kept
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+ORACLES: dict[str, str] = {"op11_era_collocations": _COLLOCATIONS}
