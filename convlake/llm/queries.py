@@ -73,7 +73,13 @@ def op11_era_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
-_OPERATORS = (op1_sharding, op2_ogg, op3_warc, op4_recompression, op5_licences, op6_suffix_merge, op7_inverted_index, op8_order_minhash, op9_pfair, op10_toxicity, op11_era_collocations)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+_OPERATORS = (op1_sharding, op2_ogg, op3_warc, op4_recompression, op5_licences, op6_suffix_merge, op7_inverted_index, op8_order_minhash, op9_pfair, op10_toxicity, op11_era_collocations, op12_hard_negatives)
 QUERIES = {f.__name__: f for f in _OPERATORS}
 _COLLOCATIONS = r"""
 WITH pieces AS (
@@ -95,4 +101,16 @@ kept AS (
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, cut FROM kept
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """
-ORACLES: dict[str, str] = {"op11_era_collocations": _COLLOCATIONS}
+_HARD_NEGATIVES = """
+WITH fine AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM fine a JOIN fine b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positive AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 5
+"""
+ORACLES: dict[str, str] = {"op12_hard_negatives": _HARD_NEGATIVES, "op11_era_collocations": _COLLOCATIONS}
