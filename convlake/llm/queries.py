@@ -79,7 +79,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
-_OPERATORS = (op1_sharding, op2_ogg, op3_warc, op4_recompression, op5_licences, op6_suffix_merge, op7_inverted_index, op8_order_minhash, op9_pfair, op10_toxicity, op11_era_collocations, op12_hard_negatives)
+def op13_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_OPERATORS = (op1_sharding, op2_ogg, op3_warc, op4_recompression, op5_licences, op6_suffix_merge, op7_inverted_index, op8_order_minhash, op9_pfair, op10_toxicity, op11_era_collocations, op12_hard_negatives, op13_positive_unlabelled_quality)
 QUERIES = {f.__name__: f for f in _OPERATORS}
 _COLLOCATIONS = r"""
 WITH pieces AS (
@@ -103,8 +109,8 @@ QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase
 """
 _HARD_NEGATIVES = """
 WITH fine AS (
-  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
-  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
   FROM fine a JOIN fine b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
