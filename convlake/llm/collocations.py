@@ -21,11 +21,11 @@ from .common import LOWER, MULT, U64, byte_set, mix, pieces, segment_hash, store
 
 LEAST, LONGEST, FIRST, SCALE = 100, 5, 2000, 1000
 #: Suffixes that a group may have; groups are half full on average. A word in more than an eighth of them is heavy.
-BUDGET = 1 << 22
+BUDGET = 1 << 20
 #: Bits of each map of words.
 BITS = 1 << 25
 #: Bytes of text that are looked at together.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Everything but blanks and what ends a piece; what ends a piece.
 _ENDS = ~byte_set((0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x21, 0x21), (0x3F, 0x3F), (0x0A, 0x0D))
 _WORD = byte_set((0x20, 0x20), (0x09, 0x09)) & ~_ENDS
@@ -41,6 +41,7 @@ class Block:
         self.langs = langs.dictionary.to_pylist()
         raw, offsets = texts_of(table.column("text"))
         data = LOWER[raw]
+        del raw
         word = _WORD[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
@@ -48,12 +49,12 @@ class Block:
         end = np.flatnonzero(word & (~np.r_[word[1:], False] | edge[1:])) + 1 if len(data) else np.empty(0, np.int64)
         piece = np.searchsorted(np.flatnonzero(_ENDS[data]), start)
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
-        self.lang = langs.indices.to_numpy()[owner].astype(np.int64)
+        self.lang = langs.indices.to_numpy()[owner]
         self.joined = np.r_[(piece[1:] == piece[:-1]) & (owner[1:] == owner[:-1]), False] if len(start) else np.empty(0, bool)
         spans = np.r_[0, np.cumsum(end - start)].astype(np.int64)
         coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(spans.tobytes()), pa.py_buffer(data[word].tobytes())]).dictionary_encode()
         self.words = coded.dictionary
-        self.code = coded.indices.to_numpy().astype(np.int64)
+        self.code = coded.indices.to_numpy()
 
     def hashes(self) -> np.ndarray:
         """A hash of each of ``words``."""
@@ -94,7 +95,7 @@ def count_words(rows: DataFrame) -> DataFrame:
     def run(batches):
         for block in _blocks(batches):
             size = max(1, len(block.words))
-            key, n = np.unique(block.lang * size + block.code, return_counts=True)
+            key, n = np.unique(block.lang.astype(np.int64) * size + block.code, return_counts=True)
             words, langs = block.words.take(pa.array(key % size)).cast(pa.large_string()), pa.array(block.langs, pa.string()).take(pa.array(key // size))
             for k in range(0, len(key), 1 << 16):
                 part = slice(k, k + (1 << 16))
@@ -132,11 +133,12 @@ def _sorted(codes: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(0, codes.shape[1], each):
         key = np.zeros(len(codes), np.int64)
         for c in range(k, min(k + each, codes.shape[1])):
-            key = key << bits | codes[:, c]
+            key <<= bits
+            key |= codes[:, c]
         keys.append(key)
     order = np.lexsort(keys[::-1])
     ranked = codes[order]
-    first = np.full(len(codes), codes.shape[1])
+    first = np.full(len(codes), codes.shape[1], np.int8)
     for c in range(codes.shape[1] - 1, -1, -1):
         first[1:][ranked[1:, c] != ranked[:-1, c]] = c
     first[:1] = 0
@@ -160,7 +162,7 @@ def _suffixes(block: Block, common: np.ndarray, heavy: np.ndarray, groups: int,
         run &= np.r_[link[step:], np.zeros(min(step, len(link)), bool)]
     at = np.flatnonzero(link)
     length = length[at]
-    codes = np.zeros((len(at), longest), np.int64)
+    codes = np.zeros((len(at), longest), np.int32)
     group, settled = mix(hashes[block.code[at]]), ~many[at]
     for j in range(longest):
         there = length > j
@@ -203,13 +205,13 @@ def _subtree(messages: list[dict], heavy: np.ndarray, longest: int, least: int,
     """(phrase, count) of the nodes of one language's part of a group: those of at least ``least``, and parts of nodes that other groups share."""
     dictionary = [_unpacked(m["words"]).split(b" ") for m in messages]
     coded = pa.array([w for part in dictionary for w in part], pa.large_binary()).dictionary_encode()
-    words, where = coded.dictionary, coded.indices.to_numpy().astype(np.int64) + 1
+    words, where = coded.dictionary, coded.indices.to_numpy() + np.int32(1)
     codes, counts, at = [], [], 0
     for m, part in zip(messages, dictionary):
         body, kind = _unpacked(m["suffixes"]), np.uint16 if m["width"] == 2 else np.uint32
         n = len(body) // (longest * m["width"] + 4)
         number = np.frombuffer(body, kind, n * longest).reshape(longest, n).T
-        codes.append(np.r_[0, where[at : at + len(part)]][number])
+        codes.append(np.r_[np.int32(0), where[at : at + len(part)]][number])
         counts.append(np.frombuffer(body, np.uint32, n, n * longest * m["width"]).astype(np.int64))
         at += len(part)
     codes, counts = np.concatenate(codes), np.concatenate(counts)

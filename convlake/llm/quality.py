@@ -31,7 +31,7 @@ ORDERS, BITS = (2, 3), 18
 #: Bins of a statistic.
 BINS = 12
 _PIECE = 1 << 19
-_STEPS, _RATE, _RIDGE = 300, 0.005, 1e-3
+_STEPS, _RATE, _RIDGE = 300, 0.02, 1e-3
 #: A cut is trusted for the prior where at least this many positives lie above it.
 _LEAST_ABOVE = 50
 
@@ -126,7 +126,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     cuts = np.sort(positive)[::-1]
     above = np.arange(1, len(cuts) + 1)
     share = np.searchsorted(np.sort(-unlabelled), -cuts, side="right") / max(1, len(unlabelled))
-    chance = sum(np.sqrt(np.log(40) / (2 * max(1, len(x)))) for x in (positive, unlabelled))
+    chance = sum(1 / np.sqrt(2 * max(1, len(x))) for x in (positive, unlabelled))
     ratio = (share + chance) / (above / max(1, len(cuts)))
     fine = above >= min(_LEAST_ABOVE, len(cuts))
     # Cuts that few lie above tell by chance; what chance may add counts for choosing a cut alone.
