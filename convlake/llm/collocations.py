@@ -21,11 +21,11 @@ from .common import LOWER, MULT, U64, byte_set, mix, pieces, segment_hash, store
 
 LEAST, LONGEST, FIRST, SCALE = 100, 5, 2000, 1000
 #: Suffixes that a group may have; groups are half full on average. A word in more than an eighth of them is heavy.
-BUDGET = 1 << 20
+BUDGET = 1 << 22
 #: Bits of each map of words.
 BITS = 1 << 25
 #: Bytes of text that are looked at together.
-BLOCK = 8 << 20
+BLOCK = 12 << 20
 #: Everything but blanks and what ends a piece; what ends a piece.
 _ENDS = ~byte_set((0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x21, 0x21), (0x3F, 0x3F), (0x0A, 0x0D))
 _WORD = byte_set((0x20, 0x20), (0x09, 0x09)) & ~_ENDS

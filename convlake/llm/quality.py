@@ -34,6 +34,8 @@ _PIECE = 1 << 19
 _STEPS, _RATE, _RIDGE = 300, 0.02, 1e-3
 #: A cut is trusted for the prior where at least this many positives lie above it.
 _LEAST_ABOVE = 50
+#: What is taken off the estimated prior: where it is too high the risk of the unlabelled is gone before negatives are told apart.
+_BELOW = 0.025
 
 # Digits count as 0; letters keep their case.
 _FOLDED = np.arange(256, dtype=np.uint8)
@@ -126,7 +128,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     cuts = np.sort(positive)[::-1]
     above = np.arange(1, len(cuts) + 1)
     share = np.searchsorted(np.sort(-unlabelled), -cuts, side="right") / max(1, len(unlabelled))
-    chance = sum(1 / np.sqrt(2 * max(1, len(x))) for x in (positive, unlabelled))
+    chance = sum(np.sqrt(np.log(40) / (2 * max(1, len(x)))) for x in (positive, unlabelled))
     ratio = (share + chance) / (above / max(1, len(cuts)))
     fine = above >= min(_LEAST_ABOVE, len(cuts))
     # Cuts that few lie above tell by chance; what chance may add counts for choosing a cut alone.
@@ -220,7 +222,7 @@ def _prior(parts: list[np.ndarray], trusted: np.ndarray, half: np.ndarray, size:
         for i in np.flatnonzero(half == k):
             score[i] = w[parts[i]].sum()
     found = [estimate_prior(score[(half == k) & (trusted == 1)], score[(half == k) & (trusted == 0)]) for k in (0, 1)]
-    return float(np.mean(found))
+    return float(max(0.01, np.mean(found) - _BELOW))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
