@@ -2,10 +2,10 @@
 
 Words are counted first. Suffixes of up to five words are then dealt into groups by a prefix: the shortest one that
 holds a word which is not heavy, so no prefix has more suffixes than a group's budget allows, however common its first
-word is. A block of text sends each group one message with its distinct suffixes and their numbers. A group sorts its
+word is. The groups of a heavy word lie side by side, as many as its count asks for. A block of text sends each group one message with its distinct suffixes and their numbers. A group sorts its
 suffixes, which lays out its subtree, and reads every node's count from the totals of the leaves below it. Nodes above
-the prefixes have parts in several groups, which Spark sums. What a task has to know of the corpus are two bit maps
-of fixed size, for words that are frequent enough and for heavy ones; a wrong bit costs time, never a count.
+the prefixes have parts in a few groups, which Spark sums. What a task has to know of the corpus are bit maps
+of fixed size, one for words that are frequent enough and one for each level of heavy ones; a wrong bit costs time, never a count.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, MULT, U64, byte_set, mix, pieces, segment_hash, store, texts_of
 
 LEAST, LONGEST, FIRST, SCALE = 100, 5, 2000, 1000
-#: Suffixes that a group may have; groups are half full on average. A word in more than an eighth of them is heavy.
-BUDGET = 1 << 22
+#: Suffixes that a group may have; groups are half full on average. A word in more than an eighth of them is heavy;
+#: each further level is that of words SPREAD times as common, which have SPREAD times as many groups.
+BUDGET, SPREAD = 1 << 22, 4
 #: Bits of each map of words.
 BITS = 1 << 25
 #: Bytes of text that are looked at together.
@@ -145,7 +146,12 @@ def _sorted(codes: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     return order, first
 
 
-def _suffixes(block: Block, common: np.ndarray, heavy: np.ndarray, groups: int, longest: int):
+def _levels(heavy: list[np.ndarray], bits: np.ndarray) -> np.ndarray:
+    """How heavy words are: 0 for those that are not."""
+    return np.add.reduce([_in(m, bits) for m in heavy], dtype=np.int8) if heavy else np.zeros(len(bits), np.int8)
+
+
+def _suffixes(block: Block, common: np.ndarray, heavy: list[np.ndarray], groups: int, longest: int):
     """Messages of one block: for each language and group its distinct suffixes of two words or more."""
     hashes = block.hashes()
     size = max(1, len(block.words))
@@ -153,7 +159,7 @@ def _suffixes(block: Block, common: np.ndarray, heavy: np.ndarray, groups: int,
     for k, name in enumerate(block.langs):
         own = block.lang == k
         bits[own] = _places(name, hashes, 64 * len(common))[block.code[own]]
-    kept, many = _in(common, bits), _in(heavy, bits)
+    kept, level = _in(common, bits), _levels(heavy, bits)
     link = block.joined & kept & np.r_[kept[1:], False] if len(kept) else block.joined
     length = np.ones(len(kept), np.int64)
     run = link.copy()
@@ -163,15 +169,17 @@ def _suffixes(block: Block, common: np.ndarray, heavy: np.ndarray, groups: int,
     at = np.flatnonzero(link)
     length = length[at]
     codes = np.zeros((len(at), longest), np.int32)
-    group, settled = mix(hashes[block.code[at]]), ~many[at]
+    path = mix(hashes[block.code[at]])
+    group, open_ = (path % U64(groups)).astype(np.int64), level[at].astype(np.int64)
     for j in range(longest):
         there = length > j
         codes[there, j] = block.code[at[there] + j] + 1
         if j:
-            longer = there & ~settled
-            group[longer] = mix(group[longer] * MULT[1] + hashes[block.code[at[longer] + j]])
-            settled[longer] = ~many[at[longer] + j]
-    group = (group % U64(groups)).astype(np.int64)
+            longer = np.flatnonzero(there & (open_ > 0))
+            path[longer] = mix(path[longer] * MULT[1] + hashes[block.code[at[longer] + j]])
+            group[longer] += (path[longer] % np.minimum(groups, SPREAD ** open_[longer]).astype(U64)).astype(np.int64)
+            open_[longer] = np.minimum(open_[longer], level[at[longer] + j])
+    group %= groups
     for k, name in enumerate(block.langs):
         mine = np.flatnonzero(block.lang[at] == k)
         if not len(mine):
@@ -201,7 +209,7 @@ def _unpacked(raw: bytes) -> bytes:
     return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
 
 
-def _subtree(messages: list[dict], heavy: np.ndarray, longest: int, least: int, lang: str):
+def _subtree(messages: list[dict], heavy: list[np.ndarray], bits: int, longest: int, least: int, lang: str):
     """(phrase, count) of the nodes of one language's part of a group: those of at least ``least``, and parts of nodes that other groups share."""
     dictionary = [_unpacked(m["words"]).split(b" ") for m in messages]
     coded = pa.array([w for part in dictionary for w in part], pa.large_binary()).dictionary_encode()
@@ -217,7 +225,7 @@ def _subtree(messages: list[dict], heavy: np.ndarray, longest: int, least: int,
     codes, counts = np.concatenate(codes), np.concatenate(counts)
     order, first = _sorted(codes, len(words) + 1)
     codes, counts = codes[order], counts[order]
-    many = np.r_[False, _in(heavy, _places(lang, _hashes(words), 64 * len(heavy)))]
+    many = np.r_[False, _levels(heavy, _places(lang, _hashes(words), bits)) > 0]
     open_ = many[codes[:, 0]]  # whether the prefix so far is of heavy words alone
     for depth in range(2, longest + 1):
         has = codes[:, depth - 1] > 0
@@ -236,9 +244,12 @@ def count_phrases(rows: DataFrame, words: DataFrame, least: int = LEAST, longest
     ``words`` are the counted words; of them those below ``least`` end a suffix.
     """
     spark = rows.sparkSession
-    total = words.agg(F.sum("a")).first()[0] or 0
+    total, most = (x or 0 for x in words.agg(F.sum("a"), F.max("a")).first())
     groups = max(1, -(-2 * total // budget))
-    sent = spark.sparkContext.broadcast((_bit_map(words.where(F.col("a") >= least), bits), _bit_map(words.where(F.col("a") > budget // 8), bits)))
+    heavy = []
+    while most > (over := max(1, budget // 8) * SPREAD ** len(heavy)) and SPREAD ** len(heavy) < groups:  # so levels grow with the logarithm of the corpus
+        heavy.append(_bit_map(words.where(F.col("a") > over), bits))
+    sent = spark.sparkContext.broadcast((_bit_map(words.where(F.col("a") >= least), bits), heavy))
 
     def send(batches):
         for block in _blocks(batches):
@@ -256,7 +267,7 @@ def count_phrases(rows: DataFrame, words: DataFrame, least: int = LEAST, longest
         out: dict[str, list] = {"lang": [], "phrase": [], "words": [], "a": []}
         for lang in group.column("lang").unique().to_pylist():
             own = group.filter(pc.equal(group.column("lang"), lang)).to_pylist()
-            for phrase, n, depth in _subtree(own, sent.value[1], longest, least, lang):
+            for phrase, n, depth in _subtree(own, sent.value[1], bits, longest, least, lang):
                 for name, x in zip(out, (lang, phrase, depth, n)):
                     out[name].append(x)
         return pa.table(out, schema=pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("a", pa.int64())]))

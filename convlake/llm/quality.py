@@ -153,9 +153,9 @@ def _train(parts: list[np.ndarray], trusted: np.ndarray, size: int, prior: float
             # Losses of a positive as positive, ln(1 + exp(-f)), and of any row as negative, ln(1 + exp(f)).
             as_negative = np.logaddexp(0, np.clip(f, -30, 30))
             rest = as_negative[is_u].sum() / n_u - prior * as_negative[is_p].sum() / n_p
-            pull = np.where(is_p, prior * (p - 1) / n_p, 0)
-            if rest > 0:
-                pull += np.where(is_p, -prior * p / n_p, p / n_u)
+            back = np.where(is_p, -prior * p / n_p, p / n_u)
+            # Where overfitting has made the risk of the unlabelled negative, steps lead back from it.
+            pull = np.where(is_p, prior * (p - 1) / n_p, 0) + (back if rest > 0 else -back)
         g = np.bincount(column, weights=pull[row], minlength=size)
         g[-1] += pull.sum()
         g[:-1] += _RIDGE * w[:-1]
