@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from convlake.llm import decontamination, mixing, order_minhash, sharding, toxicity
 from convlake.llm.common import text_key
-from convlake.storage import partitions, scratch, store, table
+from convlake.storage import partitions, store, table
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -65,33 +65,32 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return keyed.join(gone, _same(keyed, gone), "left_anti").select("row.*")
 
 
-def _mixture(sf_dir: str) -> str:
-    """The setting of the session that names the latest mixture of ``sf_dir``."""
-    return f"convlake.mixture.{sf_dir}"
+def _places(docs: DataFrame) -> DataFrame:
+    """(key, text_key, source, position) of the mixture of ``docs``, from their rows alone, without the texts."""
+    narrow = docs.select(F.col("doc_id").alias("key"), text_key(F.col("text")).alias("text_key"), "source")
+    placed = mixing.place(narrow, "key", "source", "text_key")
+    return placed.select("key", "text_key", "source", F.col("mix_position").alias("position"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the files in the order of the mixture; a table in the shared folder has their positions.
+    """All documents, in the files in the order of the mixture.
 
     A null source is a source. Rows equal in doc_id and text take their places arbitrarily among themselves.
     """
-    keyed = _keyed(docs)
-    narrow = mixing.place(keyed.select("key", "text_key", F.col("row.source").alias("source")), "key", "source", "text_key")
-    path = scratch(spark, "mixture")
-    narrow.select("key", "text_key", F.col("mix_position").alias("position"), "source").write.parquet(path)
-    spark.conf.set(_mixture(sf_dir), path)
     # Positions are found without the texts; rows that agree in all but their source keep their source's positions.
     own = lambda d, by: sharding.nth(d.select(sharding.plain_key(F.col("key")).alias("key"), F.concat_ws("|", "text_key", mixing.source_name(F.col("source"))).alias("text_key"), *by), by[0])
-    rows = own(keyed.withColumn("source", F.col("row.source")), ["source", "row"])
-    places = own(spark.read.parquet(path), ["position"])
-    placed = sharding.nth_join(rows, places)
+    rows = own(_keyed(docs).withColumn("source", F.col("row.source")), ["source", "row"])
+    placed = sharding.nth_join(rows, own(store(_places(docs), "mixture"), ["position"]))
     return placed.repartitionByRange(max(1, partitions(spark)), "position").sortWithinPartitions("position").select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot; slots follow the mixture. Columns named as the new ones give way to them."""
-    path = spark.conf.get(_mixture(sf_dir), None)
-    return sharding.shard_documents(docs, keep=True, order=spark.read.parquet(path) if path else None)
+    """All documents with their shard and slot. Columns named as the new ones give way to them.
+
+    Slots follow the mixture of ``docs``. Positions come from the rows, so they are those of the stage before if it handed
+    on these rows, and the same whatever else a session has run.
+    """
+    return sharding.shard_documents(docs, keep=True, order=store(_places(docs), "mixture"))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontamination", drop_contaminated), ("mixing", mix), ("sharding", shard)]
