@@ -74,12 +74,12 @@ def fold(key: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``text`` and ``label`` of at most ``sample`` labelled keys outside of the held-out fold, the smallest by hash.
 
-    A key with several labels has their maximum; null labels and keys are left out.
+    A key with several labels has their maximum, one with several rows the least of their texts; null labels and keys are left out.
     """
     own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold(F.col(key)) != 1)).groupBy(key).agg(F.max(label).cast("int").alias("label"))
     own = own.orderBy(F.xxhash64(key), key).limit(sample)
     one = docs.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return one.join(F.broadcast(own), key).select("text", "label")  # at most ``sample`` short rows
+    return one.join(F.broadcast(own), key).groupBy(key, "label").agg(F.min("text").alias("text")).select("text", "label")  # ``own`` has at most ``sample`` short rows
 
 
 def train(docs: DataFrame, labels: DataFrame, **options) -> Model:

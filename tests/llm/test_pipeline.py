@@ -85,3 +85,17 @@ def test_slots_follow_the_mixture(spark, tmp_path):
     head = [r.source for own in shards.values() for r in own[:40]]
     for s, w in target.items():
         assert abs(head.count(s) / len(head) - w / sum(target.values())) < 0.06
+
+
+def test_shard_depends_on_its_rows_alone(spark, tmp_path):
+    """The same slots before and after other mixtures, and when scratch tables are gone."""
+    from convlake.storage import release
+
+    rows = [(i, f"text {i}", "en", f"s{i % 3}", 9) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    slots = lambda: sorted((r.doc_id, r.shard, r.slot) for r in corpus_pipeline.shard(spark, docs, str(tmp_path)).collect())
+    first = slots()
+    corpus_pipeline.mix(spark, docs.where("doc_id < 20"), str(tmp_path)).count()
+    assert slots() == first
+    release(spark)
+    assert slots() == first

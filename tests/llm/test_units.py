@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from convlake.llm import toxicity
+
 from convlake.llm import mixing, ogg, order_minhash, suffix_dedup, warc
 from convlake.llm.common import MULT, NON_BLANK, U64, Words, mix, window_hash, window_key
 from convlake.llm.recompression import window_symbols
@@ -196,3 +198,13 @@ def test_warc_skips_payloads_without_inflating_them():
     got = list(warc.members(io.BytesIO(data), 0, len(data), lambda h: (True, True), inflated))
     assert [len(x) for _, x in got] == [5, 2_000_000] * 4 + [3] and sum(inflated) > 8_000_000
     assert all(zlib.decompress(r, 31).startswith(b"WARC/1.1") for r in records)
+
+
+def test_training_rows_are_bounded(spark):
+    """A key that is there very often is one row of the sample."""
+    docs = spark.createDataFrame([(2, f"text {i}") for i in range(5000)] + [(i, "other") for i in range(3, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels, sample=10).count() <= 10
+    rows = toxicity.training_rows(docs, labels)
+    assert rows.count() == rows.distinct().count() + rows.where("text = 'other'").count() - rows.where("text = 'other'").distinct().count()
+    assert [r.text for r in rows.where("text <> 'other'").collect()] in ([], ["text 0"])
