@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import error_codes, negations, tokens
+from ..storage import store
 from .components import connected_components
 
 
@@ -29,31 +30,80 @@ def exact_links(profiles: DataFrame) -> DataFrame:
     return star.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1.0).alias("similarity"), F.lit("exact").alias("match_type"))
 
 
-def near_pairs(profiles: DataFrame, least: float = 0.85) -> DataFrame:
-    """Pairs (a < b) of rows with token Jaccard of ``least`` or more, equal negations and no differing codes.
-
-    Rows of equal token sets are folded into one before the join. Tokens are ranked rarest first, and two sets can
-    only reach ``least`` if they share one of their first size - ceil(least * size) + 1 tokens, so only those are joined,
-    with the lengths' ratio bounded; candidates are verified in full. Folded rows come back as links to their fold.
-    """
+def _folds(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of equal token sets, negations and codes as one, and links of all others to it."""
     sets = profiles.where(F.size("tokens") > 0).withColumn("set", F.array_sort("tokens"))
     folds = sets.groupBy("set", "negations", "codes").agg(F.min("key").alias("key"))
     folded = sets.join(folds.withColumnRenamed("key", "head"), ["set", "negations", "codes"]).where("key <> head")
-    links = folded.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b"), F.lit(1.0).alias("similarity"))
+    return folds, folded.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b"), F.lit(1.0).alias("similarity"))
+
+
+def _prefixes(folds: DataFrame, least: float) -> DataFrame:
+    """(token, key, n): of each set of ``n`` tokens the rarest, of which any set that is similar enough shares one."""
     long = folds.select("key", F.size("set").alias("n"), F.explode("set").alias("token"))
     seen = folds.select(F.explode("set").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = long.join(seen, "token").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("df", "token")))
-    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).select("token", "key", "n")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    sized = (F.col("x.n") >= F.lit(least) * F.col("y.n") - F.lit(1e-9)) & (F.col("y.n") >= F.lit(least) * F.col("x.n") - F.lit(1e-9))
-    pairs = x.join(y, "token").where((F.col("x.key") < F.col("y.key")) & sized).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).select("token", "key", "n")
+
+
+def _sized(n, m, least: float):
+    return (n >= F.lit(least) * m - F.lit(1e-9)) & (m >= F.lit(least) * n - F.lit(1e-9))
+
+
+def _verified(pairs: DataFrame, folds: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of the pairs that pass the guards and are similar enough."""
     side = lambda n: folds.select(F.col("key").alias(n), F.struct("set", "negations", "codes").alias(f"_{n}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
+    ok = (F.col("_a.negations") == F.col("_b.negations")) & ~((F.size("_a.codes") > 0) & (F.size("_b.codes") > 0) & (F.col("_a.codes") != F.col("_b.codes")))
     both = F.size(F.array_intersect("_a.set", "_b.set"))
     sim = both / (F.size("_a.set") + F.size("_b.set") - both)
-    ok = (F.col("_a.negations") == F.col("_b.negations")) & ~((F.size("_a.codes") > 0) & (F.size("_b.codes") > 0) & (F.col("_a.codes") != F.col("_b.codes")))
-    found = full.where(ok).select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= least - 1e-12)
-    return found.unionByName(links).withColumn("match_type", F.when(F.col("similarity") == 1.0, "exact").otherwise("near"))
+    return full.where(ok).select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= least - 1e-12)
+
+
+def near_pairs(profiles: DataFrame, least: float = 0.85) -> DataFrame:
+    """Pairs (a < b) of rows with token Jaccard of ``least`` or more, equal negations and no differing codes.
+
+    Rows of equal token sets are folded into one before the join. Tokens are ranked rarest first, and two sets can
+    only reach ``least`` if they share one of their first size - ceil(least * size) + 1 tokens, so only those are joined,
+    with the lengths' ratio bounded; candidates are verified in full. Folded rows come back as links to their fold.
+    """
+    folds, links = _folds(profiles)
+    prefix = _prefixes(folds, least)
+    x, y = prefix.alias("x"), prefix.alias("y")
+    pairs = x.join(y, "token").where((F.col("x.key") < F.col("y.key")) & _sized(F.col("x.n"), F.col("y.n"), least)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    return _verified(pairs, folds, least).unionByName(links).withColumn("match_type", F.when(F.col("similarity") == 1.0, "exact").otherwise("near"))
+
+
+#: Sets that stand for all of a token when classes are looked for.
+STANDING = 3
+
+
+def cluster_links(profiles: DataFrame, least: float = 0.85) -> DataFrame:
+    """Links (a, b) with the same connected components as ``duplicate_links``, without all pairs of a class.
+
+    Every set is first compared with the few that stand for each of its prefix tokens, so that rows stay in proportion
+    to the sets; what these links join is a class. Only sets of a token in different classes are compared after that, one of them
+    outside of the token's largest class: n variants of a text cost n comparisons, not their square.
+    """
+    folds, links = _folds(profiles)
+    folds = store(folds, "folds")
+    prefix = store(_prefixes(folds, least).join(folds.select("key", "negations"), "key"), "prefixes")
+    own, standing = ["token", "negations"], [F.min(F.struct("n", "key"))] + [F.min_by(F.struct("n", "key"), F.xxhash64("key", F.lit(k))) for k in range(1, STANDING)]
+    heads = prefix.groupBy(*own).agg(F.count(F.lit(1)).alias("size"), F.array_distinct(F.array(*standing)).alias("heads")).where("size > 1").select(*own, F.explode("heads").alias("h"))
+    near = prefix.join(heads, own).where((F.col("key") != F.col("h.key")) & _sized(F.col("n"), F.col("h.n"), least))
+    tried = store(near.select(F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b")).distinct(), "tried")
+    first = store(_verified(tried, folds, least).select("a", "b"), "first")
+    known = store(connected_components(first).withColumnRenamed("node", "key"), "classes")
+    member = prefix.join(known, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    per = member.groupBy(*own, "component").agg(F.count(F.lit(1)).alias("c"))
+    mixed = per.groupBy(*own).agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("c", "component")).alias("top")).where("classes > 1").select(*own, F.col("top.component").alias("top"))
+    open_ = store(member.join(mixed, own), "open")
+    x, y = open_.where("component <> top").alias("x"), open_.alias("y")
+    once = (F.col("y.component") == F.col("y.top")) | (F.col("x.key") < F.col("y.key"))
+    apart = (F.col("x.component") != F.col("y.component")) & once & _sized(F.col("x.n"), F.col("y.n"), least)
+    pairs = x.join(y, own).where(apart).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    crossing = _verified(pairs.join(tried, ["a", "b"], "left_anti"), folds, least).select("a", "b")
+    return first.unionByName(crossing).unionByName(links.select("a", "b")).unionByName(exact_links(profiles).select("a", "b"))
 
 
 def duplicate_links(profiles: DataFrame, least: float = 0.85) -> DataFrame:

@@ -22,7 +22,8 @@ def _links(spark, sf_dir) -> DataFrame:
 
 
 def _members(spark, sf_dir) -> DataFrame:
-    return similarity.clusters(table(spark, sf_dir, "documents"), "doc_id", _links(spark, sf_dir))
+    links = similarity.cluster_links(store(_profiles(spark, sf_dir), "profiles"), LEAST)
+    return similarity.clusters(table(spark, sf_dir, "documents"), "doc_id", links)
 
 
 def duplicate_pairs(spark, sf_dir):
