@@ -1,6 +1,6 @@
 """Near-duplicate documents by Order MinHash.
 
-A sketch samples the two smallest of a document's occurrence-labelled shingles (five words) under a hash of its own and
+A sketch samples the two smallest of a document's occurrence-labelled shingles (five words; fewer in short texts) under a hash of its own and
 keeps them in text order, so that two documents share a sketch only if the same shingles come in the same order.
 Documents that share a sketch are aligned word by word inside a band that leaves at most a fifth of the words
 unaligned; those with an edit similarity of 0.8 or more are linked, and linked documents form a class.
@@ -29,8 +29,14 @@ from .common import ALNUM, LOWER, MULT, U64, Words, mix, pieces, store, text_key
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Sketches, and shingles in each. Two documents whose labelled shingles have a Jaccard similarity J share none with
-#: probability (1 - J**TAKE) ** SKETCHES. A fifth of the words changed at random leaves J = 0.2: 0.08; a seventh: 0.003.
+#: probability (1 - J**TAKE) ** SKETCHES. A fifth of the words changed at random leaves J = 0.2: 0.08; a seventh: 0.003;
+#: with the shingles of short texts J = 0.4 or more: 0.015 at most.
 SKETCHES, TAKE = 64, 2
+#: Shorter texts have shorter shingles, as an edit takes away as many shingles as they have words: (fewest words, most words, shingle,
+#: taken). Ranges overlap by what a text may be longer than one that is near to it, so that any such two have sketches of one kind.
+SHORT = ((1, 15, 1, 2), (12, 375, 2, 3))
+#: Texts with fewer words have no sketches of SHINGLE words.
+LONG_FROM = 300
 #: 64-bit numbers in a document's parity bits.
 _PARITIES = 16
 #: Documents of an unsettled sketch that are drawn for all others to be aligned with.
@@ -101,13 +107,32 @@ def sketch_keys(hashes: np.ndarray, first: np.ndarray, count: int, take: int) ->
     return docs, out.view(np.int64)
 
 
+def sketches(words: Words, width: int, count: int, take: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, keys): ``count`` sketches for each kind that a document's number of words asks for, one document after the other."""
+    n, owners, keys = np.diff(words.bounds), [], []
+    for kind, (low, high, wide, taken) in enumerate((*SHORT, (LONG_FROM, np.inf, width, take))):
+        chosen = (n >= low) & (n <= high)
+        if not chosen.any():
+            continue
+        hashes, first = labelled_shingles(words, wide)
+        own = np.where(chosen, np.diff(first), 0)
+        docs, made = sketch_keys(hashes[np.repeat(chosen, np.diff(first))], np.r_[0, np.cumsum(own)], count, taken)
+        owners.append(np.repeat(docs, count))
+        keys.append(mix(made.view(U64).ravel() + U64(kind)))
+    if not owners:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], np.concatenate(keys)[order].view(np.int64)
+
+
 def _sketched(texts: DataFrame, width: int, count: int, take: int) -> DataFrame:
     def run(batches):
         for batch in pieces(batches, 1 << 20):
             data, offsets = texts_of(batch.column("text"))
-            words = Words(LOWER[data], offsets, ALNUM)
-            docs, keys = sketch_keys(*labelled_shingles(words, width), count, take)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(docs) + 1) * count, pa.int32()), pa.array(keys.ravel()))
+            owner, keys = sketches(Words(LOWER[data], offsets, ALNUM), width, count, take)
+            docs, begin = np.unique(owner, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(owner)], pa.int32()), pa.array(keys))
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(docs)), lists], names=["node", "keys"])
 
     return texts.mapInArrow(run, _SKETCHED)

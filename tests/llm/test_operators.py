@@ -308,6 +308,31 @@ def test_recall_from_eight_tenths_on(spark):
     assert all(cls[i] in (i, i - 1) for i, _ in rows)
 
 
+def test_recall_at_every_length(spark):
+    """Pairs of 5 to 300 words, changed at random places by substitution, insertion and deletion."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    rows, of = [], {}
+    for n in (5, 6, 8, 10, 11, 13, 15, 20, 30, 50, 100, 200, 290, 310):
+        for level in (0.8, 0.9):
+            edits = int(n * (1 - level) + 1e-9)
+            for k in range(40 if edits else 0):
+                base = [word() for _ in range(n)]
+                other = list(base)
+                for at in sorted(rng.sample(range(n), edits), reverse=True):
+                    if k % 4 == 3 and at % 2:
+                        del other[at]
+                    else:
+                        other[at] = word()
+                of[len(rows)] = (n, level)
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, ", ".join(other))]
+    cls = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for case in set(of.values()):
+        found = [cls[i] == cls[i + 1] for i, x in of.items() if x == case]
+        assert sum(found) / len(found) >= 0.9, case
+    assert all(cls[i] in (i, i - 1) for i, _ in rows)
+
+
 def test_mixing(docs, rows, empty, spark):
     got = mixing.mix_sources(docs, block_rows=2).collect()
     assert sorted(r.position for r in got) == list(range(len(rows))) and mixing.mix_sources(empty).count() == 0
