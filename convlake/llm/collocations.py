@@ -226,11 +226,11 @@ def _subtree(messages: list[dict], heavy: list[np.ndarray], bits: int, longest:
     order, first = _sorted(codes, len(words) + 1)
     codes, counts = codes[order], counts[order]
     many = np.r_[False, _levels(heavy, _places(lang, _hashes(words), bits)) > 0]
-    open_ = many[codes[:, 0]]  # whether the prefix so far is of heavy words alone
+    open_ = many[codes[:, 0]]
     for depth in range(2, longest + 1):
         has = codes[:, depth - 1] > 0
-        shared = open_ & has  # the node lies above a prefix, or is one
-        open_ = shared & many[codes[:, depth - 1]]
+        open_ = open_ & many[codes[:, depth - 1]]  # heavy words alone
+        shared = open_ & (depth < longest)  # the node lies above a prefix; a prefix itself is in one group alone
         new = np.flatnonzero(first < depth)
         total = np.add.reduceat(counts, new)
         kept = has[new] & ((total >= least) | shared[new])
