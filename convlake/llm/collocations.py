@@ -26,10 +26,11 @@ BUDGET, SPREAD = 1 << 22, 4
 #: Bits of each map of words.
 BITS = 1 << 25
 #: Bytes of text that are looked at together.
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 #: Everything but blanks and what ends a piece; what ends a piece.
 _ENDS = ~byte_set((0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x21, 0x21), (0x3F, 0x3F), (0x0A, 0x0D))
 _WORD = byte_set((0x20, 0x20), (0x09, 0x09)) & ~_ENDS
+_ZSTD = pa.Codec("zstd", 6)
 _MESSAGE = "group int, lang string, width int, words binary, suffixes binary"
 
 
@@ -82,6 +83,7 @@ def _blocks(batches):
         if size >= BLOCK:
             yield Block(held)
             held, size = [], 0
+            pa.default_memory_pool().release_unused()
     if held:
         yield Block(held)
 
@@ -138,10 +140,10 @@ def _sorted(codes: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
             key |= codes[:, c]
         keys.append(key)
     order = np.lexsort(keys[::-1])
-    ranked = codes[order]
     first = np.full(len(codes), codes.shape[1], np.int8)
     for c in range(codes.shape[1] - 1, -1, -1):
-        first[1:][ranked[1:, c] != ranked[:-1, c]] = c
+        column = codes[order, c]
+        first[1:][column[1:] != column[:-1]] = c
     first[:1] = 0
     return order, first
 
@@ -161,7 +163,7 @@ def _suffixes(block: Block, common: np.ndarray, heavy: list[np.ndarray], groups:
         bits[own] = _places(name, hashes, 64 * len(common))[block.code[own]]
     kept, level = _in(common, bits), _levels(heavy, bits)
     link = block.joined & kept & np.r_[kept[1:], False] if len(kept) else block.joined
-    length = np.ones(len(kept), np.int64)
+    length = np.ones(len(kept), np.int8)
     run = link.copy()
     for step in range(1, longest):
         length += run
@@ -198,7 +200,7 @@ def _suffixes(block: Block, common: np.ndarray, heavy: list[np.ndarray], groups:
             used = used[used > 0] - 1
             body = number.T.astype(kind).tobytes() + times[rows].astype(np.uint32).tobytes()
             words = b" ".join(block.words.take(pa.array(used)).to_pylist())
-            yield int(group[chosen[rows[0]]]), name, np.dtype(kind).itemsize, pa.compress(words, "zstd", asbytes=True), len(words), pa.compress(body, "zstd", asbytes=True), len(body)
+            yield int(group[chosen[rows[0]]]), name, np.dtype(kind).itemsize, _ZSTD.compress(words, asbytes=True), len(words), _ZSTD.compress(body, asbytes=True), len(body)
 
 
 def _packed(raw: bytes, size: int) -> bytes:
