@@ -6,8 +6,10 @@ ones joined. The features are the word 1- and 2-grams of known notices with such
 multinomial logistic regression tells licence families from prose by them. It is trained on notices of each family inside
 scraps of prose, on sentences that only speak of licences, and on bounded samples of the corpus's own lines, those that
 share some words with a notice among them. The probability from which a family is believed comes from all lines of
-the corpus in paragraphs that are far from every template; below it a paragraph is unknown. A believed family must also share enough words
-with one of its templates.
+the corpus in paragraphs that are far from every template; below it a paragraph is unknown. A believed family is confirmed
+by a template that shares enough words with the paragraph, whose numbers the paragraph holds, and that fits better, by
+words and pairs of neighbouring words, than any template of another family or of a sibling licence that is like it; a
+tie confirms nothing, nor does a sentence that denies the licence. Siblings are hard negatives of the training, too.
 """
 
 from __future__ import annotations
@@ -36,10 +38,39 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
+# The families' SPDX identifiers, and notices and identifiers of licences that are like theirs and none of them.
+IDENTIFIERS = {
+    "Apache-2.0": ["Apache-2.0"], "BSD-3-Clause": ["BSD-3-Clause"], "CC-BY-4.0": ["CC-BY-4.0"], "CC-BY-NC-4.0": ["CC-BY-NC-4.0"], "CC-BY-SA-4.0": ["CC-BY-SA-4.0"],
+    "GPL-3.0": ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"], "MIT": ["MIT"], "MPL-2.0": ["MPL-2.0"],
+}
+OTHER_IDENTIFIERS = ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "BSD-2-Clause", "BSD-4-Clause", "CC-BY-3.0", "CC-BY-NC-3.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-3.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT-0", "MPL-1.1", "Unlicense")
+SIBLINGS = (
+    "Licensed under the Apache License, Version 1.1.",
+    "Released under the BSD 2-Clause License.", "Released under the BSD 4-Clause License.",
+    "Licensed under CC BY 3.0.", "Licensed under CC BY-NC 3.0.", "Licensed under CC BY-SA 3.0.", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY-NC-ND 4.0.",
+    "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "This work is licensed under the GNU Lesser General Public License, version 3.", "This work is licensed under the GNU Affero General Public License, version 3.",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+    "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.",
+)
+#: Identifier lines are templates of their family or siblings, like notices.
+_IDENTIFIED = "SPDX-License-Identifier: {}"
+for _family, _names in IDENTIFIERS.items():
+    TEMPLATES[_family] += [_IDENTIFIED.format(n) for n in _names]
+SIBLINGS += tuple(_IDENTIFIED.format(n) for n in OTHER_IDENTIFIERS)
 FAMILIES = sorted(TEMPLATES)
 UNKNOWN = len(FAMILIES)
 #: Words that a notice may hold; paragraphs with one say nothing about which words are ordinary.
-_CUES = r"(?i)licen[cs]e|copyright|creative commons|cc by|redistribut|hereby granted"
+_CUES = r"(?i)licen[cs]e|spdx|copyright|creative commons|cc by|redistribut|hereby granted"
 #: Sentences that speak of licences and are no notices.
 NOT_NOTICES = (
     "She renewed her driving licence last week and paid the fee in cash.",
@@ -61,6 +92,8 @@ SAMPLE_LINES, VARIANTS = 3_000, 30
 FALSE_ALARMS = 0.001
 #: Share of a template's words that a notice must hold; lines of paragraphs that hold less than SOME are examples of no notice.
 OVERLAP, SOME = 0.7, 0.35
+#: Templates with this share of their words in common are compared; a sentence that matches DENIED says that a licence is not given.
+ALIKE, DENIED = 0.5, r"\b(?:not|never|nor|cannot|isn t|aren t|wasn t|no longer|neither)(?: \S+){0,2} (?:released|licensed|licenced|available|distributed|covered|offered|published|under|subject)\b"
 #: A word is ordinary from this share of all lines on.
 COMMON = 0.005
 
@@ -122,6 +155,8 @@ def training_rows(ordinary: list[list[str]], likely: list[list[str]]) -> list[tu
                 if v % 3 == 2:  # a word in eight is lost
                     w = [x for k, x in enumerate(w) if zlib.crc32(f"{t}{v}{k}".encode()) % 8]
                 rows.append(((pick(family, v, "a") if v % 4 > 1 else []) + w + (pick(family, v, "b") if v % 2 else []), label))
+    for t in SIBLINGS:
+        rows += [((pick(t, v, "a") if v % 4 > 1 else []) + _plain(t) + (pick(t, v, "b") if v % 2 else []), UNKNOWN) for v in range(VARIANTS // 5)]
     for t in NOT_NOTICES:
         rows += [(pick(t, v, "a") * (v > 0) + _plain(t) + pick(t, v, "b") * (v > 1), UNKNOWN) for v in range(VARIANTS // 5)]
     return rows + [(w, UNKNOWN) for w in [*ordinary, *likely]] + [([], UNKNOWN)]
@@ -133,12 +168,12 @@ def grams(words: Column) -> Column:
 
 
 def features(rare: set[str]) -> list[str]:
-    """1- and 2-grams of the templates that hold one of the words ``rare``."""
+    """1- and 2-grams of the templates and siblings that hold one of the words ``rare``, or one that siblings alone have."""
     every = set()
-    for f in FAMILIES:
-        for t in TEMPLATES[f]:
-            w = _plain(t)
-            every |= {x for x in w if x in rare} | {f"{x} {y}" for x, y in zip(w, w[1:]) if {x, y} & rare}
+    rare = rare | ({x for t in SIBLINGS for x in _plain(t)} - {x for own in _template_words() for x in own})
+    for t in _known():
+        w = _plain(t)
+        every |= {x for x in w if x in rare} | {f"{x} {y}" for x, y in zip(w, w[1:]) if {x, y} & rare}
     return sorted(every)
 
 
@@ -151,19 +186,57 @@ class LicenceModel:
         scored = self.model.transform(units.withColumn("grams", grams(F.col("words")))).withColumn("_p", F.slice(vector_to_array("probability"), 1, len(FAMILIES)))
         best = F.array_max("_p")
         family = F.get(F.array(*[F.lit(f) for f in FAMILIES]), F.array_position("_p", best).cast("int") - 1)
-        scored = scored.select(*units.columns, F.when(best >= self.threshold, family).alias("family"), best.alias("probability"))
-        return scored.withColumn("confirmed", _confirmed())
+        scored = scored.select(*units.columns, "grams", F.when(best >= self.threshold, family).alias("family"), best.alias("probability"))
+        fits = F.when(F.col("family").isNotNull(), _fits())
+        return scored.withColumn("fits", fits).withColumn("confirmed", F.col("family").isNotNull() & _confirmed()).drop("grams", "fits")
+
+
+def _plain_grams(text: str) -> list[str]:
+    """``grams`` of a fixed text."""
+    w = _plain(text)
+    return sorted({*w, *(f"{x} {y}" for x, y in zip(w, w[1:]))})
+
+
+def _among(column: str, values: list[str]) -> Column:
+    """How many of ``values`` an array of distinct strings holds."""
+    return F.size(F.array_intersect(column, F.array(*[F.lit(v) for v in values])))
+
+
+def _rivals(family: str, template: str) -> list[str]:
+    """Templates of other families and siblings that have ALIKE of the words of ``template``, or of their own, in common with it."""
+    own = set(_plain(template))
+    others = [t for f in FAMILIES if f != family for t in TEMPLATES[f]] + list(SIBLINGS)
+    return [t for t in others if len(own & set(_plain(t))) >= ALIKE * min(len(own), len(set(_plain(t))))]
+
+
+def _known() -> list[str]:
+    """All templates, of families and siblings."""
+    return [*(t for f in FAMILIES for t in TEMPLATES[f]), *SIBLINGS]
+
+
+def _fits() -> Column:
+    """For each of ``_known()``, the share of its words and word pairs that the column ``grams`` holds."""
+    return F.array(*[_among("grams", _plain_grams(t)) / F.lit(len(_plain_grams(t))) for t in _known()])
 
 
 def _confirmed() -> Column:
+    """Whether a template of the column ``family`` confirms it, by ``words`` and ``fits``."""
+    at = {t: k for k, t in enumerate(_known())}
+    fit = lambda t: F.get("fits", F.lit(at[t]))
     out = F.lit(False)
     for f in FAMILIES:
         match = F.lit(False)
         for t in TEMPLATES[f]:
             own = sorted(set(_plain(t)))
-            match = match | (F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in own]))) >= F.lit(OVERLAP * len(own)))
+            numbers = [w for w in own if any(c.isdigit() for c in w)]
+            held = _among("words", own) >= F.lit(OVERLAP * len(own))
+            if numbers:
+                held = held & (_among("words", numbers) == len(numbers))
+            for r in _rivals(f, t):
+                held = held & (fit(t) > fit(r))
+            match = match | held
         out = F.when(F.col("family") == f, match).otherwise(out)
-    return out
+    return out & ~F.array_join("words", " ").rlike(DENIED)
 
 
 def train(spark: SparkSession, every: DataFrame, held: DataFrame, rare: set[str], n: int) -> LicenceModel:
@@ -204,9 +277,7 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     every = lines(rows, "text")
     own = {w for t in _template_words() for w in t}
     ordinary, n = ordinary_words(every)
-    rare = own - ordinary
-    if not rare:
-        raise ValueError("every word of the templates is an ordinary one")
+    rare = own - ordinary or own  # a corpus of notices alone makes every word ordinary
     marked = every.where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(rare)])))
     units = store(joined_lines(marked.dropDuplicates(["doc_id", "text_key", "paragraph", "line"])), "units")  # repeated rows once
     model = train(spark, every, units, rare, n)

@@ -422,6 +422,43 @@ def test_licences_held_out(spark):
     assert not any(got[i] for i in got if want.get(i, "") == "")
 
 
+#: Licences that differ from a known one by a number or a word, and sentences that deny one: no family.
+SIBLING_TEXTS = [
+    "This program is free software; you can redistribute it and/or modify it\nunder the terms of the GNU General Public License as published by the\nFree Software Foundation; either version 2 of the License, or (at your\noption) any later version.",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version.",
+    "You can redistribute it under the GNU Affero General Public License, version 3.", "This work is licensed under the GNU General Public License, version 2.",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution 2.5 Generic License.", "Licensed under CC BY-SA 3.0.", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY 2.0.",
+    "Released under the BSD 2-Clause License.", "This is not released under the MIT License.", "The code was never licensed under the Apache License, Version 2.0.",
+    "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later", "// SPDX-License-Identifier: BSD-2-Clause", "SPDX-License-Identifier: CC-BY-ND-4.0", "SPDX-License-Identifier: MIT-0",
+]
+IDENTIFIED = {"SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "/* SPDX-License-Identifier: GPL-3.0-or-later */": "GPL-3.0", "SPDX-License-Identifier: CC-BY-SA-4.0": "CC-BY-SA-4.0", "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "SPDX-License-Identifier: MPL-2.0": "MPL-2.0"}
+
+
+def test_licences_tell_siblings(spark, rows):
+    """Alone, between lines of prose, and beside a notice that holds; identifiers are found."""
+    prose = [(1000 + i, r[1]) for i, r in enumerate(rows)]
+    around = "some words before it\n{}\nand some words after it"
+    texts, want = [], []
+    for t in SIBLING_TEXTS:
+        for form, found in (("{}", ""), (around, ""), ("{}\n\nReleased under the MIT License.", "MIT")):
+            texts.append(form.format(t))
+            want.append(found)
+    for t, found in IDENTIFIED.items():
+        for form in ("{}", around):
+            texts.append(form.format(t))
+            want.append(found)
+    d = spark.createDataFrame([*enumerate(texts), *prose], "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licences.scan_licences(d).collect()}
+    assert [(texts[i], got[i]) for i in range(len(texts)) if got[i] != want[i]] == []
+
+
+def test_licences_of_notices_alone(spark):
+    """A corpus whose words are all words of templates still gives rows."""
+    d = spark.createDataFrame([(i, "Released under the MIT License.") for i in range(300)] + [(300, "version")], "doc_id long, text string")
+    assert licences.scan_licences(d).count() == 301
+
+
 def test_licences_edges(spark):
     """Null keys with different texts, repeated rows, ties, a very long line."""
     long = " ".join(f"x{k}" for k in range(40_000)) + " Released under the MIT License."
