@@ -71,25 +71,51 @@ def allocate(rows: DataFrame, key: str, restricted: str, sizes: Sequence[tuple[s
     return ranked.withColumn("partition", label).drop("_rank")
 
 
-def global_rank(rows: DataFrame, order: Column, tie: str, group: str | None = None, digits: int = 2) -> DataFrame:
-    """``_rank`` from 1 by a hexadecimal order key: counts per leading digits shift ranks that are taken within them."""
+#: Rows that one window task holds, as far as order keys tell them apart.
+MOST_IN_WINDOW = 1_000_000
+
+
+def _leading(cut: DataFrame, keys: Sequence[str], sums: Sequence[Column], digits: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """``cut`` with ``_lead``, leading digits of ``_order``, and the ``sums`` of each group and ``_lead``, the number ``_n`` among them.
+
+    A digit tree: where more than ``most`` rows agree in their leading digits, these alone are counted again by ``digits`` more,
+    until keys end. No lead is the beginning of another, so leads are ordered as the keys are. Rows whose whole keys are equal stay together.
+    """
+    from ..storage import store
+
+    cut, depth = cut.withColumn("_lead", F.substring("_order", 1, digits)), digits
+    while True:
+        longer = F.max(F.length("_order") > depth).alias("_longer")
+        sizes = store(cut.groupBy(*keys, "_lead").agg(F.count(F.lit(1)).alias("_n"), *sums, longer), "leads")
+        large = sizes.where((F.length("_lead") == depth) & (F.col("_n") > most) & F.col("_longer")).select(*keys, "_lead", F.lit(True).alias("_large"))
+        if large.isEmpty():
+            return cut, sizes.drop("_longer")
+        more = F.when(F.col("_large"), F.substring("_order", 1, depth + digits)).otherwise(F.col("_lead"))
+        cut = cut.join(large, [*keys, "_lead"], "left").withColumn("_lead", more).drop("_large")
+        depth += digits
+
+
+def global_rank(rows: DataFrame, order: Column, tie: str, group: str | None = None, digits: int = 2, most: int = MOST_IN_WINDOW) -> DataFrame:
+    """``_rank`` from 1 by an order key of text: counts per leading digits shift ranks that are taken within them.
+
+    A window holds at most ``most`` rows, but for rows with equal keys; rows whose group is null are left out.
+    """
     keys = [group] if group else []
-    cut = rows.withColumn("_order", order).withColumn("_lead", F.substring("_order", 1, digits))
-    sizes = cut.groupBy(*keys, "_lead").agg(F.count(F.lit(1)).alias("_n"))
+    cut, sizes = _leading(rows.withColumn("_order", order), keys, [], digits, most)
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_lead").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     shift = sizes.select(*keys, "_lead", before.alias("_before"))
     own = F.row_number().over(W.partitionBy(*keys, "_lead").orderBy("_order", tie))
     return cut.withColumn("_own", own).join(shift, [*keys, "_lead"]).withColumn("_rank", F.col("_before") + F.col("_own")).drop("_order", "_lead", "_own", "_before")
 
 
-def until_quota(rows: DataFrame, group: str, flag: Column, order: Column, tie: str, least_flagged: int, least: int, digits: int = 2) -> DataFrame:
+def until_quota(rows: DataFrame, group: str, flag: Column, order: Column, tie: str, least_flagged: int, least: int, digits: int = 2, most: int = MOST_IN_WINDOW) -> DataFrame:
     """Rows of each group in order until both quotas were met before them, with their ``sequence``.
 
-    ``order`` is a hexadecimal key as for ``global_rank``: counts per leading digits shift sums that are taken within them,
-    so a group needs not fit one task; leading digits that begin after both quotas are left out before.
+    ``order`` is a key as for ``global_rank``: counts per leading digits shift sums that are taken within them, at most
+    ``most`` rows each, so a group needs not fit one task; leading digits that begin after both quotas are left out before.
     """
-    cut = rows.withColumn("_order", order).withColumn("_lead", F.substring("_order", 1, digits)).withColumn("_flag", F.coalesce(flag.cast("int"), F.lit(0)))
-    sizes = cut.groupBy(group, "_lead").agg(F.count(F.lit(1)).alias("_n"), F.sum("_flag").alias("_f"))
+    cut = rows.withColumn("_order", order).withColumn("_flag", F.coalesce(flag.cast("int"), F.lit(0)))
+    cut, sizes = _leading(cut, [group], [F.sum("_flag").alias("_f")], digits, most)
     before = W.partitionBy(group).orderBy("_lead").rowsBetween(W.unboundedPreceding, -1)
     shift = sizes.select(group, "_lead", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_f")])
     open_ = (F.col("_f_before") < least_flagged) | (F.col("_n_before") < least)

@@ -23,6 +23,7 @@ def resolve_roots(messages: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(tweet_id, root, depth, flag) of each message by pointer doubling: rounds grow with the logarithm of the depth.
 
     Flag is null, ``MISSING_PARENT:<id>`` (the root is then the last message that exists), or ``CYCLE_DETECTED`` (no root).
+    A round writes only the messages that were still open, so one that is settled is written once.
     """
     edges = messages.select("tweet_id", F.col("in_response_to_tweet_id").alias("parent")).dropDuplicates(["tweet_id"])
     known = edges.select(F.col("tweet_id").alias("_known"))
@@ -31,16 +32,16 @@ def resolve_roots(messages: DataFrame, most_rounds: int = 64) -> DataFrame:
         F.when(F.col("parent").isNotNull() & F.col("_known").isNull(), F.concat(F.lit("MISSING_PARENT:"), F.col("parent"))).alias("flag"), F.col("_known").isNull().alias("done"),
     )
     state = store(state, "roots")
-    longest = state.count()
+    longest, settled, open_ = state.count(), state.where("done"), state.where("not done")
     for k in range(most_rounds):
         # After k rounds an open message has looked 2**k replies up; one that has looked up more than there are is on a cycle.
-        if 2**k > longest or state.where("not done").isEmpty():
+        if 2**k > longest or open_.isEmpty():
             break
-        above = state.select(F.col("tweet_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("flag").alias("_flag"), F.col("done").alias("_done"))
-        hop = state.where("not done").join(above, "up")
-        moved = hop.select("tweet_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_flag").alias("flag"), F.col("_done").alias("done"))
-        state = store(state.where("done").unionByName(moved), "roots")
-    return state.select("tweet_id", F.when(F.col("done"), F.col("up")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"), F.when(F.col("done"), F.col("flag")).otherwise(F.lit("CYCLE_DETECTED")).alias("flag"))
+        above = settled.unionByName(open_).select(F.col("tweet_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("flag").alias("_flag"), F.col("done").alias("_done"))
+        moved = open_.join(above, "up").select("tweet_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_flag").alias("flag"), F.col("_done").alias("done"))
+        moved = store(moved, "roots")
+        settled, open_ = settled.unionByName(moved.where("done")), moved.where("not done")
+    return settled.unionByName(open_).select("tweet_id", F.when(F.col("done"), F.col("up")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"), F.when(F.col("done"), F.col("flag")).otherwise(F.lit("CYCLE_DETECTED")).alias("flag"))
 
 
 def collect_threads(messages: DataFrame, roots: DataFrame, epoch: Column | None = None) -> DataFrame:

@@ -44,9 +44,49 @@ def transcript(turns: Column, title: Column) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("## "), title), F.array_join(lines, "\n"), F.lit(""))
 
 
-def file_hashes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, sha256) of files below 2 GB."""
-    return spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sha256"))
+#: Bytes of a file that one row holds.
+BLOCK = 64 << 20
+
+
+def file_hashes(spark: SparkSession, paths: str | Sequence[str], block: int = BLOCK) -> DataFrame:
+    """(path, sha256) of files of any length, read in blocks by as many tasks as there are blocks.
+
+    A file of one block, or none, has its SHA-256; a longer one has that of its blocks' digests (32 bytes each) in order.
+    The ``binaryFile`` source lists the files, without their contents; it leaves out empty files, so these have no row.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")
+    last = F.greatest(F.ceil(F.col("length") / block) - 1, F.lit(0))
+    parts = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("at"))
+    parts = parts.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path", "at")
+    digests = parts.mapInPandas(_block_digests(block), "path string, at long, digest binary")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda b: F.hex(b["digest"]))
+    per = digests.groupBy("path").agg(listed.alias("b"))
+    whole = F.when(F.size("b") == 1, F.lower(F.get("b", F.lit(0)))).otherwise(F.sha2(F.unhex(F.array_join("b", "")), 256))
+    return per.select("path", whole.alias("sha256"))
+
+
+def _block_digests(block: int):
+    def digests(batches):
+        import hashlib
+
+        import pandas as pd
+        from pyarrow import fs
+
+        for rows in batches:
+            out = []
+            for path, at in zip(rows["path"], rows["at"]):
+                system, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                digest = hashlib.sha256()
+                with system.open_input_file(name) as f:
+                    f.seek(at * block)
+                    left = block
+                    while left and (got := f.read(min(left, 1 << 20))):
+                        digest.update(got)
+                        left -= len(got)
+                out.append((path, at, digest.digest()))
+            yield pd.DataFrame(out, columns=["path", "at", "digest"])
+
+    return digests
 
 
 def table_fingerprint(rows: DataFrame) -> DataFrame:
@@ -78,13 +118,26 @@ def _exists(spark: SparkSession, target: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def _delete(spark: SparkSession, target: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def snapshot_folder(spark: SparkSession, path: str) -> str:
+    """Where the snapshot of ``path`` lies: there, or in ``<path>.old`` if a build ended while it put the new one in place."""
+    return path if _exists(spark, path) or not _exists(spark, f"{path}.old") else f"{path}.old"
+
+
 def build_snapshot(messages: DataFrame, path: str, version: str, order: Sequence[Column], reject: bool = False, force: bool = False) -> DataFrame:
     """A checked Parquet snapshot of messages with their quarantine and provenance; one that is valid is used again.
 
-    It is written beside its place, read back and compared, and only then renamed into place; if anything fails the
-    old one stays.
+    It is written beside its place, read back and compared, and only then takes the place of the old one, which waits in
+    ``<path>.old`` meanwhile. If anything fails the old one stays: ``snapshot_folder`` names it at any moment, and
+    the next build puts it back first. One build at a time.
     """
     spark = messages.sparkSession
+    if not _exists(spark, path) and _exists(spark, f"{path}.old") and not _rename(spark, f"{path}.old", path):
+        raise RuntimeError("the old snapshot can't be put back")
     mark = messages.transform(table_fingerprint).first()
     if not force and snapshot_problem(spark, path, version, mark.fingerprint) is None:
         return spark.read.parquet(f"{path}/rows")
@@ -100,15 +153,19 @@ def build_snapshot(messages: DataFrame, path: str, version: str, order: Sequence
         raise RuntimeError("the staged snapshot lacks rows")
     meta = [(version, mark.fingerprint, made.n_rows, made.fingerprint, n.get("identical", 0), n.get("conflicting", 0), True)]
     spark.createDataFrame(meta, "schema_version string, source_fingerprint string, row_count long, fingerprint string, identical long, conflicting long, build_completed boolean").coalesce(1).write.parquet(f"{staged}/meta")
-    if _exists(spark, path) and not _rename(spark, path, f"{path}.old-{uuid.uuid4().hex}"):
-        raise RuntimeError("the old snapshot can't be moved")
+    if _exists(spark, path):
+        _delete(spark, f"{path}.old")
+        if not _rename(spark, path, f"{path}.old"):
+            raise RuntimeError("the old snapshot can't be moved")
     if not _rename(spark, staged, path):
         raise RuntimeError("the snapshot can't be put in place")
+    _delete(spark, f"{path}.old")
     return spark.read.parquet(f"{path}/rows")
 
 
 def snapshot_problem(spark: SparkSession, path: str, version: str, source: str) -> str | None:
     """Why a snapshot can't be used, or None."""
+    path = snapshot_folder(spark, path)
     if not _exists(spark, f"{path}/meta"):
         return "no snapshot"
     meta = spark.read.parquet(f"{path}/meta").first()
