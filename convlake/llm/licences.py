@@ -99,7 +99,7 @@ COMMON = 0.005
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?=\P{N}|$)", " "), " +"), lambda w: w != "")
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?=\P{N}|$)", " "), " +"), "")
 
 
 def paragraphs(text: Column) -> Column:
@@ -129,9 +129,8 @@ def _plain(text: str) -> list[str]:
 def ordinary_words(every: DataFrame) -> tuple[set[str], int]:
     """The words of notices that more than a share of COMMON of the lines hold, in paragraphs without a cue, and these lines' number."""
     own = sorted({w for t in _template_words() for w in t})
-    held = F.array_intersect("words", F.array(*[F.lit(w) for w in own]))
-    marked = F.concat(held, F.array(F.lit("")))  # the empty word stands for the line, so that one pass counts both
-    seen = every.where("not cue").select(F.explode(marked).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    marked = F.concat(F.array_distinct("words"), F.array(F.lit("")))  # the empty word stands for the line, so that one pass counts both
+    seen = every.where("not cue").select(F.explode(marked).alias("w")).where(F.col("w").isin("", *own)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     count = {r.w: r.n for r in seen.collect()}  # at most the words of all templates
     n = count.pop("", 0)
     return {w for w, k in count.items() if k > max(1, COMMON * n)}, n
@@ -139,8 +138,7 @@ def ordinary_words(every: DataFrame) -> tuple[set[str], int]:
 
 def overlap() -> Column:
     """The largest share of a template's words that the column ``words`` holds, over all templates."""
-    shares = [F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in own]))) / F.lit(len(own)) for own in _template_words()]
-    return F.greatest(*shares)
+    return F.array_max(F.transform(_table(_template_words()), lambda own: F.size(F.array_intersect("words", own)) / F.size(own)))
 
 
 def training_rows(ordinary: list[list[str]], likely: list[list[str]]) -> list[tuple[list[str], int]]:
@@ -197,11 +195,6 @@ def _plain_grams(text: str) -> list[str]:
     return sorted({*w, *(f"{x} {y}" for x, y in zip(w, w[1:]))})
 
 
-def _among(column: str, values: list[str]) -> Column:
-    """How many of ``values`` an array of distinct strings holds."""
-    return F.size(F.array_intersect(column, F.array(*[F.lit(v) for v in values])))
-
-
 def _rivals(family: str, template: str) -> list[str]:
     """Templates of other families and siblings that have ALIKE of the words of ``template``, or of their own, in common with it."""
     own = set(_plain(template))
@@ -216,39 +209,46 @@ def _known() -> list[str]:
 
 def _fits() -> Column:
     """For each of ``_known()``, the share of its words and word pairs that the column ``grams`` holds."""
-    return F.array(*[_among("grams", _plain_grams(t)) / F.lit(len(_plain_grams(t))) for t in _known()])
+    return F.transform(_table([_plain_grams(t) for t in _known()]), lambda own: F.size(F.array_intersect("grams", own)) / F.size(own))
+
+
+def _table(rows: list[list[str]]) -> Column:
+    """A constant array of arrays, one expression however many there are."""
+    return F.array(*[F.array(*[F.lit(x) for x in r]).cast("array<string>") for r in rows])
 
 
 def _confirmed() -> Column:
     """Whether a template of the column ``family`` confirms it, by ``words`` and ``fits``."""
     at = {t: k for k, t in enumerate(_known())}
-    fit = lambda t: F.get("fits", F.lit(at[t]))
-    out = F.lit(False)
+    rows = []
     for f in FAMILIES:
-        match = F.lit(False)
         for t in TEMPLATES[f]:
             own = sorted(set(_plain(t)))
             numbers = [w for w in own if any(c.isdigit() for c in w)]
-            held = _among("words", own) >= F.lit(OVERLAP * len(own))
-            if numbers:
-                held = held & (_among("words", numbers) == len(numbers))
-            for r in _rivals(f, t):
-                held = held & (fit(t) > fit(r))
-            match = match | held
-        out = F.when(F.col("family") == f, match).otherwise(out)
-    return out & ~F.array_join("words", " ").rlike(DENIED)
-
-
-def train(spark: SparkSession, every: DataFrame, held: DataFrame, rare: set[str], n: int) -> LicenceModel:
-    """``every`` has the corpus's lines, ``n`` of them without a cue, ``held`` the units with a word of ``rare``."""
+            strings = [F.array(*[F.lit(w) for w in ws]).cast("array<string>") for ws in (own, numbers)]
+            rows.append(F.struct(F.lit(f).alias("family"), F.lit(at[t]).alias("at"), strings[0].alias("own"), strings[1].alias("numbers"), F.array(*[F.lit(at[r]) for r in _rivals(f, t)]).cast("array<int>").alias("rivals")))
+
+    def holds(t: Column) -> Column:
+        enough = F.size(F.array_intersect("words", t["own"])) >= OVERLAP * F.size(t["own"])
+        numbered = F.size(F.array_except(t["numbers"], "words")) == 0
+        return (t["family"] == F.col("family")) & enough & numbered & F.forall(t["rivals"], lambda r: F.get("fits", t["at"]) > F.get("fits", r))
+
+    return F.exists(F.array(*rows), holds) & ~F.array_join("words", " ").rlike(DENIED)
+
+
+def train(spark: SparkSession, docs: DataFrame, held: DataFrame, rare: set[str], n: int) -> LicenceModel:
+    """``docs`` (text_key, text) has ``n`` lines without a cue, ``held`` are the units with a word of ``rare``.
+
+    Ordinary lines are drawn from documents that hashes of their texts pick, some 20 times SAMPLE_LINES at most on average.
+    """
     draw = lambda rows: [r.words for r in rows.select("words").distinct().orderBy(F.xxhash64("words"), "words").limit(SAMPLE_LINES).collect()]
     likely = held.where(F.col("most") < SOME)
-    some = F.pmod(F.xxhash64("words"), F.lit(max(1, n // (20 * SAMPLE_LINES))))  # so that few rows are ordered
-    ordinary = draw(every.where((some == 0) & ~F.col("cue") & ~F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(rare) or [""]]))))
+    some = F.pmod(F.xxhash64("text_key"), F.lit(max(1, n // (20 * SAMPLE_LINES))))  # so that few texts are cut again and few lines ordered
+    ordinary = draw(lines(docs.where(some == 0), "text").where(~F.col("cue") & ~F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(rare) or [""]]))))
     rows = spark.createDataFrame(training_rows(ordinary, draw(likely)), "words array<string>, label int")
     counts = CountVectorizerModel.from_vocabulary(features(rare) or ["licence"], "grams", "features").setBinary(True)
     regression = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40, labelCol="label", featuresCol="features")
-    model = Pipeline(stages=[counts, regression]).fit(rows.withColumn("grams", grams(F.col("words"))))
+    model = Pipeline(stages=[counts, regression]).fit(rows.withColumn("grams", grams(F.col("words"))).coalesce(2))  # a bounded sample, small tasks
     alarms = LicenceModel(model).predict(likely).agg(F.percentile_approx("probability", F.lit(1 - FALSE_ALARMS), F.lit(100_000))).first()[0]
     return LicenceModel(model, min(0.99, max(0.5, (alarms or 0.0) + 1e-9)))
 
@@ -280,7 +280,7 @@ def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rare = own - ordinary or own  # a corpus of notices alone makes every word ordinary
     marked = every.where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(rare)])))
     units = store(joined_lines(marked.dropDuplicates(["doc_id", "text_key", "paragraph", "line"])), "units")  # repeated rows once
-    model = train(spark, every, units, rare, n)
+    model = train(spark, rows, units, rare, n)
     found = model.predict(units).where("family is not null")
     per = found.groupBy("doc_id", "text_key").agg(
         F.count(F.lit(1)).alias("believed"), F.count_if("confirmed").alias("confirmed"),
