@@ -1,4 +1,4 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components by contraction."""
 
 from __future__ import annotations
 
@@ -12,42 +12,40 @@ from ..storage import store
 _FEW = 100_000
 
 
-def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
-    """One step on edges (u, v), u > v: large stars link larger neighbours, small stars smaller ones and the node, to the least.
-
-    A ``few`` edges stay in one partition.
-    """
-    whole = lambda d: d.coalesce(1) if few else d
-    both = whole(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges)
-    least = both.groupBy("u").agg(F.min("v").alias("_least")).select("u", F.least("u", "_least").alias("m"))
-    joined = both.join(least, "u")
-    if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = whole(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
-    return out.where("u <> v").distinct()
+def _moves(edges: DataFrame, k: int) -> DataFrame:
+    """(u, up): each node and the one of itself and its neighbours with most neighbours (by powers of two), ties by a hash of round ``k``."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    degree = both.groupBy("u").agg(F.floor(F.log2(F.count(F.lit(1)))).alias("d"))
+    rank = lambda node: F.struct("d", F.xxhash64(node, F.lit(k)).alias("h"), F.col(node).alias("up"))
+    seen = both.join(degree.withColumnRenamed("u", "v"), "v").select("u", rank("v").alias("r")).unionByName(degree.select("u", rank("u").alias("r")))
+    return seen.groupBy("u").agg(F.max("r").alias("r")).select("u", F.col("r.up").alias("up"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """``node`` and ``component``, the smallest node that it is linked to, for each node that has an edge to another.
 
-    Rows with a null end and edges from a node to itself are ignored. Every round writes the edges to the shared
-    folder; the number of rounds grows with the logarithm of the longest path. Edges of a very common node are
-    summed before they are shuffled, and the join back is one that Spark can split. Up to 100,000 edges, which are counted
-    in every round, are one partition and not shuffled at all.
+    Rows with a null end and edges from a node to itself are ignored. In a round every node moves to one of its
+    neighbours or stays; edges are renamed, and those within one node leave, with the nodes that have no other. So what a round writes shrinks:
+    a star is gone after one, a path loses a constant share whatever its order. Moves are followed at the end, from the last
+    round back. What a node's edges say is aggregated before it is shuffled, and joins back are ones that Spark can split.
+    Up to 100,000 edges, counted in every round, are one partition and not shuffled.
     """
     edges = store(edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    mark, n = None, edges.count()
-    for _ in range(most_rounds):
-        if not n:
-            break
-        few = n <= _FEW
-        edges = store(_star(_star(edges, True, few), False, few), "edges")
-        row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        n = row[0]
-        if mark == tuple(row):
-            break
-        mark = tuple(row)
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    moves: list[DataFrame] = []
+    while n := edges.count():
+        if len(moves) == most_rounds:
+            raise RuntimeError("components did not settle")
+        whole = (lambda d: d.coalesce(1)) if n <= _FEW else (lambda d: d)
+        edges = whole(edges)
+        moves.append(store(_moves(edges, len(moves)), "moves"))
+        to = lambda end: whole(moves[-1]).select(F.col("u").alias(end), F.col("up").alias(f"_{end}"))
+        moved = edges.join(to("u"), "u").join(to("v"), "v").where("_u <> _v")
+        edges = store(moved.select(F.greatest("_u", "_v").alias("u"), F.least("_u", "_v").alias("v")).distinct(), "edges")
+    if not moves:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    ends = moves[-1]
+    for step in reversed(moves[:-1]):
+        later = ends.select(F.col("u").alias("up"), F.col("up").alias("_end"))
+        ends = step.join(later, "up", "left").select("u", F.coalesce("_end", "up").alias("up"))
+    least = ends.groupBy("up").agg(F.min("u").alias("component"))
+    return ends.join(least, "up").select(F.col("u").alias("node"), "component")

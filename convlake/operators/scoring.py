@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -72,34 +73,98 @@ def by_label(label: Column, values: dict[str, str], default: str) -> Column:
     return out
 
 
+#: Added to bounds on distances between unit vectors, well above their rounding errors.
+_SLACK = 1e-5
+
+
+def _norm(v: Column) -> Column:
+    """Length of a vector; null if it is zero or not finite, or a component is null."""
+    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
+    return F.when((n > 0) & (n < float("inf")), n)
+
+
+def _cosine(own: Column, size: Column, other: Column, other_size: Column) -> Column:
+    """-1 where a length is null; the shorter vector is filled with zeros."""
+    dot = F.aggregate(F.zip_with(own, other, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda t, x: t + F.coalesce(x, F.lit(0.0)))
+    return F.coalesce(F.try_divide(dot, size * other_size), F.lit(-1.0))
+
+
+def _apart(cosine: Column) -> Column:
+    """Distance of two unit vectors."""
+    return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * cosine))
+
+
+def _rings(named: DataFrame, groups: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Prototypes (label, v, norm) as lists (g, lo, hi, _known) of some ``most``, and the one row ``_centres`` of ``groups`` of them.
+
+    A prototype belongs to the nearest centre; those of a centre are told apart by their distance to it, which is from lo to hi.
+    """
+    from ..storage import store
+
+    chosen = named.orderBy(F.xxhash64("label"), "label").limit(groups).agg(F.collect_list(F.struct("label", "v", "norm")).alias("_c"))
+    home = F.array_min(F.transform("_c", lambda c, i: F.struct(_apart(_cosine(F.col("v"), F.col("norm"), c["v"], c["norm"])).alias("dist"), i.alias("g"))))
+    placed = named.crossJoin(F.broadcast(chosen)).select("label", "v", "norm", home.alias("_h")).select("label", "v", "norm", "_h.dist", "_h.g", F.floor(F.col("_h.dist") * 32).alias("ring"))
+    placed = store(placed, "prototypes")
+    parts = placed.groupBy("g", "ring").agg(F.ceil(F.count(F.lit(1)) / most).alias("n"))
+    dealt = placed.join(parts, ["g", "ring"]).withColumn("part", F.pmod(F.xxhash64("label"), F.col("n")))
+    known = F.collect_list(F.struct("label", "v", "norm", "dist")).alias("_known")
+    rings = store(dealt.groupBy("g", "ring", "part").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), known).drop("ring", "part"), "rings")
+    each = chosen.select(F.posexplode("_c").alias("g", "c")).select("g", "c.v", "c.norm")
+    reach = rings.groupBy("g").agg(F.max("hi").alias("hi"))
+    return rings, each.join(reach, "g").agg(F.collect_list(F.struct("g", "v", "norm", "hi")).alias("_centres"))
+
+
+def _met(rows: DataFrame, rings: DataFrame) -> DataFrame:
+    """(_row, _own, _norm, _known): for rows at distance ``d`` of centre ``g``, the prototypes that can lie within ``reach``."""
+    most = F.col("reach") + _SLACK
+    near = rows.join(rings, "g").where(F.greatest(F.col("d") - F.col("hi"), F.col("lo") - F.col("d")) <= most)
+    return near.select("_row", "_own", "_norm", F.filter("_known", lambda p: F.abs(p["dist"] - F.col("d")) <= most).alias("_known"))
+
+
+def _best(met: DataFrame) -> DataFrame:
+    each = F.transform("_known", lambda p: F.struct(_cosine(F.col("_own"), F.col("_norm"), p["v"], p["norm"]).alias("cosine"), p["label"].alias("label")))
+    return met.select("_row", F.array_max(each).alias("_best")).groupBy("_row").agg(F.max("_best").alias("_best"))
+
+
+def _best_of_many(kept: DataFrame, named: DataFrame, groups: int, most: int) -> DataFrame:
+    """(_row, _best) over many prototypes: the nearest centre's first, then of others those that the triangle inequality does not rule out."""
+    from ..storage import store
+
+    rings, centres = _rings(named, groups, most)
+    centres = F.broadcast(store(centres, "centres"))
+    far = F.transform("_centres", lambda c: F.struct(_apart(_cosine(F.col("_own"), F.col("_norm"), c["v"], c["norm"])).alias("d"), c["g"].alias("g"), c["hi"].alias("hi")))
+    homes = kept.crossJoin(centres).select("_row", "_own", "_norm", F.array_min(far).alias("h")).select("_row", "_own", "_norm", F.col("h.g").alias("g"), F.col("h.d").alias("d"), F.col("h.d").alias("reach"))
+    first = store(_best(_met(homes, rings)), "best")
+    # A centre is a prototype of its own group, so that every row has a first best.
+    again = kept.join(first, "_row").withColumn("reach", _apart(F.col("_best.cosine"))).crossJoin(centres).select("_row", "_own", "_norm", "reach", F.array_sort(far).alias("_far"))
+    others = F.filter(F.slice("_far", 2, groups), lambda x: x["d"] - x["hi"] <= F.col("reach") + _SLACK)
+    more = again.select("_row", "_own", "_norm", "reach", F.explode(others).alias("x")).select("_row", "_own", "_norm", "reach", "x.g", "x.d")
+    return first.unionByName(_best(_met(more, rings))).groupBy("_row").agg(F.max("_best").alias("_best"))
+
+
 def nearest_prototype(rows: DataFrame, vector: str, prototypes: DataFrame, label: str, least: float = 0.30, most_prototypes: int = 1000) -> DataFrame:
     """``rows`` with ``prototype`` and ``cosine``: the most similar prototype, null below ``least``; ties go to the larger label.
 
-    Prototypes (label, vector) are one row a label. Up to ``most_prototypes`` are literals of one projection; more are put
-    into blocks of so many, every row meets every block, and the best of a row is kept.
+    Prototypes (label, vector) are one row a label. Vectors that are null, zero or not finite have the cosine -1 to all. Up to ``most_prototypes`` are
+    literals of one projection. More are grouped around some of them, at most so many; a row is compared with those of the
+    nearest and, of the others, with those that distances to the centres leave possible, so the result is the same.
     """
     named = prototypes.select(F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
     known = named.orderBy("label").limit(most_prototypes + 1).collect()
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
-
-    def cosine(own: Column, size: Column, name: Column, other: Column) -> Column:
-        dot = F.aggregate(F.zip_with(own, other, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda t, x: t + F.coalesce(x, F.lit(0.0)))
-        return F.struct(F.coalesce(F.try_divide(dot, size * norm(other)), F.lit(-1.0)).alias("cosine"), name.alias("label"))
-
-    sized = rows.withColumn("_norm", norm(F.col(vector)))
+    sized = rows.withColumn("_norm", _norm(F.col(vector)))
     if len(known) > most_prototypes:
         from ..storage import store
 
-        blocks = -(-prototypes.count() // most_prototypes)
-        several = named.groupBy(F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("label", "v")).alias("_known"))
+        usable = store(named.withColumn("norm", _norm(F.col("v"))).where("norm is not null"), "prototypes")
+        groups = max(1, min(most_prototypes, math.isqrt(usable.count())))
         kept = store(sized.withColumn("_row", F.monotonically_increasing_id()), "rows")
-        each = kept.select("_row", vector, "_norm").crossJoin(several)
-        best = each.select("_row", F.array_max(F.transform("_known", lambda p: cosine(F.col(vector), F.col("_norm"), p["label"], p["v"]))).alias("_best")).groupBy("_row").agg(F.max("_best").alias("_best"))
-        out = kept.join(best, "_row").drop("_row")
+        best = _best_of_many(kept.where("_norm is not null").select("_row", F.col(vector).alias("_own"), "_norm"), usable, groups, max(1, most_prototypes // 4))
+        out = kept.join(best, "_row", "left").drop("_row")
     else:
-        every = F.array(*[cosine(F.col(vector), F.col("_norm"), F.lit(p.label), F.array(*[F.lit(float(x)) for x in p.v])) for p in known])
-        out = sized.withColumn("_best", F.array_max(every) if known else F.lit(None).cast("struct<cosine:double,label:string>"))
-    return out.withColumn("cosine", F.col("_best.cosine")).withColumn("prototype", F.when(F.col("cosine") >= least, F.col("_best.label"))).drop("_norm", "_best")
+        every = [F.struct(_cosine(F.col(vector), F.col("_norm"), v, _norm(v)).alias("cosine"), F.lit(p.label).alias("label")) for p in known for v in [F.array(*[F.lit(x).cast("double") for x in p.v or []]).cast("array<double>")]]
+        out = sized.withColumn("_best", F.array_max(F.array(*every)) if known else F.lit(None).cast("struct<cosine:double,label:string>"))
+    cosine = F.coalesce("_best.cosine", F.lit(-1.0)) if known else F.lit(None).cast("double")
+    return out.withColumn("cosine", cosine).withColumn("prototype", F.when(F.col("cosine") >= least, F.col("_best.label"))).drop("_norm", "_best")
 
 
 def risk_signals(text: Column, message: Column, label: Column, policy: Policy, short: int = 15) -> Column:

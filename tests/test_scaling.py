@@ -3,11 +3,13 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from convlake.operators import selection, threads
-from convlake.sources import writers
+from convlake.operators import components, scoring, selection, threads
+from convlake.sources import readers, writers
 
 
 def test_ranks_of_skewed_keys(spark):
@@ -83,3 +85,91 @@ def test_a_file_beyond_two_gigabytes(spark, tmp_path):
     zero = hashlib.sha256(bytes(writers.BLOCK)).digest()
     r = writers.file_hashes(spark, str(tmp_path / "big")).first()
     assert r.sha256 == hashlib.sha256(zero * (-(-(3 << 30) // writers.BLOCK))).hexdigest()
+
+
+def _plain_components(pairs):
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    return {x: find(x) for x in up}
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_shrink(spark, monkeypatch, few):
+    """Random graphs, a path in order, a star, repeated and empty edges: edges written in all rounds stay below three times the input."""
+    rng = random.Random(11)
+    sets = [[(rng.randrange(1500), rng.randrange(1500)) for _ in range(m)] for m in (700, 3000)] + [[(i, i + 1) for i in range(1200)], [(500, i) for i in range(1200)], []]
+    monkeypatch.setattr(components, "_FEW", few)
+    plain = components.store
+    for pairs in sets:
+        written = []
+        monkeypatch.setattr(components, "store", lambda df, name: (lambda s: (written.append(s.count()) if name == "edges" else None, s)[1])(plain(df, name)))
+        d = spark.createDataFrame(pairs * 2 + [(3, 3), (None, 4)], "a long, b long")
+        real = [p for p in pairs if p[0] != p[1]]
+        assert {r.node: r.component for r in components.connected_components(d).collect()} == _plain_components(real)
+        assert sum(written) <= 3 * max(1, written[0])
+
+
+def test_prototypes_are_ruled_out_by_distances(spark, monkeypatch):
+    """10,000 prototypes in clusters of unequal size, equal and unusable vectors: the same best as by all pairs, from less than a fifth of them."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16))
+    mine = lambda n: (centres[np.minimum(rng.integers(0, 90, n), 59)] + 0.15 * rng.normal(size=(n, 16))).round(6)
+    known, asked = mine(10_000), mine(150)
+    asked[:5] = known[:5]
+    known[7] = known[3]  # a tie: the larger label counts
+    protos = [(f"p{i:05d}", v.tolist()) for i, v in enumerate(known)] + [("zero", [0.0] * 16), ("none", None), ("nan", [float("nan")] * 16)]
+    rows = [(i, v.tolist()) for i, v in enumerate(asked)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16)]
+    p, r = spark.createDataFrame(protos, "label string, v array<double>"), spark.createDataFrame(rows, "id int, v array<double>")
+    scored, plain = [], scoring._best
+    monkeypatch.setattr(scoring, "_best", lambda met: (scored.append(met.agg(F.sum(F.size("_known"))).first()[0] or 0), plain(met))[1])
+    got = {x.id: (x.prototype, x.cosine) for x in scoring.nearest_prototype(r, "v", p, "label").collect()}
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    cosines = unit(asked) @ unit(known).T
+    assert len(got) == 153 and all(got[i] == (None, -1.0) for i in (900, 901, 902))
+    for i, c in enumerate(cosines):
+        best = max(np.flatnonzero(c >= c.max() - 1e-12))
+        assert got[i][0] == f"p{best:05d}" and abs(got[i][1] - c.max()) < 1e-12
+    assert got[3][0] == "p00007" and sum(scored) < 0.2 * 150 * 10_000
+
+
+def test_few_prototypes_with_unusable_vectors(spark):
+    p = spark.createDataFrame([("x", [1.0, 0.0]), ("y", None), ("z", [0.0, 0.0])], "label string, v array<double>")
+    r = spark.createDataFrame([(1, [2.0, 0.0]), (2, None), (3, [float("inf"), 1.0])], "id int, v array<double>")
+    assert [(x.prototype, x.cosine) for x in scoring.nearest_prototype(r, "v", p, "label").orderBy("id").collect()] == [("x", 1.0), (None, -1.0), (None, -1.0)]
+    assert [x.cosine for x in scoring.nearest_prototype(r, "v", p.limit(0), "label").collect()] == [None] * 3
+
+
+def test_csv_in_byte_ranges(spark, tmp_path):
+    """Quoted breaks, doubled quotes, CRLF and blank lines at the borders of ranges: rows equal those of whole files, from several tasks."""
+    rng = random.Random(9)
+    cell = lambda: rng.choice(["", "x", "a, b", 'say ""hi""', "one\ntwo", "\n\n", 'q"",""\n""', "r\r\ns", "é" * rng.randrange(1, 9)])
+    for name in ("a.csv", "b.csv"):
+        with open(tmp_path / name, "w", newline="") as f:
+            f.write("tweet_id,text,more\n")
+            for i in range(300):
+                f.write(f'{name}{i},"{cell()}","{cell()}"' + rng.choice(["\n", "\n", "\r\n", "\n\n"]))
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("tweet_id", "text", "more")])
+    key, was = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    whole = sorted(readers.read_messages_csv(spark, str(tmp_path), schema, by_ranges=False).collect())
+    assert len(whole) == 600
+    try:
+        spark.conf.set(key, "97b")
+        rows = readers.read_messages_csv(spark, str(tmp_path), schema)
+        assert sorted(rows.collect()) == whole
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 100
+        assert rows.select("text").where("tweet_id = 'a.csv3'").count() == 1
+        (tmp_path / "open.csv").write_text('tweet_id,text,more\n1,"a,b\n2,c,d\n')
+        with pytest.raises(Exception, match="not closed"):
+            readers.read_messages_csv(spark, str(tmp_path / "open.csv"), schema).collect()
+        (tmp_path / "head.csv").write_text("tweet_id,text,more\n")
+        assert readers.read_messages_csv(spark, str(tmp_path / "head.csv"), schema).count() == 0
+    finally:
+        spark.conf.set(key, was)
