@@ -10,8 +10,13 @@ from ..storage import store
 
 
 def as_messages(conversations: DataFrame, brand: str = "brand") -> DataFrame:
-    """A conversation table (conv_id, turn, role, text) as messages that reply to the turn before them."""
-    tid = lambda turn: (F.col("conv_id") * 1000 + turn).cast("string")
+    """A conversation table (conv_id, turn, role, text) as messages that reply to the turn before them.
+
+    Ids are numbers, conv_id * 1000 + turn; from turn 1,000 on the turn follows the conversation's last number, so that ids
+    stay apart and in the order of turns.
+    """
+    number = lambda turn: (F.col("conv_id") * 1000 + turn).cast("string")
+    tid = lambda turn: F.when(turn < 1000, number(turn)).when(turn >= 1000, F.concat(number(F.lit(999)), F.lit(":"), F.lpad(turn.cast("string"), 10, "0")))
     author = F.when(F.col("role") == "assistant", F.lit(brand)).otherwise(F.concat(F.substring("role", 1, 1), F.col("conv_id").cast("string")))
     return conversations.select(
         tid(F.col("turn")).alias("tweet_id"), author.alias("author_id"), (F.col("role") == "user").alias("inbound"), F.lit(None).cast("string").alias("created_at"),

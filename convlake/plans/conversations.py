@@ -14,8 +14,9 @@ from .domain import ESCALATE, POLICY
 BRAND = "brand"
 
 #: The message table of ``threads.as_messages`` in SQL.
-MESSAGES_SQL = """m AS (SELECT CAST(conv_id*1000+turn AS VARCHAR) AS tweet_id, CASE WHEN role='assistant' THEN 'brand' ELSE substr(role,1,1)||CAST(conv_id AS VARCHAR) END AS author_id,
- role='user' AS inbound, text, CASE WHEN turn>0 THEN CAST(conv_id*1000+turn-1 AS VARCHAR) END AS parent, conv_id, turn FROM conversations)"""
+_ID_SQL = "CASE WHEN {t}<1000 THEN CAST(conv_id*1000+{t} AS VARCHAR) ELSE CAST(conv_id*1000+999 AS VARCHAR)||':'||lpad(CAST({t} AS VARCHAR),10,'0') END"
+MESSAGES_SQL = f"""m AS (SELECT {_ID_SQL.format(t="turn")} AS tweet_id, CASE WHEN role='assistant' THEN 'brand' ELSE substr(role,1,1)||CAST(conv_id AS VARCHAR) END AS author_id,
+ role='user' AS inbound, text, CASE WHEN turn>0 THEN {_ID_SQL.format(t="(turn-1)")} END AS parent, conv_id, turn FROM conversations)"""
 PAIRS_SQL = """p AS (SELECT b.tweet_id AS reply_id, b.text AS reply_text, c.tweet_id AS customer_id, c.text AS customer_text, c.conv_id, c.turn FROM m b JOIN m c ON b.parent=c.tweet_id
  WHERE NOT b.inbound AND b.author_id='brand' AND c.inbound AND c.author_id<>'brand')"""
 

@@ -45,7 +45,7 @@ def kept_representatives(spark, sf_dir):
 
 
 def cluster_edges(spark, sf_dir):
-    """Internal links of clusters; rows only, as which of several equal links stands for a fold is free."""
+    """Internal links of clusters; the smallest key of a text, or of a token set, has the links of its copies."""
     links = _links(spark, sf_dir)
     members = similarity.clusters(table(spark, sf_dir, "documents"), "doc_id", links)
     return similarity.internal_edges(members, links).select("cluster_id", "n_edges", F.round("lowest", 4).alias("lowest"), "pure_exact")
@@ -140,6 +140,12 @@ SQL = {
     "duplicate_clusters": f"WITH RECURSIVE {_CLUSTERS} SELECT key AS doc_id, cluster_id, size, key=canonical AS is_canonical FROM mem",
     "cluster_summary": f"WITH RECURSIVE {_CLUSTERS}, c AS (SELECT cluster_id, count(*) AS size FROM mem GROUP BY 1) SELECT count(*) AS n_clusters, count(*) FILTER (size=1) AS n_single, count(*) FILTER (size>1) AS n_multi, max(size) AS largest, CAST(sum(size-1) AS BIGINT) AS n_removed FROM c",
     "kept_representatives": f"WITH RECURSIVE {_CLUSTERS} SELECT key AS doc_id FROM mem WHERE key=canonical",
+    "cluster_edges": f"""WITH RECURSIVE {_CLUSTERS}, hd AS (SELECT normal, codes, min(key) AS head FROM pr WHERE normal<>'' GROUP BY 1, 2),
+lk AS (SELECT a, b, max(s) AS s FROM (SELECT head AS a, key AS b, CAST(1 AS DOUBLE) AS s FROM pr JOIN hd USING (normal, codes) WHERE key<>head
+ UNION ALL SELECT least(x.head, y.head), greatest(x.head, y.head), CAST(1 AS DOUBLE) FROM hd x JOIN hd y USING (normal) WHERE x.codes='' AND y.codes<>''
+ UNION ALL SELECT f.key, p.key, CAST(1 AS DOUBLE) FROM pr p JOIN fold f USING (tokens, codes, neg) WHERE p.key<>f.key
+ UNION ALL SELECT a, b, s FROM near) GROUP BY a, b)
+SELECT cluster_id, count(*) AS n_edges, round(min(s), 4) AS lowest, bool_and(s=1) AS pure_exact FROM lk JOIN mem ON mem.key=lk.a GROUP BY 1""",
     "restricted_clusters": f"WITH RECURSIVE {_CLUSTERS}, b AS (SELECT DISTINCT doc_id FROM labels WHERE toxic=1) SELECT key AS doc_id, cluster_id, count(b.doc_id) OVER w > 0 AS ineligible, count(b.doc_id) OVER w AS n_restricted FROM mem LEFT JOIN b ON b.doc_id=key WINDOW w AS (PARTITION BY cluster_id)",
     "spanning_clusters": f"WITH RECURSIVE {_CLUSTERS} SELECT cluster_id, count(DISTINCT source) AS n_partitions, count(*) AS n_rows FROM mem JOIN documents ON doc_id=key GROUP BY 1 HAVING count(DISTINCT source)>1",
     "separated_copies": f"""WITH RECURSIVE {_CLUSTERS}, f AS (SELECT text, min(doc_id) AS a FROM documents GROUP BY text), x AS (SELECT a, doc_id AS b FROM documents JOIN f USING (text) WHERE doc_id<>a UNION SELECT doc_id, doc_id+1 FROM documents)

@@ -11,6 +11,7 @@ from ..sources.writers import review_sheet, split_manifest, table_fingerprint
 from ..storage import store, table
 from .conversations import BRAND, FIRST_SQL, MESSAGES_SQL, PAIRS_SQL, _candidates, messages, unicode_words
 from .domain import ESCALATE, POLICY, REASONS
+from .support import support_policy
 
 K = 5
 
@@ -71,6 +72,31 @@ def paired_predictions(spark, sf_dir):
     return out.select("example_id", "predicted_intent", "predicted_must_escalate", F.md5("predicted_reply").alias("reply_md5"), "predicted_reason", F.array_join("retrieved_source_ids", ",").alias("sources"), F.array_join("stages.errors", "; ").alias("errors"), F.col("stages.decision").alias("decision"))
 
 
+#: Sentences of customers and of support, added in turn to messages and replies, as the given tables have no words of the domain.
+ASKED = (
+    "Somebody hacked me, what now?", "Where is my refund? Nothing works.", "The app keeps freezing and I already tried everything.", "How do I invite my family?", "That album is missing.",
+    "When do you launch in South Africa?", "Please bring back the filter for most played songs.", "My password needs a reset.", "I was charged twice and want to dispute it.", "Good morning to all of you.", "",
+)
+ANSWERED = (
+    "Try a clean reinstall.", "Please clear the cache, then restart.", "Is your router all right? Turn off Bluetooth as well.", "Offline mode may help.", "Log out and update to the latest version.", "Go to example.com/reset or example.com/account.",
+    "It depends on licensing agreements.", "We see a refund issued.", "Thanks for telling us.",
+)
+SUPPORT = support_policy()
+
+
+def support_routes(spark, sf_dir):
+    """Label, signals, prohibited claims and claims by the default support policy, of every reply pair with a sentence added to both sides."""
+    p = joins.reply_pairs(messages(spark, sf_dir), BRAND)
+    added = lambda c, some: F.concat(F.lit(" "), F.col(c), F.lit(" "), F.get(F.array(*map(F.lit, some)), F.length(c) % len(some)))
+    p = p.select("customer_id", added("customer_text", ASKED).alias("asked"), added("reply_text", ANSWERED).alias("answer"))
+    label = scoring.classify(F.col("asked"), SUPPORT)
+    said = lambda pattern: F.col("answer").rlike(f"(?iU){pattern}")
+    signals = scoring.risk_signals(F.col("asked"), F.col("asked"), label, SUPPORT)
+    claims = F.concat_ws(",", *[F.when(said(c.pattern), c.name) for c in SUPPORT.claims])
+    rows = p.select("customer_id", label.alias("label"), signals.alias("s"), said(SUPPORT.prohibited).alias("prohibited"), claims.alias("claims"))
+    return rows.select("customer_id", "label", *[F.col(f"s.{k}").alias(k) for k in [*SUPPORT.signals, "unresolved_ambiguity"]], "prohibited", "claims")
+
+
 def risk_signals(spark, sf_dir):
     m = messages(spark, sf_dir).where("inbound")
     s = scoring.risk_signals(F.col("text"), F.col("text"), scoring.classify(F.col("text"), POLICY), POLICY)
@@ -215,6 +241,11 @@ du AS (SELECT key, term, w/sqrt(sum(w*w) OVER (PARTITION BY key)) AS w FROM dx),
 sc AS (SELECT qu.key AS item_id, du.key AS doc_id, sum(qu.w*du.w) AS s FROM qu JOIN du USING (term) GROUP BY 1, 2),
 hi AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM sc QUALIFY rank<=5)"""
 _CASE = "CASE " + " ".join(f"WHEN regexp_matches(customer_text, '{unicode_words(r.pattern)}') THEN '{r.label}'" for r in POLICY.rules) + " ELSE 'other' END"
+_IN_TURN = lambda some, text: f"""' ' || {text} || ' ' || list_extract([{', '.join("'" + x + "'" for x in some)}], CAST(length({text}) % {len(some)} AS INT) + 1)"""
+_SUPPORT = f"""WITH {MESSAGES_SQL}, {PAIRS_SQL}, t AS (SELECT customer_id, {_IN_TURN(ASKED, "customer_text")} AS asked, {_IN_TURN(ANSWERED, "reply_text")} AS answer FROM p),
+l AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(asked, '{unicode_words(r.pattern)}') THEN '{r.label}'" for r in SUPPORT.rules)} ELSE '{SUPPORT.default}' END AS label FROM t)
+SELECT customer_id, label, {", ".join(f"regexp_matches(asked, '{unicode_words(x)}') AS {k}" for k, x in SUPPORT.signals.items())}, label='{SUPPORT.default}' OR length(trim(asked))<15 AS unresolved_ambiguity,
+ regexp_matches(answer, '{unicode_words(SUPPORT.prohibited)}') AS prohibited, concat_ws(',', {", ".join(f"CASE WHEN regexp_matches(answer, '{unicode_words(x.pattern)}') THEN '{x.name}' END" for x in SUPPORT.claims)}) AS claims FROM l"""
 _JUDGED = f"""WITH {MESSAGES_SQL}, {PAIRS_SQL}, j AS (SELECT customer_id, trim(lower(reply_text)) AS r, trim(lower(customer_text)) AS c, {_CASE} AS label, regexp_matches(customer_text, '{unicode_words(ESCALATE)}') AS esc, length(customer_text)>600 AS gold FROM p),
 s AS (SELECT customer_id, label, esc, gold, CASE WHEN length(r)<10 OR (label='other' AND NOT contains(r,'example') AND length(c)>20) THEN 1 ELSE 2 END AS relevance,
  CASE WHEN contains(r,'example.com') OR contains(r,'tion') OR contains(r,'keit') THEN 2 ELSE 1 END AS grounding,
@@ -251,6 +282,7 @@ SELECT customer_id AS example_id, lb AS predicted_intent, why<>'' AS predicted_m
     "prototype_labels": """WITH x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), pm AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM x GROUP BY 1, 2), pn AS (SELECT label, sqrt(sum(m*m)) AS n FROM pm GROUP BY 1),
 d AS (SELECT vec_id, pm.label, sum(CAST(v AS DOUBLE)*m)/(sqrt(sum(CAST(v AS DOUBLE)*v))*any_value(n)) AS c FROM x JOIN pm USING (i) JOIN pn ON pn.label=pm.label GROUP BY 1, 2)
 SELECT vec_id, CASE WHEN max(c)>=0.3 THEN CAST(arg_max(label, c) AS VARCHAR) ELSE 'none' END AS prototype, round(max(c), 4) AS cosine FROM d GROUP BY 1""",
+    "support_routes": _SUPPORT,
     "risk_signals": f"WITH {MESSAGES_SQL} SELECT tweet_id, " + ", ".join(f"regexp_matches(text, '{unicode_words(p)}') AS {k}" for k, p in POLICY.signals.items()) + f", {_CASE.replace('customer_text', 'text')}='other' OR length(trim(text))<15 AS unresolved_ambiguity FROM m WHERE inbound",
     "pluggable_scorer": f"WITH {MESSAGES_SQL} SELECT tweet_id AS example_id, CASE WHEN length(text)>500 THEN 'long' ELSE 'short' END AS predicted_intent, length(text)>500 AS predicted_must_escalate FROM m WHERE inbound",
     "heuristic_scores": f"{_JUDGED} SELECT customer_id, CAST(relevance AS BIGINT) AS relevance, CAST(grounding AS BIGINT) AS grounding, CAST(usefulness AS BIGINT) AS usefulness, CAST(tone AS BIGINT) AS tone, critical_error FROM s",
@@ -273,4 +305,4 @@ UNION ALL SELECT 'reply_leaks', CAST(conv_id*1000 AS VARCHAR), '' FROM f WHERE c
 e AS (SELECT a.tweet_id, a.normal, len(string_split(a.normal,' '))<=3 AS short, string_agg(b.text, ' ' ORDER BY b.turn) AS text FROM t a LEFT JOIN t b ON a.conv_id=b.conv_id AND b.turn<a.turn AND (b.inbound OR b.author_id<>'brand') WHERE a.inbound GROUP BY 1, 2, 3)
 SELECT tweet_id, md5(CASE WHEN short AND coalesce({_NORMAL},'')<>'' THEN {_NORMAL}||' '||normal ELSE normal END) AS inquiry_md5 FROM e""",
 }
-QUERIES = {f.__name__: f for f in (retrieved_documents, retrieval_quality, prototype_labels, predictions, paired_predictions, risk_signals, pluggable_scorer, heuristic_scores, judged_scorecard, parsed_judgements, cached_judgements, judge_prompts, human_agreement, prediction_pairs, system_scores, critical_confusion, candidate_audit, anonymised_turns, review_rows, corpus_fingerprint, effective_inquiries)}
+QUERIES = {f.__name__: f for f in (retrieved_documents, retrieval_quality, prototype_labels, predictions, paired_predictions, support_routes, risk_signals, pluggable_scorer, heuristic_scores, judged_scorecard, parsed_judgements, cached_judgements, judge_prompts, human_agreement, prediction_pairs, system_scores, critical_confusion, candidate_audit, anonymised_turns, review_rows, corpus_fingerprint, effective_inquiries)}

@@ -15,6 +15,7 @@ RULES = (
     ("product_feedback", r"\b({own}recommend|ad|ads|filter|most played|feature|listeners|meme|idea|suggest|dislike)\b"),
 )
 DEFAULT = "other_or_ambiguous"
+# Signals with their patterns, and what drafts never claim.
 SIGNALS = {
     "sensitive_security": r"\b(hacked|compromised|stolen|deleted.*facebook|facebook|sso|access my account)\b",
     "account_action": r"\b(password|reset|delete.*account|change address|grace period|email address|update my payment)\b",

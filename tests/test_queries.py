@@ -12,7 +12,7 @@ def test_every_sql_has_a_query():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["candidates", "thread_turns", "duplicate_pairs", "split_documents", "language_states", "rule_predictions", "scorecard", "heuristic_scores", "parsed_judgements"])
+@pytest.mark.parametrize("name", ["candidates", "thread_turns", "duplicate_pairs", "cluster_edges", "support_routes", "split_documents", "language_states", "rule_predictions", "scorecard", "heuristic_scores", "parsed_judgements"])
 def test_query_equals_sql(spark, name):
     import duckdb
 

@@ -61,3 +61,14 @@ def test_empty_tables(spark):
     m = rows(spark, [("1", None)]).limit(0)
     assert threads.resolve_roots(m).count() == 0 and threads.ancestor_paths(m, m, "brand").count() == 0
     assert connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_ids_of_long_conversations_stay_apart(spark):
+    """Turns from 1,000 on keep their conversation, their order and their parent; the next conversation's ids are its own."""
+    rows = [(c, t, "assistant" if t % 2 else "user", f"{c} {t}") for c, n in ((7, 12_003), (8, 3)) for t in range(n)]
+    m = threads.as_messages(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    assert m.select("tweet_id").distinct().count() == len(rows)
+    got = {r.root: [t.text for t in r.turns] for r in threads.collect_threads(m, threads.resolve_roots(m)).collect()}
+    assert got == {"7000": [f"7 {t}" for t in range(12_003)], "8000": ["8 0", "8 1", "8 2"]}
+    odd = spark.createDataFrame([(1, None, "user", "a"), (None, 2, "user", "b")], "conv_id long, turn int, role string, text string")
+    assert [r.tweet_id for r in threads.as_messages(odd).collect()] == [None, None]
