@@ -84,6 +84,16 @@ def test_every_pair_but_the_asked_one_is_evidence(spark, tmp_path):
     assert ids["1000"] == ["2001"] and ids["2000"] == ["1001"] and not got["5000"]
 
 
+def test_predictions_ask_for_each_hundredth_conversation(spark, tmp_path):
+    """Queries are the messages of conversations divisible by 100; evidence comes from all."""
+    from convlake.plans import scoring
+
+    rows = [(c, t, "user" if t == 0 else "assistant", "zebra quartz lamp" if t == 0 else f"answer {c}") for c in (99, 100, 101, 200) for t in (0, 1)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.example_id: r.sources for r in scoring.predictions(spark, str(tmp_path)).collect()}
+    assert set(got) == {"100000", "200000"} and all(got.values())
+
+
 def test_support_policy(spark):
     from convlake.plans.support import support_policy
 
