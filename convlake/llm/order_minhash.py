@@ -20,7 +20,6 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -44,6 +43,8 @@ _DRAWN = 4
 #: Documents of an unsettled sketch up to which all pairs are looked at, and listed words of a document, the most common
 #: ones, that tell whether another one finds a pair too.
 _FEW, _LAST_LISTED = 16, 64
+#: Buckets, a power of two, that words are counted in before a document's rarest ones are listed. Words that share a bucket cost alignments, no pairs.
+_BUCKETS = 1 << 20
 _SKETCHED = "node binary, keys array<long>"
 _TEXTS = "id long, words int, parity array<long>, text binary"
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -324,30 +325,67 @@ def _drawn_pairs(member: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.col("drawn").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _rarest(texts: DataFrame, least: float) -> DataFrame:
+def _buckets(batch, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the labelled words of a batch of texts, their buckets, and each text's first."""
+    hashes, first = labelled_words(Words(*texts_of(batch.column("text")), ALNUM))
+    return hashes, (hashes % U64(count)).astype(np.int64), first
+
+
+def _tally(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each bucket the number of ``texts`` with a word in it, and a name that buckets of the same texts have in common.
+
+    Tasks count, so a task hands on a row for each bucket at most; a number and a name of each reach the driver. Which texts
+    hold a bucket is told by two exclusive-ors of their hashed ids.
+    """
+
+    def run(batches):
+        count, by = np.zeros(buckets, np.int64), np.zeros((2, buckets), U64)
+        for batch in pieces(batches, 4 << 20):
+            _, at, first = _buckets(batch, buckets)
+            held = np.unique(np.repeat(np.arange(batch.num_rows), np.diff(first)) * buckets + at)
+            at, ids = held % buckets, batch.column("id").to_numpy().astype(U64)[held // buckets]
+            count += np.bincount(at, minlength=buckets)
+            for k in (0, 1):
+                np.bitwise_xor.at(by[k], at, mix((ids + U64(1)) * MULT[k]))
+        used = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used]), *(pa.array(x[used].view(np.int64)) for x in by)], names=["bucket", "n", "by0", "by1"])
+
+    each = texts.select("id", "text").mapInArrow(run, "bucket long, n long, by0 long, by1 long")
+    found = each.groupBy("bucket").agg(F.sum("n").alias("n"), F.bit_xor("by0").alias("by0"), F.bit_xor("by1").alias("by1")).where("n > 1").select("bucket", "n", F.xxhash64("n", "by0", "by1").alias("name")).toArrow()
+    number, name = np.ones(buckets, np.int32), np.zeros(buckets, np.int64)
+    at = found.column("bucket").to_numpy()
+    number[at], name[at] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.int32).max), found.column("name").to_numpy()
+    return number, name
+
+
+def _rarest(texts: DataFrame, least: float, buckets: int = _BUCKETS) -> DataFrame:
     """(id, keys): keys of the rarest words of each of ``texts`` that two alike texts cannot both lack, rarest first.
 
-    Words are labelled with their occurrence and ordered by the number of these texts that hold them. Texts of n
+    Words are labelled with their occurrence and ordered by the number of these texts with a word in their bucket. Texts of n
     and m >= n words with m (1 - least) edits or fewer share m least words, so all but n (1 - least) of the shorter's.
-    Words that one text alone holds come first; they are counted, but not listed. Of words that the same texts hold,
-    told by two exclusive-ors of hashed ids, the first stands for all.
+    Words whose bucket one text alone has come first; they are counted, but not listed. A key is the name of a bucket, so words
+    of the same texts have one key. Words are ranked within tasks: no row is made for a word.
     """
+    texts = store(texts.select("id", "text"), "ranked")
+    sent = texts.sparkSession.sparkContext.broadcast(_tally(texts, buckets))
 
     def run(batches):
+        number, name = sent.value
         for batch in pieces(batches, 4 << 20):
-            hashes, first = labelled_words(Words(*texts_of(batch.column("text")), ALNUM))
-            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("words"), lists], names=["id", "words", "labelled"])
-
-    listed = store(texts.select("id", "words", "text").mapInArrow(run, "id long, words int, labelled array<long>"), "labelled")
-    each = listed.select("id", "words", F.explode("labelled").alias("key"))
-    held = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"by{k}") for k in (0, 1)]).where("n > 1")
-    held = held.withColumn("first", F.row_number().over(W.partitionBy("n", "by0", "by1").orderBy("key")) == 1)  # at most the words of a text
-    own = W.partitionBy("id")
-    alone = F.col("words") - F.count(F.lit(1)).over(own)
-    ranked = each.join(held, "key").withColumn("rank", alone + F.row_number().over(own.orderBy("n", "key")))
-    kept = ranked.where((F.col("rank") <= F.floor(F.col("words") * (1 - least) + 1e-9) + 1) & F.col("first"))
-    return kept.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]).alias("keys"))
+            hashes, at, first = _buckets(batch, buckets)
+            words = np.diff(first)
+            owner = np.repeat(np.arange(len(words)), words)
+            order = np.lexsort((hashes, name[at], number[at], owner))
+            at, rank = at[order], np.arange(len(order)) - first[:-1][owner]
+            kept = (rank <= np.floor(words * (1 - least) + 1e-9)[owner]) & (number[at] > 1)
+            own, keys = owner[kept], name[at][kept]
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]) | (keys[1:] != keys[:-1])
+            docs, begin = np.unique(own[new], return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[begin, new.sum()], pa.int32()), pa.array(keys[new]))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(docs)), lists], names=["id", "keys"])
+
+    return texts.mapInArrow(run, "id long, keys array<long>")
 
 
 def _crossing_pairs(member: DataFrame, least: float) -> DataFrame:

@@ -473,3 +473,24 @@ def test_ogg_query_reads_stored_media(spark, docs, rows, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = op2_ogg(spark, str(tmp_path))
     assert out.count() == len(rows) and any("/media-" in f for f in out.inputFiles())
+
+
+@pytest.mark.parametrize("buckets", [32, 1 << 20])
+def test_rarest_words_make_no_rows_and_lose_no_pair(spark, buckets):
+    """Texts with one long passage in common: words are not rows, and alike texts share a key, also where many words share a bucket."""
+    rng = random.Random(12)
+    passage, texts = [f"p{k}" for k in range(60)], []
+    for _ in range(40):
+        own = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(10, 60))]
+        near = list(own)
+        for _ in range(rng.randrange(1, 20)):
+            near[rng.randrange(len(near))] = f"w{rng.randrange(3000)}"
+        texts += [passage + own, passage + near + ["end"] * rng.randrange(8)]
+    df = spark.createDataFrame([(i + 5, len(t), " ".join(t).encode()) for i, t in enumerate(texts)], "id long, words int, text binary")
+    listed = order_minhash._rarest(df, 0.8, buckets)
+    assert "Generate" not in listed._jdf.queryExecution().executedPlan().toString()
+    keys = {r.id - 5: r["keys"] for r in listed.collect()}
+    alike = [(i, j) for j in range(len(texts)) for i in range(j) if order_minhash.similar(texts[i], texts[j], 0.8)]
+    assert len(alike) > 30 and all(set(keys[i]) & set(keys[j]) for i, j in alike)
+    if buckets > 3000:  # what all texts hold has few keys
+        assert sum(map(len, keys.values())) < sum(map(len, texts)) / 4
