@@ -27,7 +27,7 @@ _ANSWER = "block long, bucket int, bits binary"
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
 #: Bytes of text for each bucket of a question.
-BUCKET_TEXT = 64 << 20
+BUCKET_TEXT = 16 << 20
 
 
 class Block(NamedTuple):
@@ -108,15 +108,18 @@ def keep_blocks(blocks: DataFrame, name: str) -> DataFrame:
 
 
 def bucket_count(blocks: DataFrame, per: int = BUCKET_TEXT) -> int:
-    """Buckets in proportion to the text, and at least four for each shuffle partition."""
+    """Buckets in proportion to the text, and at least eight for each core.
+
+    A block sends up to a message for each bucket. Shuffle partitions, which tend to grow with the text, don't raise their number.
+    """
     total = blocks.agg(F.sum("raw")).first()[0] or 0
-    return max(4 * partitions(blocks.sparkSession), -(-total // per))
+    return max(8 * blocks.sparkSession.sparkContext.defaultParallelism, -(-total // per))
 
 
 def split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Order of hashed keys by (bucket, key), and (bucket, begin, end) of each bucket with keys."""
-    bucket = (keys >> np.uint64(40)) % np.uint64(buckets)
-    order = np.lexsort((keys, bucket))
+    """Order of hashed keys by bucket, else as they are, and (bucket, begin, end) of each bucket with keys."""
+    bucket = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.empty(0, np.int64)
     return order, list(zip(bucket[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)]))
@@ -124,20 +127,56 @@ def split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, i
 
 def map_blocks(blocks: DataFrame, run: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
     """Apply ``run(block[, more])`` to each row; ``more``: the bits by bucket in column ``answers``, or column ``removed``."""
-    extra = [c for c in ("answers", "removed") if c in blocks.columns]
+    read, columns = _reader(blocks)
 
     def apply(batches):
+        for block, more in read(batches):
+            out = list(run(block, *more))
+            if out:
+                yield rows_to_arrow(out, schema)
+
+    return blocks.select(*columns).mapInArrow(apply, schema)
+
+
+def _reader(blocks: DataFrame) -> tuple[Callable, list[str]]:
+    """What reads (block, more) from batches of the given columns."""
+    extra = [c for c in ("answers", "removed") if c in blocks.columns]
+
+    def read(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
-                block = unpack(row)
-                more = [{a["bucket"]: np.unpackbits(np.frombuffer(a["bits"], np.uint8)).astype(bool) for a in row[c] or []} if c == "answers" else row[c] for c in extra]
-                out = list(run(block, *more))
-                if out:
-                    yield rows_to_arrow(out, schema)
+                yield unpack(row), [{a["bucket"]: np.unpackbits(np.frombuffer(a["bits"], np.uint8)).astype(bool) for a in row[c] or []} if c == "answers" else row[c] for c in extra]
 
-    columns = [f.split()[0] for f in BLOCK.split(", ")] + extra
-    return blocks.select(*columns).mapInArrow(apply, schema)
+    return read, [f.split()[0] for f in BLOCK.split(", ")] + extra
+
+
+def pack_blocks(blocks: DataFrame, run: Callable[..., Block | None], size: int) -> DataFrame:
+    """The blocks that ``run(block[, more])`` gives, put together within tasks as long as they hold ``size`` bytes at most.
+
+    Each has the number of its first one; ``origin`` has to tell them apart.
+    """
+    read, columns = _reader(blocks)
+
+    def apply(batches):
+        held: list[Block] = []
+
+        def told():
+            ids, nulls, lens, data, origin = (np.concatenate(x) for x in zip(*((b.ids, b.nulls, np.diff(b.offsets), b.data, b.origin) for b in held)))
+            return rows_to_arrow([Block(held[0].number, ids, nulls, np.r_[0, np.cumsum(lens)], data, origin).row()], BLOCK)
+
+        for block, more in read(batches):
+            part = run(block, *more)
+            if part is None:
+                continue
+            if held and sum(len(b.data) for b in held) + len(part.data) > size:
+                yield told()
+                held.clear()
+            held.append(part)
+        if held:
+            yield told()
+
+    return blocks.select(*columns).mapInArrow(apply, BLOCK)
 
 
 def ask(asked: DataFrame, answer: Callable[[int, list[bytes]], list[np.ndarray]]) -> DataFrame:
@@ -167,7 +206,11 @@ def gather(order: np.ndarray, parts: list[tuple[int, int, int]], answers: dict[i
 
 def group_min(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by keys then id, first row of each distinct key in it, and each ordered row's group."""
-    order = np.lexsort((ids, *reversed(keys)))
+    order = np.argsort(keys[0])
+    tied = np.r_[False, keys[0][order[1:]] == keys[0][order[:-1]]][: len(order)]
+    tied[:-1] |= tied[1:]  # what agrees in the first key is put in order
+    some = order[tied]
+    order[tied] = some[np.lexsort((ids[some], *(k[some] for k in reversed(keys))))]
     new = np.ones(len(order), bool)
     if len(order) > 1:
         new[1:] = False

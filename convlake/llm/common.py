@@ -69,6 +69,37 @@ def window_key(values: np.ndarray, width: int, mult: np.uint64) -> np.ndarray:
         size *= 2
 
 
+#: Bytes of a span that are hashed word by word; longer ones are summed.
+_CHAINED = 512
+
+
+def span_keys(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of a 128-bit key of the bytes ``data[first : first + size]``, for each span."""
+    out = tuple(size.astype(U64) * m for m in MULT)
+    if not len(first):
+        return out
+    words = np.ndarray(len(data) + 1, "<u8", buffer=np.r_[data, np.zeros(8, np.uint8)].tobytes(), strides=(1,))  # eight bytes from each place on
+    live = np.flatnonzero(size <= _CHAINED)
+    for at in range(0, _CHAINED, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        n = size[live]
+        word = words[first[live] + np.clip(n - 8, 0, at)]  # the last word ends with the span
+        if at == 0 and n.min() < 8:
+            word &= ~(~U64(0) << (8 * np.minimum(n, 7)).astype(U64)) | np.where(n < 8, U64(0), ~U64(0))
+        for h, m in zip(out, MULT):
+            h[live] = _pair(h[live], word, m)
+    out = tuple(mix(h ^ m) for h, m in zip(out, MULT))
+    if len(long := np.flatnonzero(size > _CHAINED)):
+        n = size[long]
+        start = np.r_[0, np.cumsum(n)[:-1]]
+        text = data[np.arange(n.sum()) + np.repeat(first[long] - start, n)]
+        for half, h in enumerate(out):
+            h[long] = segment_hash(text, start, half)
+    return out
+
+
 #: Places in a segment whose terms are looked up.
 _LISTED = 64
 

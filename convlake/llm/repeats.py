@@ -11,7 +11,7 @@ Each pass is a question of ``blocks``: what is sent grows with the text, a hot p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +31,7 @@ class Windows(NamedTuple):
     hashes: tuple  # two arrays by first unit, or () where not asked for
     at: np.ndarray | None  # bytes that the units begin and end at; None: a unit is a byte
     end: np.ndarray | None
+    keys: Callable | None = None  # both halves of a stretch's key from its first and last window's start, else from ``hashes``
 
 
 def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -64,14 +65,17 @@ class Classes(NamedTuple):
 
 def classes(block: B.Block, w: Windows) -> Classes:
     begin, symbol, owner = stretches(w)
-    one, two = (segment_hash(h[w.starts], begin, half) for half, h in enumerate(w.hashes))
+    if w.keys:
+        one, two = w.keys(w.starts[begin], w.starts[np.r_[begin[1:], len(w.starts)][: len(begin)] - 1])
+    else:
+        one, two = (segment_hash(h[w.starts], begin, half) for half, h in enumerate(w.hashes))
     ids = block.ids[owner]
     order, head, group = B.group_min([one, two], ids)
     return Classes(w.starts, begin, np.diff(np.r_[begin, len(w.starts)]), symbol, ids, one, two, order, order[head], group)
 
 
 def cut_out(block: B.Block, w: Windows, found: np.ndarray, width: int) -> B.Block | None:
-    """The pieces of a block whose windows are ``found``; ``origin`` holds each one's document and first unit there."""
+    """The pieces of a block whose windows are ``found``; ``origin`` holds each one's block, document and first unit there."""
     at = np.flatnonzero(found)
     if not len(at):
         return None
@@ -79,30 +83,31 @@ def cut_out(block: B.Block, w: Windows, found: np.ndarray, width: int) -> B.Bloc
     first, last = w.starts[at[new]], w.starts[at[np.r_[new[1:], True]]] + width - 1
     doc = np.searchsorted(w.bounds, first, side="right") - 1
     lo, hi = (first, last + 1) if w.at is None else (w.at[first], w.end[last])
-    return B.Block(block.number, block.ids[doc], block.nulls[doc], np.r_[0, np.cumsum(hi - lo)], block.data[ranges(lo, hi - lo)], np.c_[doc, first - w.bounds[doc]].astype(np.int64).ravel())
+    return B.Block(block.number, block.ids[doc], block.nulls[doc], np.r_[0, np.cumsum(hi - lo)], block.data[ranges(lo, hi - lo)], np.c_[np.full(len(doc), block.number), doc, first - w.bounds[doc]].astype(np.int64).ravel())
 
 
 def one_each(symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct symbols, the key of a stretch of each, and 1 if the block holds stretches that differ, else 0."""
     if not len(symbol):
         return symbol, one, np.empty(0, np.int64)
-    order = np.lexsort((two, one, symbol))
+    order = np.argsort(symbol)
     s, a, b = symbol[order], one[order], two[order]
-    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    last = np.r_[first[1:], len(s)] - 1
-    return s[first], a[first], ((a[first] != a[last]) | (b[first] != b[last])).astype(np.int64)
+    new = np.r_[True, s[1:] != s[:-1]]
+    first = np.flatnonzero(new)
+    other = np.r_[False, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] & ~new
+    return s[first], a[first], np.logical_or.reduceat(other, first).astype(np.int64)
 
 
 def answer_several(payloads: list[bytes]) -> list[np.ndarray]:
     """Whether a symbol has stretches that differ."""
     symbol, stretch, flag, ends = B.read_keys(payloads)
-    order = np.lexsort((stretch, symbol))
+    order = np.argsort(symbol)
     s, t = symbol[order], stretch[order]
-    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    last = np.r_[first[1:], len(s)] - 1
-    several = (t[first] != t[last]) | (np.maximum.reduceat(flag[order], first) > 0)
+    new = np.r_[True, s[1:] != s[:-1]]
+    other = np.r_[False, t[1:] != t[:-1]] & ~new | (flag[order] > 0)
+    several = np.logical_or.reduceat(other, np.flatnonzero(new))
     out = np.empty(len(s), bool)
-    out[order] = np.repeat(several, last - first + 1)
+    out[order] = several[np.cumsum(new) - 1]
     return np.split(out, ends)
 
 
@@ -151,11 +156,9 @@ def remove_repeats(docs: DataFrame, key: str, text: str, width: int, cut, compar
         first, symbol, _ = stretches(w)
         distinct, place = np.unique(symbol, return_inverse=True)
         found = B.gather(*B.split(distinct, buckets), answers)[place]
-        pieces = cut_out(block, w, np.repeat(found, np.diff(np.r_[first, len(w.starts)])), width)
-        if pieces:
-            yield pieces.row()
+        return cut_out(block, w, np.repeat(found, np.diff(np.r_[first, len(w.starts)])), width)
 
-    pieces = B.keep_blocks(B.map_blocks(B.with_answers(base, shared), sift, B.BLOCK), f"{name}_pieces")
+    pieces = B.keep_blocks(B.pack_blocks(B.with_answers(base, shared), sift, block_bytes), f"{name}_pieces")
 
     def fold(block):
         c = classes(block, cut(block, True))
@@ -208,9 +211,9 @@ def remove_repeats(docs: DataFrame, key: str, text: str, width: int, cut, compar
         over = np.searchsorted(w.bounds, hi - 1, side="right") - 1 - piece
         n = ranges(piece, over + 1)
         lo, hi = np.maximum(np.repeat(lo, over + 1), w.bounds[n]), np.minimum(np.repeat(hi, over + 1), w.bounds[n + 1])
-        doc, first = block.origin.reshape(-1, 2)[n].T
-        if len(n):
-            yield block.number, np.r_[doc, lo - w.bounds[n] + first, hi - w.bounds[n] + first].astype(np.int64).tobytes()
+        number, doc, first = block.origin.reshape(-1, 3)[n].T
+        for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(number)) + 1) if len(n) else ():
+            yield int(number[part[0]]), np.r_[doc, lo - w.bounds[n] + first, hi - w.bounds[n] + first].reshape(3, -1)[:, part].astype(np.int64).tobytes()
 
     answers = folded.unionByName(single_answers.withColumn("bucket", F.col("bucket") + offset))
     removed = B.map_blocks(B.with_answers(pieces, answers), resolve, "block long, removed binary")

@@ -2,9 +2,9 @@
 
 Suffixes matter only up to the window's width. A window's symbol is its smallest hashed k-gram; ``repeats`` sifts and
 folds by it. The windows that are left are sorted within each block and front-coded (each suffix stores what it
-shares with the one before, and the rest), dealt into ranges by sampled splitters, and merged with a loser tree that
-keeps each run's common prefix with the last winner, so known prefixes are never compared again. Equal windows
-show in the prefix lengths.
+shares with the one before, and the rest), dealt into ranges by sampled splitters, and merged: the runs of a range
+are unfolded, laid end to end and given to a merge sort that finds sorted runs and gallops over them. ``merge`` is the
+same for streams, with a loser tree that keeps each run's common prefix with the last winner.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .common import MULT, U64, window_hash, window_key
-from .repeats import Windows, remove_repeats
+from .common import MULT, U64, span_keys, window_hash
+from .repeats import Windows, ranges, remove_repeats
 
 WINDOW = 50
 GRAM = 32
 #: Windows that are drawn for each range of the merge, and for all of them.
 SAMPLE, MOST_SAMPLED = 32, 1 << 18
+#: Windows that are hashed together: what stays in a core's cache is hashed several times faster.
+_HASHED = 1 << 15
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -31,19 +33,24 @@ def smallest_grams(data: np.ndarray, offsets: np.ndarray, width: int, gram: int)
     """Starts of all windows within a document, and the smallest hashed ``gram`` of each."""
     if len(data) < width:
         return np.empty(0, np.int64), np.empty(0, U64)
-    least = window_hash(data.astype(U64), gram, MULT[0])
-    span, reach = width - gram + 1, 1
-    while reach * 2 <= span:
-        least = np.minimum(least[:-reach], least[reach:])
-        reach *= 2
-    if reach < span:
-        least = np.minimum(least[: reach - span], least[span - reach :])
-    inside = np.ones(len(data) + 1, bool)
-    for back in range(1, width):
-        at = offsets[1:] - back
-        inside[at[at >= offsets[:-1]]] = False
-    starts = np.flatnonzero(inside[: len(least)])
-    return starts, least[starts]
+    parts = []
+    for at in range(0, len(data) - width + 1, _HASHED):
+        least = window_hash(data[at : at + _HASHED + width - 1].astype(U64), gram, MULT[0])
+        span, reach = width - gram + 1, 1
+        while reach * 2 <= span:
+            least = np.minimum(least[:-reach], least[reach:])
+            reach *= 2
+        parts.append(np.minimum(least[: reach - span], least[span - reach :]) if reach < span else least)
+    inside = _inside(offsets, width)[: len(data) - width + 1]
+    return np.flatnonzero(inside), np.concatenate(parts)[inside]
+
+
+def _inside(offsets: np.ndarray, width: int) -> np.ndarray:
+    """Whether a window that begins at a byte ends within its document."""
+    out = np.ones(offsets[-1], bool)
+    size = np.minimum(np.diff(offsets), width - 1)
+    out[ranges(offsets[1:] - size, size)] = False
+    return out
 
 
 def front_code(sorted_rows: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -54,6 +61,24 @@ def front_code(sorted_rows: np.ndarray) -> tuple[np.ndarray, bytes]:
     return common, sorted_rows[np.arange(sorted_rows.shape[1]) >= common[:, None]].tobytes()
 
 
+def unfold(common: np.ndarray, rest: bytes, width: int) -> np.ndarray:
+    """The rows of a front-coded run, as ``read_run`` reads them."""
+    given = np.arange(width) >= common[:, None]
+    rows = np.empty(given.shape, np.uint8)
+    rows[given] = np.frombuffer(rest, np.uint8)
+    last = np.maximum.accumulate(np.where(given, np.arange(len(common), dtype=np.int32)[:, None], np.int32(0)), axis=0)
+    return np.take_along_axis(rows, last, axis=0)
+
+
+def sorted_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows of bytes, and which in it differ from the one before. Sorted runs in them are merged."""
+    order = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
+    words = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    words[:, : rows.shape[1]] = rows[order]
+    words = words.view(U64)
+    return order, np.r_[True, (words[1:] != words[:-1]).any(axis=1)][: len(rows)]
+
+
 def read_run(common: np.ndarray, rest: bytes, width: int) -> Iterator[tuple[int, bytes]]:
     """(common prefix with the suffix before, suffix) of a front-coded run."""
     last, at = b"", 0
@@ -122,18 +147,12 @@ def answer_runs(payloads: list[bytes], width: int) -> list[np.ndarray]:
     parts = []
     for p in payloads:
         ids, at = B.unpack_ids(p)
-        parts.append((ids, np.frombuffer(p, np.uint8, len(ids), at), p[at + len(ids) :]))
-    total = sum(len(x[0]) for x in parts)
-    run, shared = np.empty(total, np.int64), np.empty(total, np.int64)
-    for i, (r, c) in enumerate(merge([read_run(c, rest, width) for _, c, rest in parts])):
-        run[i], shared[i] = r, c
-    order = np.argsort(run, kind="stable")  # a run's suffixes come out in its own order
-    ids = np.empty(total, np.int64)
-    ids[order] = np.concatenate([x[0] for x in parts])
-    new = shared < width
-    new[:1] = True
-    least = np.minimum.reduceat(ids, np.flatnonzero(new))[np.cumsum(new) - 1]
-    return np.split((least < ids)[order], np.cumsum([len(x[0]) for x in parts])[:-1])
+        parts.append((ids, unfold(np.frombuffer(p, np.uint8, len(ids), at), p[at + len(ids) :], width)))
+    ids = np.concatenate([x[0] for x in parts])
+    order, new = sorted_order(np.concatenate([x[1] for x in parts]))
+    least = np.empty(len(ids), np.int64)
+    least[order] = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return np.split(least < ids, np.cumsum([len(x[0]) for x in parts])[:-1])
 
 
 class SuffixMerge:
@@ -147,14 +166,13 @@ class SuffixMerge:
         """Distinct suffixes in order, the smallest id of each, and the place of each window among them."""
         view = np.lib.stride_tricks.sliding_window_view(block.data, self.width) if len(block.data) >= self.width else np.empty((0, self.width), np.uint8)
         rows = np.ascontiguousarray(view[at])
-        padded = np.zeros((len(rows), -(-self.width // 8) * 8), np.uint8)
-        padded[:, : self.width] = rows
-        parts = padded.view(">u8").astype(U64)
-        order, first, group = B.group_min([parts[:, k] for k in range(parts.shape[1])], ids)
+        if not len(rows):
+            return rows, ids, at
+        order, new = sorted_order(rows)
         where = np.empty(len(order), np.int64)
-        where[order] = group
-        head = order[first]
-        return rows[head], ids[head], where
+        where[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        return rows[order[first]], np.minimum.reduceat(ids[order], first), where
 
     def send(self, number: int, rows: np.ndarray, least: np.ndarray) -> Iterator[tuple]:
         for b, lo, hi in _ranges_of(rows, self.splitters):
@@ -184,7 +202,7 @@ def deduplicate_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def cut(block, hashes):
         starts, least = smallest_grams(block.data, block.offsets, width, gram)
-        return Windows(block.offsets, starts, least, tuple(window_key(block.data, width, m) for m in MULT) if hashes else (), None, None)
+        return Windows(block.offsets, starts, least, (), None, None, (lambda first, last: span_keys(block.data, first, last - first + width)) if hashes else None)
 
     def finish(block, k, removed):
         raw = block.text(k)
@@ -204,7 +222,7 @@ def _splitters(blocks: DataFrame, width: int, buckets: int) -> list[bytes]:
     each = max(1, wanted // max(1, count))
 
     def draw(block):
-        at = smallest_grams(block.data, block.offsets, width, width - 1)[0]
+        at = np.flatnonzero(_inside(block.offsets, width))
         at = at[np.linspace(0, len(at) - 1, min(each, len(at))).astype(np.int64)] if len(at) else at
         for k in at:
             yield (block.data[k : k + width].tobytes(),)

@@ -208,3 +208,92 @@ def test_training_rows_are_bounded(spark):
     rows = toxicity.training_rows(docs, labels)
     assert rows.count() == rows.distinct().count() + rows.where("text = 'other'").count() - rows.where("text = 'other'").distinct().count()
     assert [r.text for r in rows.where("text <> 'other'").collect()] in ([], ["text 0"])
+
+
+def test_messages_of_blocks_do_not_grow_with_shuffle_partitions(spark, monkeypatch):
+    """Partitions tend to grow with the text; messages of each block would make both grow as its square."""
+    from convlake.llm import blocks
+
+    random.seed(4)
+    texts = [bytes(random.choice(b"abcdefgh ") for _ in range(3_000)).decode() for _ in range(40)]
+    docs = spark.createDataFrame([(i, texts[i % 25]) for i in range(40)], "doc_id long, text string").repartition(4)
+    sent, ask = [], blocks.ask
+
+    def counted(asked, answer):
+        sent.append(asked.count())
+        return ask(asked, answer)
+
+    monkeypatch.setattr(blocks, "ask", counted)
+    got, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("4", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(suffix_dedup.deduplicate_bytes(docs, block_bytes=20_000).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] and sum(r.n_removed > 0 for r in got[0]) == 15
+    few, many = sent[: len(sent) // 2], sent[len(sent) // 2 :]
+    assert len(few) == 3 and few[0] > 0 and all(b <= 2 * a for a, b in zip(few, many))  # smaller tasks put fewer pieces together
+
+
+def test_pieces_are_put_together(spark):
+    """What a pass leaves of many blocks fills blocks again, within a task and up to the given size."""
+    from convlake.llm import blocks
+
+    docs = spark.createDataFrame([(i, "x" * 1_000) for i in range(60)], "doc_id long, text string").repartition(1)
+    base = blocks.build_blocks(docs, "doc_id", "text", "whole", 1_000)
+    fifth = lambda b: blocks.Block(b.number, b.ids[:1], b.nulls[:1], np.array([0, 200]), b.data[:200], np.array([b.number, 0, 0])) if b.ids[0] % 3 else None
+    packed = [blocks.unpack(r.asDict()) for r in blocks.pack_blocks(base.coalesce(1), fifth, 1_000).collect()]
+    assert [len(b.data) for b in packed] == [1_000] * 8 and sorted(i for b in packed for i in b.ids.tolist()) == [i for i in range(60) if i % 3]
+    assert all(b.origin.reshape(-1, 3)[0, 0] == b.number and len(b.origin) == 15 for b in packed)
+
+
+def test_runs_are_answered_as_the_loser_tree_merges_them():
+    from convlake.llm import blocks
+
+    random.seed(6)
+    for k in (1, 2, 9):
+        for alphabet in (b"ab", b"\0\xff", b"\0\1 a\x80"):
+            runs = [sorted({bytes(random.choice(alphabet) for _ in range(9)) for _ in range(random.randrange(1, 60))}) for _ in range(k)]
+            ids = [np.array([random.randrange(7) for _ in r], np.int64) for r in runs]
+            coded = [suffix_dedup.front_code(np.frombuffer(b"".join(r), np.uint8).reshape(-1, 9)) for r in runs]
+            assert all(suffix_dedup.unfold(c, x, 9).tobytes() == b"".join(r) for r, (c, x) in zip(runs, coded))
+            least, at, last = {}, [0] * k, None
+            for r, shared in suffix_dedup.merge([suffix_dedup.read_run(c, x, 9) for c, x in coded]):
+                last = runs[r][at[r]] if shared < 9 or last is None else last
+                least[last] = min(least.get(last, 9), int(ids[r][at[r]]))
+                at[r] += 1
+            got = suffix_dedup.answer_runs([blocks.pack_ids(i) + c.tobytes() + x for i, (c, x) in zip(ids, coded)], 9)
+            assert [g.tolist() for g in got] == [[least[x] < i for x, i in zip(r, n.tolist())] for r, n in zip(runs, ids)]
+
+
+def test_span_keys_tell_spans_apart():
+    from convlake.llm.common import span_keys
+
+    random.seed(7)
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    data = np.frombuffer((word + word.translate(str.maketrans("ab", "ba"))).encode() + bytes(3_000) + bytes(random.randrange(256) for _ in range(300)) * 2, np.uint8)
+    first = np.array([random.randrange(len(data)) for _ in range(6_000)] + [2048, 2049, 5048, 5348, 0, 1024])
+    size = np.array([random.choice((1, 3, 7, 8, 9, 50, 68, 512, 513, 2_000)) for _ in range(6_000)] + [2_999, 2_999, 300, 300, 1024, 1024])
+    size = np.minimum(size, len(data) - first)
+    one, two = span_keys(data, first, size)
+    spans = [data[a : a + n].tobytes() for a, n in zip(first, size)]
+    for half in (one, two):
+        known = {}
+        assert all(known.setdefault(s, h) == h for s, h in zip(spans, half.tolist())) and len(set(known.values())) == len(known)
+    assert one[-3] == one[-4] and one[-5] == one[-6] and one[-1] != one[-2]
+
+
+def test_order_by_keys_then_ids():
+    from convlake.llm.blocks import group_min, split
+
+    random.seed(8)
+    for n in (0, 1, 2, 500):
+        one, two = (np.array([random.randrange(40) for _ in range(n)], U64) for _ in range(2))
+        ids = np.array([random.randrange(9) for _ in range(n)], np.int64)
+        order, first, group = group_min([one, two], ids)
+        rows = sorted(zip(one.tolist(), two.tolist(), ids.tolist()))
+        assert list(zip(one[order].tolist(), two[order].tolist(), ids[order].tolist())) == rows
+        assert len(first) == len({r[:2] for r in rows}) and (np.r_[group[1:] != group[:-1], True][: len(order)].sum() == len(first))
+        order, parts = split(one << U64(40), 7)
+        assert sorted(order.tolist()) == list(range(n)) and all((one[order[a:b]] % U64(7) == U64(k)).all() for k, a, b in parts) and sum(b - a for _, a, b in parts) == n
